@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import bpe, mixing, sharding
+from broadsheet.llm import bpe, mixing, sharding, simhash
 
 #: Fixed parameters of the registered queries.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -56,8 +56,14 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_slots(grown)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = simhash.near_duplicates(docs, shingle=3, seeds=(42,), segments=2, most=3)
+    return found.select("doc_id", simhash.hex_fingerprint("w0").alias("fingerprint"), F.col("_component").alias("component_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op3_mix": op3_mix, "op5_shards": op5_shards}
+    return {"op2_bpe": op2_bpe, "op3_mix": op3_mix, "op5_shards": op5_shards, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
