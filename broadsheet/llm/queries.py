@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import bpe, mixing, sharding, simhash
+from broadsheet.llm import bpe, mixing, sharding, simhash, substring
 
 #: Fixed parameters of the registered queries.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -56,6 +56,14 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_slots(grown)
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = F.aggregate("_spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    return substring.dedup_substrings(docs).select(
+        "doc_id", "text", F.col("_spans").alias("removed_spans"), removed.cast("long").alias("removed_chars")
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = simhash.near_duplicates(docs, shingle=3, seeds=(42,), segments=2, most=3)
@@ -63,7 +71,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op3_mix": op3_mix, "op5_shards": op5_shards, "op9_simhash": op9_simhash}
+    return {"op2_bpe": op2_bpe, "op3_mix": op3_mix, "op5_shards": op5_shards, "op8_substrings": op8_substrings, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
