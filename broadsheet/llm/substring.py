@@ -3,8 +3,9 @@
 A gear hash over the last 16 bytes picks chunk ends among the ends of words (inside words only where
 nothing has been white space for ``LONG_WORD`` bytes), so equal passages are cut alike wherever they
 stand and an insertion moves no cut beyond its neighbourhood. Chunks are compared by 128-bit digest. A
-chunk is a repeat if a document with a smaller id holds it or it stood in the same document before;
-runs of consecutive repeats of at least ``min_words`` words are deleted. The first holder keeps its text.
+chunk is a repeat if a document with a smaller id holds it (with ``within``, also if it stood in the same
+document before); runs of consecutive repeats of at least ``min_words`` words are deleted. The first
+holder keeps its text.
 
 Chunk rows are aggregated to one row per digest, with partial sums before the shuffle, and joined back;
 no group of equal chunks is ever collected. Only the positions found in one text are.
@@ -87,23 +88,27 @@ def _chunk_rows(spacing: int):
     return rows, "_doc long, _text_hash long, _at int, _d0 long, _d1 long"
 
 
-def _cleaned(text: Column, repeats: Column, spacing: int, min_words: int) -> Column:
+def _cleaned(text: Column, repeats: Column, spacing: int, min_words: int, within: bool) -> Column:
     """struct<text, spans>: ``text`` without its runs of repeats, and their code point spans in it."""
     kind = T.StructType().add("text", T.StringType()).add(
         "spans", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()))
     )
 
     def clean(text: str, repeated: list[int] | None) -> tuple[str, list[dict]]:
+        if not (repeated or within):
+            return text, []
         data = text.encode("utf-8", "surrogatepass")
         ends = chunk_ends(data, spacing)
         digests = _digests(data, ends)
-        gone, seen = np.zeros(len(ends) + 2, bool), set()
-        if repeated:
-            gone[np.array(repeated) + 1] = True
-        if len(set(digests)) < len(digests):
-            for at, d in enumerate(digests):
-                gone[at + 1] |= d in seen
-                seen.add(d)
+        places: dict[bytes, list[int]] = {}
+        for at, d in enumerate(digests):
+            places.setdefault(d, []).append(at + 1)
+        gone = np.zeros(len(ends) + 2, bool)
+        for at in repeated or ():
+            gone[places[digests[at]]] = True
+        if within:
+            for at in places.values():
+                gone[at[1:]] = True
         edges = np.flatnonzero(gone[1:] != gone[:-1]).reshape(-1, 2)
         starts = np.concatenate([[0], ends])
         kept, spans, upto, chars = [], [], 0, 0
@@ -127,7 +132,7 @@ def _cleaned(text: Column, repeats: Column, spacing: int, min_words: int) -> Col
     return cleaned(text, repeats)
 
 
-def dedup_substrings(docs: DataFrame, spacing: int = 5, min_words: int = 20, text: str = "text", key: str = "doc_id") -> DataFrame:
+def dedup_substrings(docs: DataFrame, spacing: int = 5, min_words: int = 20, within: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with repeats deleted from ``text``, and ``_spans``, the deleted code point ranges.
 
     A passage of w words loses its inside: cuts lie ``spacing`` words apart on average, so about that
@@ -144,7 +149,7 @@ def dedup_substrings(docs: DataFrame, spacing: int = 5, min_words: int = 20, tex
     found = repeats.groupBy(F.col("_doc").alias("_of"), F.col("_text_hash").alias("_of_hash")).agg(F.collect_set("_at").alias("_repeats"))
     keyed = docs.withColumn("_hash", F.xxhash64(text))
     joined = keyed.join(found, F.col(key).cast("long").eqNullSafe(F.col("_of")) & (F.col("_hash") == F.col("_of_hash")), "left")
-    result = _cleaned(F.col(text), F.array_sort("_repeats"), spacing, min_words)
+    result = _cleaned(F.col(text), F.array_sort("_repeats"), spacing, min_words, within)
     return joined.select(*docs.columns, result.alias("_clean")).select(
         *[F.col("_clean.text").alias(c) if c == text else F.col(c) for c in docs.columns], F.col("_clean.spans").alias("_spans")
     )
