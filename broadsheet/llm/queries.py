@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import bpe, mixing, sharding, simhash, substring
+from broadsheet.llm import bpe, mixing, sharding, simhash, substring, topk, warc
 
 #: Fixed parameters of the registered queries.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -56,6 +56,18 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_slots(grown)
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_id"), topk.quantize(F.col("embedding")).alias("_x"))
+    return topk.top_k(vectors, vectors.filter(F.col("_id") % 20 == 0), k=20)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.archive_round_trip(pages, min_bytes=0).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
+    )
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     removed = F.aggregate("_spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
@@ -71,8 +83,27 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op3_mix": op3_mix, "op5_shards": op5_shards, "op8_substrings": op8_substrings, "op9_simhash": op9_simhash}
+    return {"op2_bpe": op2_bpe, "op3_mix": op3_mix, "op5_shards": op5_shards, "op6_topk": op6_topk, "op7_warc": op7_warc,
+        "op8_substrings": op8_substrings, "op9_simhash": op9_simhash}
+
+
+_OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), hits AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x)
+  WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM hits
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk": _OP6_SQL}
