@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import bpe, mixing, sharding, simhash, substring, topk, warc
+from broadsheet.llm import bpe, mixing, orderhash, sharding, simhash, substring, topk, warc
 
 #: Fixed parameters of the registered queries.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -82,9 +82,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint("w0").alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
+def op10_orderhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderhash.compare_with_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op2_bpe": op2_bpe, "op3_mix": op3_mix, "op5_shards": op5_shards, "op6_topk": op6_topk, "op7_warc": op7_warc,
-        "op8_substrings": op8_substrings, "op9_simhash": op9_simhash}
+        "op8_substrings": op8_substrings, "op9_simhash": op9_simhash,
+        "op10_orderhash": op10_orderhash}
 
 
 _OP6_SQL = """
