@@ -27,7 +27,6 @@ from pyspark.sql import types as T
 CACHE_ENTRIES = 400_000
 #: Longer pre-tokens are not kept.
 CACHE_CHARS = 64
-_WORD_BITS = 8
 
 
 @lru_cache(maxsize=4)
@@ -41,81 +40,68 @@ def _vocabulary(path: str) -> dict[int, bytes]:
     return {rank: token for token, rank in load_ranks(path).items()}
 
 
-class RankQueue:
-    """Positions by merge rank; pop() gives the leftmost position of the lowest rank."""
-
-    __slots__ = ("buckets", "top", "words")
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.words: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        word = rank >> _WORD_BITS
-        self.words[word] = self.words.get(word, 0) | 1 << (rank & (1 << _WORD_BITS) - 1)
-        self.top |= 1 << word
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.words[word]
-        low = (bits & -bits).bit_length() - 1
-        rank = word << _WORD_BITS | low
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            self.words[word] = bits = bits & (bits - 1)
-            if not bits:
-                self.top &= self.top - 1
-        return rank, at
-
-
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token."""
-    whole = ranks.get(piece)
+    """The ids of one pre-token.
+
+    The queue is written out in the loop: ``buckets[rank]`` is a heap of positions, ``words`` holds the
+    lower level of the bitmap in words of 256 ranks, ``top`` a bit per word that is not zero.
+    """
+    rank_of = ranks.get
+    whole = rank_of(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
-    waiting = [-1] * n  # the rank of the pair that starts here, as last queued
-    queue, rank_of = RankQueue(), ranks.get
-    for i in range(n - 1):
-        if (r := rank_of(piece[i : i + 2])) is not None:
-            waiting[i] = r
-            queue.push(r, i)
-    while (top := queue.pop()) is not None:
-        rank, left = top
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    waiting = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)]  # the rank of the pair that starts here
+    waiting.append(-1)
+    buckets: dict[int, list[int]] = {}
+    words: dict[int, int] = {}
+    top = 0
+    for i, rank in enumerate(waiting):
+        if rank in buckets:
+            buckets[rank].append(i)
+        elif rank >= 0:
+            buckets[rank] = [i]
+            word = rank >> 8
+            words[word] = words.get(word, 0) | 1 << (rank & 255)
+            top |= 1 << word
+    while top:
+        word = (top & -top).bit_length() - 1
+        bits = words[word]
+        rank = word << 8 | ((bits & -bits).bit_length() - 1)
+        bucket = buckets[rank]
+        left = heappop(bucket)
+        if not bucket:
+            del buckets[rank]
+            words[word] = bits = bits & (bits - 1)
+            if not bits:
+                top &= top - 1
         if waiting[left] != rank:
-            continue
+            continue  # a neighbour was merged since
         right = after[left]
         end = after[left] = after[right]
         waiting[right] = -1
         if end < n:
             before[end] = left
-            r = rank_of(piece[left : after[end]])
-            waiting[left] = -1 if r is None else r
-            if r is not None:
-                queue.push(r, left)
+            joined = rank_of(piece[left : after[end]], -1)
         else:
-            waiting[left] = -1
+            joined = -1
         prior = before[left]
-        if prior >= 0:
-            r = rank_of(piece[prior:end])
-            waiting[prior] = -1 if r is None else r
-            if r is not None:
-                queue.push(r, prior)
+        fresh = ((left, joined), (prior, rank_of(piece[prior:end], -1))) if prior >= 0 else ((left, joined),)
+        for at, rank in fresh:
+            waiting[at] = rank
+            if rank in buckets:
+                heappush(buckets[rank], at)
+            elif rank >= 0:
+                buckets[rank] = [at]
+                word = rank >> 8
+                words[word] = words.get(word, 0) | 1 << (rank & 255)
+                top |= 1 << word
     ids, at = [], 0
     while at < n:
-        ids.append(ranks[piece[at : after[at]]])
-        at = after[at]
+        end = after[at]
+        ids.append(ranks[piece[at:end]])
+        at = end
     return ids
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import bpe, mixing, orderhash, sharding, simhash, substring, topk, warc
+from broadsheet.llm import bpe, mixing, orderhash, pagetext, sharding, simhash, substring, topk, warc
 
 #: Fixed parameters of the registered queries.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -43,6 +43,11 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pagetext.extract_text(pages).select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = _table(spark, sf_dir, "documents").select(
@@ -87,7 +92,7 @@ def op10_orderhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op3_mix": op3_mix, "op5_shards": op5_shards, "op6_topk": op6_topk, "op7_warc": op7_warc,
+    return {"op2_bpe": op2_bpe, "op3_mix": op3_mix, "op4_page_text": op4_page_text, "op5_shards": op5_shards, "op6_topk": op6_topk, "op7_warc": op7_warc,
         "op8_substrings": op8_substrings, "op9_simhash": op9_simhash,
         "op10_orderhash": op10_orderhash}
 
