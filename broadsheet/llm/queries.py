@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import bpe, mixing, orderhash, pagetext, sharding, simhash, substring, topk, warc
+from broadsheet.llm import bpe, mixing, orderhash, pagetext, quality, sharding, simhash, substring, topk, warc
 
 #: Fixed parameters of the registered queries.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -20,6 +20,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model, _ = quality.train(docs, labels)
+    scores = quality.score(docs, model)
+    return scores.select(
+        "doc_id",
+        F.col("_scores.content").alias("content_score"),
+        F.col("_scores.metadata").alias("metadata_score"),
+        F.col("_scores.quality").alias("quality_score"),
+        (F.col("_scores.quality") >= quality.THRESHOLD).alias("keep"),
+    )
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     coded = docs.select("doc_id", bpe.encode(F.col("text"), RANKS, PATTERN).alias("ids"))
@@ -92,7 +105,7 @@ def op10_orderhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op3_mix": op3_mix, "op4_page_text": op4_page_text, "op5_shards": op5_shards, "op6_topk": op6_topk, "op7_warc": op7_warc,
+    return {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_mix": op3_mix, "op4_page_text": op4_page_text, "op5_shards": op5_shards, "op6_topk": op6_topk, "op7_warc": op7_warc,
         "op8_substrings": op8_substrings, "op9_simhash": op9_simhash,
         "op10_orderhash": op10_orderhash}
 
