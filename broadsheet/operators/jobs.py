@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import strip
-from broadsheet.operators.segment import RUNNING, explode_lines, joined_lines, parse_header
+from broadsheet.operators.segment import explode_lines, joined_lines, parse_header, running
 
 #: Patterns of job lists (fixed values of the format).
 CATEGORY = r"^##\s+(.{1,2})\s+(.+)"
@@ -23,10 +23,10 @@ def job_lines(docs: DataFrame) -> DataFrame:
     line = F.col("line")
     category, item = line.rlike(CATEGORY), line.rlike(ITEM)
     lines = lines.withColumns({
-        "section_no": F.sum(category.cast("int")).over(RUNNING).cast("int"),
-        "item_no": F.sum(item.cast("int")).over(RUNNING).cast("int"),
-        "category": F.last(F.when(category, F.regexp_extract(line, CATEGORY, 2)), ignorenulls=True).over(RUNNING),
-        "icon": F.last(F.when(category, F.regexp_extract(line, CATEGORY, 1)), ignorenulls=True).over(RUNNING),
+        "section_no": F.sum(category.cast("int")).over(running()).cast("int"),
+        "item_no": F.sum(item.cast("int")).over(running()).cast("int"),
+        "category": F.last(F.when(category, F.regexp_extract(line, CATEGORY, 2)), ignorenulls=True).over(running()),
+        "icon": F.last(F.when(category, F.regexp_extract(line, CATEGORY, 1)), ignorenulls=True).over(running()),
     })
     in_item = F.col("item_no") > 0
     kind = (

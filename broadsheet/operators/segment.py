@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions.text import cells_of, is_separator, iso_date, lines_of, strip, strip_anchor, strip_marks
 
-RUNNING = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 #: Stands for "no section" in running windows, which skip nulls.
 _RESET = "~"
 
 
+def running():
+    """The lines of a document up to the current one: the one window specification of this module."""
+    return Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 @dataclass(frozen=True)
 class DailyFormat:
     """Markers of daily reports (fixed values of the format)."""
@@ -99,7 +103,7 @@ def assign_sections(lines: DataFrame, sections: tuple[tuple[str, str], ...], res
         header = F.when(F.col("line").startswith(prefix), F.lit(_RESET)).otherwise(header)
     for prefix, name in reversed(sections):
         header = F.when(F.col("line").startswith(prefix), F.lit(name)).otherwise(header)
-    section = F.last("header", ignorenulls=True).over(RUNNING)
+    section = F.last("header", ignorenulls=True).over(running())
     return lines.withColumn("header", header).withColumn("section", F.nullif(section, F.lit(_RESET)))
 
 
@@ -108,7 +112,7 @@ def assign_items(lines: DataFrame, item: str, item_sections: tuple[str, ...]) ->
     the text declares and the title. A section header does not close an item."""
     opens = F.col("header").isNull() & F.col("section").isin(*item_sections) & F.col("line").rlike(item)
     opened = lines.withColumn("is_item", F.coalesce(opens, F.lit(False)))
-    return opened.withColumn("item_no", F.sum(F.col("is_item").cast("int")).over(RUNNING).cast("int")).withColumns({
+    return opened.withColumn("item_no", F.sum(F.col("is_item").cast("int")).over(running()).cast("int")).withColumns({
         "declared_no": F.when(F.col("is_item"), F.try_to_number(F.regexp_extract("line", item, 1), F.lit("999999999")).cast("int")),
         "title": F.when(F.col("is_item"), strip_anchor(strip(F.regexp_extract("line", item, 2)))),
     })
@@ -219,7 +223,7 @@ def digest_lines(docs: DataFrame, kind: str, fmt: DigestFormat = DigestFormat(),
         .when(line.startswith("## ") | line.startswith("# "), _RESET)
     )
     lines = explode_lines(docs).filter("line_no > 0").withColumn("header", header)
-    lines = lines.withColumn("section", F.nullif(F.last("header", ignorenulls=True).over(RUNNING), F.lit(_RESET)))
+    lines = lines.withColumn("section", F.nullif(F.last("header", ignorenulls=True).over(running()), F.lit(_RESET)))
     in_rich = F.coalesce(F.col("section") == "rich", F.lit(False))
     cells = cells_of("line")
     ranked = (F.lit(kind) == "monthly") & line.startswith("|") & (F.size(cells) >= 3) & F.get(cells, 0).rlike(r"^\d+$")
@@ -229,9 +233,9 @@ def digest_lines(docs: DataFrame, kind: str, fmt: DigestFormat = DigestFormat(),
     event = F.when(F.col("header").isNotNull(), F.lit(0)).when(F.col("is_item") | F.col("is_ranked"), F.lit(1))
     opened = (F.col("is_item") | F.col("is_ranked")).cast("int")
     lines = lines.withColumns({
-        "item_no": F.sum(opened).over(RUNNING).cast("int"),
-        "rich_no": F.sum((F.col("header") == "rich").cast("int")).over(RUNNING).cast("int"),
-        "in_item": F.coalesce(F.last(event, ignorenulls=True).over(RUNNING) == 1, F.lit(False)),
+        "item_no": F.sum(opened).over(running()).cast("int"),
+        "rich_no": F.sum((F.col("header") == "rich").cast("int")).over(running()).cast("int"),
+        "in_item": F.coalesce(F.last(event, ignorenulls=True).over(running()) == 1, F.lit(False)),
     })
     kind_of = (
         F.when(F.col("header") == _RESET, "reset").when(F.col("header").isNotNull(), "section")
@@ -306,7 +310,7 @@ def segment_blocks(lines: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("line_no")
     single = F.col("block_type").isin("heading", "quote")
     starts = F.lag("block_type").over(order).eqNullSafe(F.col("block_type")) & ~single
-    numbered = typed.withColumn("_new", (~starts).cast("int")).withColumn("_run", F.sum("_new").over(RUNNING))
+    numbered = typed.withColumn("_new", (~starts).cast("int")).withColumn("_run", F.sum("_new").over(running()))
     kept = numbered.filter(~F.col("block_type").isin("blank", "skip"))
     text = (
         F.when(F.col("block_type") == "heading", strip_anchor(strip(F.regexp_replace(line, r"^###\s+", ""))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("classification", "heat")
+FAMILIES = ("extraction", "classification", "heat", "listings")
 
 
 def registered() -> dict[str, tuple]:
