@@ -1,0 +1,74 @@
+"""Targets against a plain water-filling, copies against rate bounds and sums."""
+
+import re
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from broadsheet.llm import mixing
+
+SCHEMA = "doc_id long, text string, source string, _size string, extra int"
+
+
+def plain_targets(rows):
+    size = defaultdict(int)
+    for _, text, source, *_ in rows:
+        size[source] += len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    order = sorted((s for s in size if s is not None)) + [None] * (None in size)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    capped = set()
+    while True:
+        left = sum(size.values()) - sum(3 * size[s] for s in capped)
+        free = sum(weight[s] for s in order if s not in capped)
+        target = {s: 3 * size[s] if s in capped else weight[s] * left / free for s in order} if free else {s: 3 * size[s] for s in order}
+        above = {s for s in order if s not in capped and target[s] > 3 * size[s]}
+        if not above:
+            return size, target
+        capped |= above
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, s, "clash", 1) for i, t, s in rows], SCHEMA)
+
+
+def rows_of(n):
+    text = lambda i: " ".join(["w"] * (1 + i * 7 % 90))
+    hot = [(i, text(i), "hot") for i in range(n)]
+    rest = [(n + i, text(i), f"s{i % 5}" if i % 6 else None) for i in range(n)]
+    return [*hot, *rest, (-1, None, "s1"), (-2, "", "s2"), (None, "a b c", "tiny"), (7, "x", "tiny"), (7, "x", "tiny")]
+
+
+def test_targets_and_copies(spark):
+    rows = rows_of(1500)
+    size, target = plain_targets([(i, t, s) for i, t, s in rows])
+    planned = mixing.plan_mix(table(spark, rows).select("doc_id", "text", "source")).collect()
+    assert len(planned) == len(rows)
+    taken = defaultdict(int)
+    for r in planned:
+        assert r._source_size == size[r.source] and r._target == pytest.approx(target[r.source])
+        rate = r._target / r._source_size
+        assert int(rate) <= r._copies <= int(rate) + 1 and r._copies <= 3
+        taken[r.source] += r._size * r._copies
+    assert sum(target.values()) == pytest.approx(sum(size.values()))
+    for s in ("hot", "s0", "s1", None):
+        assert taken[s] == pytest.approx(target[s], rel=0.15)
+
+
+def test_reruns_and_other_partitions_agree(spark):
+    docs = table(spark, rows_of(100)).select("doc_id", "text", "source")
+    first, second = ([tuple(r) for r in mixing.plan_mix(d).orderBy("doc_id", "text").select("doc_id", "_copies").collect()] for d in (docs, docs.repartition(7)))
+    assert first == second
+
+
+def test_mixed_rows_keep_their_columns(spark):
+    docs = table(spark, rows_of(50))
+    mixed = mixing.mix_documents(docs.drop("_size"))
+    assert mixed.columns == [c for c in docs.columns if c != "_size"]
+    assert mixed.groupBy("doc_id", "source").count().agg(F.max("count")).first()[0] <= 6  # the repeated row may come three times twice
+
+
+def test_empty_and_wordless_tables(spark):
+    assert mixing.plan_mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+    bare = mixing.plan_mix(spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")).collect()
+    assert [(r._size, r._copies) for r in bare] == [(0, 0), (0, 0)]
