@@ -31,8 +31,9 @@ def scan_places(text, dictionary: Sequence[tuple[str, str, str]], layers: Sequen
     hits = F.filter(
         F.transform(words, lambda w: F.struct(F.instr(text, w["kw"]).alias("pos"), w["place"].alias("place"))), lambda h: h["pos"] > 0
     )
-    names = F.array_distinct(F.transform(hits, lambda h: h["place"]))
-    first = F.transform(names, lambda p: F.struct(F.element_at(F.filter(hits, lambda h: h["place"] == p), 1)["pos"].alias("pos"), p.alias("place")))
+    # A fold over the hits, which are computed once; naming them again inside a lambda would scan anew for every place.
+    none = F.array().cast("array<struct<pos:int,place:string>>")
+    first = F.aggregate(hits, none, lambda kept, h: F.when(F.exists(kept, lambda k: k["place"] == h["place"]), kept).otherwise(F.concat(kept, F.array(h))))
     return F.transform(F.array_sort(first), lambda h: h["place"])
 
 
