@@ -28,6 +28,9 @@ from pyspark.sql import types as T
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([i])) >> 16 for i in range(256)], np.uint16)
 #: A word this long (bytes) may be cut inside, on average every LONG_CUT bytes.
 LONG_WORD, LONG_CUT = 64, 64
+#: A chunk's place is one long: the low bits of its text's hash above, its number in the text below. The hash
+#: tells apart only texts that share a doc_id.
+_AT_BITS = 24
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -59,11 +62,11 @@ def chunk_ends(text: bytes, spacing: int) -> np.ndarray:
 
 def _digests(text: bytes, ends: np.ndarray) -> list[bytes]:
     digest, ends = xxhash.xxh3_128_digest, ends.tolist()
-    return [digest(text[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return [digest(text[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _chunk_rows(spacing: int):
-    schema = pa.schema([("_doc", pa.int64()), ("_text_hash", pa.int64()), ("_at", pa.int32()), ("_d0", pa.int64()), ("_d1", pa.int64())])
+    schema = pa.schema([("_doc", pa.int64()), ("_place", pa.int64()), ("_d0", pa.int64()), ("_d1", pa.int64())])
 
     def rows(batches):
         for batch in batches:
@@ -80,12 +83,12 @@ def _chunk_rows(spacing: int):
                     own += [i] * len(first)
                 halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [docs.take(pa.array(own, pa.int64())), pa.array(hashes[own] if own else np.empty(0, np.int64)),
-                     pa.array(places, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                    [docs.take(pa.array(own, pa.int64())), pa.array((hashes[np.array(own, np.int64)] << _AT_BITS) | np.array(places, np.int64)),
+                     pa.array(halves[:, 0]), pa.array(halves[:, 1])],
                     schema=schema,
                 )
 
-    return rows, "_doc long, _text_hash long, _at int, _d0 long, _d1 long"
+    return rows, "_doc long, _place long, _d0 long, _d1 long"
 
 
 def _cleaned(text: Column, repeats: Column, spacing: int, min_words: int, within: bool) -> Column:
@@ -141,14 +144,14 @@ def dedup_substrings(docs: DataFrame, spacing: int = 5, min_words: int = 20, wit
     rows, schema = _chunk_rows(spacing)
     hashed = docs.select(F.col(key).cast("long").alias("_doc"), F.xxhash64(text).alias("_text_hash"), F.col(text).alias("_text"))
     chunks = hashed.mapInArrow(rows, schema)
-    holders = chunks.groupBy("_d0", "_d1").agg(
-        F.min("_doc").alias("_first"), F.max("_doc").alias("_last"), F.max(F.col("_doc").isNull()).alias("_bare")
-    )
-    shared = holders.filter("_first <> _last OR (_bare AND _first IS NOT NULL)").select("_d0", "_d1", "_first")
+    holders = chunks.groupBy("_d0", "_d1").agg(F.min("_doc").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    shared = holders.filter("_n > 1 AND _first IS NOT NULL").drop("_n")
     repeats = chunks.join(shared, ["_d0", "_d1"]).filter("_doc IS NULL OR _doc > _first")
-    found = repeats.groupBy(F.col("_doc").alias("_of"), F.col("_text_hash").alias("_of_hash")).agg(F.collect_set("_at").alias("_repeats"))
-    keyed = docs.withColumn("_hash", F.xxhash64(text))
-    joined = keyed.join(found, F.col(key).cast("long").eqNullSafe(F.col("_of")) & (F.col("_hash") == F.col("_of_hash")), "left")
+    at = F.col("_place").bitwiseAND(F.lit((1 << _AT_BITS) - 1)).cast("int")
+    of_text = F.shiftright("_place", _AT_BITS).alias("_of_text")
+    found = repeats.groupBy(F.col("_doc").alias("_of"), of_text).agg(F.collect_set(at).alias("_repeats"))
+    keyed = docs.withColumn("_text_key", F.shiftright(F.shiftleft(F.xxhash64(text), _AT_BITS), _AT_BITS))
+    joined = keyed.join(found, F.col(key).cast("long").eqNullSafe(F.col("_of")) & (F.col("_text_key") == F.col("_of_text")), "left")
     result = _cleaned(F.col(text), F.array_sort("_repeats"), spacing, min_words, within)
     return joined.select(*docs.columns, result.alias("_clean")).select(
         *[F.col("_clean.text").alias(c) if c == text else F.col(c) for c in docs.columns], F.col("_clean.spans").alias("_spans")
