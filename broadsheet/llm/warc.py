@@ -40,10 +40,11 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """One WARC/1.1 record; a revisit keeps digest and length of the payload it leaves out."""
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
+        ("WARC-Date", date),
         ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
         ("WARC-Target-URI", None if url is None else url.encode("unicode_escape").decode()),
         ("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"),
@@ -52,6 +53,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     if revisit:
         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
     block = b"" if revisit else payload
+    fields.append(("Content-Type", "text/html; charset=UTF-8"))
     fields.append(("Content-Length", str(len(block))))
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None) + "\r\n"
     return head.encode() + block + b"\r\n\r\n"
