@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from broadsheet.llm.scratch import materialize
 
 #: Bounds of what training takes: labelled rows, pseudo-labels (good, bad) a round and view, rounds.
-MAX_LABELLED, GROW, ROUNDS = 20_000, (600, 150), 2
+MAX_LABELLED, GROW, ROUNDS = 6_000, (600, 150), 2
 #: A view hands over documents it is at least this sure of.
 CONFIDENT = 0.95
 #: Documents scoring below are rejected.
