@@ -128,5 +128,20 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+_OP7_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
+d AS (
+  SELECT page_id, url, octet_length(encode(payload)) AS payload_bytes, CAST(CAST(unhex(sha1(payload)) AS BIT) AS VARCHAR) AS bits,
+         min(page_id) OVER (PARTITION BY payload) AS first
+  FROM p
+)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+         16 * CAST(substr(bits, 5 * i + 1, 1) AS INTEGER) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INTEGER) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INTEGER)
+         + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INTEGER) + CAST(substr(bits, 5 * i + 5, 1) AS INTEGER) AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, url
+FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": _OP6_SQL}
+    return {"op6_topk": _OP6_SQL, "op7_warc": _OP7_SQL}
