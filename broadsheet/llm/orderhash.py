@@ -84,7 +84,9 @@ def with_sketches(df: DataFrame, text: str, sketch: str, k: int = 3, sketches: i
         in_text = F.array_sort(F.transform(chosen, lambda x: F.struct(_place(x).alias("place"), _value(x).alias("value"))))
         return F.shiftright(F.xxhash64(F.transform(in_text, lambda x: x["value"])), 32).cast("int")
 
-    return opened.select(*kept, F.transform(F.sequence(F.lit(0), F.lit(sketches - 1)), sketch_of).alias(sketch))
+    # The test also keeps the optimizer from writing _opens into the lambda, to be computed once per sketch.
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(sketches - 1)), sketch_of)
+    return opened.select(*kept, F.when(F.size("_opens") > 0, numbers).otherwise(F.array_repeat(F.lit(0), sketches)).alias(sketch))
 
 
 def fingerprint_text(sketch: Column) -> Column:
@@ -122,12 +124,14 @@ def compare_with_edits(docs: DataFrame, text: str = "text", key: str = "doc_id",
     quarter = F.floor(F.length("_text") / 4).cast("int")
     order = materialize(successors(whole, quarter, key="_key"), "successors")
     begin = order.select(F.col("_key").alias("_of"), F.col("_next").alias("_key"), "_tail")
-    heads = whole.join(begin, "_key").groupBy("_of").agg(F.min(F.expr("substring(_text, 1, _tail)")).alias("_head"))
+    keyed, bare = whole.filter("_key IS NOT NULL"), whole.filter("_key IS NULL")  # both joins read one shuffle of the keyed rows
+    heads = keyed.join(begin, "_key").groupBy("_of").agg(F.min(F.expr("substring(_text, 1, _tail)")).alias("_head"))
     edited = F.concat(
         F.expr("substring(_text, 1, length(_text) - floor(length(_text) / 4))"),
         F.expr("substring(coalesce(_head, ''), 1, cast(floor(length(_text) / 4) as int))"),
     )
-    both = whole.join(heads, whole["_key"] == heads["_of"], "left").select("_key", "_text", edited.alias("_edited"))
+    headed = keyed.join(heads, keyed["_key"] == heads["_of"], "left").select("_key", "_text", "_head")
+    both = headed.union(bare.select("_key", "_text", F.lit(None).cast("string"))).select("_key", "_text", edited.alias("_edited"))
     printed = with_sketches(with_sketches(both, "_text", "_sketch", **options), "_edited", "_edited_sketch", **options)
     prints = materialize(
         printed.select("_key", F.length("_text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), "_sketch", "_edited_sketch"),
