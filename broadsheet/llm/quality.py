@@ -36,6 +36,8 @@ MAX_LABELLED, GROW, ROUNDS = 6_000, (600, 150), 2
 CONFIDENT = 0.95
 #: Documents scoring below are rejected.
 THRESHOLD = 0.5
+#: Rows whose vectors a task unpacks at once.
+SLICE = 500
 _LANGS, _SOURCES = 16, 64
 
 #: Byte classes: lower, upper, digit, space, newline, each frequent mark by itself, other marks, beyond ASCII.
@@ -105,7 +107,8 @@ class View:
     shift: float = 0.0
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) / self.scale @ self.weights + self.bias
+        slopes = self.weights / self.scale
+        return x @ slopes + (self.bias - self.mean @ slopes)
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         return self.slope * self.raw(x) + self.shift
@@ -168,11 +171,11 @@ def _view_scores(model: Model, content: Column, metadata: Column) -> Column:
 
     @F.arrow_udf(kind)
     def scores(contents: pa.Array, metadatas: pa.Array) -> pa.Array:
-        n = len(contents)
-        if not n:
-            return pa.array([], pa.struct([(f.name, pa.float64()) for f in kind]))
-        parts = model.log_odds(_vectors(contents.to_pylist()), _vectors(metadatas.to_pylist()))
-        return pa.StructArray.from_arrays([pa.array(_sigmoid(p)) for p in parts], [f.name for f in kind])
+        parts = [np.empty((3, 0))]
+        for low in range(0, len(contents), SLICE):
+            some = [_vectors(c.slice(low, SLICE).to_pylist()) for c in (contents, metadatas)]
+            parts.append(np.stack(model.log_odds(*some)))
+        return pa.StructArray.from_arrays([pa.array(p) for p in _sigmoid(np.concatenate(parts, axis=1))], [f.name for f in kind])
 
     return scores(content, metadata)
 
