@@ -35,6 +35,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Lets Python workers take at most ``rows`` rows at once, so that long texts cost them little memory."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= rows:
+        spark.conf.set(setting, str(rows))
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize` that no later plan reads."""
     jvm = df.sparkSession._jvm
