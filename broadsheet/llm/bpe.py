@@ -23,8 +23,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Distinct pre-tokens whose ids a worker keeps; the memory is then released and filled anew.
-CACHE_ENTRIES = 400_000
+#: Distinct pre-tokens of a generation of the worker's cache; it keeps two.
+CACHE_ENTRIES = 350_000
 #: Longer pre-tokens are not kept.
 CACHE_CHARS = 64
 
@@ -35,16 +35,21 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+class _Vocabulary(dict):
+    def __missing__(self, rank: int) -> bytes:
+        return b""
+
+
 @lru_cache(maxsize=4)
-def _vocabulary(path: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in load_ranks(path).items()}
+def _vocabulary(path: str) -> _Vocabulary:
+    return _Vocabulary((rank, token) for token, rank in load_ranks(path).items())
 
 
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one pre-token.
 
-    The queue is written out in the loop: ``buckets[rank]`` is a heap of positions, ``words`` holds the
-    lower level of the bitmap in words of 256 ranks, ``top`` a bit per word that is not zero.
+    The queue is written out in the loop: ``buckets[rank]`` is a position or a heap of them, ``words`` holds
+    the lower level of the bitmap in words of 256 ranks, ``top`` a bit per word that is not zero.
     """
     rank_of = ranks.get
     whole = rank_of(piece)
@@ -54,30 +59,46 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     waiting = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)]  # the rank of the pair that starts here
     waiting.append(-1)
-    buckets: dict[int, list[int]] = {}
+    buckets: dict[int, int | list[int]] = {}
     words: dict[int, int] = {}
     top = 0
-    for i, rank in enumerate(waiting):
-        if rank in buckets:
-            buckets[rank].append(i)
-        elif rank >= 0:
-            buckets[rank] = [i]
-            word = rank >> 8
-            words[word] = words.get(word, 0) | 1 << (rank & 255)
-            top |= 1 << word
-    while top:
+    fresh = enumerate(waiting)
+    while True:
+        for at, rank in fresh:
+            waiting[at] = rank
+            if rank < 0:
+                continue
+            if rank not in buckets:
+                buckets[rank] = at
+                word = rank >> 8
+                if word in words:
+                    words[word] |= 1 << (rank & 255)
+                else:
+                    words[word] = 1 << (rank & 255)
+                    top |= 1 << word
+            elif type(bucket := buckets[rank]) is int:
+                buckets[rank] = [bucket, at] if bucket < at else [at, bucket]
+            else:
+                heappush(bucket, at)
+        if not top:
+            break
         word = (top & -top).bit_length() - 1
         bits = words[word]
         rank = word << 8 | ((bits & -bits).bit_length() - 1)
-        bucket = buckets[rank]
-        left = heappop(bucket)
-        if not bucket:
+        left = bucket = buckets[rank]
+        if type(bucket) is not int:
+            left = heappop(bucket)
+        if bucket is left or not bucket:
             del buckets[rank]
-            words[word] = bits = bits & (bits - 1)
-            if not bits:
+            bits &= bits - 1
+            if bits:
+                words[word] = bits
+            else:
+                del words[word]
                 top &= top - 1
         if waiting[left] != rank:
-            continue  # a neighbour was merged since
+            fresh = ()  # a neighbour was merged since
+            continue
         right = after[left]
         end = after[left] = after[right]
         waiting[right] = -1
@@ -88,15 +109,6 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             joined = -1
         prior = before[left]
         fresh = ((left, joined), (prior, rank_of(piece[prior:end], -1))) if prior >= 0 else ((left, joined),)
-        for at, rank in fresh:
-            waiting[at] = rank
-            if rank in buckets:
-                heappush(buckets[rank], at)
-            elif rank >= 0:
-                buckets[rank] = [at]
-                word = rank >> 8
-                words[word] = words.get(word, 0) | 1 << (rank & 255)
-                top |= 1 << word
     ids, at = [], 0
     while at < n:
         end = after[at]
@@ -105,27 +117,35 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class _Known(dict):
+    """Packed int32 ids by pre-token: a generation of entries, and the one before it as a fallback."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        super().__init__()
+        self.ranks = ranks
+        self.earlier: dict[str, bytes] = {}
+
+    def __missing__(self, token: str) -> bytes:
+        ids = self.earlier.get(token)
+        if ids is None:
+            ids = array("i", merge_bytes(token.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
+        if len(token) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.earlier = dict(self)
+                self.clear()
+            self[token] = ids
+        return ids
+
+
 class Encoder:
-    """Splits by ``pattern`` and merges each match on its own."""
+    """Splits by ``pattern`` and merges each match on its own; gives the ids as packed int32."""
 
     def __init__(self, path: str, pattern: str) -> None:
-        self.ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
-
-    def __call__(self, text: str) -> array:
-        known, out = self.known, array("i")
-        add = out.extend
-        for token in self.split(text):
-            ids = known.get(token)
-            if ids is None:
-                ids = merge_bytes(token.encode("utf-8", "surrogatepass"), self.ranks)
-                if len(token) <= CACHE_CHARS:
-                    if len(known) >= CACHE_ENTRIES:
-                        known.clear()
-                    known[token] = ids
-            add(ids)
-        return out
+        self.known = _Known(load_ranks(path))
+
+    def __call__(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.split(text)))
 
 
 @lru_cache(maxsize=4)
@@ -133,18 +153,32 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+_IDS = T.ArrayType(T.IntegerType(), False)
+
+
+def _encoded(texts: pa.Array, path: str, pattern: str) -> pa.Array:
+    encoder = _encoder(path, pattern)
+    rows = [encoder(value.as_py() or "") for value in texts]
+    ends = np.cumsum([0, *map(len, rows)]) // 4
+    values = pa.array(np.frombuffer(b"".join(rows), dtype=np.int32))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def _decoded(lists: pa.Array, path: str) -> pa.Array:
+    token = _vocabulary(path).__getitem__
+    if lists.null_count or lists.values.null_count:
+        return pa.array([b"".join(map(token, one.as_py() or ())) for one in lists], pa.binary())
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    spans = zip(ends[:-1], ends[1:], strict=True)
+    return pa.array([b"".join(map(token, flat[a:b].tolist())) for a, b in spans], pa.binary())
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
     """array<int> of the ids of ``text``, without special tokens."""
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
+    @F.arrow_udf(_IDS)
     def ids_of(texts: pa.Array) -> pa.Array:
-        encoder = _encoder(path, pattern)
-        flat, ends = array("i"), [0]
-        for value in texts:
-            flat.extend(encoder(value.as_py() or ""))
-            ends.append(len(flat))
-        values = pa.array(np.frombuffer(flat, dtype=np.int32) if flat else np.empty(0, np.int32))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        return _encoded(texts, path, pattern)
 
     return ids_of(text)
 
@@ -154,16 +188,22 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf(T.BinaryType())
     def bytes_of(lists: pa.Array) -> pa.Array:
-        token = _vocabulary(path).get
-        if lists.values.null_count:
-            return pa.array([b"".join([token(i, b"") for i in (one.as_py() or ())]) for one in lists], pa.binary())
-        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-        spans = zip(ends[:-1], ends[1:], strict=True)
-        return pa.array([b"".join([token(i, b"") for i in flat[a:b].tolist()]) for a, b in spans], pa.binary())
+        return _decoded(lists, path)
 
     return bytes_of(ids)
 
 
+def encode_and_decode(text: Column, path: str, pattern: str) -> Column:
+    """struct<ids, decoded>: what :func:`encode` gives and what :func:`decode` makes of it, in one worker."""
+
+    @F.arrow_udf(T.StructType().add("ids", _IDS).add("decoded", T.BinaryType()))
+    def both(texts: pa.Array) -> pa.Array:
+        ids = _encoded(texts, path, pattern)
+        return pa.StructArray.from_arrays([ids, _decoded(ids, path)], ["ids", "decoded"])
+
+    return both(text)
+
+
 def ids_digest(ids: Column) -> Column:
     """Lowercase hex SHA-256 of the decimal ids joined by one space."""
     return F.sha2(F.array_join(ids.cast("array<string>"), " "), 256)

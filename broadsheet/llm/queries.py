@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.llm import bpe, mixing, orderhash, pagetext, quality, sharding, simhash, substring, topk, warc
+from broadsheet.llm.scratch import small_batches
 
 #: Fixed parameters of the registered queries.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,6 +18,7 @@ SHARDS = 40
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,12 +37,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    coded = docs.select("doc_id", bpe.encode(F.col("text"), RANKS, PATTERN).alias("ids"))
-    return coded.select("doc_id", "ids", bpe.decode(F.col("ids"), RANKS).alias("decoded")).select(
+    coded = docs.select("doc_id", bpe.encode_and_decode(F.col("text"), RANKS, PATTERN).alias("coded"))
+    return coded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        bpe.ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.size("coded.ids").cast("long").alias("n_tokens"),
+        bpe.ids_digest(F.col("coded.ids")).alias("ids_sha256"),
+        F.sha2("coded.decoded", 256).alias("decoded_sha256"),
     )
 
 

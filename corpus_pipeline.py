@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.llm import bpe, mixing, quality, simhash, substring
-from broadsheet.llm.scratch import materialize
+from broadsheet.llm.scratch import materialize, small_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Near copies: word-set fingerprints of 128 bits that differ in 15 or fewer, met through six segments (which
@@ -43,17 +46,26 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
-    coded = docs.select("doc_id", "source", "text", bpe.encode(F.col("text"), RANKS, public_tokenizers.PATTERN).alias("ids"))
-    exact = bpe.decode(F.col("ids"), RANKS) == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return coded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), exact.alias("round_trip"))
+    coded = docs.select("doc_id", "source", "text", bpe.encode_and_decode(F.col("text"), RANKS, public_tokenizers.PATTERN).alias("coded"))
+    exact = F.col("coded.decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return coded.select("doc_id", "source", F.col("coded.ids").alias("ids"), F.size("coded.ids").cast("long").alias("n_tokens"), exact.alias("round_trip"))
+
+
+def _in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
 STAGES = [
-    ("quality classifier", quality_stage),
-    ("SimHash near-dedup", near_duplicate_stage),
-    ("substring dedup", substring_stage),
-    ("source mixing", mixing_stage),
-    ("byte-level BPE", token_stage),
+    ("quality classifier", _in_small_batches(quality_stage)),
+    ("SimHash near-dedup", _in_small_batches(near_duplicate_stage)),
+    ("substring dedup", _in_small_batches(substring_stage)),
+    ("source mixing", _in_small_batches(mixing_stage)),
+    ("byte-level BPE", _in_small_batches(token_stage)),
 ]
 #: Trained scores, fingerprints and merges have no SQL form; tests compare the stages with plain versions.
 ORACLE_SQL = None
