@@ -40,6 +40,13 @@ def test_documents_equal_the_library_and_decode_to_themselves(spark, library):
         assert bytes(r.back).decode() == (r.text or "")
 
 
+def test_both_in_one_worker_equal_the_two(spark):
+    docs = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+    both = docs.select(bpe.encode_and_decode(F.col("text"), PATH, PATTERN).alias("c"), bpe.encode(F.col("text"), PATH, PATTERN).alias("ids"))
+    for r in both.select("*", bpe.decode(F.col("ids"), PATH).alias("back")).collect():
+        assert r.c.ids == r.ids and r.c.decoded == r.back
+
+
 def test_odd_ids_and_empty_tables(spark):
     lists = spark.createDataFrame([([1, None, 99_999_999],), (None,), ([],)], "ids array<int>")
     assert [bytes(r[0]) for r in lists.select(bpe.decode(F.col("ids"), PATH)).collect()] == [b'"', b"", b""]
