@@ -13,12 +13,9 @@ from broadsheet.llm import bpe, mixing, quality, simhash, substring
 from broadsheet.llm.scratch import materialize, small_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Near copies: word-set fingerprints of 128 bits that differ in 15 or fewer, met through six segments (which
-#: guarantee 11, and find most of the rest), and five-word shingle fingerprints of 128 bits that differ in 22 or
-#: fewer: 19 is what a Jaccard similarity of 0.8 gives on average, 3 the spread allowed for.
-NEAR = {
-    "shingle": None, "seeds": (42, 43), "segments": 3, "most": 15, "some_missed": True, "checked": (44, 45), "most_checked": 22,
-}
+#: Near copies: a Jaccard similarity of 0.8 or more of the distinct five-word shingles, computed on the texts. Pairs
+#: meet through word-set SimHash fingerprints within 3 bits or through one of the operator's 24 min-hash keys.
+NEAR = {"shingle": None, "seeds": (42,), "segments": 2, "most": 3, "jaccard": 0.8}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
