@@ -5,7 +5,8 @@ footers, sidebars, forms, scripts, and elements whose class or id says advert, c
 the like) is dropped. Where a page has an article or main element, its blocks are the article. On other pages
 every block that is left is open, and differencing decides: within a host, pages are ordered by URL path, each is
 paired with the neighbour whose path shares the longer prefix, the open lines of the two are aligned by
-longest common subsequence, and the shared lines are deleted as template. Differencing alone cannot do
+longest common subsequence, and the shared lines are deleted as template. A neighbour whose lines are all shared,
+or that shares all the page's, has no other text and decides nothing; the next one does. Differencing alone cannot do
 the whole job: menus and footers that vary from page to page are shared with no neighbour, and an article
 that two URLs carry is.
 
@@ -200,8 +201,12 @@ def template_lines(pages: DataFrame) -> DataFrame:
             out = []
             for row in batch.to_pylist():
                 pair = [n for n in (row["_l"], row["_r"]) if n is not None and n["_host"] == row["_host"]]
-                nearest = max(pair, key=lambda n: len(commonprefix([n["_path"], row["_path"]])), default=None)
-                shared = shared_lines(row["_lines"], nearest["_lines"]) if nearest else []
+                shared = []
+                for near in sorted(pair, key=lambda n: -len(commonprefix([n["_path"], row["_path"]]))):
+                    shared = shared_lines(row["_lines"], near["_lines"])
+                    if len(shared) < min(len(row["_lines"]), len(near["_lines"])):
+                        break
+                    shared = []  # one holds all of the other: it is the same text, not a template
                 if shared:
                     out.append({"_host": row["_host"], "_path": row["_path"], "_key": row["_key"], "_shared": shared})
             yield pa.RecordBatch.from_pylist(out, schema=schema)

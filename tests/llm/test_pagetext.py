@@ -63,3 +63,15 @@ def test_template_lines_of_the_nearest_page_go(spark):
     assert text[5] == "own 5\n\nstory 5 and its story" and text[1] == "own 1\n\nstory 1 and its story" and text[97] == text[96] == "one"
     assert text[98] == "Site name\n\nown 98\n\nits story\n\nAll rights" and text[99] == ""
     assert pagetext.extract_text(out.select("page_id", "url", "html").limit(0)).count() == 0
+
+
+def test_a_text_that_neighbours_carry_whole_stays(spark):
+    story = "<p>The story</p><p>goes on</p>"
+    rows = [
+        (1, "http://a.example/x/1", story), (2, "http://a.example/x/2", story), (3, "http://b.example/1", story), (4, "http://b.example/2", story + "<p>more</p>"),
+        (5, "http://c.example/n/1", "<div>Site</div><p>one</p>"), (6, "http://c.example/n/2", "<div>Site</div><p>two</p>"), (7, "http://c.example/n/22", "<div>Site</div><p>two</p>"),
+    ]
+    out = pagetext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    text = {r.page_id: r._text for r in out.collect()}
+    assert text[1] == text[2] == text[3] == "The story\n\ngoes on" and text[4] == "The story\n\ngoes on\n\nmore"
+    assert text[5] == "one" and text[6] == "two"
