@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -18,10 +20,38 @@ def _test_folder() -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under ``spark.checkpoint.dir``, the folder that driver and executors share.
 
-    Only where that setting is absent (a single-machine test session) a temporary folder is used.
+    Where that setting is absent a temporary folder is used, but only if driver and executors are one process.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _test_folder()
-    return f"{root.rstrip('/')}/broadsheet-{uuid.uuid4().hex}/{name}"
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = _test_folder()
+    path = f"{root.rstrip('/')}/broadsheet-{uuid.uuid4().hex}/{name}"
+    for paths in _SCOPES:
+        paths.append(path)
+    return path
+
+
+#: The paths given out within each open :func:`scratch_scope`.
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """Collects the scratch paths given out inside, so that they can be deleted once nothing reads them."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        _SCOPES.pop()
+
+
+def delete_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables by path."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -35,11 +65,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Lets Python workers take at most ``rows`` rows at once, so that long texts cost them little memory."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(setting)) <= rows:
-        spark.conf.set(setting, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1_000, mb: int = 16) -> None:
+    """Lets Python workers take at most ``rows`` rows or ``mb`` MB at once, so that long texts cost them little memory."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
+
+
+def unused(taken: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores behind as keep it apart from the columns ``taken`` and the others."""
+    known, found = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        found.append(name)
+    return found
+
+
+def quoted(name: str) -> str:
+    """``name`` as Spark's parsers take it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def all_columns(df: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in df.columns]
 
 
 def drop_scratch(df: DataFrame) -> None:
