@@ -15,7 +15,7 @@ from broadsheet.llm.scratch import materialize, small_batches
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Near copies: a Jaccard similarity of 0.8 or more of the distinct five-word shingles, computed on the texts. Pairs
 #: meet through word-set SimHash fingerprints within 3 bits or through one of the operator's 24 min-hash keys.
-NEAR = {"shingle": None, "seeds": (42,), "segments": 2, "most": 3, "jaccard": 0.8}
+NEAR = {"segments": 2, "jaccard": 0.8}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
