@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Distinct pre-tokens of a generation of the worker's cache; it keeps two.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 250_000
 #: Longer pre-tokens are not kept.
 CACHE_CHARS = 64
 
@@ -45,70 +45,107 @@ def _vocabulary(path: str) -> _Vocabulary:
     return _Vocabulary((rank, token) for token, rank in load_ranks(path).items())
 
 
+#: The bits of a word of the bitmap.
+_BIT = [1 << i for i in range(256)]
+
+
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one pre-token.
 
-    The queue is written out in the loop: ``buckets[rank]`` is a position or a heap of them, ``words`` holds
-    the lower level of the bitmap in words of 256 ranks, ``top`` a bit per word that is not zero.
+    ``buckets[rank]`` is a position or a heap of them; ``words`` holds the lower level of the bitmap in words of
+    256 ranks, ``top`` a bit per word that is not zero. The queue is written out in the loop, as a call per
+    entry would take most of the time.
     """
     rank_of = ranks.get
     whole = rank_of(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    after, before = list(range(1, n + 2)), list(range(-1, n))
     waiting = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)]  # the rank of the pair that starts here
     waiting.append(-1)
     buckets: dict[int, int | list[int]] = {}
     words: dict[int, int] = {}
     top = 0
-    fresh = enumerate(waiting)
-    while True:
-        for at, rank in fresh:
-            waiting[at] = rank
-            if rank < 0:
-                continue
-            if rank not in buckets:
+    for at, rank in enumerate(waiting):
+        if rank >= 0:
+            if rank in buckets:
+                bucket = buckets[rank]
+                if type(bucket) is int:
+                    buckets[rank] = [bucket, at]
+                else:
+                    bucket.append(at)
+            else:
                 buckets[rank] = at
                 word = rank >> 8
                 if word in words:
-                    words[word] |= 1 << (rank & 255)
+                    words[word] |= _BIT[rank & 255]
                 else:
-                    words[word] = 1 << (rank & 255)
-                    top |= 1 << word
-            elif type(bucket := buckets[rank]) is int:
-                buckets[rank] = [bucket, at] if bucket < at else [at, bucket]
-            else:
-                heappush(bucket, at)
-        if not top:
-            break
+                    words[word] = _BIT[rank & 255]
+                    top |= _BIT[word]
+    while top:
         word = (top & -top).bit_length() - 1
         bits = words[word]
-        rank = word << 8 | ((bits & -bits).bit_length() - 1)
-        left = bucket = buckets[rank]
-        if type(bucket) is not int:
-            left = heappop(bucket)
-        if bucket is left or not bucket:
+        bit = bits & -bits
+        rank = (word << 8) + bit.bit_length() - 1
+        left = buckets[rank]
+        if type(left) is int:
             del buckets[rank]
-            bits &= bits - 1
+            bits ^= bit
             if bits:
                 words[word] = bits
             else:
                 del words[word]
                 top &= top - 1
+        else:
+            bucket = left
+            left = heappop(bucket)
+            if len(bucket) == 1:
+                buckets[rank] = bucket[0]
         if waiting[left] != rank:
-            fresh = ()  # a neighbour was merged since
-            continue
+            continue  # a neighbour was merged since
         right = after[left]
-        end = after[left] = after[right]
+        end = after[right]
+        after[left] = end
+        before[end] = left
         waiting[right] = -1
         if end < n:
-            before[end] = left
-            joined = rank_of(piece[left : after[end]], -1)
+            waiting[left] = rank = rank_of(piece[left : after[end]], -1)
+            if rank >= 0:
+                if rank in buckets:
+                    bucket = buckets[rank]
+                    if type(bucket) is int:
+                        buckets[rank] = [bucket, left] if bucket < left else [left, bucket]
+                    else:
+                        heappush(bucket, left)
+                else:
+                    buckets[rank] = left
+                    word = rank >> 8
+                    if word in words:
+                        words[word] |= _BIT[rank & 255]
+                    else:
+                        words[word] = _BIT[rank & 255]
+                        top |= _BIT[word]
         else:
-            joined = -1
-        prior = before[left]
-        fresh = ((left, joined), (prior, rank_of(piece[prior:end], -1))) if prior >= 0 else ((left, joined),)
+            waiting[left] = -1
+        if left:
+            left = before[left]
+            waiting[left] = rank = rank_of(piece[left:end], -1)
+            if rank >= 0:
+                if rank in buckets:
+                    bucket = buckets[rank]
+                    if type(bucket) is int:
+                        buckets[rank] = [bucket, left] if bucket < left else [left, bucket]
+                    else:
+                        heappush(bucket, left)
+                else:
+                    buckets[rank] = left
+                    word = rank >> 8
+                    if word in words:
+                        words[word] |= _BIT[rank & 255]
+                    else:
+                        words[word] = _BIT[rank & 255]
+                        top |= _BIT[word]
     ids, at = [], 0
     while at < n:
         end = after[at]

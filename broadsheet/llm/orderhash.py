@@ -8,8 +8,9 @@ sketch only where the texts share the selected k-mers in the same order, which t
 where a plain MinHash would not notice moved passages.
 
 Defined results: null text counts as empty; texts without tokens (empty, white space) share one
-fingerprint; a text shorter than a k-mer is one k-mer; equal texts have equal fingerprints. A text of more
-than 2**23 tokens keeps all its k-mers, with places taken modulo 2**23. Extra columns pass through.
+fingerprint; a text shorter than a k-mer is one k-mer; equal texts have equal fingerprints. Places have 31 bits,
+more than a string can hold tokens. k-mers are told apart by 32 bits: of a text's n k-mers a share of n / 2**32 is
+taken for a repeat of another, alike in equal texts. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from broadsheet.llm.scratch import in_order, materialize
 
 TOKEN = r"[\p{L}\p{N}]{1,8}|[^\s\p{L}\p{N}]"
 #: A numbered k-mer is one long: hash above, place below.
-_PLACE_BITS, _HASH_BITS = 23, 40
+_PLACE_BITS, _HASH_BITS = 31, 32
 
 
 def _packed(value: Column, place: Column) -> Column:
-    kept = value.bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
+    kept = F.shiftrightunsigned(value, 64 - _HASH_BITS)
     return F.shiftleft(kept, _PLACE_BITS).bitwiseOR(place.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("long"))
 
 

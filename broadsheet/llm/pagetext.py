@@ -1,22 +1,24 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page is cut into blocks at block-level tags. What the markup itself names as furniture (menus, headers,
-footers, sidebars, forms, scripts, and elements whose class or id says advert, cookie notice, comments and
-the like) is dropped. Where a page has an article or main element, its blocks are the article. On other pages
-every block that is left is open, and differencing decides: within a host, pages are ordered by URL path, each is
-paired with the neighbour whose path shares the longer prefix, the open lines of the two are aligned by
-longest common subsequence, and the shared lines are deleted as template. A neighbour whose lines are all shared,
-or that shares all the page's, has no other text and decides nothing; the next one does. Differencing alone cannot do
-the whole job: menus and footers that vary from page to page are shared with no neighbour, and an article
-that two URLs carry is.
+A page is cut into text lines at block-level tags, furniture and article alike. Within a host, pages are ordered by
+URL path, each is paired with the neighbour whose path shares the longer prefix, the lines of the two are aligned by
+longest common subsequence, and the shared lines are deleted as template. A neighbour whose lines are all shared, or
+that shares all the page's, is a copy and decides nothing; the next one does.
+
+Differencing alone cannot give the right text: menus, adverts and footers that vary from page to page are shared with no
+neighbour, and a paragraph that two articles of a host carry is. So the markup decides what differencing leaves: lines
+in elements that name themselves furniture (menus, headers, footers, sidebars, forms, scripts, and those whose class
+or id says advert, cookie notice, comments and the like) are deleted too; lines in an article or main element stay
+even where they are shared, and are the whole text where there are any; and a page whose other lines would all be
+deleted as shared keeps them.
 
 Pages are ordered by a distributed sort of (host, path), not grouped by host, so a host with a third of all
-pages is spread over many tasks; only the hashes of open lines travel.
+pages is spread over many tasks; only the hashes of lines travel to be aligned.
 
 Defined results: null html counts as empty and gives an empty text; a null or unparsable url is a host of its own name
 with an empty path; pages that repeat a page_id and html get the same text; an unclosed element ends with its
 parent or the page; a tag or reference cut off at the end is text if it cannot be read; an empty table gives an
-empty result.
+empty result; extra columns pass through, but one named like the result's is replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from broadsheet.llm.scratch import in_order, materialize
+from broadsheet.llm.scratch import in_order, materialize, quoted, unused
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAME = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -66,7 +68,7 @@ def _marked(attributes: str, inside: bool) -> bool:
 
 
 def page_blocks(page: str) -> list[tuple[int, str]]:
-    """(OPEN or KEPT, text) of each block of ``page`` that may be the article, in page order: all KEPT if any is."""
+    """(state, text) of each text line of ``page``, in page order: DROPPED (furniture), OPEN or KEPT (in an article)."""
     stack: list[tuple[str, int]] = []  # open elements and the state inside each
     blocks: list[tuple[int, str]] = []
     pieces: list[str] = []
@@ -75,7 +77,7 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
     def close_block() -> None:
         if pieces:
             text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
-            if text and state != DROPPED:
+            if text:
                 blocks.append((state, text))
             pieces.clear()
 
@@ -89,8 +91,7 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
 
     while True:
         m = _TAG.search(page, at)
-        if state != DROPPED:
-            pieces.append(page[at : m.start() if m else len(page)])
+        pieces.append(page[at : m.start() if m else len(page)])
         if m is None:
             break
         at = m.end()
@@ -127,7 +128,16 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
         stack.append((name, inside))
         state = inside
     close_block()
-    return [b for b in blocks if b[0] == KEPT] or blocks
+    return blocks
+
+
+def main_lines(blocks: list[tuple[int, str]], shared: set[int]) -> list[str]:
+    """The lines of ``blocks`` that are the main text, given the places of those that a neighbour shares."""
+    kept = [text for state, text in blocks if state == KEPT]
+    if kept:
+        return kept
+    left = [text for at, (state, text) in enumerate(blocks) if state == OPEN and at not in shared]
+    return left or [text for state, text in blocks if state == OPEN]
 
 
 def shared_lines(own: list[int], other: list[int]) -> list[int]:
@@ -160,32 +170,26 @@ def shared_lines(own: list[int], other: list[int]) -> list[int]:
     return [*range(low), *found, *range(len(own) - high, len(own))]
 
 
-def _open_lines(batches):
+def _page_lines(batches):
     for batch in batches:
-        ids, pages = batch.column(0), batch.column(2)
-        kept, lines = [], []
-        for i in range(batch.num_rows):
-            own = [xxhash.xxh64_intdigest(t) - (1 << 63) for s, t in page_blocks(pages[i].as_py() or "") if s == OPEN]
-            if own:
-                kept.append(i)
-                lines.append(own)
-        rows = pa.array(kept, pa.int64())
+        pages = batch.column(2)
+        lines = [[xxhash.xxh64_intdigest(t) - (1 << 63) for _, t in page_blocks(p.as_py() or "")] for p in pages]
         names = ["_id", "_url", "_html_hash", "_lines"]
-        yield pa.RecordBatch.from_arrays([ids.take(rows), batch.column(1).take(rows), batch.column(3).take(rows), pa.array(lines, pa.list_(pa.int64()))], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(lines, pa.list_(pa.int64()))], names=names)
 
 
 def template_lines(pages: DataFrame) -> DataFrame:
-    """(_id, _html_hash, _shared array<int>): which open lines of a page its nearest neighbour shares."""
+    """(_id, _html_hash, _shared array<int>): which lines of a page its nearest neighbour shares, where any."""
     found = pages.select(F.col("page_id").cast("long"), "url", "html", F.xxhash64("html")).mapInArrow(
-        _open_lines, "_id long, _url string, _html_hash long, _lines array<long>"
+        _page_lines, "_id long, _url string, _html_hash long, _lines array<long>"
     )
     url = F.coalesce("_url", F.lit(""))
     found = found.withColumn("_host", F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)), F.lit("")))
     found = found.withColumn("_path", F.regexp_replace(url, r"^[a-zA-Z][\w+.-]*://[^/?#]*", ""))
     # Copies of a page under one URL are one page here: a copy shares every line and tells nothing.
-    found = materialize(found.withColumn("_key", F.xxhash64("_lines")), "open")
+    found = materialize(found.withColumn("_key", F.xxhash64("_lines")), "lines")
     pages_once = found.groupBy("_host", "_path", "_key").agg(F.min("_lines").alias("_lines"))
-    placed = in_order(pages_once, "_host", "_path", "_key", name="lines")
+    placed = in_order(pages_once, "_host", "_path", "_key", name="pages")
     near = F.struct("_host", "_path", "_lines")
     by_row = Window.partitionBy("_part").orderBy("_row")
     edges = placed.groupBy("_part").agg(F.min_by(near, "_row").alias("_head"), F.max_by(near, "_row").alias("_tail"))
@@ -216,25 +220,18 @@ def template_lines(pages: DataFrame) -> DataFrame:
     return named.groupBy("_id", "_html_hash").agg(F.min("_shared").alias("_shared"))
 
 
-def extract_text(pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, html, ...) with ``_text``: the article's blocks joined by an empty line."""
-    shared = materialize(template_lines(pages), "template")
-    keyed = pages.withColumn("_html_key", F.xxhash64("html"))
-    same_page = keyed["page_id"].cast("long").eqNullSafe(shared["_id"]) & (keyed["_html_key"] == shared["_html_hash"])
+def extract_text(pages: DataFrame, text: str = "_text") -> DataFrame:
+    """``pages`` (page_id, url, html, ...) with ``text``: the article's lines joined by an empty line."""
+    key, own_id, own_hash, shared = unused([*pages.columns, text], "_html_key", "_id", "_html_hash", "_shared")
+    found = materialize(template_lines(pages), "template").toDF(own_id, own_hash, shared)
+    keyed = pages.drop(quoted(text)).withColumn(key, F.xxhash64("html"))
+    same_page = keyed["page_id"].cast("long").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_hash))
 
     @F.arrow_udf("string")
     def text_of(htmls: pa.Array, lists: pa.Array) -> pa.Array:
-        out = []
-        for page, gone in zip(htmls, lists, strict=True):
-            gone, n, kept = set(gone.as_py() or ()), -1, []
-            for state, text in page_blocks(page.as_py() or ""):
-                if state == OPEN:
-                    n += 1
-                    if n in gone:
-                        continue
-                kept.append(text)
-            out.append("\n\n".join(kept))
-        return pa.array(out, pa.string())
-
-    joined = keyed.join(shared, same_page, "left")
-    return joined.select(*pages.columns, text_of(F.col("html"), F.col("_shared")).alias("_text"))
+        pairs = zip(htmls, lists, strict=True)
+        return pa.array(["\n\n".join(main_lines(page_blocks(page.as_py() or ""), set(gone.as_py() or ()))) for page, gone in pairs], pa.string())
+
+    joined = keyed.join(found, same_page, "left")
+    kept = [F.col(quoted(c)) for c in pages.columns if c != text]
+    return joined.select(*kept, text_of(F.col("html"), F.col(shared)).alias(text))

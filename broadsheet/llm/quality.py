@@ -1,20 +1,23 @@
 """Quality classifier by co-training of a text-content view and a page-metadata view.
 
 The content view sees what the text is made of: transitions between classes of bytes (letters, digits,
-punctuation, separators) and how often words repeat. The metadata view sees what is known of a page without
-reading it: language, source, length and line layout. Each view is a logistic regression. In every round
-each view scores all unlabelled documents and hands its most confident ones, labelled by itself, to the
-other's training set. At the end both are calibrated on held-out labels, and a document's log-odds are the
-sum of the views' calibrated log-odds less the prior's, so a view that tells little adds little.
+punctuation, separators) and how often words and lines repeat. The metadata view sees only what is known of a
+page without reading it: language, source and the recorded length. Each view is a logistic regression. In every
+round each view scores all unlabelled documents and hands its most confident ones, labelled by itself, to the
+other's training set, where they stay. After every round both views are calibrated on held-out labels and
+combined: a document's log-odds are the prior's plus what each view adds to it, weighed by the view's skill (the
+share of the prior's log loss that it saves on the held-out labels). A view without skill is so left out, and of
+the rounds (the one before any exchange included) that with the least held-out log loss of the combination counts.
 
 Only the labelled sample (at most ``max_labelled`` rows, by hash of the key) and the pseudo-labels (at most
-``grow`` per view, class and round) reach the driver, as short vectors. Features, candidate search and scores
+``grow`` per view, class and round, sought among ``rounds`` times as many) reach the driver, as short vectors. Features, candidate search and scores
 cover all documents.
 
 Defined results: null and empty texts, null language, source or length are feature values like others; labels that
 are null or whose key has no document are ignored, repeated labels of a key count as their minimum; with labels
 of fewer than two classes every document scores the share of good ones (0.5 without labels); rows that repeat
-are scored alike; an empty table gives an empty result; extra columns pass through.
+are scored alike; an empty table gives an empty result; extra columns pass through, but one named like the
+result's column of scores is replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from broadsheet.llm.scratch import materialize
+from broadsheet.llm.scratch import all_columns, materialize, unused
 
 #: Bounds of what training takes: labelled rows, pseudo-labels (good, bad) a round and view, rounds.
 MAX_LABELLED, GROW, ROUNDS = 6_000, (600, 150), 2
@@ -38,7 +41,7 @@ CONFIDENT = 0.95
 THRESHOLD = 0.5
 #: Rows whose vectors a task unpacks at once.
 SLICE = 500
-_LANGS, _SOURCES = 16, 64
+_LENGTHS, _LANGS, _SOURCES = 16, 16, 64
 
 #: Byte classes: lower, upper, digit, space, newline, each frequent mark by itself, other marks, beyond ASCII.
 _MARKS = b".,!?|#$%&*-:;'\"/<>"
@@ -68,29 +71,29 @@ def content_features(text: str) -> np.ndarray:
     return np.concatenate([np.sqrt(singles), np.sqrt(pairs), extra]).astype(np.float16)
 
 
-def metadata_features(text: str, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """Length and line layout, and one-hot buckets of language and source."""
-    lines = text.split("\n")
-    longest, mean = max(map(len, lines)), len(text) / len(lines)
-    size = len(text) if n_chars is None else max(n_chars, 0)
-    out = np.zeros(6 + _LANGS + _SOURCES, np.float16)
-    out[:6] = [np.log1p(size) / 10, np.log1p(len(lines)) / 10, np.log1p(mean) / 10, np.log1p(longest) / 10, sum(not x.strip() for x in lines) / len(lines), n_chars is None]
-    out[6 + xxhash.xxh32_intdigest(repr(lang)) % _LANGS] = 1
-    out[6 + _LANGS + xxhash.xxh32_intdigest(repr(source)) % _SOURCES] = 1
+def metadata_features(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """The length, and one-hot buckets of it, of language and of source."""
+    out = np.zeros(2 + _LENGTHS + _LANGS + _SOURCES, np.float16)
+    size = np.log1p(max(n_chars or 0, 0))
+    out[:2] = [size / 10, n_chars is None]
+    out[2 + min(int(size), _LENGTHS - 1)] = 1
+    out[2 + _LENGTHS + xxhash.xxh32_intdigest(repr(lang)) % _LANGS] = 1
+    out[2 + _LENGTHS + _LANGS + xxhash.xxh32_intdigest(repr(source)) % _SOURCES] = 1
     return out
 
 
+def _views(texts: pa.Array, langs: pa.Array, sources: pa.Array, sizes: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    content = [content_features(t.as_py() or "") for t in texts]
+    return content, [metadata_features(g.as_py(), s.as_py(), n.as_py()) for g, s, n in zip(langs, sources, sizes, strict=True)]
+
+
 def features(text: Column, lang: Column, source: Column, n_chars: Column) -> Column:
     """struct<content binary, metadata binary> of half-precision vectors."""
 
     @F.arrow_udf(T.StructType().add("content", T.BinaryType()).add("metadata", T.BinaryType()))
     def extract(texts: pa.Array, langs: pa.Array, sources: pa.Array, sizes: pa.Array) -> pa.Array:
-        content, metadata = [], []
-        for t, g, s, n in zip(texts, langs, sources, sizes, strict=True):
-            t = t.as_py() or ""
-            content.append(content_features(t).tobytes())
-            metadata.append(metadata_features(t, g.as_py(), s.as_py(), n.as_py()).tobytes())
-        return pa.StructArray.from_arrays([pa.array(content, pa.binary()), pa.array(metadata, pa.binary())], ["content", "metadata"])
+        views = _views(texts, langs, sources, sizes)
+        return pa.StructArray.from_arrays([pa.array([v.tobytes() for v in view], pa.binary()) for view in views], ["content", "metadata"])
 
     return extract(text, lang, source, n_chars.cast("long"))
 
@@ -119,6 +122,8 @@ class Model:
     content: View | None
     metadata: View | None
     prior: float
+    #: What a view's log-odds beyond the prior's count in the combination.
+    skills: tuple[float, float] = (1.0, 1.0)
 
     def log_odds(self, content: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated log-odds of both views and of their combination."""
@@ -127,7 +132,11 @@ class Model:
             same = np.full(len(content), prior)
             return same, same, same
         a, b = self.content.log_odds(content), self.metadata.log_odds(metadata)
-        return a, b, a + b - prior
+        return a, b, prior + self.skills[0] * (a - prior) + self.skills[1] * (b - prior)
+
+
+def log_loss(log_odds: np.ndarray, y: np.ndarray) -> float:
+    return float(np.logaddexp(0, np.where(y > 0, -log_odds, log_odds)).mean())
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -165,21 +174,38 @@ def _vectors(column) -> np.ndarray:
     return np.stack([np.frombuffer(v, np.float16) for v in column]).astype(np.float64)
 
 
-def _view_scores(model: Model, content: Column, metadata: Column) -> Column:
-    """struct<content, metadata, quality> of probabilities."""
-    kind = T.StructType([T.StructField(n, T.DoubleType()) for n in ("content", "metadata", "quality")])
+_SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("content", "metadata", "quality")])
+
+
+def _scores(model: Model, vectors: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """The probabilities by both views and their combination, of slices of feature vectors."""
+    parts = [np.empty((3, 0)), *(np.stack(model.log_odds(*some)) for some in vectors)]
+    return pa.StructArray.from_arrays([pa.array(p) for p in _sigmoid(np.concatenate(parts, axis=1))], _SCORES.names)
+
 
-    @F.arrow_udf(kind)
+def _feature_scores(model: Model, content: Column, metadata: Column) -> Column:
+    """struct<content, metadata, quality> of probabilities, from packed features."""
+
+    @F.arrow_udf(_SCORES)
     def scores(contents: pa.Array, metadatas: pa.Array) -> pa.Array:
-        parts = [np.empty((3, 0))]
-        for low in range(0, len(contents), SLICE):
-            some = [_vectors(c.slice(low, SLICE).to_pylist()) for c in (contents, metadatas)]
-            parts.append(np.stack(model.log_odds(*some)))
-        return pa.StructArray.from_arrays([pa.array(p) for p in _sigmoid(np.concatenate(parts, axis=1))], [f.name for f in kind])
+        lows = range(0, len(contents), SLICE)
+        return _scores(model, (tuple(_vectors(c.slice(low, SLICE).to_pylist()) for c in (contents, metadatas)) for low in lows))
 
     return scores(content, metadata)
 
 
+def _document_scores(model: Model, text: Column, lang: Column, source: Column, n_chars: Column) -> Column:
+    """struct<content, metadata, quality> of probabilities, from the document itself."""
+
+    @F.arrow_udf(_SCORES)
+    def scores(*columns: pa.Array) -> pa.Array:
+        lows = range(0, len(columns[0]), SLICE)
+        views = (_views(*[c.slice(low, SLICE) for c in columns]) for low in lows)
+        return _scores(model, (tuple(np.stack(v).astype(np.float64) for v in pair) for pair in views))
+
+    return scores(text, lang, source, n_chars.cast("long"))
+
+
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, grow: tuple[int, int] = GROW, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model, and the feature table (_key, _content, _metadata, _label) of all rows of ``docs``."""
     found = docs.select(F.col("doc_id").alias("_key"), features(*[F.col(c) for c in ("text", "lang", "source", "n_chars")]).alias("_f"))
@@ -197,45 +223,59 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     rows = labelled.filter(in_sample).orderBy("_key").limit(max_labelled).collect()
     held = np.array([xxhash.xxh32_intdigest(str(r["_key"])) % 4 == 0 for r in rows])
     y = np.array([float(r["_label"]) for r in rows])
+    if not len(rows) or min(y.sum(), (1 - y).sum()) < 1:
+        return Model(None, None, prior), table
     if min(y[held].sum(), (1 - y[held]).sum(), y[~held].sum(), (1 - y[~held]).sum()) < 1:
         held = np.zeros(len(rows), bool)  # too few labels to hold any out
     x = {"content": _vectors(r["_content"] for r in rows), "metadata": _vectors(r["_metadata"] for r in rows)}
     check = held if held.any() else ~held
     taught = {name: (x[name][~held], y[~held]) for name in x}
 
-    def fit() -> Model:
+    def fit() -> tuple[float, Model]:
+        """A model of what is taught so far, and its log loss on the held-out labels."""
         views = {name: fit_view(*taught[name]) for name in x}
         for name, view in views.items():
             calibrate(view, x[name][check], y[check])
-        return Model(views["content"], views["metadata"], prior)
+        model = Model(views["content"], views["metadata"], prior)
+        base = log_loss(np.full(int(check.sum()), np.log(prior / (1 - prior))), y[check])
+        alone = model.log_odds(x["content"][check], x["metadata"][check])[:2]
+        model.skills = tuple(max(0.0, 1 - log_loss(z, y[check]) / base) for z in alone)
+        return log_loss(model.log_odds(x["content"][check], x["metadata"][check])[2], y[check]), model
 
-    model = fit()
+    fitted = [fit()]
     pool = table.filter("_label IS NULL")
-    for _ in range(rounds):
-        scored = pool.withColumn("_p", _view_scores(model, F.col("_content"), F.col("_metadata")))
+    given: set = set()
+    for turn in range(rounds):
+        scored = pool.withColumn("_p", _feature_scores(fitted[-1][1], F.col("_content"), F.col("_metadata")))
         picks = None
         for teacher in x:
             p = F.col(f"_p.{teacher}")
             for label, count, sure, order in ((1.0, grow[0], p >= CONFIDENT, p.desc()), (0.0, grow[1], p <= 1 - CONFIDENT, p.asc())):
-                some = scored.filter(sure).orderBy(order, "_key").limit(count).select("_content", "_metadata", F.lit(teacher).alias("_by"), F.lit(label).alias("_y"))
+                some = scored.filter(sure).orderBy(order, "_key").limit(count * (turn + 1)).select("_key", "_content", "_metadata", F.lit(teacher).alias("_by"), F.lit(label).alias("_y"))
                 picks = some if picks is None else picks.union(some)
-        chosen = picks.collect()
+        chosen, taken = [], dict.fromkeys([(teacher, label) for teacher in x for label in (1.0, 0.0)], 0)
+        for r in picks.collect():
+            kind = r["_by"], r["_y"]
+            if (r["_key"], r["_by"]) not in given and taken[kind] < grow[r["_y"] == 0]:
+                given.add((r["_key"], r["_by"]))
+                taken[kind] += 1
+                chosen.append(r)
         for teacher, pupil in (("content", "metadata"), ("metadata", "content")):
             own = [r for r in chosen if r["_by"] == teacher]
             if own:
                 more = _vectors(r[f"_{pupil}"] for r in own), np.array([r["_y"] for r in own])
-                taught[pupil] = tuple(np.concatenate([a, b]) for a, b in zip((x[pupil][~held], y[~held]), more, strict=True))
-        model = fit()
-    return model, table
+                taught[pupil] = tuple(np.concatenate(pair) for pair in zip(taught[pupil], more, strict=True))
+        fitted.append(fit())
+    return min(fitted, key=lambda f: f[0])[1], table
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with _scores, a struct of the probabilities content, metadata and quality."""
-    found = docs.withColumn("_f", features(*[F.col(c) for c in ("text", "lang", "source", "n_chars")]))
-    return found.withColumn("_scores", _view_scores(model, F.col("_f.content"), F.col("_f.metadata"))).drop("_f")
+def score(docs: DataFrame, model: Model, scores: str = "_scores") -> DataFrame:
+    """``docs`` with ``scores``, a struct of the probabilities content, metadata and quality."""
+    return docs.withColumn(scores, _document_scores(model, *[F.col(c) for c in ("text", "lang", "source", "n_chars")]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more."""
     model, _ = train(docs, labels, **options)
-    return score(docs, model).filter(F.col("_scores.quality") >= threshold).select(*docs.columns)
+    scores = unused(docs.columns, "_scores")[0]
+    return score(docs, model, scores).filter(F.col(f"{scores}.quality") >= threshold).select(*all_columns(docs))

@@ -49,12 +49,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.plan_mix(docs).select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).alias("taken"),
-        F.col("_copies").alias("copies"),
+        "doc_id", "_plan.size", "_plan.source_size", "_plan.target", (F.col("_plan.size") * F.col("_plan.copies")).alias("taken"), "_plan.copies"
     )
 
 

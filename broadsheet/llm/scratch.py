@@ -65,7 +65,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000, mb: int = 16) -> None:
+def small_batches(spark: SparkSession, rows: int = 1_000, mb: int = 4) -> None:
     """Lets Python workers take at most ``rows`` rows or ``mb`` MB at once, so that long texts cost them little memory."""
     if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -6,7 +6,8 @@ of the shard weights below it, so a change of weight moves documents only into (
 whose weight changed; a new shard joins as a region and rack of its own and takes rows into itself only.
 
 Defined results: a null key is hashed like any other value; null or empty text has size 16; repeated
-rows land in one shard under different slots; an empty table gives an empty result.
+rows land in one shard under different slots; an empty table gives an empty result; extra columns pass
+through, but one named like a result's column is replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from broadsheet.llm.scratch import materialize
+from broadsheet.llm.scratch import materialize, quoted, unused
 
 
 @dataclass(frozen=True)
@@ -96,7 +97,7 @@ def shard_of(key: Column, shards: list[Shard]) -> Column:
 
 def assign_shards(docs: DataFrame, shards: list[Shard], key: str = "doc_id", shard: str = "shard") -> DataFrame:
     """``docs`` with the column ``shard``; no shuffle."""
-    return docs.withColumn(shard, shard_of(F.col(key), shards))
+    return docs.withColumn(shard, shard_of(F.col(quoted(key)), shards))
 
 
 def with_slots(sharded: DataFrame, shard: str = "shard", slot: str = "slot", key: str = "doc_id") -> DataFrame:
@@ -106,13 +107,15 @@ def with_slots(sharded: DataFrame, shard: str = "shard", slot: str = "slot", key
     (shard, partition), a group no larger than one scan partition, and the counts of earlier
     partitions are added; so no shard, however large, is sorted in one task.
     """
-    kept = materialize(sharded.withColumn("_part", F.spark_partition_id()), "sharded")
-    counts = kept.groupBy(shard, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(shard, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(shard, "_part").orderBy(key)
-    numbered = kept.withColumn("_at", F.row_number().over(within) - 1).join(offsets, [shard, "_part"])
-    return numbered.withColumn(slot, (F.col("_before") + F.col("_at")).cast("long")).select(*sharded.columns, slot)
+    part, at, before, n = unused([*sharded.columns, slot], "_part", "_at", "_before", "_n")
+    kept = materialize(sharded.drop(quoted(slot)).withColumn(part, F.spark_partition_id()), "sharded")
+    counts = kept.groupBy(quoted(shard), part).agg(F.count(F.lit(1)).alias(n))
+    earlier = Window.partitionBy(quoted(shard)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(quoted(shard), part, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    within = Window.partitionBy(quoted(shard), part).orderBy(quoted(key))
+    numbered = kept.withColumn(at, F.row_number().over(within) - 1).join(offsets, [shard, part])
+    result = numbered.withColumn(slot, (F.col(before) + F.col(at)).cast("long"))
+    return result.select(*[F.col(quoted(c)) for c in sharded.columns if c != slot], quoted(slot))
 
 
 def write_shards(sharded: DataFrame, path: str, shard: str = "shard") -> None:

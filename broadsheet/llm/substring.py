@@ -12,7 +12,9 @@ no group of equal chunks is ever collected. Only the positions found in one text
 
 Defined results: null text stays null, empty text empty; rows that share a doc_id count as one document
 (none of their chunks repeats another's); rows without a doc_id yield to any that has one and else count
-as one document; an empty table gives an empty result; extra columns pass through.
+as one document; an empty table gives an empty result; extra columns pass through, but one named like the
+spans' is replaced. A stretch of over 64 bytes without white space counts as a word per 8 bytes. The key must be an
+integer.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from broadsheet.llm.scratch import quoted, unused
+
 #: One random 16-bit number per byte value, from a hash of the byte.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([i])) >> 16 for i in range(256)], np.uint16)
 #: A word this long (bytes) may be cut inside, on average every LONG_CUT bytes.
 LONG_WORD, LONG_CUT = 64, 64
-#: A chunk's place is one long: the low bits of its text's hash above, its number in the text below. The hash
-#: tells apart only texts that share a doc_id.
-_AT_BITS = 24
+#: A longer stretch without white space counts as a word per so many bytes.
+WORD_BYTES = 8
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -66,29 +69,27 @@ def _digests(text: bytes, ends: np.ndarray) -> list[bytes]:
 
 
 def _chunk_rows(spacing: int):
-    schema = pa.schema([("_doc", pa.int64()), ("_place", pa.int64()), ("_d0", pa.int64()), ("_d1", pa.int64())])
+    schema = pa.schema([(n, pa.int64()) for n in ("_doc", "_text_hash", "_d0", "_d1")])
 
     def rows(batches):
         for batch in batches:
-            docs, hashes, texts = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
+            docs, hashes, texts = batch.column(0), batch.column(1), batch.column(2)
             for low in range(0, len(texts), 1000):
-                digests, places, own = [], [], []
+                digests, own = [], []
                 for i in range(low, min(low + 1000, len(texts))):
                     text = (texts[i].as_py() or "").encode("utf-8", "surrogatepass")
-                    first = {}
-                    for at, d in enumerate(_digests(text, chunk_ends(text, spacing))):
-                        first.setdefault(d, at)
-                    digests += first.keys()
-                    places += first.values()
-                    own += [i] * len(first)
+                    distinct = set(_digests(text, chunk_ends(text, spacing)))
+                    digests += distinct
+                    own += [i] * len(distinct)
                 halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [docs.take(pa.array(own, pa.int64())), pa.array((hashes[np.array(own, np.int64)] << _AT_BITS) | np.array(places, np.int64)),
-                     pa.array(halves[:, 0]), pa.array(halves[:, 1])],
-                    schema=schema,
-                )
+                at = pa.array(own, pa.int64())
+                yield pa.RecordBatch.from_arrays([docs.take(at), hashes.take(at), pa.array(halves[:, 0]), pa.array(halves[:, 1])], schema=schema)
+
+    return rows, "_doc long, _text_hash long, _d0 long, _d1 long"
+
 
-    return rows, "_doc long, _place long, _d0 long, _d1 long"
+def _words(data: bytes) -> int:
+    return sum(1 if len(w) <= LONG_WORD else len(w) // WORD_BYTES for w in data.split())
 
 
 def _cleaned(text: Column, repeats: Column, spacing: int, min_words: int, within: bool) -> Column:
@@ -103,20 +104,19 @@ def _cleaned(text: Column, repeats: Column, spacing: int, min_words: int, within
         data = text.encode("utf-8", "surrogatepass")
         ends = chunk_ends(data, spacing)
         digests = _digests(data, ends)
-        places: dict[bytes, list[int]] = {}
-        for at, d in enumerate(digests):
-            places.setdefault(d, []).append(at + 1)
+        halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         gone = np.zeros(len(ends) + 2, bool)
-        for at in repeated or ():
-            gone[places[digests[at]]] = True
+        gone[1:-1] = np.isin(halves[:, 0], np.array(repeated or [], np.int64))
         if within:
-            for at in places.values():
-                gone[at[1:]] = True
+            seen: set[bytes] = set()
+            for at, d in enumerate(digests, 1):
+                gone[at] |= d in seen
+                seen.add(d)
         edges = np.flatnonzero(gone[1:] != gone[:-1]).reshape(-1, 2)
         starts = np.concatenate([[0], ends])
         kept, spans, upto, chars = [], [], 0, 0
         for a, b in starts[edges].tolist():
-            if len(data[a:b].split()) < min_words:
+            if _words(data[a:b]) < min_words:
                 continue
             piece = data[upto:a].decode("utf-8", "surrogatepass")
             low = chars + len(piece)
@@ -135,24 +135,28 @@ def _cleaned(text: Column, repeats: Column, spacing: int, min_words: int, within
     return cleaned(text, repeats)
 
 
-def dedup_substrings(docs: DataFrame, spacing: int = 5, min_words: int = 20, within: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with repeats deleted from ``text``, and ``_spans``, the deleted code point ranges.
+def dedup_substrings(
+    docs: DataFrame, spacing: int = 5, min_words: int = 20, within: bool = False, text: str = "text", key: str = "doc_id", spans: str = "_spans"
+) -> DataFrame:
+    """``docs`` with repeats deleted from ``text``, and ``spans``, the deleted code point ranges.
 
     A passage of w words loses its inside: cuts lie ``spacing`` words apart on average, so about that
     many words remain at either edge, and a passage well over ``min_words`` + 2 * ``spacing`` words is found.
     """
+    if docs.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError("the key must be an integer")
     rows, schema = _chunk_rows(spacing)
-    hashed = docs.select(F.col(key).cast("long").alias("_doc"), F.xxhash64(text).alias("_text_hash"), F.col(text).alias("_text"))
-    chunks = hashed.mapInArrow(rows, schema)
+    own_key, own_text = F.col(quoted(key)).cast("long"), F.col(quoted(text))
+    chunks = docs.select(own_key.alias("_doc"), F.xxhash64(own_text).alias("_text_hash"), own_text.alias("_text")).mapInArrow(rows, schema)
     holders = chunks.groupBy("_d0", "_d1").agg(F.min("_doc").alias("_first"), F.count(F.lit(1)).alias("_n"))
     shared = holders.filter("_n > 1 AND _first IS NOT NULL").drop("_n")
     repeats = chunks.join(shared, ["_d0", "_d1"]).filter("_doc IS NULL OR _doc > _first")
-    at = F.col("_place").bitwiseAND(F.lit((1 << _AT_BITS) - 1)).cast("int")
-    of_text = F.shiftright("_place", _AT_BITS).alias("_of_text")
-    found = repeats.groupBy(F.col("_doc").alias("_of"), of_text).agg(F.collect_set(at).alias("_repeats"))
-    keyed = docs.withColumn("_text_key", F.shiftright(F.shiftleft(F.xxhash64(text), _AT_BITS), _AT_BITS))
-    joined = keyed.join(found, F.col(key).cast("long").eqNullSafe(F.col("_of")) & (F.col("_text_key") == F.col("_of_text")), "left")
-    result = _cleaned(F.col(text), F.array_sort("_repeats"), spacing, min_words, within)
-    return joined.select(*docs.columns, result.alias("_clean")).select(
-        *[F.col("_clean.text").alias(c) if c == text else F.col(c) for c in docs.columns], F.col("_clean.spans").alias("_spans")
+    # In one text half a digest names the chunk.
+    of, of_text, repeated, clean = unused([*docs.columns, spans], "_of", "_of_text", "_repeated", "_clean")
+    found = repeats.groupBy(F.col("_doc").alias(of), F.col("_text_hash").alias(of_text)).agg(F.collect_set("_d0").alias(repeated))
+    joined = docs.join(found, own_key.eqNullSafe(F.col(of)) & (F.xxhash64(own_text) == F.col(of_text)), "left")
+    result = _cleaned(own_text, F.col(repeated), spacing, min_words, within)
+    kept = [c for c in docs.columns if c != spans]
+    return joined.select(*[F.col(quoted(c)) for c in kept], result.alias(clean)).select(
+        *[F.col(f"{clean}.text").alias(c) if c == text else F.col(quoted(c)) for c in kept], F.col(f"{clean}.spans").alias(spans)
     )

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 import zstandard
@@ -30,6 +30,8 @@ from broadsheet.llm.scratch import scratch_path
 #: Magic number of the dictionary's frame and of the frames between records (fixed values of the format).
 DICTIONARY_MAGIC = 0x184D2A5D
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
+#: Records of an archive, which is read whole.
+RECORDS = 4_000
 #: Bytes of records a dictionary is built from, and its size.
 SAMPLE_BYTES, DICTIONARY_BYTES = 1 << 20, 1 << 16
 #: With fewer records than this their bytes themselves are the dictionary.
@@ -84,12 +86,17 @@ def with_record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, level: int = 3) -> None:
-    """Writes one archive per partition of ``pages`` (page_id, url, html) under ``path``."""
+    """Writes archives of at most ``RECORDS`` records of ``pages`` (page_id, url, html) under ``path``."""
+
     def frames(batches):
-        held, size, packer = [], 0, None
         records = chain.from_iterable(
             (record(*[column[i].as_py() for column in batch.columns]) for i in range(batch.num_rows)) for batch in batches
         )
+        for first in records:
+            yield from archive(chain([first], islice(records, RECORDS - 1)))
+
+    def archive(records):
+        held, size, packer = [], 0, None
 
         def start():
             dictionary = build_dictionary(held)
@@ -116,9 +123,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, level: int =
         if held:
             yield out(held)
 
-    typed = with_record_types(pages, min_bytes).select("page_id", "url", "_payload", "_refers_to", "_revisit")
+    typed = with_record_types(pages.select("page_id", "url", "html"), min_bytes).select("page_id", "url", "_payload", "_refers_to", "_revisit")
     packed = typed.mapInArrow(frames, "value binary")
-    packed.select(F.col("value").cast("string")).write.option("lineSep", SEPARATOR).text(path)
+    # The writer begins a file where a dictionary's frame does.
+    packed.select(F.col("value").cast("string")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", RECORDS + 1).text(path)
 
 
 def _frames(data: bytes):

@@ -42,14 +42,14 @@ def rows_of(n):
 def test_targets_and_copies(spark):
     rows = rows_of(1500)
     size, target = plain_targets([(i, t, s) for i, t, s in rows])
-    planned = mixing.plan_mix(table(spark, rows).select("doc_id", "text", "source")).collect()
+    planned = mixing.plan_mix(table(spark, rows).select("doc_id", "text", "source")).select("doc_id", "source", "_plan.*").collect()
     assert len(planned) == len(rows)
     taken = defaultdict(int)
     for r in planned:
-        assert r._source_size == size[r.source] and r._target == pytest.approx(target[r.source])
-        rate = r._target / r._source_size
-        assert int(rate) <= r._copies <= int(rate) + 1 and r._copies <= 3
-        taken[r.source] += r._size * r._copies
+        assert r.source_size == size[r.source] and r.target == pytest.approx(target[r.source])
+        rate = r.target / r.source_size
+        assert int(rate) <= r.copies <= int(rate) + 1 and r.copies <= 3
+        taken[r.source] += r.size * r.copies
     assert sum(target.values()) == pytest.approx(sum(size.values()))
     for s in ("hot", "s0", "s1", None):
         assert taken[s] == pytest.approx(target[s], rel=0.15)
@@ -57,18 +57,18 @@ def test_targets_and_copies(spark):
 
 def test_reruns_and_other_partitions_agree(spark):
     docs = table(spark, rows_of(100)).select("doc_id", "text", "source")
-    first, second = ([tuple(r) for r in mixing.plan_mix(d).orderBy("doc_id", "text").select("doc_id", "_copies").collect()] for d in (docs, docs.repartition(7)))
+    first, second = ([tuple(r) for r in mixing.plan_mix(d).orderBy("doc_id", "text").select("doc_id", "_plan.copies").collect()] for d in (docs, docs.repartition(7)))
     assert first == second
 
 
 def test_mixed_rows_keep_their_columns(spark):
     docs = table(spark, rows_of(50))
-    mixed = mixing.mix_documents(docs.drop("_size"))
-    assert mixed.columns == [c for c in docs.columns if c != "_size"]
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns
     assert mixed.groupBy("doc_id", "source").count().agg(F.max("count")).first()[0] <= 6  # the repeated row may come three times twice
 
 
 def test_empty_and_wordless_tables(spark):
     assert mixing.plan_mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
-    bare = mixing.plan_mix(spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")).collect()
-    assert [(r._size, r._copies) for r in bare] == [(0, 0), (0, 0)]
+    bare = mixing.plan_mix(spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")).select("_plan.*").collect()
+    assert [(r.size, r.copies) for r in bare] == [(0, 0), (0, 0)]

@@ -13,8 +13,12 @@ PAGE = (
 )
 
 
+def lines(page):
+    return pagetext.main_lines(pagetext.page_blocks(page), set())
+
+
 def test_article_without_furniture():
-    assert [t for _, t in pagetext.page_blocks(PAGE)] == ["Head & line", "Para one next", "éé xy", "a", "b"]
+    assert lines(PAGE) == ["Head & line", "Para one next", "éé xy", "a", "b"]
 
 
 @pytest.mark.parametrize(("page", "blocks"), [
@@ -23,13 +27,13 @@ def test_article_without_furniture():
     ("<div class='cookie-notice'>c</div><div>t</div>", ["t"]), ("<table><tr><td>a<td>b</table>", ["a", "b"]), ("<p>a  b</p></p></div>c", ["a b", "c"]),
 ])
 def test_odd_markup(page, blocks):
-    assert [t for _, t in pagetext.page_blocks(page)] == blocks
+    assert lines(page) == blocks
 
 
 def test_an_article_rules_out_what_stands_beside_it():
     page = "<div class=header>H</div><p>Beside</p><main><div class=article-header><h1>T</h1></div><p>x</main><p>After"
-    assert pagetext.page_blocks(page) == [(pagetext.KEPT, "T"), (pagetext.KEPT, "x")]
-    assert pagetext.page_blocks("<div class='page-header'>H</div><p>x") == [(pagetext.OPEN, "x")]
+    assert pagetext.page_blocks(page) == [(pagetext.DROPPED, "H"), (pagetext.OPEN, "Beside"), (pagetext.KEPT, "T"), (pagetext.KEPT, "x"), (pagetext.OPEN, "After")]
+    assert lines(page) == ["T", "x"] and lines("<div class='page-header'>H</div><p>x") == ["x"]
 
 
 def test_shared_lines_are_a_longest_common_subsequence():
@@ -60,6 +64,7 @@ def test_template_lines_of_the_nearest_page_go(spark):
     out = pagetext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, _lines string").repartition(5))
     assert out.columns == ["page_id", "url", "html", "_lines", "_text"] and out.count() == len(rows)
     text = {r.page_id: r._text for r in out.collect()}
+    assert pagetext.template_lines(out.select("page_id", "url", "html")).count() > 40
     assert text[5] == "own 5\n\nstory 5 and its story" and text[1] == "own 1\n\nstory 1 and its story" and text[97] == text[96] == "one"
     assert text[98] == "Site name\n\nown 98\n\nits story\n\nAll rights" and text[99] == ""
     assert pagetext.extract_text(out.select("page_id", "url", "html").limit(0)).count() == 0
@@ -75,3 +80,43 @@ def test_a_text_that_neighbours_carry_whole_stays(spark):
     text = {r.page_id: r._text for r in out.collect()}
     assert text[1] == text[2] == text[3] == "The story\n\ngoes on" and text[4] == "The story\n\ngoes on\n\nmore"
     assert text[5] == "one" and text[6] == "two"
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+def plain_texts(pages):
+    """Pairing, alignment and deletion in plain Python over all pages."""
+    from os.path import commonprefix
+    from urllib.parse import urlsplit
+
+    def place(url):
+        cut = urlsplit(url or "")
+        return cut.netloc.lower(), (url or "").split(cut.netloc, 1)[1] if cut.netloc else (url or "")
+
+    blocks = {r.page_id: pagetext.page_blocks(r.html or "") for r in pages}
+    once = {}
+    for r in pages:
+        once.setdefault((*place(r.url), tuple(t for _, t in blocks[r.page_id])), r.page_id)
+    order, shared = sorted(once, key=lambda k: k[:2]), {}
+    for at, (host, path, own) in enumerate(order):
+        near = [k for k in order[max(at - 1, 0) : at] + order[at + 1 : at + 2] if k[0] == host]
+        for other in sorted(near, key=lambda k: -len(commonprefix([k[1], path]))):
+            found = pagetext.shared_lines(list(own), list(other[2]))
+            if len(found) < min(len(own), len(other[2])):
+                shared[host, path, own] = set(found)
+                break
+    return {r.page_id: "\n\n".join(pagetext.main_lines(blocks[r.page_id], shared.get((*place(r.url), tuple(t for _, t in blocks[r.page_id])), set()))) for r in pages}, shared
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(DATA), reason="the driver's tables are not here")
+@pytest.mark.parametrize("bare", [False, True])
+def test_whole_table_equals_a_plain_version(spark, bare):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html")
+    if bare:  # without article elements differencing decides
+        pages = pages.selectExpr("page_id", "url", "replace(replace(html, '<article', '<div'), '</article', '</div') AS html")
+    rows = pages.collect()
+    plain, shared = plain_texts(rows)
+    found = {r.page_id: r._text for r in pagetext.extract_text(pages).collect()}
+    assert sum(found[i] == plain[i] for i in plain) >= len(plain) - 2  # pages of equal path have no order
+    assert sum(map(bool, shared.values())) > 20

@@ -80,3 +80,15 @@ def test_repeats_within_a_document_go_on_request(spark, dice):
     docs = spark.createDataFrame([(1, passage * 3 + "end", 0)], SCHEMA)
     assert substring.dedup_substrings(docs).first().text == passage * 3 + "end"
     assert len(substring.dedup_substrings(docs, within=True).first().text) < 1.5 * len(passage)
+
+
+def test_long_passages_without_spaces_go(spark, dice):
+    passage = "".join(dice.choice("天地人水火木金土日月山川") for _ in range(2000))
+    rows = [(i, f"{' '.join(words(dice, 40))} {passage} {' '.join(words(dice, 40))}", 0) for i in range(3)]
+    out = {r.doc_id: r.text for r in substring.dedup_substrings(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out[0] == rows[0][1] and all(len(out[i]) < len(rows[i][1]) - 1700 for i in (1, 2))
+
+
+def test_a_key_that_is_no_integer_is_refused(spark):
+    with pytest.raises(TypeError):
+        substring.dedup_substrings(spark.createDataFrame([("a", "x")], "doc_id string, text string"))

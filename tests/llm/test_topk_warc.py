@@ -33,6 +33,19 @@ def test_top_k_with_ties_odd_vectors_and_a_merge_tree(spark):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_query_rows_that_repeat_an_id_get_a_list_each(spark):
+    dice = random.Random(7)
+    rows = [(i, [dice.uniform(-1, 1) for _ in range(4)]) for i in range(90)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = table.select(F.col("vec_id").alias("_id"), topk.quantize(F.col("embedding")).alias("_x"))
+    asked = [(5, rows[5][1]), (5, rows[6][1]), (5, rows[5][1])]
+    queries = spark.createDataFrame(asked, table.schema).select(F.col("vec_id").alias("_id"), topk.quantize(F.col("embedding")).alias("_x"))
+    whole = [(i, [int(np.floor(64 * c)) for c in x]) for i, x in rows]
+    expect = plain_top(whole, [(i, [int(np.floor(64 * c)) for c in x]) for i, x in asked], 5)
+    for block, query_block in ((8, 2), (4096, 1), (4096, 4096)):
+        assert sorted(map(tuple, topk.top_k(vectors, queries, k=5, block=block, query_block=query_block).collect())) == expect
+
+
 def test_scores_beyond_floating_point_are_exact():
     q, rows = np.array([[2**31 + 1, 1]]), np.array([[2**31 + 1, 0], [2**31 + 1, 1], [2**31, 5]])
     ((_, ids, scores),) = topk.tile_best(q, np.array([9]), rows, np.array([0, 1, 2]), 2)
@@ -45,6 +58,15 @@ def pages(spark, n=120):
     return spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), rows
 
 
+def test_archives_hold_a_bounded_number_of_records(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "RECORDS", 30)
+    table, rows = pages(spark)
+    warc.write_archives(table.coalesce(1), str(tmp_path / "a"))
+    files = list((tmp_path / "a").glob("part-*"))
+    assert len(files) >= 5 and all(f.read_bytes()[:4] == warc.DICTIONARY_MAGIC.to_bytes(4, "little") for f in files)
+    assert warc.read_archives(spark, str(tmp_path / "a")).count() == len(rows)
+
+
 def test_archives_round_trip(spark):
     table, rows = pages(spark)
     found = warc.archive_round_trip(table).collect()
