@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.llm import bpe, mixing, quality, simhash, substring
-from broadsheet.llm.scratch import materialize, small_batches
+from broadsheet.llm.scratch import all_columns, delete_scratch, materialize, scratch_scope, small_batches, unused
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Near copies: a Jaccard similarity of 0.8 or more of the distinct five-word shingles, computed on the texts. Pairs
@@ -30,10 +30,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes passages that a document with a smaller doc_id holds; n_chars follows the text."""
-    cleaned = substring.dedup_substrings(docs)
-    changed = F.size("_spans") > 0
-    size = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return cleaned.withColumn("n_chars", size).select(*docs.columns)
+    spans = unused(docs.columns, "_spans")[0]
+    cleaned = substring.dedup_substrings(docs, spans=spans)
+    size = F.when(F.size(spans) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cleaned.withColumn("n_chars", size).select(*all_columns(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +70,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each result written as Parquet in the shared folder and read back."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, earlier = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        with scratch_scope() as made:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        delete_scratch(spark, [*earlier, *made[:-1]])
+        earlier = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
