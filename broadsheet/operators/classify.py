@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import occurrences
-from broadsheet.operators.rules import strings
+from broadsheet.operators.rules import MAX_TERMS, strings
 
 ALL_LAYERS = ("place", "city", "site")
 
@@ -40,11 +40,18 @@ def scan_places(text, dictionary: Sequence[tuple[str, str, str]], layers: Sequen
 def keyword_hits(items: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
     """``items`` joined with each row of ``keywords`` (kw, ...) whose kw stands in ``text``, and its position.
 
-    The join form of the scan, for dictionaries larger than a literal: it compares every text with every keyword
-    of a broadcast side, which Spark chooses by size.
+    The join form of the scan. Up to MAX_TERMS keywords are broadcast and compared with every text. More are met by
+    an equality join with the texts' pieces of the lengths that keywords have, so the work does not grow with them.
     """
-    position = F.instr(items[text], keywords["kw"])
-    return items.join(keywords, items[text].contains(keywords["kw"])).withColumn("pos", position)
+    if keywords.limit(MAX_TERMS + 1).count() <= MAX_TERMS:
+        position = F.instr(items[text], keywords["kw"])
+        return items.join(F.broadcast(keywords), items[text].contains(keywords["kw"])).withColumn("pos", position)
+    sizes = keywords.agg(F.collect_set(F.length("kw")).alias("_sizes"))  # no more values than the longest keyword has characters
+    fits = items.crossJoin(F.broadcast(sizes)).withColumn("_size", F.explode("_sizes")).filter(F.length(text) >= F.col("_size"))
+    pieces = F.transform(F.sequence(F.lit(1), F.length(text) - F.col("_size") + 1), lambda at: F.substring(text, at, F.col("_size")))
+    cut = fits.withColumn("_piece", F.explode(F.array_distinct(pieces))).drop("_sizes", "_size")
+    joined = cut.join(keywords, cut["_piece"] == keywords["kw"])
+    return joined.withColumn("pos", F.instr(F.col(text), F.col("kw"))).drop("_piece")
 
 
 def matches_rules(title, tags, title_words: Sequence[str] = (), tag_words: Sequence[str] = ()) -> Column:

@@ -19,12 +19,6 @@ def title_index(reports: DataFrame, items: DataFrame, n: int = 30, date: str = "
     return items.join(newest, date, "left_semi").select(date, "item_id", "title")
 
 
-def build_title_index(reports: DataFrame, items: DataFrame, n: int = 30, date: str = "date") -> DataFrame:
-    """One row per report with its titles in item order, as written to the index file."""
-    row = F.array_sort(F.collect_list(F.struct("item_id", "title")))
-    return title_index(reports, items, n, date).groupBy(date).agg(row.alias("titles"))
-
-
 def anti_join_known(candidates: DataFrame, index: DataFrame) -> DataFrame:
     """The candidates whose title the index does not have."""
     return _against(candidates, index, "left_anti")
@@ -41,5 +35,5 @@ def _against(candidates: DataFrame, index: DataFrame, how: str) -> DataFrame:
 
 
 def index_size(index: DataFrame) -> DataFrame:
-    """One row: reports and titles in the index."""
-    return index.agg(F.count(F.lit(1)).alias("reports"), F.sum(F.size("titles")).alias("titles"))
+    """One row: reports and titles in the index (date, item_id, title)."""
+    return index.agg(F.count_distinct("date").alias("reports"), F.count(F.lit(1)).alias("titles"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from broadsheet.operators.listing import numbered
+
 DECAY = 0.93
 WINDOWS = (7, 30, 90)
 
@@ -26,9 +28,12 @@ def with_as_of(items: DataFrame, date: str = "date") -> DataFrame:
 
 
 def fan_out_share(items: DataFrame, places: str = "places", value: str = "value") -> DataFrame:
-    """A row per (item, place) with ``share``: the value divided evenly; ``share_2dp`` rounded half up."""
+    """A row per (item, place) with ``share``: the value divided evenly; ``share_2dp`` rounded half up.
+
+    explode_outer, as explode would push a test of the array below, where it is computed once more.
+    """
     share = F.col(value) / F.size(places)
-    return items.withColumn("share", share).withColumn("share_2dp", F.round("share", 2)).withColumn("place", F.explode(places))
+    return items.withColumn("share", share).withColumn("share_2dp", F.round("share", 2)).withColumn("place", F.explode_outer(places)).filter("place IS NOT NULL")
 
 
 def heat_by_place(entries: DataFrame, place: str = "place") -> DataFrame:
@@ -89,14 +94,17 @@ def top_places(heat: DataFrame, n: int = 10, tie: str = "place") -> DataFrame:
     return heat.orderBy(F.col("heat").desc(), tie).limit(n)
 
 
-def drilldown(entries: DataFrame, *ties: str) -> DataFrame:
-    """By weight, then newest, then position in the text."""
-    return entries.orderBy(F.col("weight").desc(), F.col("date").desc(), *ties)
+def drilldown(entries: DataFrame, *ties: str, place: str = "place") -> DataFrame:
+    """``entries`` with their position in the place: by weight, then newest, then position in the text."""
+    return numbered(entries, place, "weight", F.col("date").desc(), *ties)
+
+
+def place_items(entries: DataFrame, *ties: str, place: str = "place") -> DataFrame:
+    """``entries`` with their position in the place, newest first."""
+    return numbered(entries, place, "date", *ties)
 
 
 def heat_document(heat: DataFrame, entries: DataFrame, *item: str, place: str = "place") -> DataFrame:
-    """One row per place, with its items newest first (ties by the ``item`` columns) as an array of structs."""
-    row = F.struct((-F.unix_date("date")).alias("newest"), *item)
-    items = entries.groupBy(place).agg(F.array_sort(F.collect_list(row)).alias("items"))
-    shown = F.transform("items", lambda r: F.struct(F.date_from_unix_date(-r["newest"]).alias("date"), *[r[c].alias(c) for c in item]))
-    return heat.join(items, place, "left").withColumn("items", shown)
+    """A row per item of a place: the place's heat and n, the item's position (newest first, ties by the ``item``
+    columns), date and ``item`` columns. A place holds too many items for one row."""
+    return place_items(entries, *item, place=place).select(place, "position", "date", *item).join(heat, place)

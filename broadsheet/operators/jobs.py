@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import strip
@@ -14,11 +14,13 @@ ITEM = r"^###\s+(\d+)\.\s+(⏰\s*)?(.+?)\s*[—\-]\s*(.+)"
 FIELD = r"^-\s*.+?\*\*(.+?)\*\*\s*[：:]\s*(.+)"
 LINK = r"^-\s*🔗\s*\[(.+?)\]\((.+?)\)"
 EMAIL = r"^-\s*📧\s*(?:投递[：:]\s*)?([a-zA-Z0-9._%+-]+@[^\s|]+)"
+#: What stands where a list says nothing (fixed values of the format).
+CATEGORY_DEFAULT, ICON_DEFAULT, LINK_TEXT_DEFAULT, VALUE_DEFAULT = "招聘", "💼", "招聘公告", "详见公告"
 LABELS = (("学历", "education"), ("地点", "location"), ("截止", "deadline"), ("待遇", "note"))
 
 
 def job_lines(docs: DataFrame) -> DataFrame:
-    """The trimmed lines after the title with category, item and line type."""
+    """The trimmed lines after the title with category, item and line type; a category closes the open item."""
     lines = explode_lines(docs).filter("line_no > 0").withColumn("line", strip("line"))
     line = F.col("line")
     category, item = line.rlike(CATEGORY), line.rlike(ITEM)
@@ -28,7 +30,9 @@ def job_lines(docs: DataFrame) -> DataFrame:
         "category": F.last(F.when(category, F.regexp_extract(line, CATEGORY, 2)), ignorenulls=True).over(running()),
         "icon": F.last(F.when(category, F.regexp_extract(line, CATEGORY, 1)), ignorenulls=True).over(running()),
     })
-    in_item = F.col("item_no") > 0
+    last = F.last(F.when(category, F.lit(0)).when(item, F.lit(1)), ignorenulls=True).over(running())
+    lines = lines.withColumn("in_item", F.coalesce(last == 1, F.lit(False)))
+    in_item = F.col("in_item")
     kind = (
         F.when((line == "") | line.startswith("---"), "blank").when(line.startswith("> "), "summary").when(category, "category").when(item, "item")
         .when(in_item & line.rlike(FIELD), "field").when(in_item & line.rlike(LINK), "link").when(in_item & line.rlike(EMAIL), "email").otherwise("other")
@@ -49,10 +53,10 @@ def extract_contact() -> dict[str, Column]:
     line, email = F.col("line"), F.regexp_extract("line", EMAIL, 1)
     is_link, at = F.col("line_type") == "link", F.when(F.col("line_type").isin("link", "email"), F.col("line_no"))
     url = F.when(is_link, F.regexp_extract(line, LINK, 2)).otherwise(F.concat(F.lit("mailto:"), email))
-    return {"link_url": F.max_by(url, at), "link_text": F.max_by(F.when(is_link, F.regexp_extract(line, LINK, 1)).otherwise(email), at)}
+    return {"link_url": F.max_by(url, at), "link_text": F.coalesce(F.max_by(F.when(is_link, F.regexp_extract(line, LINK, 1)).otherwise(email), at), F.lit(LINK_TEXT_DEFAULT))}
 
 
-def parse_jobs(docs: DataFrame, default_category: str = "招聘信息") -> DataFrame:
+def parse_jobs(docs: DataFrame, default_category: str = CATEGORY_DEFAULT, default_icon: str = ICON_DEFAULT) -> DataFrame:
     """One row per listing, with update_date, deadline_date, days_left and urgent."""
     line = F.col("line")
     opens = F.col("line_type") == "item"
@@ -63,8 +67,8 @@ def parse_jobs(docs: DataFrame, default_category: str = "招聘信息") -> DataF
         "number": value(1).cast("int"), "marked": value(2) != "", "institution": strip(value(3)), "position": strip(value(4)),
         **extract_fields(label, text), **extract_contact(),
     }
-    items = job_lines(docs).filter("item_no > 0").groupBy("doc_id", "item_no").agg(*[c.alias(n) for n, c in aggregates.items()])
-    items = items.withColumn("category", F.coalesce("category", F.lit(default_category)))
+    items = job_lines(docs).filter("in_item").groupBy("doc_id", "item_no").agg(*[c.alias(n) for n, c in aggregates.items()])
+    items = items.withColumns({"category": F.coalesce("category", F.lit(default_category)), "icon": F.coalesce("icon", F.lit(default_icon))})
     dates = parse_header(docs, "jobs").select("doc_id", F.col("date").alias("update_date"))
     return with_urgency(items.join(dates, "doc_id", "left"))
 
@@ -92,7 +96,7 @@ def closing_badge(is_urgent, deadline) -> Column:
     return F.when(is_urgent & deadline.isNotNull(), F.format_string("%d月%d日截止", F.month(deadline), F.dayofmonth(deadline)))
 
 
-def fill_default(column, default: str = "详见公告") -> Column:
+def fill_default(column, default: str = VALUE_DEFAULT) -> Column:
     return F.coalesce(F.nullif(column, F.lit("")), F.lit(default))
 
 
@@ -104,8 +108,11 @@ def with_urgency(jobs: DataFrame) -> DataFrame:
 
 
 def sort_jobs(jobs: DataFrame, *within: str) -> DataFrame:
-    """Within sections by days left, expired first and undated last, ties as they stand in the text."""
-    return jobs.orderBy(*within, F.col("days_left").asc_nulls_last(), "line_no")
+    """Within sections by days left, expired first and undated last, ties as they stand in the text; with the
+    place (from 1) in the document."""
+    order = [*within, F.col("days_left").asc_nulls_last(), "line_no"]
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
+    return jobs.withColumn("place", place).orderBy("doc_id", *order)
 
 
 def job_summary(jobs: DataFrame) -> DataFrame:

@@ -36,6 +36,19 @@ def digest_label(items: Column, rich: Column) -> Column:
     return F.when(items > 0, F.concat(items.cast("string"), F.lit(" 条"))).when(rich > 0, "综合").otherwise("0 条")
 
 
+def numbered(rows: DataFrame, group: str, coarse: str, *order, name: str = "position") -> DataFrame:
+    """``rows`` with their place (from 1) in ``group``: by ``coarse``, greatest first, then ``order``.
+
+    A group may be as large as the table: rows are numbered within (group, coarse), and the counts of the greater
+    coarse values, one row each, are added.
+    """
+    counts = rows.groupBy(group, coarse).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy(F.col(coarse).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(group, coarse, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(group, coarse).orderBy(*order))
+    return rows.withColumn("_within", within).join(offsets, [group, coarse]).withColumn(name, F.col("_before") + F.col("_within")).drop("_before", "_within")
+
+
 def union_sections(first: DataFrame, second: DataFrame) -> DataFrame:
     """Rows of ``first`` then of ``second`` (``section_ord`` 0, 1)."""
     return first.withColumn("section_ord", F.lit(0)).unionByName(second.withColumn("section_ord", F.lit(1)))
@@ -46,7 +59,7 @@ def distinct_keys(df: DataFrame, *columns: str) -> DataFrame:
 
 
 #: changefreq and priority of URL rows by kind.
-URL_KINDS = {"daily": ("monthly", 0.8), "weekly": ("monthly", 0.9), "monthly": ("monthly", 0.9)}
+URL_KINDS = {"daily": ("monthly", 0.8), "weekly": ("monthly", 0.7), "monthly": ("monthly", 0.7)}
 
 
 def url_rows(base: str, static: DataFrame, **reports: DataFrame) -> DataFrame:

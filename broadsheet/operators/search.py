@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,8 +51,7 @@ def highlight(text, term: str, opening: str = "<mark>", closing: str = "</mark>"
 
 def first_match(items: DataFrame, report: Sequence[str], order: str) -> DataFrame:
     """The first item of each report in text order."""
-    ranked = Window.partitionBy(*report).orderBy(order)
-    return items.withColumn("_rank", F.row_number().over(ranked)).filter("_rank = 1").drop("_rank")
+    return items.groupBy(*report).agg(F.min_by(F.struct("*"), order).alias("_first")).select("_first.*")
 
 
 def search_hits(items: DataFrame, query: str, report: Sequence[str], *columns: str) -> DataFrame:
@@ -60,17 +59,36 @@ def search_hits(items: DataFrame, query: str, report: Sequence[str], *columns: s
     return search(items, query, *columns).agg(F.count_distinct(*report).alias("hits"))
 
 
+def words_with_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """(word, term) for every distinct ``word`` that holds a ``term``, by an equality join.
+
+    A word is cut into its pieces of the lengths that terms have (a handful), so the work grows with the
+    vocabulary, not with words times terms.
+    """
+    sizes = terms.agg(F.collect_set(F.length("term")).alias("_sizes"))  # no more values than the longest term has characters
+    sized = words.select("word").distinct().crossJoin(F.broadcast(sizes))
+    fits = sized.select("word", F.explode("_sizes").alias("_size")).filter(F.length("word") >= F.col("_size"))
+    places = F.explode(F.sequence(F.lit(1), F.length("word") - F.col("_size") + 1))
+    pieces = fits.select("word", "_size", places.alias("_at")).select("word", F.substring("word", F.col("_at"), F.col("_size")).alias("term"))
+    return pieces.join(terms.select("term").distinct(), "term").distinct()
+
+
 def search_batch(items: DataFrame, queries: DataFrame, query_id: str, report: Sequence[str], order: str, text: str, *columns: str) -> DataFrame:
     """For a table of queries (query_id, terms) the first matching item of each report, with a snippet of ``text``.
 
-    Items are matched on words where a term is one, but a term may stand inside a word, so each item meets each term:
-    the distinct terms are broadcast when Spark finds them small, and the item text stays where it was read.
+    A term holds no white space, so it stands in one word of an item. The first item of each report with a word is
+    found before anything is joined (partial sums before the shuffle), then the first with a term, then the first of
+    the query; texts are joined back to the results alone. ``order`` is unique in a report. A query without terms
+    finds nothing here.
     """
     asked = queries.select(query_id, F.posexplode("terms").alias("term_no", "term"))
-    found = items.withColumn("_search", search_text(*columns)).join(asked, F.expr("contains(_search, term)"))
-    best = Window.partitionBy(query_id, *report).orderBy(order, "term_no")
-    first = found.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1")
-    return first.select(query_id, *report, order, "term", snippet(F.col(text), F.col("term")).alias("snippet"))
+    word = F.explode(F.array_distinct(query_terms(search_text(*columns)))).alias("word")
+    first_word = items.select(*report, order, word).groupBy(*report, "word").agg(F.min(order).alias(order))
+    found = first_word.join(words_with_terms(first_word, asked), "word")
+    first_term_of = found.groupBy(*report, "term").agg(F.min(order).alias(order))
+    best = first_term_of.join(asked, "term").groupBy(query_id, *report).agg(F.min(F.struct(order, "term_no", "term")).alias("_best"))
+    first = best.select(query_id, *report, f"_best.{order}", "_best.term")
+    return first.join(items.select(*report, order, text), [*report, order]).select(query_id, *report, order, "term", snippet(F.col(text), F.col("term")).alias("snippet"))
 
 
 def join_cards_reports(cards: DataFrame, reports: DataFrame) -> DataFrame:

@@ -47,6 +47,13 @@ class DailyFormat:
 class DigestFormat:
     """Markers of weekly and monthly digests (fixed values of the format)."""
 
+    #: Header lines: what they begin with, what they hold, what they do not hold, and the section they open.
+    headers: tuple[tuple[str, tuple[str, ...], str, str], ...] = (
+        ("## 📊", ("概览",), "", "overview"), ("## 🔟", (), "", "items"), ("## 🔝", (), "", "items"), ("", ("要闻", "##"), "趋势", "items"),
+        ("## 🗓️", (), "", "upcoming"), ("## 📅", (), "", "upcoming"), ("## 📊", ("趋势",), "", "trends"), ("## 📑", (), "", _RESET),
+        ("## ", ("目录",), "", _RESET), ("## ", (), "", "rich"), ("# ", (), "", _RESET),
+    )
+    icon: str = "📄"
     item: str = r"^### (\d+)\.\s*(.+)"
     link: str = r"📎\s*\[(.+?)\]\((.+?)\)"
     note_label: str = r"\*\*本[周月]新进展[：:]\*\*\s*"
@@ -212,16 +219,14 @@ def digest_lines(docs: DataFrame, kind: str, fmt: DigestFormat = DigestFormat(),
     at any level; ``strict`` asks for a level-two header.
     """
     line = F.col("line")
-    second = line.startswith("## ")
-    headlines = line.contains("要闻") & line.contains("##") & ~line.contains("趋势")
-    header = (
-        F.when(line.startswith("## 📊") & line.contains("概览"), "overview")
-        .when(line.startswith("## 🔟") | line.startswith("## 🔝") | (headlines & second if strict else headlines), "items")
-        .when(line.startswith("## 🗓️") | line.startswith("## 📅"), "upcoming")
-        .when(line.startswith("## 📊") & line.contains("趋势"), "rich" if kind == "monthly" else "trends")
-        .when(second & ~line.startswith("## 📑"), "rich")
-        .when(line.startswith("## ") | line.startswith("# "), _RESET)
-    )
+    header = F.lit(None).cast("string")
+    for prefix, holds, lacks, section in reversed(fmt.headers):
+        test = line.startswith("## " if strict and not prefix else prefix)
+        for word in holds:
+            test = test & line.contains(word)
+        if lacks:
+            test = test & ~line.contains(lacks)
+        header = F.when(test, section if section != "trends" or kind == "weekly" else "rich").otherwise(header)
     lines = explode_lines(docs).filter("line_no > 0").withColumn("header", header)
     lines = lines.withColumn("section", F.nullif(F.last("header", ignorenulls=True).over(running()), F.lit(_RESET)))
     in_rich = F.coalesce(F.col("section") == "rich", F.lit(False))
@@ -274,15 +279,15 @@ def digest_items(typed: DataFrame, fmt: DigestFormat = DigestFormat()) -> DataFr
     return item.filter("declared IS NOT NULL").select("doc_id", F.concat(F.lit("item"), "declared").alias("item_id"), "title", "sources", "body", "progress")
 
 
-def rich_sections(typed: DataFrame) -> DataFrame:
-    """(doc_id, section_no from 1, icon, title, lines) of the free sections."""
+def rich_sections(typed: DataFrame, fmt: DigestFormat = DigestFormat()) -> DataFrame:
+    """(doc_id, section_no from 1, icon, heading, lines) of the free sections; an icon is one code point before white space."""
     heading = strip_anchor(strip(strip_marks(F.col("line"))))
     opens = F.col("header") == "rich"
     rows = F.array_sort(F.collect_list(F.when(F.col("line_type") == "rich", F.struct("line_no", "line"))))
     found = typed.filter("section = 'rich'").groupBy("doc_id", F.col("rich_no").alias("section_no")).agg(
         F.max(F.when(opens, heading)).alias("heading"), F.transform(rows, lambda r: r["line"]).alias("lines")
     )
-    icon = F.regexp_extract("heading", r"^(\S{1,2})\s+", 1)
+    icon = F.coalesce(F.nullif(F.regexp_extract("heading", r"^(\S)\s", 1), F.lit("")), F.lit(fmt.icon))
     return found.select("doc_id", "section_no", icon.alias("icon"), "heading", "lines")
 
 

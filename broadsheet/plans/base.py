@@ -20,8 +20,12 @@ def _test_folder() -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _test_folder()
+    """A fresh path in the folder that driver and executors share; a temporary one only where they are one process."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = _test_folder()
     return f"{root.rstrip('/')}/broadsheet-{uuid.uuid4().hex}/{name}"
 
 

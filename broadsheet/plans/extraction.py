@@ -131,30 +131,35 @@ def x03_sections(spark, sf_dir):
 
 
 def x10_table_rows(spark, sf_dir):
-    nations = table(spark, sf_dir, "nation").withColumn("row", F.concat(F.lit("| "), "n_name", F.lit(" | "), F.col("n_nationkey").cast("string"), F.lit(" |")))
-    rows = nations.groupBy("n_regionkey").agg(ordered_join("n_nationkey", F.col("row")).alias("rows"))
-    docs = rows.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.col("r_name").alias("doc_id"), text_block("# title", "## 📊 今日趋势总结", "| nation | key |", "|---|---|", F.col("rows")).alias("text")
-    )
+    """One report per customer, with a table of the orders."""
+    key = F.col("o_orderkey").cast("string")
+    orders = table(spark, sf_dir, "orders").withColumn("row", F.concat(F.lit("| "), "o_orderpriority", F.lit(" | "), key, F.lit(" |")))
+    docs = orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(ordered_join("o_orderkey", F.col("row")).alias("rows"))
+    docs = docs.select("doc_id", text_block("# title", "## 📊 今日趋势总结", "| priority | key |", "|---|---|", F.col("rows")).alias("text"))
     return segment.table_rows(segment.daily_lines(docs), "trends").select("doc_id", F.col("row_no").cast("long").alias("row_no"), flat("cells").alias("cells"))
 
 
 def x11_ranking(spark, sf_dir):
-    suppliers = table(spark, sf_dir, "supplier")
-    rank = F.row_number().over(segment.Window.partitionBy("s_nationkey").orderBy(F.col("s_acctbal").desc(), "s_suppkey"))
-    cells = F.concat_ws(" | ", rank.cast("string"), "s_name", F.col("s_suppkey").cast("string"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")))
-    rows = suppliers.withColumn("rank", rank).withColumn("row", F.concat(F.lit("| "), cells, F.lit(" |"))).filter("rank <= 10")
-    docs = rows.groupBy(F.col("s_nationkey").alias("doc_id")).agg(ordered_join("rank", F.col("row")).alias("rows"))
+    """One monthly ranking per customer, of all its orders."""
+    rank = F.row_number().over(segment.Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey"))
+    key = F.col("o_orderkey").cast("string")
+    cells = F.concat_ws(" | ", rank.cast("string"), F.concat(F.lit("order "), key), "o_orderstatus", F.concat(F.lit("customer "), F.col("o_custkey").cast("string")))
+    rows = table(spark, sf_dir, "orders").withColumn("rank", rank).withColumn("row", F.concat(F.lit("| "), cells, F.lit(" |")))
+    docs = rows.groupBy(F.col("o_custkey").alias("doc_id")).agg(ordered_join("rank", F.col("row")).alias("rows"))
     docs = docs.select("doc_id", text_block("# 📚 月报 | 2026年7月", "## 🔝 要闻", "| rank | title | date | why |", "|---|---|---|---|", F.col("rows")).alias("text"))
     return segment.ranking_rows_to_items(segment.digest_lines(docs, "monthly"))
 
 
 def _rich_docs(spark, sf_dir):
-    parts = table(spark, sf_dir, "part")
-    section = parts.groupBy("p_brand", "p_type").agg(ordered_join("p_partkey", F.concat(F.col("p_name"), F.lit(" "), F.col("p_partkey").cast("string"))).alias("lines"))
-    section = section.withColumn("section", text_block(F.concat(F.lit("## 🏛️ "), "p_type"), F.col("lines")))
-    docs = section.groupBy(F.col("p_brand").alias("doc_id")).agg(ordered_join("p_type", F.col("section")).alias("sections"))
-    return docs.select("doc_id", text_block("# 📰 周报 | 2026年7月6日 — 7月12日", "## 📑 目录", F.col("sections")).alias("text"))
+    """One weekly digest per hundred parts, with a section per type; contents headers of two kinds, icons of one and two code points."""
+    parts = table(spark, sf_dir, "part").withColumn("doc_id", F.floor(F.col("p_partkey") / 100))
+    lines = ordered_join("p_partkey", F.concat(F.col("p_name"), F.lit(" "), F.col("p_partkey").cast("string")))
+    section = parts.groupBy("doc_id", "p_type").agg(lines.alias("lines"))
+    icon = F.when(F.col("p_type").startswith("S"), "🌍 ").otherwise("🏛️ ")
+    section = section.withColumn("section", text_block(F.concat(F.lit("## "), icon, "p_type"), F.col("lines")))
+    docs = section.groupBy("doc_id").agg(ordered_join("p_type", F.col("section")).alias("sections"))
+    head = ("# 📰 周报 | 2026年7月6日 — 7月12日", "## 📑 目录", "- one", "## 🧭 本周目录", "- two")
+    return docs.select("doc_id", text_block(*head, F.col("sections"), "## 🧭 目录", "- three").alias("text"))
 
 
 def x12_rich(spark, sf_dir):
@@ -174,9 +179,10 @@ def x13_blocks(spark, sf_dir):
 
 
 def x14_overview(spark, sf_dir):
-    nations = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(ordered_join("n_nationkey", F.concat(F.lit(" "), "n_name")).alias("names"))
-    footer = F.concat(F.lit("*本周报由 region "), F.col("n_regionkey").cast("string"), F.lit("*"))
-    docs = nations.select(F.col("n_regionkey").alias("doc_id"), text_block("# 📰 周报 | x", "## 📊 本周概览", F.col("names"), "---", footer).alias("text"))
+    """One digest per customer: its orders as overview lines."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(ordered_join("o_orderkey", F.concat(F.lit(" order "), F.col("o_orderkey").cast("string"))).alias("lines"))
+    footer = F.concat(F.lit("*本周报由 customer "), F.col("o_custkey").cast("string"), F.lit("*"))
+    docs = orders.select(F.col("o_custkey").alias("doc_id"), text_block("# 📰 周报 | x", "## 📊 本周概览", F.col("lines"), "---", footer).alias("text"))
     return segment.overview_and_footer(segment.digest_lines(docs, "weekly"))
 
 
@@ -205,7 +211,7 @@ def job_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 7 == 0, "长期招募").when(key % 7 == 1, "2026-13-40")
         .otherwise(F.concat(F.date_format("o_orderdate", "yyyy-M-d"), F.lit("（note）")))
     )
-    contact = F.when(key % 2 == 0, F.concat(F.lit("- 🔗 [notice "), text, F.lit("](http://j.example/"), text, F.lit(")"))).otherwise(
+    contact = F.when(key % 11 == 0, F.lit(None).cast("string")).when(key % 2 == 0, F.concat(F.lit("- 🔗 [notice "), text, F.lit("](http://j.example/"), text, F.lit(")"))).otherwise(
         F.concat(F.lit("- 📧 投递：o"), text, F.lit("@jobs.example"))
     )
     item = text_block(
@@ -217,7 +223,10 @@ def job_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         contact,
     )
     sections = orders.groupBy("o_custkey", "o_orderstatus").agg(ordered_join("o_orderkey", item).alias("items"))
-    sections = sections.withColumn("section", text_block(F.concat(F.lit("## 🏛️ status "), "o_orderstatus"), F.col("items")))
+    # What follows a category header belongs to no listing; those of status F stand before any category.
+    stray = ("- 📅 **截止日期**：2030-09-30", "- 🔗 [stray](http://stray.example/)")
+    header = F.when(F.col("o_orderstatus") != "F", text_block(F.concat(F.lit("## 🏛️ status "), "o_orderstatus"), *stray))
+    sections = sections.withColumn("section", text_block(header, F.col("items")))
     docs = sections.groupBy(F.col("o_custkey").alias("doc_id")).agg(ordered_join("o_orderstatus", F.col("section")).alias("sections"))
     head = F.concat(F.lit("> jobs of "), F.col("doc_id").cast("string"))
     return docs.select("doc_id", text_block("# 招聘 | 1998年1月1日", head, "> today", F.col("sections")).alias("text"))
@@ -229,9 +238,9 @@ def _jobs(spark, sf_dir):
 
 _JOBS = """WITH raw AS (
   SELECT o_custkey AS doc_id, o_orderkey AS number, CAST(o_orderdate AS DATE) AS od, o_orderpriority AS position, 'inst ' || o_orderkey AS institution,
-         'status ' || o_orderstatus AS category, o_orderkey % 5 = 0 AS marked,
+         CASE WHEN o_orderstatus = 'F' THEN '招聘' ELSE 'status ' || o_orderstatus END AS category, CASE WHEN o_orderstatus = 'F' THEN '💼' ELSE '🏛️' END AS icon, o_orderkey % 5 = 0 AS marked,
          CASE WHEN o_orderkey % 7 = 0 THEN '长期招募' WHEN o_orderkey % 7 = 1 THEN '2026-13-40' ELSE strftime(o_orderdate, '%Y-%-m-%-d') || '（note）' END AS deadline,
-         dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS section_no
+         dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) - CAST(bool_or(o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS INTEGER) AS section_no
   FROM orders
 ), dated AS (
   SELECT *, CASE WHEN number % 7 > 1 THEN od END AS deadline_date, date_diff('day', DATE '1998-01-01', CASE WHEN number % 7 > 1 THEN od END) AS days_left FROM raw
@@ -276,27 +285,24 @@ def r05_default(spark, sf_dir):
 
 def a12_job_summary(spark, sf_dir):
     found = jobs.job_summary(_jobs(spark, sf_dir))
-    return found.select("category", "jobs", "urgent_jobs")
+    return found.select("category", F.col("section_no").cast("long").alias("section_no"), "jobs", "urgent_jobs")
 
 
 def o05_sort(spark, sf_dir):
-    order = F.row_number().over(segment.Window.partitionBy("doc_id").orderBy("section_no", F.col("days_left").asc_nulls_last(), "line_no"))
-    return _jobs(spark, sf_dir).select("doc_id", "number", order.cast("long").alias("place"))
+    return jobs.sort_jobs(_jobs(spark, sf_dir), "section_no").select("doc_id", "number", F.col("place").cast("long").alias("place"))
 
 
 # Scans and scalar functions ---------------------------------------------------------------------------
 
 
 def s01_read(spark, sf_dir):
-    """Writes one text per nation to the shared folder and scans the files."""
-    nations = table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("key"), F.concat(F.lit("# "), "n_name", F.lit("\r\nregion "), F.col("n_regionkey").cast("string")).alias("value")
-    )
+    """Writes the documents to the shared folder, one file each, and scans the files."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
     path = shared_path(spark, "texts")
-    nations.write.partitionBy("key").text(path)
+    docs.repartition("doc_id").write.partitionBy("doc_id").text(path)
     found = documents.read_documents(spark, path, "*.txt")
-    lines = F.split(F.rtrim("text"), "\n")
-    return found.select(F.regexp_extract("path", r"key=(\d+)", 1).cast("long").alias("key"), F.get(lines, 0).alias("title"), F.regexp_replace(F.get(lines, 1), r"\s+$", "").alias("rest"))
+    whole = F.regexp_replace("text", r"\n\z", "")  # the writer ends a file with a newline
+    return found.select(F.regexp_extract("path", r"doc_id=(-?\d+)", 1).cast("long").alias("doc_id"), F.length(whole).cast("long").alias("n_chars"), F.md5(whole).alias("digest"))
 
 
 def s02_route(spark, sf_dir):
@@ -335,7 +341,7 @@ worded AS (
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) AS block_no, block_type, items FROM blocks"""
 
 QUERIES = {
-    "s01_read_documents": (s01_read, "SELECT n_nationkey AS key, '# ' || n_name AS title, 'region ' || n_regionkey AS rest FROM nation"),
+    "s01_read_documents": (s01_read, "SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM (SELECT doc_id, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents WHERE doc_id IS NOT NULL)"),
     "s02_route_documents": (s02_route, """SELECT doc_id, CASE WHEN strpos(split_part(text, chr(10), 1), 'The') > 0 THEN 'weekly'
   WHEN strpos(split_part(text, chr(10), 1), 'la') > 0 THEN 'monthly' ELSE 'daily' END AS kind, doc_id % 10 = 0 AS skipped FROM documents"""),
     "x01_lines": (x01_lines, "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents"),
@@ -355,30 +361,31 @@ SELECT doc_id, s AS start_date, e AS ref_date, s || ' — ' || e AS date_range F
     "x09_body": (x09_body, _DAILY + " SELECT doc_id, 'item' || item_no AS item_id, 'quantity ' || CAST(l_quantity AS INTEGER) || chr(10) || ' line ' || l_linenumber AS body FROM it"),
     "a11_report_counts": (a11_report_counts, """SELECT l_orderkey AS doc_id, count(*) FILTER (WHERE l_linestatus = 'F') AS domestic_count,
   count(*) FILTER (WHERE l_linestatus = 'O') AS international_count, count(*) AS total_count FROM lineitem GROUP BY l_orderkey"""),
-    "x10_table_rows": (x10_table_rows, """SELECT r_name AS doc_id, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS row_no, n_name || '|' || n_nationkey AS cells
-FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 0, 'nation|key' FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)"""),
-    "x11_ranking_items": (x11_ranking, """WITH r AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS k FROM supplier)
-SELECT s_nationkey AS doc_id, 'item' || k AS item_id, s_name AS title, '📅 ' || s_suppkey || ' ｜ nation ' || s_nationkey AS body FROM r WHERE k <= 10"""),
-    "x12_rich_sections": (x12_rich, """SELECT p_brand AS doc_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_type) AS section_no, '🏛️' AS icon, p_type AS title,
-  string_agg(p_name || ' ' || p_partkey, '|' ORDER BY p_partkey) AS lines FROM part GROUP BY p_brand, p_type"""),
-    "a13_digest_label": (a13_label, "SELECT DISTINCT p_brand AS doc_id, '综合' AS label FROM part"),
+    "x10_table_rows": (x10_table_rows, """SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_no, o_orderpriority || '|' || o_orderkey AS cells
+FROM orders UNION ALL SELECT DISTINCT o_custkey, 0, 'priority|key' FROM orders"""),
+    "x11_ranking_items": (x11_ranking, """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders)
+SELECT o_custkey AS doc_id, 'item' || k AS item_id, 'order ' || o_orderkey AS title, '📅 ' || o_orderstatus || ' ｜ customer ' || o_custkey AS body FROM r"""),
+    "x12_rich_sections": (x12_rich, """WITH s AS (
+  SELECT CAST(floor(p_partkey / 100) AS BIGINT) AS doc_id, p_type, string_agg(p_name || ' ' || p_partkey, '|' ORDER BY p_partkey) AS lines FROM part GROUP BY ALL
+) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p_type) AS section_no, CASE WHEN starts_with(p_type, 'S') THEN '🌍' ELSE '📄' END AS icon, p_type AS title, lines FROM s"""),
+    "a13_digest_label": (a13_label, "SELECT DISTINCT CAST(floor(p_partkey / 100) AS BIGINT) AS doc_id, '综合' AS label FROM part"),
     "x13_blocks": (x13_blocks, _BLOCKS_SQL),
-    "x14_overview_footer": (x14_overview, """SELECT n_regionkey AS doc_id, string_agg(n_name, ' ' ORDER BY n_nationkey) AS overview, '本周报由 region ' || n_regionkey AS footer
-FROM nation GROUP BY n_regionkey"""),
+    "x14_overview_footer": (x14_overview, """SELECT o_custkey AS doc_id, string_agg('order ' || o_orderkey, ' ' ORDER BY o_orderkey) AS overview, '本周报由 customer ' || o_custkey AS footer
+FROM orders GROUP BY o_custkey"""),
     "x04_digest_items": (digest_items, """SELECT o_custkey AS doc_id, 'item' || o_orderkey AS item_id, 'order ' || o_orderkey AS title, 'status ' || o_orderstatus AS body,
   'priority ' || o_orderpriority AS progress, 'http://o.example/' || o_orderkey AS url FROM orders"""),
     "x15_fields": (x15_fields, _JOBS + """ SELECT number, 'level ' || number % 3 AS education, 'city ' || doc_id AS location, deadline,
   CASE WHEN number % 4 > 0 THEN 'pay ' || number % 4 END AS note FROM jb"""),
-    "x16_contact": (x16_contact, _JOBS + """ SELECT number, CASE WHEN number % 2 = 0 THEN 'http://j.example/' || number ELSE 'mailto:o' || number || '@jobs.example' END AS link_url,
-  CASE WHEN number % 2 = 0 THEN 'notice ' || number ELSE 'o' || number || '@jobs.example' END AS link_text FROM jb"""),
-    "x17_job_heading": (x17_heading, _JOBS + " SELECT number, marked, institution, position, category, '🏛️' AS icon, section_no FROM jb"),
+    "x16_contact": (x16_contact, _JOBS + """ SELECT number, CASE WHEN number % 11 > 0 THEN CASE WHEN number % 2 = 0 THEN 'http://j.example/' || number ELSE 'mailto:o' || number || '@jobs.example' END END AS link_url,
+  CASE WHEN number % 11 = 0 THEN '招聘公告' WHEN number % 2 = 0 THEN 'notice ' || number ELSE 'o' || number || '@jobs.example' END AS link_text FROM jb"""),
+    "x17_job_heading": (x17_heading, _JOBS + " SELECT number, marked, institution, position, category, icon, section_no FROM jb"),
     "x18_summary": (x18_summary, "SELECT DISTINCT o_custkey AS doc_id, 'jobs of ' || o_custkey || ' today' AS summary FROM orders"),
     "r01_deadline_date": (r01_deadline, _JOBS + " SELECT number, CAST(deadline_date AS VARCHAR) AS deadline_date FROM jb"),
     "r02_days_left": (r02_days_left, _JOBS + " SELECT number, CAST(days_left AS VARCHAR) AS days_left FROM jb"),
     "r03_urgent": (r03_urgent, _JOBS + " SELECT number, urgent FROM jb"),
     "r04_closing_badge": (r04_badge, _JOBS + " SELECT number, CASE WHEN urgent AND deadline_date IS NOT NULL THEN month(deadline_date) || '月' || day(deadline_date) || '日截止' END AS badge FROM jb"),
     "r05_default": (r05_default, _JOBS + " SELECT number, CASE WHEN number % 4 > 0 THEN 'pay ' || number % 4 ELSE '详见公告' END AS note FROM jb"),
-    "a12_job_summary": (a12_job_summary, _JOBS + " SELECT category, count(*) AS jobs, count(*) FILTER (WHERE urgent) AS urgent_jobs FROM jb GROUP BY category"),
+    "a12_job_summary": (a12_job_summary, _JOBS + " SELECT category, min(section_no) AS section_no, count(*) AS jobs, count(*) FILTER (WHERE urgent) AS urgent_jobs FROM jb GROUP BY category"),
     "o05_sort_jobs": (o05_sort, _JOBS + " SELECT doc_id, number, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, days_left NULLS LAST, number) AS place FROM jb"),
     "f01_rewrite_inline": (f01_rewrite_inline, """SELECT p_partkey, '<strong>' || p_brand || '</strong> <em>' || p_type || '</em> <code>' || p_name || '</code>' AS html,
   p_brand || ' ' || p_type || ' ' || p_name AS plain FROM part"""),

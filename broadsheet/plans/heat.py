@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from broadsheet.operators import classify, heat
-from broadsheet.plans.base import THEMES, flat, sql_text, table
+from broadsheet.plans.base import THEMES, shared_path, sql_text, table
+from broadsheet.sources import documents
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +42,8 @@ def a04_heat(spark, sf_dir):
 
 
 def a05_lists(spark, sf_dir):
-    per_user = entries(spark, sf_dir).filter("place = 'purchase'")
-    found = heat.heat_document(heat.heat_by_place(per_user, "user_id"), per_user, "event_id", place="user_id")
-    ids = F.transform("items", lambda r: r["event_id"].cast("string"))
-    return found.select("user_id", F.col("n").alias("items"), flat(ids).alias("event_ids"))
+    found = heat.place_items(entries(spark, sf_dir), "event_id", place="user_id")
+    return found.select("user_id", "position", "event_id", F.col("date").cast("string").alias("date"))
 
 
 def a06_stats(spark, sf_dir):
@@ -87,7 +86,9 @@ def j02_geo(spark, sf_dir):
 
 
 def o01_order(spark, sf_dir):
-    return heat.heat_by_place(entries(spark, sf_dir)).orderBy(F.col("heat").desc(), "place")
+    found = heat.heat_by_place(entries(spark, sf_dir)).orderBy(F.col("heat").desc(), "place")
+    rank = F.row_number().over(Window.orderBy(F.col("heat").desc(), "place"))  # a row per place
+    return found.withColumn("position", rank.cast("long"))
 
 
 def o02_top(spark, sf_dir):
@@ -95,19 +96,20 @@ def o02_top(spark, sf_dir):
 
 
 def o03_drilldown(spark, sf_dir):
-    some = entries(spark, sf_dir).filter("place = 'error'")
-    return heat.drilldown(some, "event_id").select("event_id", "weight", F.col("date").cast("string").alias("date"))
+    return heat.drilldown(entries(spark, sf_dir), "event_id").select("place", "position", "event_id", "weight", F.col("date").cast("string").alias("date"))
 
 
 def o04_place_items(spark, sf_dir):
-    return entries(spark, sf_dir).filter("place = 'view'").orderBy(F.col("date").desc(), "event_id").select("event_id", F.col("date").cast("string").alias("date"))
+    return heat.place_items(entries(spark, sf_dir), "event_id").select("place", "position", "event_id", F.col("date").cast("string").alias("date"))
 
 
 def s04_heat_document(spark, sf_dir):
+    """Writes the document as JSON lines to the shared folder and reads them back."""
     rows = entries(spark, sf_dir)
-    found = heat.heat_document(heat.heat_by_place(rows, "user_id"), rows, "event_id", "weight", place="user_id")
-    texts = F.transform("items", lambda r: F.concat_ws(":", r["date"].cast("string"), r["event_id"].cast("string"), r["weight"].cast("string")))
-    return found.select("user_id", "heat", "n", flat(texts).alias("items"))
+    found = heat.heat_document(heat.heat_by_place(rows), rows, "event_id", "weight")
+    path = shared_path(spark, "heat")
+    documents.write_json(found.withColumn("date", F.col("date").cast("string")), path)
+    return spark.read.schema("place string, position long, date string, event_id long, weight long, heat double, n long").json(path)
 
 
 _BAL = """WITH h AS (
@@ -123,8 +125,7 @@ QUERIES = {
     "a01_date_bounds": (a01_bounds, "SELECT CAST(min(CAST(ts AS DATE)) AS VARCHAR) AS start, CAST(max(CAST(ts AS DATE)) AS VARCHAR) AS as_of FROM events"),
     "a02_decayed_weight": (a02_decay, _E + " SELECT event_id, round(weight * pow(0.93, age), 6) AS decayed FROM s"),
     "a04_heat_by_place": (a04_heat, _E + " SELECT place, round(sum(share), 4) AS heat, count(*) AS n FROM s GROUP BY place"),
-    "a05_place_lists": (a05_lists, _E + """ SELECT user_id, count(*) AS items, string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY date DESC, event_id) AS event_ids
-FROM s WHERE place = 'purchase' GROUP BY user_id"""),
+    "a05_place_lists": (a05_lists, _E + " SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, event_id) AS position, event_id, CAST(date AS VARCHAR) AS date FROM s"),
     "a06_heat_stats": (a06_stats, _E + """, sc AS (SELECT * FROM s WHERE weight > 1), h AS (SELECT round(sum(share), 4) AS heat FROM sc GROUP BY place)
 SELECT (SELECT count(*) FROM events WHERE event_type IS NOT NULL) AS total, (SELECT count(DISTINCT (date, event_id)) FROM sc) AS attributed,
        (SELECT count(*) FROM events WHERE event_type IS NOT NULL) - (SELECT count(DISTINCT (date, event_id)) FROM sc) AS excluded, (SELECT max(heat) FROM h) AS max_heat"""),
@@ -136,10 +137,11 @@ FROM part LEFT JOIN (SELECT p_partkey FROM th WHERE theme = 'plan') th USING (p_
     "a14_scale_layer": (a14_scale, _BAL + """, m AS (SELECT max(heat) AS top, greatest(1, ceil(max(heat) * 1.05)) AS vm FROM h)
 SELECT place, heat, CAST(vm AS BIGINT) AS vm_max, round(5 + heat / vm * 33, 4) AS size, heat >= top * 0.15 AS labelled, 5 + heat / vm * 33 >= 26 AS inside FROM h, m"""),
     "j02_geo": (j02_geo, _BAL + " SELECT place, r_name AS region, heat FROM h JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 4"),
-    "o01_place_order": (o01_order, _E + " SELECT place, round(sum(share), 4) AS heat, count(*) AS n FROM s GROUP BY place ORDER BY heat DESC, place"),
+    "o01_place_order": (o01_order, _E + """, h AS (SELECT place, round(sum(share), 4) AS heat, count(*) AS n FROM s GROUP BY place)
+SELECT *, row_number() OVER (ORDER BY heat DESC, place) AS position FROM h"""),
     "o02_top_places": (o02_top, _BAL + " SELECT place, heat FROM h ORDER BY heat DESC, place LIMIT 10"),
-    "o03_drilldown": (o03_drilldown, _E + " SELECT event_id, weight, CAST(date AS VARCHAR) AS date FROM s WHERE place = 'error'"),
-    "o04_place_items": (o04_place_items, _E + " SELECT event_id, CAST(date AS VARCHAR) AS date FROM s WHERE place = 'view'"),
-    "s04_heat_document": (s04_heat_document, _E + """ SELECT user_id, round(sum(share), 4) AS heat, count(*) AS n,
-  string_agg(concat_ws(':', CAST(date AS VARCHAR), CAST(event_id AS VARCHAR), CAST(weight AS VARCHAR)), '|' ORDER BY date DESC, event_id) AS items FROM s GROUP BY user_id"""),
+    "o03_drilldown": (o03_drilldown, _E + """ SELECT place, row_number() OVER (PARTITION BY place ORDER BY weight DESC, date DESC, event_id) AS position, event_id, weight, CAST(date AS VARCHAR) AS date FROM s"""),
+    "o04_place_items": (o04_place_items, _E + " SELECT place, row_number() OVER (PARTITION BY place ORDER BY date DESC, event_id) AS position, event_id, CAST(date AS VARCHAR) AS date FROM s"),
+    "s04_heat_document": (s04_heat_document, _E + """, h AS (SELECT place, round(sum(share), 4) AS heat, count(*) AS n FROM s GROUP BY place)
+SELECT place, row_number() OVER (PARTITION BY place ORDER BY date DESC, event_id) AS position, CAST(date AS VARCHAR) AS date, event_id, weight, heat, n FROM s JOIN h USING (place)"""),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import percent_encode
@@ -41,7 +41,9 @@ def w03_first_match(spark, sf_dir):
 
 
 def o06_by_date(spark, sf_dir):
-    return days(spark, sf_dir).orderBy(F.col("date").desc()).select(_text("date"), "n")
+    found = days(spark, sf_dir).orderBy(F.col("date").desc())
+    rank = F.row_number().over(Window.orderBy(F.col("date").desc()))  # a row per day
+    return found.select(_text("date"), "n", rank.cast("long").alias("position"))
 
 
 def o07_newest(spark, sf_dir):
@@ -50,16 +52,19 @@ def o07_newest(spark, sf_dir):
 
 def u01_urls(spark, sf_dir):
     base = "https://digest.example/"
-    static = spark.createDataFrame([(base, "daily", 1.0), (base + "about.html", "monthly", 0.5)], "loc string, changefreq string, priority double")
+    pages = [("", "daily", 1.0), ("jobs.html", "weekly", 0.6), ("about.html", "yearly", 0.3), ("intern.html", "weekly", 0.6), ("heatmap.html", "daily", 0.8)]
+    static = spark.createDataFrame([(base + name, freq, priority) for name, freq, priority in pages], "loc string, changefreq string, priority double")
     static = static.withColumn("lastmod", F.lit(None).cast("date"))
     months = table(spark, sf_dir, "orders").select(F.to_date(F.date_format("o_orderdate", "yyyy-MM-28")).alias("date")).distinct()
-    found = listing.url_rows(base, static, daily=days(spark, sf_dir).select("date"), monthly=months)
+    weeks = table(spark, sf_dir, "orders").select(F.date_add(F.trunc("o_orderdate", "week"), 6).alias("date")).distinct()
+    found = listing.url_rows(base, static, daily=days(spark, sf_dir).select("date"), weekly=weeks, monthly=months)
     return found.select("loc", _text("lastmod"), "changefreq", "priority")
 
 
 def u02_sections(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "event_type")
-    found = listing.union_sections(events.filter("event_type = 'click'"), events.filter("event_type = 'view'"))
+    clicks = F.coalesce(F.col("event_type") == "click", F.lit(False))
+    found = listing.union_sections(events.filter(clicks), events.filter(~clicks))
     return found.withColumn("section_ord", F.col("section_ord").cast("long"))
 
 
@@ -76,7 +81,7 @@ def q02_search(spark, sf_dir):
 
 
 def q03_snippet(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.contains(F.lower("text"), F.lit("ction")) | F.contains(F.lower("text"), F.lit("idiot")))
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", search.snippet(F.col("text"), F.lit("idiot")).alias("snippet"))
 
 
@@ -91,13 +96,13 @@ def q05_hits(spark, sf_dir):
 
 def q06_batch(spark, sf_dir):
     words = search.query_terms(F.col("text"))
-    queries = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.filter(words, lambda w: F.length(w) >= 9), 1, 3).alias("terms"))
+    queries = table(spark, sf_dir, "benchmark").select("item_id", words.alias("terms"))
     items = documents_as_items(spark, sf_dir)
     return search.search_batch(items, queries, "item_id", ["date"], "doc_id", "body", "title", "body").select("item_id", _text("date"), "doc_id", "term", "snippet")
 
 
 def j03_cards(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").filter("o_orderdate >= '1999-06-01'")
+    orders = table(spark, sf_dir, "orders")
     cards = orders.select("o_orderkey", F.concat(F.lit("reports/"), F.to_date("o_orderdate").cast("string"), F.lit(".html")).alias("href"))
     reports = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.count(F.lit(1)).alias("items"))
     return search.join_cards_reports(cards, reports).select("o_orderkey", "href", _text("date"), "items")
@@ -111,8 +116,7 @@ def titled(spark, sf_dir):
 def _known(spark, sf_dir, how):
     items = titled(spark, sf_dir)
     index = dedup.title_index(items.select("date").distinct(), items, n=5)
-    newest = F.date_sub(F.lit("2024-01-30").cast("date"), 5)
-    return how(items.filter(F.col("date") <= newest), index).select("doc_id")
+    return how(items, index).select("doc_id")
 
 
 def j04_unknown(spark, sf_dir):
@@ -130,14 +134,16 @@ def s03_search_index(spark, sf_dir):
 
 
 def s05_title_index(spark, sf_dir):
+    """Writes the index, a row per item, as JSON lines to the shared folder and reads them back."""
     items = titled(spark, sf_dir)
-    found = dedup.build_title_index(items.select("date").distinct(), items, n=5)
-    return found.select(_text("date"), flat(F.transform("titles", lambda t: F.concat_ws(":", t["item_id"], t["title"]))).alias("titles"))
+    path = shared_path(spark, "titles")
+    documents.write_json(dedup.title_index(items.select("date").distinct(), items, n=5).withColumn("date", _text("date")), path)
+    return spark.read.schema("date string, item_id string, title string").json(path)
 
 
 def a15_index_size(spark, sf_dir):
     items = titled(spark, sf_dir)
-    return dedup.index_size(dedup.build_title_index(items.select("date").distinct(), items, n=5))
+    return dedup.index_size(dedup.title_index(items.select("date").distinct(), items, n=5))
 
 
 def s06_by_date(spark, sf_dir):
@@ -166,23 +172,26 @@ QUERIES = {
 SELECT CAST(date AS VARCHAR) AS date, place, CASE WHEN place <= 2 THEN 'latest' ELSE 'older' END AS "group", place = 1 AS newest, greatest(c - 2, 0) AS older_count FROM r"""),
     "w03_first_match": (w03_first_match, """SELECT conv_id, min(turn) AS turn FROM conversations
 WHERE strpos(lower(role || ' ' || text), 'the') > 0 OR strpos(lower(role || ' ' || text), 'les') > 0 GROUP BY conv_id"""),
-    "o06_reports_by_date": (o06_by_date, _DAYS + " SELECT CAST(date AS VARCHAR) AS date, n FROM d"),
+    "o06_reports_by_date": (o06_by_date, _DAYS + " SELECT CAST(date AS VARCHAR) AS date, n, row_number() OVER (ORDER BY date DESC) AS position FROM d"),
     "o07_newest_reports": (o07_newest, _DAYS + ", t AS (SELECT date, n FROM d ORDER BY date DESC LIMIT 5) SELECT CAST(date AS VARCHAR) AS date, n FROM t"),
-    "u01_url_rows": (u01_urls, _DAYS + """, m AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-28') AS date FROM orders)
-SELECT 'https://digest.example/' AS loc, NULL AS lastmod, 'daily' AS changefreq, CAST(1.0 AS DOUBLE) AS priority UNION ALL SELECT 'https://digest.example/about.html', NULL, 'monthly', 0.5
+    "u01_url_rows": (u01_urls, _DAYS + """, m AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-28') AS date FROM orders),
+w AS (SELECT DISTINCT CAST(CAST(date_trunc('week', o_orderdate) AS DATE) + 6 AS VARCHAR) AS date FROM orders)
+SELECT 'https://digest.example/' || name AS loc, NULL AS lastmod, freq AS changefreq, CAST(priority AS DOUBLE) AS priority
+FROM (VALUES ('', 'daily', 1.0), ('jobs.html', 'weekly', 0.6), ('about.html', 'yearly', 0.3), ('intern.html', 'weekly', 0.6), ('heatmap.html', 'daily', 0.8)) AS p(name, freq, priority)
+UNION ALL SELECT 'https://digest.example/reports/weekly-' || date || '.html', NULL, 'monthly', 0.7 FROM w
 UNION ALL SELECT 'https://digest.example/reports/' || CAST(date AS VARCHAR) || '.html', CAST(date AS VARCHAR), 'monthly', 0.8 FROM d
-UNION ALL SELECT 'https://digest.example/reports/monthly-' || date || '.html', NULL, 'monthly', 0.9 FROM m"""),
-    "u02_union_sections": (u02_sections, "SELECT event_id, event_type, CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS section_ord FROM events WHERE event_type IN ('click', 'view')"),
+UNION ALL SELECT 'https://digest.example/reports/monthly-' || date || '.html', NULL, 'monthly', 0.7 FROM m"""),
+    "u02_union_sections": (u02_sections, "SELECT event_id, event_type, CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS section_ord FROM events"),
     "u03_distinct_keys": (u03_distinct, "SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, user_id FROM events"),
     "q01_query_terms": (q01_terms, "SELECT item_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> ''), '|') AS terms FROM benchmark"),
     "q02_search": (q02_search, "SELECT doc_id FROM documents WHERE strpos(lower(text || ' ' || source), 'idiot') > 0 OR strpos(lower(text || ' ' || source), 'worthless') > 0"),
-    "q03_snippet": (q03_snippet, """WITH m AS (SELECT doc_id, text, strpos(lower(text), 'idiot') - 1 AS p FROM documents WHERE strpos(lower(text), 'idiot') > 0 OR strpos(lower(text), 'ction') > 0),
+    "q03_snippet": (q03_snippet, """WITH m AS (SELECT doc_id, text, strpos(lower(text), 'idiot') - 1 AS p FROM documents),
 c AS (SELECT doc_id, text, p, greatest(p - 30, 0) AS lo, least(p + 5 + 40, length(text)) AS hi FROM m)
 SELECT doc_id, CASE WHEN p >= 0 THEN CASE WHEN lo > 0 THEN '…' ELSE '' END || substr(text, lo + 1, hi - lo) || CASE WHEN hi < length(text) THEN '…' ELSE '' END END AS snippet FROM c"""),
     "q04_highlight": (q04_highlight, "SELECT doc_id, regexp_replace(text, '(the)', '[\\1]', 'gi') AS marked FROM documents"),
     "q05_search_hits": (q05_hits, "SELECT count(DISTINCT conv_id) AS hits FROM conversations WHERE strpos(lower(text), 'and') > 0 OR strpos(lower(text), 'der') > 0"),
     "q06_search_batch": (q06_batch, f"""WITH {ITEMS_SQL}, words AS (
-  SELECT item_id, list_slice(list_filter(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> ''), lambda w: length(w) >= 9), 1, 3) AS terms FROM benchmark
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '') AS terms FROM benchmark
 ), asked AS (SELECT item_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS term_no FROM words),
 hits AS (
   SELECT item_id, date, doc_id, term, body, row_number() OVER (PARTITION BY item_id, date ORDER BY doc_id, term_no) AS k
@@ -192,13 +201,13 @@ hits AS (
 )
 SELECT item_id, CAST(date AS VARCHAR) AS date, doc_id, term,
   CASE WHEN p >= 0 THEN CASE WHEN lo > 0 THEN '…' ELSE '' END || substr(body, lo + 1, hi - lo) || CASE WHEN hi < length(body) THEN '…' ELSE '' END END AS snippet FROM c"""),
-    "j03_cards_reports": (j03_cards, """WITH r AS (SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS items FROM lineitem GROUP BY 1), c AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderdate >= '1999-06-01')
+    "j03_cards_reports": (j03_cards, """WITH r AS (SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS items FROM lineitem GROUP BY 1), c AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders)
 SELECT o_orderkey, 'reports/' || CAST(c.date AS VARCHAR) || '.html' AS href, CAST(c.date AS VARCHAR) AS date, items FROM c LEFT JOIN r USING (date)"""),
-    "j04_unknown_titles": (j04_unknown, _INDEX + f" SELECT doc_id FROM docs WHERE date <= DATE '2024-01-25' AND {_CANDIDATE} NOT IN (SELECT t FROM idx)"),
-    "j04_known_titles": (j04_known, _INDEX + f" SELECT doc_id FROM docs WHERE date <= DATE '2024-01-25' AND {_CANDIDATE} IN (SELECT t FROM idx)"),
+    "j04_unknown_titles": (j04_unknown, _INDEX + f" SELECT doc_id FROM docs WHERE {_CANDIDATE} NOT IN (SELECT t FROM idx)"),
+    "j04_known_titles": (j04_known, _INDEX + f" SELECT doc_id FROM docs WHERE {_CANDIDATE} IN (SELECT t FROM idx)"),
     "s03_search_index": (s03_search_index, """SELECT conv_id, string_agg(concat_ws(':', CAST(turn AS VARCHAR), role, substr(text, 1, 200)), '|' ORDER BY turn) AS items FROM conversations GROUP BY conv_id"""),
-    "s05_title_index": (s05_title_index, _TITLED + """ SELECT CAST(date AS VARCHAR) AS date, string_agg('item' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || ':' || title, '|' ORDER BY doc_id) AS titles
-FROM docs WHERE date IN (SELECT date FROM newest) GROUP BY date"""),
+    "s05_title_index": (s05_title_index, _TITLED + """ SELECT CAST(date AS VARCHAR) AS date, 'item' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS item_id, title
+FROM docs WHERE date IN (SELECT date FROM newest)"""),
     "a15_index_size": (a15_index_size, _TITLED + " SELECT count(DISTINCT date) AS reports, count(*) AS titles FROM docs WHERE date IN (SELECT date FROM newest)"),
     "s06_write_by_date": (s06_by_date, "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1"),
     "f02_links": (f02_links, """SELECT page_id, 'reports/' || CAST(DATE '2024-01-01' + CAST(page_id % 30 AS INTEGER) AS VARCHAR) || '.html#item' || page_id AS link,

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import cells_of, strip
-from broadsheet.operators import classify, heat, jobs, search, segment
+from broadsheet.operators import classify, heat, jobs, listing, search, segment
 
 PLACES = [(p, p, "place") for p in "北京 山东 河南 浙江 福建 四川 陕西 上海 海南 江苏 辽宁".split()] + [
     ("南京", "江苏", "city"), ("苏州", "江苏", "city"), ("滕州", "山东", "city"), ("杭州", "浙江", "city"), ("朝阳", "辽宁", "city"),
@@ -199,3 +199,43 @@ def test_strip_and_cells(spark):
 def test_highlight_escapes_the_term(spark):
     row = spark.range(1).select(search.highlight(F.lit("a.b A.B axb $"), "a.b", "$", "$").alias("s")).first()
     assert row.s == "$a.b$ $A.B$ axb $"
+
+
+def test_a_category_closes_the_open_listing(spark):
+    text = "# 招聘 | 2026年8月22日\n### 1. A — b\n- 📅 **截止日期**：2026-08-25\n## 🏛️ next\n- 📅 **截止日期**：2026-09-30\n- 🔗 [x](http://x)\n### 2. C — d\n- 📧 投递：a@b.c"
+    found = {r.number: r for r in jobs.parse_jobs(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
+    assert str(found[1].deadline_date) == "2026-08-25" and found[1].link_url is None and found[1].link_text == "招聘公告"
+    assert (found[1].category, found[1].icon) == ("招聘", "💼") and (found[2].category, found[2].icon) == ("next", "🏛️")
+    assert found[2].deadline is None and (found[2].link_url, found[2].link_text) == ("mailto:a@b.c", "a@b.c")
+
+
+def test_contents_headers_and_icons_of_free_sections(spark):
+    text = "# 📰 周报 | x\n## 🧭 目录\n- a\n## 🌍 World\nb\n## 🏛️ Two\nc\n## None\nd"
+    typed = segment.digest_lines(spark.createDataFrame([(1, text)], "doc_id long, text string"), "weekly")
+    found = sorted((r.section_no, r.icon, r.heading, r.lines) for r in segment.rich_sections(typed).collect())
+    assert found == [(1, "🌍", "🌍 World", ["b"]), (2, "📄", "🏛️ Two", ["c"]), (3, "📄", "None", ["d"])]
+
+
+def test_batch_search_finds_terms_inside_words(spark):
+    rows = [(1, 3, "Nothing here"), (1, 1, "the HEATMAP of it"), (1, 2, "heat"), (2, 9, "reheated"), (2, 4, ""), (3, 5, None)]
+    items = spark.createDataFrame(rows, "report int, item int, body string")
+    queries = spark.createDataFrame([("q", ["heat", "of"]), ("r", ["eated"]), ("none", ["zzz"]), ("empty", [])], "query string, terms array<string>")
+    found = sorted((r["query"], r.report, r.item, r.term) for r in search.search_batch(items, queries, "query", ["report"], "item", "body", "body").collect())
+    assert found == [("q", 1, 1, "heat"), ("q", 2, 9, "heat"), ("r", 2, 9, "eated")]
+
+
+def test_large_dictionaries_are_met_by_an_equality_join(spark, monkeypatch):
+    rows = [(1, "the heat of the heath"), (2, ""), (3, None), (4, "eat")]
+    items = spark.createDataFrame(rows, "id int, text string")
+    words = spark.createDataFrame([("heat", "a"), ("eat", "b"), ("the heat", "c"), ("cold", "d")], "kw string, place string")
+    small = sorted(map(tuple, classify.keyword_hits(items, "text", words).select("id", "kw", "pos").collect()))
+    monkeypatch.setattr(classify, "MAX_TERMS", 2)
+    large = classify.keyword_hits(items, "text", words)
+    assert large.columns == ["id", "text", "kw", "place", "pos"]
+    assert sorted(map(tuple, large.select("id", "kw", "pos").collect())) == small == [(1, "eat", 6), (1, "heat", 5), (1, "the heat", 1), (4, "eat", 1)]
+
+
+def test_numbers_in_a_group_that_coarse_values_split(spark):
+    rows = [("a", d, i) for d in range(3) for i in range(4)] + [("b", 7, 1)]
+    found = listing.numbered(spark.createDataFrame(rows, "g string, d int, i int"), "g", "d", "i").collect()
+    assert sorted((r.g, r.position, r.d, r.i) for r in found) == sorted([("a", 1 + 4 * (2 - d) + i, d, i) for d in range(3) for i in range(4)] + [("b", 1, 7, 1)])
