@@ -296,13 +296,13 @@ def o05_sort(spark, sf_dir):
 
 
 def s01_read(spark, sf_dir):
-    """Writes the documents to the shared folder, one file each, and scans the files."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    """Writes the documents to the shared folder, one file each, its first line the id, and scans the files."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL")
     path = shared_path(spark, "texts")
-    docs.repartition("doc_id").write.partitionBy("doc_id").text(path)
+    docs.select(text_block(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))).write.option("maxRecordsPerFile", 1).text(path)
     found = documents.read_documents(spark, path, "*.txt")
-    whole = F.regexp_replace("text", r"\n\z", "")  # the writer ends a file with a newline
-    return found.select(F.regexp_extract("path", r"doc_id=(-?\d+)", 1).cast("long").alias("doc_id"), F.length(whole).cast("long").alias("n_chars"), F.md5(whole).alias("digest"))
+    whole = F.regexp_replace(F.regexp_replace("text", r"\A.*\n", ""), r"\n\z", "")  # the writer ends a file with a newline
+    return found.select(F.substring_index("text", "\n", 1).cast("long").alias("doc_id"), F.length(whole).cast("long").alias("n_chars"), F.md5(whole).alias("digest"))
 
 
 def s02_route(spark, sf_dir):
