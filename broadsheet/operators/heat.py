@@ -32,7 +32,7 @@ def fan_out_share(items: DataFrame, places: str = "places", value: str = "value"
 
     explode_outer, as explode would push a test of the array below, where it is computed once more.
     """
-    share = F.col(value) / F.size(places)
+    share = F.col(value) / F.nullif(F.size(places), F.lit(0))
     return items.withColumn("share", share).withColumn("share_2dp", F.round("share", 2)).withColumn("place", F.explode_outer(places)).filter("place IS NOT NULL")
 
 

@@ -85,7 +85,7 @@ def attribution_entries(spark, sf_dir):
     """One row per (document, place) with its decayed even share."""
     items = heat.with_as_of(attributed(spark, sf_dir))
     weighted = items.withColumn("value", heat.decayed_weight(F.lit(1.0), F.col("date"), F.col("as_of")))
-    return heat.fan_out_share(weighted.filter(F.size("places") > 0))
+    return heat.fan_out_share(weighted)
 
 
 def a03_fan_out(spark, sf_dir):

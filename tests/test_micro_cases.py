@@ -239,3 +239,11 @@ def test_numbers_in_a_group_that_coarse_values_split(spark):
     rows = [("a", d, i) for d in range(3) for i in range(4)] + [("b", 7, 1)]
     found = listing.numbered(spark.createDataFrame(rows, "g string, d int, i int"), "g", "d", "i").collect()
     assert sorted((r.g, r.position, r.d, r.i) for r in found) == sorted([("a", 1 + 4 * (2 - d) + i, d, i) for d in range(3) for i in range(4)] + [("b", 1, 7, 1)])
+
+
+def test_places_are_computed_once_for_the_fan_out(spark):
+    items = spark.createDataFrame([("山东 and 河南", 2.0), ("nothing", 1.0)], "title string, value double")
+    placed = items.withColumn("places", classify.scan_places(F.col("title"), PLACES))
+    shared = heat.fan_out_share(placed)
+    assert sorted((r.place, r.share) for r in shared.collect()) == [("山东", 1.0), ("河南", 1.0)]
+    assert shared._jdf.queryExecution().optimizedPlan().toString().count("instr(") == 1
