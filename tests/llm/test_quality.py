@@ -50,3 +50,16 @@ def test_nulls_one_class_and_no_labels(spark):
     assert quality.score(docs.limit(0), model).count() == 0
     model, table = quality.train(docs.limit(0), none)
     assert table.count() == 0
+
+
+def test_rounds_do_not_hurt_and_a_view_without_skill_counts_little(spark):
+    rows = [(*r[:3], f"s{r[0] % 4}", r[4], "") for r in corpus(600)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i, *_ in rows if i % 3 == 0], "doc_id long, quality int")
+    losses = []
+    for rounds in (0, 2):
+        model, _ = quality.train(docs, labels, rounds=rounds, grow=(40, 10))
+        seen = [(r.doc_id % 5 > 0, r._scores.quality) for r in quality.score(docs, model).collect() if r.doc_id % 3]
+        losses.append(np.mean([-np.log(max(p if good else 1 - p, 1e-6)) for good, p in seen]))
+        assert 0 <= model.skills[1] < model.skills[0] <= 1
+    assert losses[1] <= losses[0] + 0.02
