@@ -1,13 +1,17 @@
 """Segmentation of report texts into sections, items, tags, links, tables, fields and blocks.
 
-A text is exploded into lines once. What a line belongs to is decided by running windows over the lines of
-its document, all over one specification, so that Spark shuffles and sorts once: the latest section header,
-the number of items opened so far, the number of free sections. A line is consumed by the first rule that
-fits. Attributes of an item are then conditional aggregates, of which the last line wins.
+A document arrives whole in one row, so daily reports and blocks are segmented inside that row: the array of
+its lines is cut where a header, an item or a run opens, and only what is finished is exploded. No line is
+shuffled, and the work is in proportion to the lines. Of several lines that give an attribute the last wins.
+
+Digests decide what a line belongs to by running windows over the exploded lines of a document, all over one
+specification, so that Spark shuffles and sorts once. A line is consumed by the first rule that fits.
 """
 
 from __future__ import annotations
 
+import os.path
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,6 +69,23 @@ def explode_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return docs.select(F.col(key).alias("doc_id"), F.posexplode(lines_of(F.col(text))).alias("line_no", "line"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def cut(rows: Column, opens: Callable[[Column, Column], Column]) -> Column:
+    """array<array>: the elements of ``rows`` before the first that ``opens`` (element, position), possibly none;
+    then from each that opens to before the next."""
+
+    def groups(r: Column) -> Column:
+        at = F.filter(F.transform(r, lambda x, i: F.when(opens(x, i), i)), lambda i: i.isNotNull())
+        until = lambda bounds, k: F.coalesce(F.get(bounds, k + 1), F.size(r))
+        return let(F.concat(F.array(F.lit(0)), at), lambda b: F.transform(b, lambda low, k: F.slice(r, low + 1, until(b, k) - low)))
+
+    return let(rows, groups)
+
+
 # Headers -------------------------------------------------------------------------------------------
 
 
@@ -103,47 +124,79 @@ def parse_header(docs: DataFrame, kind: str, key: str = "doc_id", text: str = "t
 # Sections, items and line types of daily reports ----------------------------------------------------
 
 
-def assign_sections(lines: DataFrame, sections: tuple[tuple[str, str], ...], resets: tuple[str, ...] = ("## ", "# ")) -> DataFrame:
-    """``lines`` with ``header`` (the section a header line opens, ``~`` for none) and the running ``section``."""
-    header = F.lit(None).cast("string")
-    for prefix in reversed(resets):
-        header = F.when(F.col("line").startswith(prefix), F.lit(_RESET)).otherwise(header)
-    for prefix, name in reversed(sections):
-        header = F.when(F.col("line").startswith(prefix), F.lit(name)).otherwise(header)
-    section = F.last("header", ignorenulls=True).over(running())
-    return lines.withColumn("header", header).withColumn("section", F.nullif(section, F.lit(_RESET)))
-
-
-def assign_items(lines: DataFrame, item: str, item_sections: tuple[str, ...]) -> DataFrame:
-    """``lines`` with sections, with ``is_item``, ``item_no`` (items opened so far in the document), the number
-    the text declares and the title. A section header does not close an item."""
-    opens = F.col("header").isNull() & F.col("section").isin(*item_sections) & F.col("line").rlike(item)
-    opened = lines.withColumn("is_item", F.coalesce(opens, F.lit(False)))
-    return opened.withColumn("item_no", F.sum(F.col("is_item").cast("int")).over(running()).cast("int")).withColumns({
-        "declared_no": F.when(F.col("is_item"), F.try_to_number(F.regexp_extract("line", item, 1), F.lit("999999999")).cast("int")),
-        "title": F.when(F.col("is_item"), strip_anchor(strip(F.regexp_extract("line", item, 2)))),
-    })
+def _numbered(docs: DataFrame, key: str, rows: Column, number: str, row: str) -> DataFrame:
+    """(doc_id, number from 0, row) of the elements of ``rows``. The outer form, whose nulls go afterwards, keeps the
+    optimizer from testing the array's size first, which would compute it again."""
+    found = docs.select(F.col(key).alias("doc_id"), F.posexplode_outer(rows).alias(number, row))
+    return found.filter(F.col(number).isNotNull())
 
 
-def daily_lines(docs: DataFrame, fmt: DailyFormat = DailyFormat()) -> DataFrame:
-    """The lines of daily reports after their title, each with section, item and the rule that consumes it."""
-    lines = explode_lines(docs).filter("line_no > 0")
-    lines = assign_items(assign_sections(lines, fmt.sections, fmt.resets), fmt.item, fmt.item_sections)
-    line, in_item = F.col("line"), F.col("item_no") > 0
-    kind = (
-        F.when(F.col("header") == _RESET, "reset")
-        .when(F.col("header").isNotNull(), "section")
-        .when(F.col("is_item"), "item")
+def _sectioned(lines: Column, sections: tuple[tuple[str, str], ...], resets: tuple[str, ...]) -> Column:
+    """array<struct<line, header, section>> of an array of lines; see :func:`assign_sections`."""
+    common = os.path.commonprefix([*resets, *(prefix for prefix, _ in sections)])
+
+    def header(line: Column) -> Column:
+        opened = F.lit(None).cast("string")
+        for prefix in reversed(resets):
+            opened = F.when(line.startswith(prefix), F.lit(_RESET)).otherwise(opened)
+        for prefix, name in reversed(sections):
+            opened = F.when(line.startswith(prefix), F.lit(name)).otherwise(opened)
+        return F.when(line.startswith(common), opened)  # most lines need one comparison
+
+    def placed(part: Column) -> Column:
+        section = F.nullif(F.get(part, 0)["header"], F.lit(_RESET))
+        row = lambda r, of: F.struct(r["line"].alias("line"), r["header"].alias("header"), of.alias("section"))
+        return let(section, lambda of: F.transform(part, lambda r: row(r, of)))
+
+    headed = F.transform(lines, lambda line: F.struct(line.alias("line"), header(line).alias("header")))
+    return F.flatten(F.transform(cut(headed, lambda r, _: r["header"].isNotNull()), placed))
+
+
+def assign_sections(
+    docs: DataFrame, sections: tuple[tuple[str, str], ...], resets: tuple[str, ...] = ("## ", "# "), key: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """(doc_id, line_no from 0, line, header: the section a header line opens, ``~`` for none, section: the one it stands in)."""
+    rows = _sectioned(lines_of(F.col(text)), sections, resets)
+    return _numbered(docs, key, rows, "line_no", "_row").select("doc_id", "line_no", "_row.*")
+
+
+def _daily_groups(text: Column, fmt: DailyFormat) -> Column:
+    """array<array<struct<line, header, section, is_item>>>: the lines after the title, before the first item and of
+    each item. A section header does not close an item."""
+
+    def marked(r: Column) -> Column:
+        opens = r["header"].isNull() & r["section"].isin(*fmt.item_sections) & r["line"].rlike(fmt.item)
+        return F.struct(*[r[n].alias(n) for n in ("line", "header", "section")], F.coalesce(opens, F.lit(False)).alias("is_item"))
+
+    lines = let(lines_of(text), lambda x: F.slice(x, F.lit(2), F.size(x)))
+    rows = F.transform(_sectioned(lines, fmt.sections, fmt.resets), marked)
+    return cut(rows, lambda r, _: r["is_item"])
+
+
+def _daily_kind(line: Column, header: Column, section: Column, is_item: Column, in_item: Column, fmt: DailyFormat) -> Column:
+    return (
+        F.when(header == _RESET, "reset")
+        .when(header.isNotNull(), "section")
+        .when(is_item, "item")
         .when(in_item & line.rlike(fmt.tags), "tags")
         .when(in_item & line.rlike(fmt.link), "links")
         .when(in_item & line.rlike(fmt.image), "image")
         .when(in_item & line.startswith("> "), "note")
-        .when(F.col("section").isin(*fmt.table_sections) & line.startswith("|"), "table")
+        .when(section.isin(*fmt.table_sections) & line.startswith("|"), "table")
         .when(strip(line).startswith(fmt.footer), "footer")
         .when(in_item & (strip(line) != "") & ~line.startswith("---") & ~line.startswith(">"), "body")
         .otherwise("other")
     )
-    return lines.withColumn("line_type", kind)
+
+
+def daily_lines(docs: DataFrame, fmt: DailyFormat = DailyFormat(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The lines of daily reports after their title (line_no from 1), each with section, is_item, item_no (items
+    opened so far) and line_type, the rule that consumes it."""
+    fields = ("line", "header", "section", "is_item")
+    numbered = lambda group, k: F.transform(group, lambda r: F.struct(*[r[n].alias(n) for n in fields], k.alias("item_no")))
+    rows = F.flatten(F.transform(_daily_groups(F.col(text), fmt), numbered))
+    found = _numbered(docs, key, rows, "_at", "_row").select("doc_id", (F.col("_at") + 1).alias("line_no"), "_row.*")
+    return found.withColumn("line_type", _daily_kind(*map(F.col, fields), F.col("item_no") > 0, fmt))
 
 
 def extract_tags(line: Column, fmt: DailyFormat = DailyFormat()) -> Column:
@@ -177,19 +230,21 @@ def joined_lines(kind: str, line: Column, by: str = "\n") -> Column:
     return F.array_join(F.transform(rows, lambda r: r["line"]), by)
 
 
-def daily_items(typed: DataFrame, fmt: DailyFormat = DailyFormat()) -> DataFrame:
-    """One row per item of :func:`daily_lines`."""
-    line = F.col("line")
-    return typed.filter("item_no > 0").groupBy("doc_id", "item_no").agg(
-        F.max(F.when(F.col("is_item"), F.col("section"))).alias("section"),
-        F.concat(F.lit("item"), F.col("item_no")).alias("item_id"),
-        F.max("title").alias("title"),
-        _last("tags", extract_tags(line, fmt)).alias("tags"),
-        _last("links", extract_links(line, fmt.link)).alias("sources"),
-        _last("image", extract_image(line, fmt.image)).alias("image"),
-        joined_lines("body", line).alias("body"),
-        _last("note", extract_note(line, fmt.note_label)).alias("commentary"),
-    )
+def daily_items(docs: DataFrame, fmt: DailyFormat = DailyFormat(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per item of daily reports: item_no in order of the text, the section it opens in, and its attributes."""
+    groups = _numbered(docs, key, _daily_groups(F.col(text), fmt), "item_no", "_rows").filter("item_no > 0")
+    kind = lambda r: _daily_kind(r["line"], r["header"], r["section"], r["is_item"], F.lit(True), fmt)
+    groups = groups.withColumn("_typed", F.transform("_rows", lambda r: F.struct(r["line"].alias("line"), kind(r).alias("kind"))))
+    of_kind = lambda kind: F.transform(F.filter("_typed", lambda r: r["kind"] == kind), lambda r: r["line"])
+    last = lambda kind: F.try_element_at(of_kind(kind), F.lit(-1))
+    opening = F.get("_rows", 0)
+    return groups.select(
+        "doc_id", "item_no", opening["section"].alias("section"), F.concat(F.lit("item"), F.col("item_no")).alias("item_id"),
+        strip_anchor(strip(F.regexp_extract(opening["line"], fmt.item, 2))).alias("title"),
+        extract_tags(last("tags"), fmt).alias("tags"), extract_links(last("links"), fmt.link).alias("sources"),
+        extract_image(last("image"), fmt.image).alias("image"), F.array_join(of_kind("body"), "\n").alias("body"),
+        extract_note(last("note"), fmt.note_label).alias("commentary"),
+    )
 
 
 def table_rows(typed: DataFrame, *sections: str) -> DataFrame:
@@ -300,32 +355,31 @@ def overview_and_footer(typed: DataFrame) -> DataFrame:
     )
 
 
-def segment_blocks(lines: DataFrame) -> DataFrame:
-    """(doc_id, block_no from 1, block_type, items) from (doc_id, line_no, line): headings and quotes line by line,
-    runs of table rows, bullets, numbered lines, and paragraphs (one item, their lines joined by a space)."""
-    line = F.col("line")
-    bare = strip(line)
-    kind = (
-        F.when((bare == "") | (bare == "---"), "blank")
-        .when(line.rlike(r"^###\s+.+"), "heading").when(line.startswith("|"), "table").when(line.startswith("> "), "quote")
-        .when(line.rlike(r"^-\s+"), "bullets").when(line.rlike(r"^\d+\.\s+"), "numbered")
-        .when(line.rlike(r"^[#>-]"), "skip").otherwise("paragraph")
-    )
-    typed = lines.withColumn("block_type", kind)
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    single = F.col("block_type").isin("heading", "quote")
-    starts = F.lag("block_type").over(order).eqNullSafe(F.col("block_type")) & ~single
-    numbered = typed.withColumn("_new", (~starts).cast("int")).withColumn("_run", F.sum("_new").over(running()))
-    kept = numbered.filter(~F.col("block_type").isin("blank", "skip"))
-    text = (
-        F.when(F.col("block_type") == "heading", strip_anchor(strip(F.regexp_replace(line, r"^###\s+", ""))))
-        .when(F.col("block_type") == "quote", extract_note(line))
-        .when(F.col("block_type") == "bullets", F.regexp_replace(line, r"^-\s+", ""))
-        .when(F.col("block_type") == "numbered", F.regexp_replace(line, r"^\d+\.\s+", ""))
-        .when(F.col("block_type") == "paragraph", bare).otherwise(line)
-    )
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("line_no", text.alias("t")))), lambda r: r["t"])
-    blocks = kept.groupBy("doc_id", "_run", "block_type").agg(rows.alias("items"))
-    items = F.when(F.col("block_type") == "paragraph", F.array(F.array_join("items", " "))).otherwise(F.col("items"))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("_run"))
-    return blocks.select("doc_id", number.alias("block_no"), "block_type", items.alias("items"))
+def segment_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, block_no from 1, block_type, items) of whole texts: headings and quotes line by line, runs of table
+    rows, bullets, numbered lines, and paragraphs (one item, their lines joined by a space)."""
+
+    def kind(line: Column) -> Column:
+        return (
+            F.when(strip(line).isin("", "---"), "blank")
+            .when(line.rlike(r"^###\s+.+"), "heading").when(line.startswith("|"), "table").when(line.startswith("> "), "quote")
+            .when(line.rlike(r"^-\s+"), "bullets").when(line.rlike(r"^\d+\.\s+"), "numbered")
+            .when(line.rlike(r"^[#>-]"), "skip").otherwise("paragraph")
+        )
+
+    def runs(typed: Column) -> Column:
+        opens = lambda r, at: r["kind"].isin("heading", "quote") | (r["kind"] != F.get(typed, at - 1)["kind"])
+        return F.filter(cut(typed, opens), lambda run: ~F.coalesce(F.get(run, 0)["kind"].isin("blank", "skip"), F.lit(True)))
+
+    typed = F.transform(lines_of(F.col(text)), lambda line: F.struct(line.alias("line"), kind(line).alias("kind")))
+    found = _numbered(docs, key, let(typed, runs), "_at", "_run")
+    block = F.get("_run", 0)["kind"]
+    bare = {
+        "heading": lambda line: strip_anchor(strip(F.regexp_replace(line, r"^###\s+", ""))), "quote": extract_note,
+        "bullets": lambda line: F.regexp_replace(line, r"^-\s+", ""), "numbered": lambda line: F.regexp_replace(line, r"^\d+\.\s+", ""),
+    }
+    lines = F.transform("_run", lambda r: r["line"])
+    items = F.when(block == "paragraph", F.array(F.array_join(F.transform(lines, strip), " ")))
+    for name, rule in bare.items():
+        items = items.when(block == name, F.transform(lines, rule))
+    return found.select("doc_id", (F.col("_at") + 1).alias("block_no"), block.alias("block_type"), items.otherwise(lines).alias("items"))

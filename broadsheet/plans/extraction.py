@@ -49,7 +49,7 @@ def daily_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _daily(spark, sf_dir):
-    return segment.daily_items(segment.daily_lines(daily_docs(spark, sf_dir)))
+    return segment.daily_items(daily_docs(spark, sf_dir))
 
 
 _DAILY = f"""WITH it AS (
@@ -126,7 +126,7 @@ def x03_sections(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").withColumn("part", text_block(head, F.concat(F.lit("order "), F.col("o_orderkey").cast("string"))))
     docs = orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(ordered_join("o_orderkey", F.col("part")).alias("text"))
     fmt = segment.DailyFormat()
-    found = segment.assign_sections(segment.explode_lines(docs), fmt.sections, fmt.resets)
+    found = segment.assign_sections(docs, fmt.sections, fmt.resets)
     return found.filter(F.col("line").startswith("order ")).select("doc_id", F.substring("line", 7, 20).cast("long").alias("o_orderkey"), "section")
 
 
@@ -174,7 +174,7 @@ def a13_label(spark, sf_dir):
 
 
 def x13_blocks(spark, sf_dir):
-    found = segment.segment_blocks(segment.explode_lines(table(spark, sf_dir, "documents")))
+    found = segment.segment_blocks(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("block_no").cast("long").alias("block_no"), "block_type", flat("items").alias("items"))
 
 

@@ -94,7 +94,7 @@ leaks into the body
 def test_daily_report(spark, text):
     docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
     typed = segment.daily_lines(docs)
-    first, second = segment.daily_items(typed).orderBy("item_no").collect()
+    first, second = segment.daily_items(docs).orderBy("item_no").collect()
     assert (first.section, first.item_id, first.title, first.tags) == ("domestic", "item1", "First", ["a", "b", "c"])
     assert [(s["name"], s["url"]) for s in first.sources] == [("two", "http://2"), ("three", "http://3")]
     assert (first.body, first.commentary) == ("body\nleaks into the body", "later note")
@@ -178,7 +178,7 @@ def test_jobs(spark):
 def test_blocks(spark):
     text = "### Head {#a}\n\npara one\n para two\n| a | b |\n|---|---|\n> quote\n> next\n- x\n- y\n1. z\n---\nend"
     docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
-    found = segment.segment_blocks(segment.explode_lines(docs)).orderBy("block_no").collect()
+    found = segment.segment_blocks(docs).orderBy("block_no").collect()
     assert [(r.block_type, r["items"]) for r in found] == [
         ("heading", ["Head"]), ("paragraph", ["para one para two"]), ("table", ["| a | b |", "|---|---|"]), ("quote", ["quote"]), ("quote", ["next"]),
         ("bullets", ["x", "y"]), ("numbered", ["z"]), ("paragraph", ["end"]),
@@ -247,3 +247,21 @@ def test_places_are_computed_once_for_the_fan_out(spark):
     shared = heat.fan_out_share(placed)
     assert sorted((r.place, r.share) for r in shared.collect()) == [("山东", 1.0), ("河南", 1.0)]
     assert shared._jdf.queryExecution().optimizedPlan().toString().count("instr(") == 1
+
+
+def test_daily_reports_and_blocks_are_segmented_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, DAILY), (1, DAILY), (2, None), (3, ""), (4, "### 1. x\n- a\n- b")], "doc_id int, text string")
+    fmt = segment.DailyFormat()
+    for found in (segment.daily_lines(docs), segment.daily_items(docs), segment.segment_blocks(docs), segment.assign_sections(docs, fmt.sections)):
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.item_no) for r in segment.daily_items(docs).collect()) == [(1, 1), (1, 1), (1, 2), (1, 2)]
+    assert sorted((r.block_no, r.block_type, r["items"]) for r in segment.segment_blocks(docs.filter("doc_id > 1")).collect()) == [(1, "heading", ["1. x"]), (2, "bullets", ["a", "b"])]
+    lines = segment.daily_lines(docs.filter("doc_id = 1").limit(1)).orderBy("line_no").collect()
+    assert [r.line for r in lines] == DAILY.split("\n")[1:] and [r.line_no for r in lines] == list(range(1, len(lines) + 1))
+
+
+def test_segmentation_takes_texts_of_many_lines(spark):
+    text = "# t\n" + "\n".join(f"## 🇨🇳 国内要闻\n### {i}. title {i}\nbody {i}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    assert segment.daily_items(docs).filter("body = concat('body ', item_no - 1)").count() == 20_000
+    assert segment.segment_blocks(docs).count() == 40_000
