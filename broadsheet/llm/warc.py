@@ -30,8 +30,8 @@ from broadsheet.llm.scratch import scratch_path
 #: Magic number of the dictionary's frame and of the frames between records (fixed values of the format).
 DICTIONARY_MAGIC = 0x184D2A5D
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
-#: Records of an archive, which is read whole.
-RECORDS = 4_000
+#: Records of an archive, which is read whole, and the bytes of records after which it takes no more.
+RECORDS, ARCHIVE_BYTES = 4_000, 128 << 20
 #: Bytes of records a dictionary is built from, and its size.
 SAMPLE_BYTES, DICTIONARY_BYTES = 1 << 20, 1 << 16
 #: With fewer records than this their bytes themselves are the dictionary.
@@ -86,14 +86,28 @@ def with_record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, level: int = 3) -> None:
-    """Writes archives of at most ``RECORDS`` records of ``pages`` (page_id, url, html) under ``path``."""
+    """Writes archives of at most ``RECORDS`` records of ``pages`` (page_id, url, html) under ``path``.
+
+    Records of together ``ARCHIVE_BYTES`` close an archive too: rows without a frame fill it up, each no more than a
+    separator.
+    """
 
     def frames(batches):
         records = chain.from_iterable(
             (record(*[column[i].as_py() for column in batch.columns]) for i in range(batch.num_rows)) for batch in batches
         )
         for first in records:
-            yield from archive(chain([first], islice(records, RECORDS - 1)))
+            yield from archive(bounded(chain([first], islice(records, RECORDS - 1))))
+
+    def bounded(records):
+        """``records`` until they hold ARCHIVE_BYTES, then a None for each that is lacking."""
+        size = 0
+        for count, one in enumerate(records, 1):
+            size += len(one)
+            yield one
+            if size >= ARCHIVE_BYTES:
+                yield from [None] * (RECORDS - count)
+                return
 
     def archive(records):
         held, size, packer = [], 0, None
@@ -107,7 +121,11 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, level: int =
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
 
         for one in records:
-            if packer is not None:
+            if one is None:
+                if packer is None:
+                    packer, held = start()
+                held.append(b"")
+            elif packer is not None:
                 held.append(packer.compress(one))
                 size += len(held[-1])
             else:

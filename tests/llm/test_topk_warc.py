@@ -67,6 +67,17 @@ def test_archives_hold_a_bounded_number_of_records(spark, monkeypatch, tmp_path)
     assert warc.read_archives(spark, str(tmp_path / "a")).count() == len(rows)
 
 
+def test_archives_hold_bounded_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "RECORDS", 50)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3_000)
+    table, rows = pages(spark)
+    warc.write_archives(table.coalesce(1), str(tmp_path / "a"))
+    files = list((tmp_path / "a").glob("part-*"))
+    assert len(files) > len(rows) / 50 + 2 and all(f.read_bytes()[:4] == warc.DICTIONARY_MAGIC.to_bytes(4, "little") for f in files)
+    found = {(r.page_id, r.url, r.payload_bytes) for r in warc.read_archives(spark, str(tmp_path / "a")).collect()}
+    assert found == {(i, u, len((h or "").encode())) for i, u, h in rows}
+
+
 def test_archives_round_trip(spark):
     table, rows = pages(spark)
     found = warc.archive_round_trip(table).collect()
