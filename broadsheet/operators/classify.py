@@ -42,16 +42,20 @@ def keyword_hits(items: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
 
     The join form of the scan. Up to MAX_TERMS keywords are broadcast and compared with every text. More are met by
     an equality join with the texts' pieces of the lengths that keywords have, so the work does not grow with them.
+    Pieces travel with a digest of their text, not with the text; equal texts are searched once.
     """
     if keywords.limit(MAX_TERMS + 1).count() <= MAX_TERMS:
         position = F.instr(items[text], keywords["kw"])
         return items.join(F.broadcast(keywords), items[text].contains(keywords["kw"])).withColumn("pos", position)
     sizes = keywords.agg(F.collect_set(F.length("kw")).alias("_sizes"))  # no more values than the longest keyword has characters
-    fits = items.crossJoin(F.broadcast(sizes)).withColumn("_size", F.explode("_sizes")).filter(F.length(text) >= F.col("_size"))
-    pieces = F.transform(F.sequence(F.lit(1), F.length(text) - F.col("_size") + 1), lambda at: F.substring(text, at, F.col("_size")))
-    cut = fits.withColumn("_piece", F.explode(F.array_distinct(pieces))).drop("_sizes", "_size")
-    joined = cut.join(keywords, cut["_piece"] == keywords["kw"])
-    return joined.withColumn("pos", F.instr(F.col(text), F.col("kw"))).drop("_piece")
+    digest = F.unhex(F.md5(text))
+    fits = items.select(digest.alias("_of"), F.col(text).alias("_text")).crossJoin(F.broadcast(sizes))
+    fits = fits.select("_of", "_text", F.explode("_sizes").alias("_size")).filter(F.length("_text") >= F.col("_size"))
+    places = F.explode(F.sequence(F.lit(1), F.length("_text") - F.col("_size") + 1))
+    pieces = fits.select("_of", "_text", "_size", places.alias("_at")).select("_of", F.substring("_text", F.col("_at"), F.col("_size")).alias("_piece"))
+    met = keywords.join(pieces.distinct(), keywords["kw"] == F.col("_piece")).drop("_piece")
+    found = items.withColumn("_of", digest).join(met, "_of").drop("_of").withColumn("pos", F.instr(F.col(text), F.col("kw")))
+    return found.filter("pos > 0")  # texts that share a digest by chance
 
 
 def matches_rules(title, tags, title_words: Sequence[str] = (), tag_words: Sequence[str] = ()) -> Column:
@@ -68,12 +72,42 @@ def attribute_places(items: DataFrame, dictionary, rules: dict[str, Sequence[str
     (at most ``max_body``), weak national (no place), any body hit including cities (at most ``max_body``: body),
     unassigned. ``rules`` has outreach_tag, outreach_title, strong_policy and weak_national.
     """
-    title, tags, body = F.col("title"), F.coalesce("tags", F.array().cast("array<string>")), F.coalesce("body", F.lit(""))
-    joined = F.array_join(tags, " ")
+    title, joined, body = _scanned_texts()
     scanned = items.withColumns({
         "_title": scan_places(title, dictionary), "_tags": scan_places(joined, dictionary),
         "_site": scan_places(body, dictionary, ("place", "site")), "_body": scan_places(body, dictionary),
     })
+    return _by_tiers(scanned, rules, max_body)
+
+
+def attribute_places_joined(items: DataFrame, key: str, places: DataFrame, rules: dict[str, Sequence[str]], max_body: int = 2) -> DataFrame:
+    """:func:`attribute_places` with a dictionary of any size, the table ``places`` (kw, place, layer, ord).
+
+    ``key`` is unique in ``items`` and not null. Hits are found by :func:`keyword_hits`, reduced to a position per
+    (item, text, place) before the shuffle, and joined back; an item takes a list no longer than its own hits.
+    """
+    title, joined, body = _scanned_texts()
+    texts = F.stack(F.lit(3), F.lit("title"), title, F.lit("tags"), joined, F.lit("body"), body).alias("_part", "_text")
+    hits = keyword_hits(items.select(F.col(key).alias("_key"), texts), "_text", places)
+    rank = F.struct((F.col("layer") != "place").alias("other"), "ord", "pos")  # bare place names come first
+    firsts = hits.groupBy("_key", "_part", "place").agg(F.min(rank).alias("_any"), F.min(F.when(F.col("layer") != "city", rank)).alias("_near"))
+    at = {name: F.when(F.col("_part") == part, F.struct(F.col(f"{of}.pos").alias("pos"), "place")) for name, part, of in (
+        ("_title", "title", "_any"), ("_tags", "tags", "_any"), ("_body", "body", "_any"))}
+    at["_site"] = F.when((F.col("_part") == "body") & F.col("_near").isNotNull(), F.struct(F.col("_near.pos").alias("pos"), "place"))
+    lists = firsts.groupBy("_key").agg(*[F.transform(F.array_sort(F.collect_list(c)), lambda h: h["place"]).alias(n) for n, c in at.items()])
+    none = F.array().cast("array<string>")
+    scanned = items.join(lists, items[key] == lists["_key"], "left").drop("_key").withColumns({n: F.coalesce(n, none) for n in at})
+    return _by_tiers(scanned, rules, max_body)
+
+
+def _scanned_texts() -> tuple[Column, Column, Column]:
+    """Title, joined tags and body, as they are scanned."""
+    return F.col("title"), F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "), F.coalesce("body", F.lit(""))
+
+
+def _by_tiers(scanned: DataFrame, rules: dict[str, Sequence[str]], max_body: int) -> DataFrame:
+    """``scanned`` (_title, _tags, _site, _body: places) with ``tier`` and ``places``."""
+    title, tags = F.col("title"), F.coalesce("tags", F.array().cast("array<string>"))
     outreach = matches_rules(title, tags, rules.get("outreach_title", ()), rules.get("outreach_tag", ()))
     strong = matches_rules(title, tags, rules.get("strong_policy", ()), rules.get("strong_policy", ()))
     weak = matches_rules(title, tags, rules.get("weak_national", ()), rules.get("weak_national", ()))

@@ -2,8 +2,8 @@
 
 place_dict(kw, place, layer in place/city/site, ord); rules(rule_set, kw); theme_dict(theme, theme_ord, word).
 A dictionary is a table of a few thousand rows at most: it is read once on the driver, checked against
-``MAX_TERMS`` and written into the plan as a literal; a larger one goes through the join form
-(:func:`broadsheet.operators.classify.keyword_hits`).
+``MAX_TERMS`` and written into the plan as a literal; a larger one goes through the join forms
+(:func:`broadsheet.operators.classify.keyword_hits` and ``attribute_places_joined``).
 """
 
 from __future__ import annotations

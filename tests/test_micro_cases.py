@@ -37,6 +37,18 @@ def test_tiers_of_attribution(spark):
     assert [(" ".join(r.places), r.tier) for r in found] == [(p, t) for *_, p, t in CASES]
 
 
+@pytest.mark.parametrize("most", [5_000, 3])
+def test_the_join_form_attributes_alike(spark, monkeypatch, most):
+    monkeypatch.setattr(classify, "MAX_TERMS", most)
+    rows = [(i, t, g.split(), b) for i, (t, g, b, _, _) in enumerate(CASES)] + [(99, None, None, None), (100, "", ["苏州"], "殷墟 " * 3 + "上海")]
+    items = spark.createDataFrame(rows, "id int, title string, tags array<string>, body string")
+    places = spark.createDataFrame([(*row, at) for at, row in enumerate(PLACES)], "kw string, place string, layer string, ord int")
+    plain = classify.attribute_places(items, PLACES, RULES).orderBy("id")
+    joined = classify.attribute_places_joined(items, "id", places, RULES).orderBy("id")
+    assert joined.columns == plain.columns and joined.collect() == plain.collect()
+    assert classify.attribute_places_joined(items.limit(0), "id", places, RULES).count() == 0
+
+
 def test_attribution_takes_nulls_and_empty_tables(spark):
     schema = "id int, title string, tags array<string>, body string"
     items = spark.createDataFrame([(1, None, None, None)], schema)
