@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Distinct pre-tokens of a generation of the worker's cache; it keeps two.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 64_000
 #: Longer pre-tokens are not kept.
 CACHE_CHARS = 64
 
