@@ -45,7 +45,7 @@ def _vocabulary(path: str) -> _Vocabulary:
     return _Vocabulary((rank, token) for token, rank in load_ranks(path).items())
 
 
-#: The bits of a word of the bitmap.
+#: The bits of a word of the lower level; the upper level is one integer, with a bit per word of however many ranks.
 _BIT = [1 << i for i in range(256)]
 
 
@@ -82,7 +82,7 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                     words[word] |= _BIT[rank & 255]
                 else:
                     words[word] = _BIT[rank & 255]
-                    top |= _BIT[word]
+                    top |= 1 << word
     while top:
         word = (top & -top).bit_length() - 1
         bits = words[word]
@@ -125,7 +125,7 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                         words[word] |= _BIT[rank & 255]
                     else:
                         words[word] = _BIT[rank & 255]
-                        top |= _BIT[word]
+                        top |= 1 << word
         else:
             waiting[left] = -1
         if left:
@@ -145,7 +145,7 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                         words[word] |= _BIT[rank & 255]
                     else:
                         words[word] = _BIT[rank & 255]
-                        top |= _BIT[word]
+                        top |= 1 << word
     ids, at = [], 0
     while at < n:
         end = after[at]

@@ -59,3 +59,15 @@ def test_the_cache_changes_no_result(spark, library, monkeypatch):
     encoder = bpe.Encoder(PATH, PATTERN)
     text = " ".join(f"worrd{i % 11}x" for i in range(200))
     assert memoryview(encoder(text)).cast("i").tolist() == library.encode_ordinary(text)
+
+
+def test_vocabulary_of_200000_ranks():
+    """The bitmap has no bound on ranks: those of a small vocabulary, spread over 200,000, give the same pieces."""
+    ranks = {bytes([b]): b for b in range(256)}
+    for pair in (b"ab", b"bc", b"abc", b"aa", b"aaaa"):
+        ranks[pair] = len(ranks)
+    spread = {token: rank if rank < 256 else 65_000 + (rank - 256) * 33_000 for token, rank in ranks.items()}
+    back = {rank: token for token, rank in spread.items()}
+    assert max(spread.values()) > 190_000
+    for piece in (b"abcabc", b"aabcb" * 9, b"aaaaaaabc", b"zzabz"):
+        assert [back[i] for i in bpe.merge_bytes(piece, spread)] == [{r: t for t, r in ranks.items()}[i] for i in bpe.merge_bytes(piece, ranks)]
