@@ -37,25 +37,56 @@ def scan_places(text, dictionary: Sequence[tuple[str, str, str]], layers: Sequen
     return F.transform(F.array_sort(first), lambda h: h["place"])
 
 
+#: Lengths of anchors: a keyword is sought by its first characters, as many as the greatest of these that it has.
+ANCHORS = (1, 2, 4, 8, 16)
+#: Characters of a text cut into one block, or as many as the longest keyword has.
+BLOCK = 256
+
+
 def keyword_hits(items: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
     """``items`` joined with each row of ``keywords`` (kw, ...) whose kw stands in ``text``, and its position.
 
-    The join form of the scan. Up to MAX_TERMS keywords are broadcast and compared with every text. More are met by
-    an equality join with the texts' pieces of the lengths that keywords have, so the work does not grow with them.
-    Pieces travel with a digest of their text, not with the text; equal texts are searched once.
+    The join form of the scan. Up to MAX_TERMS keywords are broadcast and compared with every text; more go through
+    :func:`keyword_hits_joined`, with the same result. An empty keyword stands nowhere.
     """
-    if keywords.limit(MAX_TERMS + 1).count() <= MAX_TERMS:
-        position = F.instr(items[text], keywords["kw"])
-        return items.join(F.broadcast(keywords), items[text].contains(keywords["kw"])).withColumn("pos", position)
-    sizes = keywords.agg(F.collect_set(F.length("kw")).alias("_sizes"))  # no more values than the longest keyword has characters
+    if keywords.limit(MAX_TERMS + 1).count() > MAX_TERMS:
+        return keyword_hits_joined(items, text, keywords)
+    known = F.broadcast(keywords.filter("kw <> ''"))
+    return items.join(known, F.contains(F.col(text), F.col("kw"))).withColumn("pos", F.instr(F.col(text), F.col("kw")))
+
+
+def keyword_hits_joined(items: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
+    """:func:`keyword_hits` for any number of keywords, in time linear in the texts' lengths.
+
+    Each text is cut once into blocks that reach as far into the next as the longest keyword; at each character of a
+    block the hashes of the pieces that begin there, one for each anchor length in use, are met with those of the
+    keywords by an equality join. What meets is verified in its block, and the least position of a keyword in a text
+    is kept. Texts travel as blocks, once, and by a digest; equal texts are searched once.
+    """
+    keywords = keywords.filter("kw <> ''")
+    size = F.length("kw")
+    anchor = F.greatest(*[F.when(size >= n, F.lit(n)) for n in ANCHORS])
+    shape = keywords.agg(F.max(size), F.array_sort(F.collect_set(anchor))).first()  # one row, as many values as ANCHORS
+    longest, lengths = shape[0] or 1, shape[1] or [1]
     digest = F.unhex(F.md5(text))
-    fits = items.select(digest.alias("_of"), F.col(text).alias("_text")).crossJoin(F.broadcast(sizes))
-    fits = fits.select("_of", "_text", F.explode("_sizes").alias("_size")).filter(F.length("_text") >= F.col("_size"))
-    places = F.explode(F.sequence(F.lit(1), F.length("_text") - F.col("_size") + 1))
-    pieces = fits.select("_of", "_text", "_size", places.alias("_at")).select("_of", F.substring("_text", F.col("_at"), F.col("_size")).alias("_piece"))
-    met = keywords.join(pieces.distinct(), keywords["kw"] == F.col("_piece")).drop("_piece")
-    found = items.withColumn("_of", digest).join(met, "_of").drop("_of").withColumn("pos", F.instr(F.col(text), F.col("kw")))
-    return found.filter("pos > 0")  # texts that share a digest by chance
+    block = max(BLOCK, longest - 1)
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    texts = items.select(digest.alias("_of"), F.col(text)).dropDuplicates(["_of"]).select("_of", cut.alias("_cut"))
+    ahead = F.substring(F.coalesce(F.get("_cut", F.col("_no") + 1), F.lit("")), 1, longest - 1)
+    own = F.get("_cut", F.col("_no"))
+    numbered = texts.select("_of", "_cut", F.explode(F.sequence(F.lit(0), F.size("_cut") - 1)).alias("_no")).filter(F.size("_cut") > 0)
+    blocks = numbered.select("_of", "_no", F.concat(own, ahead).alias("_block"), F.length(own).alias("_own"))
+
+    pieces = F.array(*[F.xxhash64(F.lit(n), F.substring(F.col("_block"), F.col("_at"), F.lit(n))) for n in lengths])
+    starts = blocks.select("_of", "_no", "_block", F.explode(F.sequence(F.lit(1), F.col("_own"))).alias("_at"))
+    anchored = starts.select("_of", "_no", "_at", F.explode(pieces).alias("_anchor"))
+    sought = keywords.select("kw").distinct().select("kw", F.xxhash64(anchor, F.substring(F.col("kw"), F.lit(1), anchor)).alias("_anchor"))
+    met = anchored.join(sought, "_anchor").select("_of", "_no", "_at", "kw")
+    here = F.substring(F.col("_block"), F.col("_at"), F.length("kw")) == F.col("kw")
+    verified = met.join(blocks.select("_of", "_no", "_block"), ["_of", "_no"]).filter(here)
+    hits = verified.groupBy("_of", "kw").agg(F.min(F.col("_no").cast("long") * block + F.col("_at")).cast("int").alias("pos"))
+    found = keywords.join(hits, "kw").select("_of", *[F.col(c) for c in keywords.columns], "pos")
+    return items.withColumn("_of", digest).join(found, "_of").drop("_of")
 
 
 def matches_rules(title, tags, title_words: Sequence[str] = (), tag_words: Sequence[str] = ()) -> Column:
@@ -65,6 +96,25 @@ def matches_rules(title, tags, title_words: Sequence[str] = (), tag_words: Seque
     return F.coalesce(by_tag, F.lit(False)) | F.coalesce(by_title, F.lit(False))
 
 
+def matches_rules_joined(items: DataFrame, key: str, title_words: DataFrame, tag_words: DataFrame, name: str) -> DataFrame:
+    """``items`` (title, tags) with the boolean ``name``: :func:`matches_rules` with tables (kw) of any size.
+
+    ``key`` is unique in ``items`` and not null. Only keys travel back: those of a title hit and of an equal tag.
+    """
+    titles = keyword_hits(items.select(F.col(key).alias("_key"), F.col("title").alias("_text")), "_text", title_words.select("kw").distinct())
+    tags = items.select(F.col(key).alias("_key"), F.explode("tags").alias("kw")).join(tag_words.select("kw").distinct(), "kw", "left_semi")
+    found = titles.select("_key").union(tags.select("_key")).distinct().withColumn("_found", F.lit(True))
+    return items.join(found, items[key] == found["_key"], "left").withColumn(name, F.coalesce("_found", F.lit(False))).drop("_key", "_found")
+
+
+def rule_flags(items: DataFrame, key: str, rules: DataFrame) -> DataFrame:
+    """``items`` with the booleans _outreach, _strong and _weak by a table ``rules`` (rule_set, kw) of any size."""
+    words = {name: rules.filter(F.col("rule_set") == name) for name in ("outreach_title", "outreach_tag", "strong_policy", "weak_national")}
+    flagged = matches_rules_joined(items, key, words["outreach_title"], words["outreach_tag"], "_outreach")
+    flagged = matches_rules_joined(flagged, key, words["strong_policy"], words["strong_policy"], "_strong")
+    return matches_rules_joined(flagged, key, words["weak_national"], words["weak_national"], "_weak")
+
+
 def attribute_places(items: DataFrame, dictionary, rules: dict[str, Sequence[str]], max_body: int = 2) -> DataFrame:
     """``items`` (title, tags, body) with ``places`` and ``tier``; the first tier that fits decides:
 
@@ -80,10 +130,10 @@ def attribute_places(items: DataFrame, dictionary, rules: dict[str, Sequence[str
     return _by_tiers(scanned, rules, max_body)
 
 
-def attribute_places_joined(items: DataFrame, key: str, places: DataFrame, rules: dict[str, Sequence[str]], max_body: int = 2) -> DataFrame:
+def attribute_places_joined(items: DataFrame, key: str, places: DataFrame, rules: dict[str, Sequence[str]] | DataFrame, max_body: int = 2) -> DataFrame:
     """:func:`attribute_places` with a dictionary of any size, the table ``places`` (kw, place, layer, ord).
 
-    ``key`` is unique in ``items`` and not null. Hits are found by :func:`keyword_hits`, reduced to a position per
+    ``rules`` may be a table (rule_set, kw) of any size too. ``key`` is unique in ``items`` and not null. Hits are found by :func:`keyword_hits`, reduced to a position per
     (item, text, place) before the shuffle, and joined back; an item takes a list no longer than its own hits.
     """
     title, joined, body = _scanned_texts()
@@ -97,7 +147,7 @@ def attribute_places_joined(items: DataFrame, key: str, places: DataFrame, rules
     lists = firsts.groupBy("_key").agg(*[F.transform(F.array_sort(F.collect_list(c)), lambda h: h["place"]).alias(n) for n, c in at.items()])
     none = F.array().cast("array<string>")
     scanned = items.join(lists, items[key] == lists["_key"], "left").drop("_key").withColumns({n: F.coalesce(n, none) for n in at})
-    return _by_tiers(scanned, rules, max_body)
+    return _by_tiers(rule_flags(scanned, key, rules) if isinstance(rules, DataFrame) else scanned, rules, max_body)
 
 
 def _scanned_texts() -> tuple[Column, Column, Column]:
@@ -105,12 +155,15 @@ def _scanned_texts() -> tuple[Column, Column, Column]:
     return F.col("title"), F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "), F.coalesce("body", F.lit(""))
 
 
-def _by_tiers(scanned: DataFrame, rules: dict[str, Sequence[str]], max_body: int) -> DataFrame:
-    """``scanned`` (_title, _tags, _site, _body: places) with ``tier`` and ``places``."""
+def _by_tiers(scanned: DataFrame, rules: dict[str, Sequence[str]] | DataFrame, max_body: int) -> DataFrame:
+    """``scanned`` (_title, _tags, _site, _body: places) with ``tier`` and ``places``; a table of rules has been joined before."""
     title, tags = F.col("title"), F.coalesce("tags", F.array().cast("array<string>"))
-    outreach = matches_rules(title, tags, rules.get("outreach_title", ()), rules.get("outreach_tag", ()))
-    strong = matches_rules(title, tags, rules.get("strong_policy", ()), rules.get("strong_policy", ()))
-    weak = matches_rules(title, tags, rules.get("weak_national", ()), rules.get("weak_national", ()))
+    if isinstance(rules, DataFrame):
+        outreach, strong, weak = F.col("_outreach"), F.col("_strong"), F.col("_weak")
+    else:
+        outreach = matches_rules(title, tags, rules.get("outreach_title", ()), rules.get("outreach_tag", ()))
+        strong = matches_rules(title, tags, rules.get("strong_policy", ()), rules.get("strong_policy", ()))
+        weak = matches_rules(title, tags, rules.get("weak_national", ()), rules.get("weak_national", ()))
     none = F.array().cast("array<string>")
     some = lambda c: F.size(c) > 0
     tiers = [
@@ -120,7 +173,7 @@ def _by_tiers(scanned: DataFrame, rules: dict[str, Sequence[str]], max_body: int
     tier, places = F.lit("unassigned"), none
     for test, name, value in reversed(tiers):
         tier, places = F.when(test, F.lit(name)).otherwise(tier), F.when(test, value).otherwise(places)
-    return scanned.withColumn("tier", tier).withColumn("places", places).drop("_title", "_tags", "_site", "_body")
+    return scanned.withColumn("tier", tier).withColumn("places", places).drop("_title", "_tags", "_site", "_body", "_outreach", "_strong", "_weak")
 
 
 def themes_of(tags, themes: Sequence[tuple[str, str]]) -> Column:
@@ -130,6 +183,21 @@ def themes_of(tags, themes: Sequence[tuple[str, str]]) -> Column:
     return F.array_distinct(F.filter(first, lambda t: t.isNotNull()))
 
 
+def themes_joined(items: DataFrame, key: str, tags: str, themes: DataFrame) -> DataFrame:
+    """``items`` with ``themes``: :func:`themes_of` with a table (theme, theme_ord, word) of any size.
+
+    ``key`` is unique in ``items`` and not null; each distinct tag is searched once, whatever the number of its items.
+    """
+    tagged = items.select(F.col(key).alias("_key"), F.posexplode(tags).alias("_no", "_tag"))
+    words = themes.select("theme", "theme_ord", F.col("word").alias("kw"))
+    hits = keyword_hits(tagged.select("_tag").filter(F.col("_tag").isNotNull()).distinct(), "_tag", words)
+    theme_of = hits.groupBy("_tag").agg(F.min_by("theme", F.struct("theme_ord", "theme")).alias("_theme"))
+    lists = tagged.join(theme_of, "_tag").groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_no", "_theme"))).alias("_found"))
+    joined = items.join(lists, items[key] == lists["_key"], "left")
+    found = F.coalesce(F.array_distinct(F.transform("_found", lambda h: h["_theme"])), F.array().cast("array<string>"))
+    return joined.withColumn("themes", found).drop("_key", "_found")
+
+
 def emphasis_weight(title, marker: str) -> Column:
     """1 and one more for each ``marker`` in the title."""
     return 1 + occurrences(title, marker)

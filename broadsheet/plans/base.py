@@ -82,14 +82,17 @@ docs AS (
 )"""
 
 
+#: The sample dictionary as a CTE ``dictionary`` (kw, place, layer, ord).
+DICTIONARY_SQL = "dictionary(kw, place, layer, ord) AS (VALUES " + ", ".join(
+    f"({sql_text(k)}, {sql_text(p)}, {sql_text(la)}, {i})" for i, (k, p, la) in enumerate(DICTIONARY)) + ")"
+
+
 def scan_sql(name: str, text: str, layers: tuple[str, ...] = ("place", "city", "site")) -> str:
-    """CTEs ``name`` (doc_id, n, places joined by |, places cut to two) of the dictionary scan of ``text`` over docs."""
-    rows = [(k, p, la, i + (0 if la == "place" else 10_000)) for i, (k, p, la) in enumerate(DICTIONARY) if la in layers]
-    values = ", ".join(f"({sql_text(k)}, {sql_text(p)}, {o})" for k, p, _, o in rows)
+    """CTEs ``name`` (doc_id, n, places joined by |, places cut to two) of the scan of ``text`` over docs by ``dictionary``."""
     return f"""
 {name}_first AS (
-  SELECT doc_id, place, arg_min(strpos({text}, kw), ord) AS pos
-  FROM docs JOIN (VALUES {values}) AS d(kw, place, ord) ON strpos({text}, kw) > 0 GROUP BY doc_id, place
+  SELECT doc_id, place, arg_min(strpos({text}, kw), (layer <> 'place', ord, strpos({text}, kw))) AS pos
+  FROM docs JOIN dictionary ON strpos({text}, kw) > 0 WHERE layer IN ({", ".join(map(sql_text, layers))}) GROUP BY doc_id, place
 ), {name}_ranked AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, place) AS k FROM {name}_first
 ), {name} AS (
@@ -99,7 +102,7 @@ def scan_sql(name: str, text: str, layers: tuple[str, ...] = ("place", "city", "
 )"""
 
 
-def attributed_sql() -> str:
+def attributed_sql(dictionary: str = DICTIONARY_SQL) -> str:
     """CTEs up to ``attributed`` (doc_id, title, date, tier, places, n)."""
     def any_of(words, text):
         return "(" + " OR ".join(f"strpos({text}, {sql_text(w)}) > 0" for w in words) + ")"
@@ -110,7 +113,7 @@ def attributed_sql() -> str:
     out = f"({in_tags(RULES['outreach_tag'])} OR {any_of(RULES['outreach_title'], 'title')})"
     strong = f"({in_tags(RULES['strong_policy'])} OR {any_of(RULES['strong_policy'], 'title')})"
     weak = f"({in_tags(RULES['weak_national'])} OR {any_of(RULES['weak_national'], 'title')})"
-    return f"""WITH {ITEMS_SQL}, {scan_sql('t', 'title')}, {scan_sql('g', 'tag')}, {scan_sql('s', 'body', ('place', 'site'))}, {scan_sql('b', 'body')},
+    return f"""WITH {dictionary}, {ITEMS_SQL}, {scan_sql('t', 'title')}, {scan_sql('g', 'tag')}, {scan_sql('s', 'body', ('place', 'site'))}, {scan_sql('b', 'body')},
 tiered AS (
   SELECT docs.doc_id, title, date,
     CASE WHEN t.n > 0 THEN 'title' WHEN g.n > 0 THEN 'tags' WHEN {out} THEN 'outreach' WHEN {strong} THEN 'national'
