@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from broadsheet.sources.documents import write_by_date
+
 
 def query_terms(query) -> Column:
     """array<string>: lower-cased words; empty for an empty query, which stands for everything."""
@@ -84,11 +86,99 @@ def search_batch(items: DataFrame, queries: DataFrame, query_id: str, report: Se
     asked = queries.select(query_id, F.posexplode("terms").alias("term_no", "term"))
     word = F.explode(F.array_distinct(query_terms(search_text(*columns)))).alias("word")
     first_word = items.select(*report, order, word).groupBy(*report, "word").agg(F.min(order).alias(order))
-    found = first_word.join(words_with_terms(first_word, asked), "word")
-    first_term_of = found.groupBy(*report, "term").agg(F.min(order).alias(order))
-    best = first_term_of.join(asked, "term").groupBy(query_id, *report).agg(F.min(F.struct(order, "term_no", "term")).alias("_best"))
+    found = first_word.join(words_with_terms(first_word, asked), "word").groupBy(*report, "term").agg(F.min(order).alias(order))
+    return _first_hits(found, asked, items, query_id, report, order, text)
+
+
+def _first_hits(first_term: DataFrame, asked: DataFrame, items: DataFrame, query_id: str, report: Sequence[str], order: str, text: str) -> DataFrame:
+    """The first item of each report for each query, with a snippet, from the first item of each (report, term)."""
+    best = first_term.join(asked, "term").groupBy(query_id, *report).agg(F.min(F.struct(order, "term_no", "term")).alias("_best"))
     first = best.select(query_id, *report, f"_best.{order}", "_best.term")
-    return first.join(items.select(*report, order, text), [*report, order]).select(query_id, *report, order, "term", snippet(F.col(text), F.col("term")).alias("snippet"))
+    found = first.join(items.select(*report, order, text), [*report, order])
+    return found.select(query_id, *report, order, "term", snippet(F.col(text), F.col("term")).alias("snippet"))
+
+
+#: Characters of a gram of the lexicon.
+GRAM = 3
+#: Entries of one row of the index.
+LIST = 1024
+#: Stands behind the last characters of a word, so that its end has grams too.
+_PAD = "\0"
+
+
+def _lists(rows: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """``by`` and ``name``, the sorted values of each group in arrays of at most LIST; a group is collected per input split."""
+    grouped = rows.groupBy(*by, "_split").agg(F.array_sort(F.collect_list(value)).alias("_all"))
+    parts = F.transform(F.sequence(F.lit(0), F.expr(f"(size(_all) - 1) div {LIST}")), lambda k: F.slice("_all", k * LIST + 1, F.lit(LIST)))
+    return grouped.select(*by, F.explode(parts).alias(name))
+
+
+def postings(items: DataFrame, report: Sequence[str], order: str, *columns: str) -> DataFrame:
+    """(report, word, items): the items of each report that hold each word of ``columns``, in lists of at most LIST."""
+    words = F.explode(F.array_distinct(query_terms(search_text(*columns)))).alias("word")
+    return _lists(items.select(*report, order, words).withColumn("_split", F.spark_partition_id()), [*report, "word"], order, "items")
+
+
+def grams(word) -> Column:
+    """array<string>: the GRAM characters from each character of ``word`` on, the last ones padded; linear in its length."""
+    def from_each(letters: Column) -> Column:
+        ahead = lambda i, n: F.coalesce(F.get(letters, i + n), F.lit(_PAD))
+        return F.transform(letters, lambda c, i: F.concat(c, *[ahead(i, n) for n in range(1, GRAM)]))
+
+    return F.array_distinct(F.flatten(F.transform(F.array(F.split(word, "")), from_each)))  # the letters are bound once
+
+
+def lexicon(words: DataFrame) -> DataFrame:
+    """(gram, words): which distinct words of ``words`` (word) hold each gram, in lists of at most LIST."""
+    known = words.select("word").distinct().withColumn("_split", F.spark_partition_id())
+    return _lists(known.select("_split", "word", F.explode(grams(F.col("word"))).alias("gram")), ["gram"], "word", "words")
+
+
+def write_index(items: DataFrame, path: str, report: Sequence[str], order: str, *columns: str, date: str = "date") -> None:
+    """The inverted index of ``items`` under ``path``: postings and first items of each gram, in a folder per ``date`` (one
+    of ``report``), and a lexicon.
+
+    A rerun replaces the dates that ``items`` holds, and no others; only the postings are made from texts, the first
+    items and the lexicon from postings.
+    """
+    found = postings(items, report, order, *columns)
+    dealt = found.repartition(F.col(date), F.pmod(F.xxhash64("word"), F.lit(8))).sortWithinPartitions(date, "word")
+    write_by_date(dealt, f"{path}/postings", date)
+    kept = items.sparkSession.read.parquet(f"{path}/postings")
+    renewed = kept.join(items.select(date).distinct(), date, "left_semi")
+    gram = renewed.select(*report, F.array_min("items").alias("item"), F.explode(grams(F.col("word"))).alias("gram"))
+    write_by_date(gram.groupBy(*report, "gram").agg(F.min("item").alias("item")).repartition(date), f"{path}/grams", date)
+    lexicon(kept).write.mode("overwrite").parquet(f"{path}/lexicon")
+
+
+def words_by_lexicon(entries: DataFrame, terms: DataFrame) -> DataFrame:
+    """(word, term) for every word of the lexicon ``entries`` (gram, words) that holds a term of at least GRAM characters.
+
+    A term is sought under the rarest of its grams; the words listed there are verified.
+    """
+    asked = terms.select("term").distinct().filter(F.length("term") >= GRAM)
+    own = asked.select("term", F.explode(F.filter(grams(F.col("term")), lambda g: ~g.endswith(_PAD))).alias("gram"))
+    number = entries.groupBy("gram").agg(F.sum(F.size("words")).alias("_n"))
+    rarest = own.join(number, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"))
+    listed = rarest.join(entries, "gram").select("term", F.explode("words").alias("word"))
+    return listed.filter(F.contains("word", "term")).select("word", "term")
+
+
+def search_index(path: str, items: DataFrame, queries: DataFrame, query_id: str, report: Sequence[str], order: str, text: str) -> DataFrame:
+    """:func:`search_batch` by an index that :func:`write_index` has written: no text is read but those of the results.
+
+    A term of at most GRAM characters begins a gram, whose first item in each report is kept; a longer one is sought in
+    the lexicon and its words in the postings.
+    """
+    spark = items.sparkSession
+    asked = queries.select(query_id, F.posexplode("terms").alias("term_no", "term")).filter("term <> ''")
+    terms = asked.select("term").distinct()
+    words = words_by_lexicon(spark.read.parquet(f"{path}/lexicon"), terms.filter(F.length("term") > GRAM))
+    long = spark.read.parquet(f"{path}/postings").join(words, "word").select(*report, "term", F.array_min("items").alias(order))
+    begun = spark.read.parquet(f"{path}/grams").withColumn("term", F.explode(F.array(*[F.substring("gram", 1, n) for n in range(1, GRAM + 1)])))
+    short = begun.join(terms.filter(F.length("term") <= GRAM), "term").select(*report, "term", F.col("item").alias(order))
+    found = long.union(short).groupBy(*report, "term").agg(F.min(order).alias(order))
+    return _first_hits(found, asked, items, query_id, report, order, text)
 
 
 def join_cards_reports(cards: DataFrame, reports: DataFrame) -> DataFrame:

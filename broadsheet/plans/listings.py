@@ -94,11 +94,22 @@ def q05_hits(spark, sf_dir):
     return search.search_hits(table(spark, sf_dir, "conversations"), "and der", ["conv_id"], "text")
 
 
+def _questions(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", search.query_terms(F.col("text")).alias("terms"))
+
+
 def q06_batch(spark, sf_dir):
-    words = search.query_terms(F.col("text"))
-    queries = table(spark, sf_dir, "benchmark").select("item_id", words.alias("terms"))
-    items = documents_as_items(spark, sf_dir)
-    return search.search_batch(items, queries, "item_id", ["date"], "doc_id", "body", "title", "body").select("item_id", _text("date"), "doc_id", "term", "snippet")
+    items, questions = documents_as_items(spark, sf_dir), _questions(spark, sf_dir)
+    found = search.search_batch(items, questions, "item_id", ["date"], "doc_id", "body", "title", "body")
+    return found.select("item_id", _text("date"), "doc_id", "term", "snippet")
+
+
+def q06_index(spark, sf_dir):
+    """Builds the inverted index in the shared folder and probes it with all questions at once."""
+    items, path = documents_as_items(spark, sf_dir), shared_path(spark, "index")
+    search.write_index(items, path, ["date"], "doc_id", "title", "body")
+    found = search.search_index(path, items, _questions(spark, sf_dir), "item_id", ["date"], "doc_id", "body")
+    return found.select("item_id", _text("date"), "doc_id", "term", "snippet")
 
 
 def j03_cards(spark, sf_dir):
@@ -165,6 +176,20 @@ _TITLED = f"WITH {ITEMS_SQL}, newest AS (SELECT DISTINCT date FROM docs ORDER BY
 _INDEX = _TITLED + ", idx AS (SELECT DISTINCT lower(regexp_replace(title, '^\\s+|\\s+$', '', 'g')) AS t FROM docs WHERE date IN (SELECT date FROM newest))"
 _CANDIDATE = "lower(regexp_replace(title, '^\\s+|\\s+$', '', 'g'))"
 
+_BATCH = f"""WITH {ITEMS_SQL}, words AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '') AS terms FROM benchmark
+), asked AS (SELECT item_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS term_no FROM words),
+hits AS (
+  SELECT item_id, date, doc_id, term, body, row_number() OVER (PARTITION BY item_id, date ORDER BY doc_id, term_no) AS k
+  FROM docs JOIN asked ON strpos(lower(title || ' ' || body), term) > 0
+), c AS (
+  SELECT *, strpos(lower(body), term) - 1 AS p, greatest(strpos(lower(body), term) - 31, 0) AS lo,
+         least(strpos(lower(body), term) - 1 + length(term) + 40, length(body)) AS hi FROM hits WHERE k = 1
+)
+SELECT item_id, CAST(date AS VARCHAR) AS date, doc_id, term,
+  CASE WHEN p >= 0 THEN CASE WHEN lo > 0 THEN '…' ELSE '' END || substr(body, lo + 1, hi - lo) || CASE WHEN hi < length(body) THEN '…' ELSE '' END END AS snippet
+FROM c"""
+
 QUERIES = {
     "w01_prev_next": (w01_prev_next, _DAYS + """ SELECT CAST(date AS VARCHAR) AS date, CAST(lag(date) OVER w AS VARCHAR) AS prev_date, CAST(lead(date) OVER w AS VARCHAR) AS next_date,
   CAST(lag(weekday) OVER w AS VARCHAR) AS prev_weekday, CAST(lead(weekday) OVER w AS VARCHAR) AS next_weekday FROM d WINDOW w AS (ORDER BY date)"""),
@@ -190,17 +215,8 @@ c AS (SELECT doc_id, text, p, greatest(p - 30, 0) AS lo, least(p + 5 + 40, lengt
 SELECT doc_id, CASE WHEN p >= 0 THEN CASE WHEN lo > 0 THEN '…' ELSE '' END || substr(text, lo + 1, hi - lo) || CASE WHEN hi < length(text) THEN '…' ELSE '' END END AS snippet FROM c"""),
     "q04_highlight": (q04_highlight, "SELECT doc_id, regexp_replace(text, '(the)', '[\\1]', 'gi') AS marked FROM documents"),
     "q05_search_hits": (q05_hits, "SELECT count(DISTINCT conv_id) AS hits FROM conversations WHERE strpos(lower(text), 'and') > 0 OR strpos(lower(text), 'der') > 0"),
-    "q06_search_batch": (q06_batch, f"""WITH {ITEMS_SQL}, words AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '') AS terms FROM benchmark
-), asked AS (SELECT item_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS term_no FROM words),
-hits AS (
-  SELECT item_id, date, doc_id, term, body, row_number() OVER (PARTITION BY item_id, date ORDER BY doc_id, term_no) AS k
-  FROM docs JOIN asked ON strpos(lower(title || ' ' || body), term) > 0
-), c AS (
-  SELECT *, strpos(lower(body), term) - 1 AS p, greatest(strpos(lower(body), term) - 31, 0) AS lo, least(strpos(lower(body), term) - 1 + length(term) + 40, length(body)) AS hi FROM hits WHERE k = 1
-)
-SELECT item_id, CAST(date AS VARCHAR) AS date, doc_id, term,
-  CASE WHEN p >= 0 THEN CASE WHEN lo > 0 THEN '…' ELSE '' END || substr(body, lo + 1, hi - lo) || CASE WHEN hi < length(body) THEN '…' ELSE '' END END AS snippet FROM c"""),
+    "q06_search_batch": (q06_batch, _BATCH),
+    "q06_search_index": (q06_index, _BATCH),
     "j03_cards_reports": (j03_cards, """WITH r AS (SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS items FROM lineitem GROUP BY 1), c AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders)
 SELECT o_orderkey, 'reports/' || CAST(c.date AS VARCHAR) || '.html' AS href, CAST(c.date AS VARCHAR) AS date, items FROM c LEFT JOIN r USING (date)"""),
     "j04_unknown_titles": (j04_unknown, _INDEX + f" SELECT doc_id FROM docs WHERE {_CANDIDATE} NOT IN (SELECT t FROM idx)"),
