@@ -30,11 +30,18 @@ def strip_marks(text, marks: str = "# ") -> Column:
     return F.regexp_replace(text, f"^[{marks}]+", "")
 
 
+#: Inline marks and what they become, in order (fixed values of the format).
+_INLINE = {
+    r"(?d)\*\*(.+?)\*\*": {"html": "<strong>$1</strong>", "strip": "$1"},
+    r"(?d)\*(.+?)\*": {"html": "<em>$1</em>", "strip": "$1"},
+    r"(?d)`(.+?)`": {"html": "<code>$1</code>", "strip": "$1"},
+}
+
+
 def rewrite_inline(text, mode: str = "html") -> Column:
     """``**bold**``, ``*italic*`` and `` `code` ``, in that order, to HTML or to plain text."""
-    tags = {"html": ("<strong>$1</strong>", "<em>$1</em>", "<code>$1</code>"), "strip": ("$1", "$1", "$1")}[mode]
-    for pattern, into in zip((r"\*\*(.+?)\*\*", r"\*(.+?)\*", r"`(.+?)`"), tags, strict=True):
-        text = F.regexp_replace(text, pattern, into)
+    for pattern, into in _INLINE.items():
+        text = F.regexp_replace(text, pattern, into[mode])
     return text
 
 
@@ -61,7 +68,12 @@ def percent_encode(text) -> Column:
     return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
 
 
+def ascii_digits(text) -> Column:
+    """With full-width digits as plain ones."""
+    return F.translate(text, "０１２３４５６７８９", "0123456789")
+
+
 def iso_date(year, month, day) -> Column:
     """A date from three numeric strings; null if they are empty or name no day."""
-    parts = F.concat_ws("-", year, month, day)
+    parts = ascii_digits(F.concat_ws("-", year, month, day))
     return F.when(year != "", F.try_to_date(parts, "y-M-d"))

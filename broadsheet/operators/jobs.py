@@ -5,82 +5,101 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from broadsheet.functions.text import strip
-from broadsheet.operators.segment import explode_lines, joined_lines, parse_header, running
+from broadsheet.functions.text import ascii_digits, lines_of, strip
+from broadsheet.operators.segment import cut, header_columns, let
 
 #: Patterns of job lists (fixed values of the format).
-CATEGORY = r"^##\s+(.{1,2})\s+(.+)"
-ITEM = r"^###\s+(\d+)\.\s+(⏰\s*)?(.+?)\s*[—\-]\s*(.+)"
-FIELD = r"^-\s*.+?\*\*(.+?)\*\*\s*[：:]\s*(.+)"
-LINK = r"^-\s*🔗\s*\[(.+?)\]\((.+?)\)"
-EMAIL = r"^-\s*📧\s*(?:投递[：:]\s*)?([a-zA-Z0-9._%+-]+@[^\s|]+)"
+CATEGORY = r"(?Ud)^##\s+(.{1,2})\s+(.+)"
+ITEM = r"(?Ud)^###\s+(\d+)\.\s+(⏰\s*)?(.+?)\s*[—\-]\s*(.+)"
+FIELD = r"(?Ud)^-\s*.+?\*\*(.+?)\*\*\s*[：:]\s*(.+)"
+LINK = r"(?Ud)^-\s*🔗\s*\[(.+?)\]\((.+?)\)"
+EMAIL = r"(?Ud)^-\s*📧\s*(?:投递[：:]\s*)?([a-zA-Z0-9._%+-]+@[^\s|]+)"
 #: What stands where a list says nothing (fixed values of the format).
 CATEGORY_DEFAULT, ICON_DEFAULT, LINK_TEXT_DEFAULT, VALUE_DEFAULT = "招聘", "💼", "招聘公告", "详见公告"
 LABELS = (("学历", "education"), ("地点", "location"), ("截止", "deadline"), ("待遇", "note"))
 
 
-def job_lines(docs: DataFrame) -> DataFrame:
-    """The trimmed lines after the title with category, item and line type; a category closes the open item."""
-    lines = explode_lines(docs).filter("line_no > 0").withColumn("line", strip("line"))
-    line = F.col("line")
-    category, item = line.rlike(CATEGORY), line.rlike(ITEM)
-    lines = lines.withColumns({
-        "section_no": F.sum(category.cast("int")).over(running()).cast("int"),
-        "item_no": F.sum(item.cast("int")).over(running()).cast("int"),
-        "category": F.last(F.when(category, F.regexp_extract(line, CATEGORY, 2)), ignorenulls=True).over(running()),
-        "icon": F.last(F.when(category, F.regexp_extract(line, CATEGORY, 1)), ignorenulls=True).over(running()),
-    })
-    last = F.last(F.when(category, F.lit(0)).when(item, F.lit(1)), ignorenulls=True).over(running())
-    lines = lines.withColumn("in_item", F.coalesce(last == 1, F.lit(False)))
-    in_item = F.col("in_item")
-    kind = (
-        F.when((line == "") | line.startswith("---"), "blank").when(line.startswith("> "), "summary").when(category, "category").when(item, "item")
-        .when(in_item & line.rlike(FIELD), "field").when(in_item & line.rlike(LINK), "link").when(in_item & line.rlike(EMAIL), "email").otherwise("other")
-    )
-    return lines.withColumn("line_type", kind)
-
-
-def extract_fields(label: Column, value: Column, labels=LABELS) -> dict[str, Column]:
-    """Aggregates: the value of the last line whose label holds a word; the first word that fits routes a label."""
-    route = F.lit(None).cast("string")
-    for word, name in reversed(labels):
-        route = F.when(label.contains(word), F.lit(name)).otherwise(route)
-    return {name: F.max_by(value, F.when((F.col("line_type") == "field") & (route == name), F.col("line_no"))) for _, name in labels}
-
-
-def extract_contact() -> dict[str, Column]:
-    """Aggregates link_url and link_text: of the last link or e-mail line."""
-    line, email = F.col("line"), F.regexp_extract("line", EMAIL, 1)
-    is_link, at = F.col("line_type") == "link", F.when(F.col("line_type").isin("link", "email"), F.col("line_no"))
-    url = F.when(is_link, F.regexp_extract(line, LINK, 2)).otherwise(F.concat(F.lit("mailto:"), email))
-    return {"link_url": F.max_by(url, at), "link_text": F.coalesce(F.max_by(F.when(is_link, F.regexp_extract(line, LINK, 1)).otherwise(email), at), F.lit(LINK_TEXT_DEFAULT))}
-
-
-def parse_jobs(docs: DataFrame, default_category: str = CATEGORY_DEFAULT, default_icon: str = ICON_DEFAULT) -> DataFrame:
-    """One row per listing, with update_date, deadline_date, days_left and urgent."""
-    line = F.col("line")
-    opens = F.col("line_type") == "item"
-    value = lambda group: F.max(F.when(opens, F.regexp_extract(line, ITEM, group)))
-    label, text = strip(F.regexp_extract(line, FIELD, 1)), strip(F.regexp_extract(line, FIELD, 2))
-    aggregates = {
-        "line_no": F.min("line_no"), "section_no": F.min_by("section_no", "line_no"), "category": F.min_by("category", "line_no"), "icon": F.min_by("icon", "line_no"),
-        "number": value(1).cast("int"), "marked": value(2) != "", "institution": strip(value(3)), "position": strip(value(4)),
-        **extract_fields(label, text), **extract_contact(),
+def _typed_lines(text: Column) -> Column:
+    """array<struct<line_no, line, kind>> of the trimmed lines after the title; fields and contacts are still ``other``."""
+
+    def kind(line: Column) -> Column:
+        header = F.when(line.rlike(CATEGORY), "category").when(line.rlike(ITEM), "item")
+        kinds = F.when((line == "") | line.startswith("---"), "blank").when(line.startswith("> "), "summary").when(line.startswith("##"), header)
+        return F.coalesce(kinds, F.lit("other"))
+
+    row = lambda line, i: let(strip(line), lambda bare: F.struct(i.alias("line_no"), bare.alias("line"), kind(bare).alias("kind")))
+    return let(F.transform(lines_of(text), row), lambda rows: F.slice(rows, F.lit(2), F.size(rows)))
+
+
+def _listings(text: Column) -> Column:
+    """array<struct<section_no, header, rows>>: every listing with the category header it stands under (null: none) and its
+    lines. Lists are cut into categories, these into listings; a category closes the open listing."""
+
+    def of_section(section: Column, number: Column) -> Column:
+        header = F.when(number > 0, F.get(section, 0)["line"])
+        items = lambda groups: F.slice(groups, F.lit(2), F.size(groups))
+        item = lambda rows: F.struct(number.alias("section_no"), header.alias("header"), rows.alias("rows"))
+        return F.transform(let(cut(section, lambda r, _: r["kind"] == "item"), items), item)
+
+    return F.flatten(F.transform(cut(_typed_lines(text), lambda r, _: r["kind"] == "category"), of_section))
+
+
+def extract_fields(rows: Column, labels=LABELS) -> dict[str, Column]:
+    """The value of the last field line whose label holds a word; the first word that fits routes a label."""
+
+    def field(r: Column) -> Column:
+        label, route = strip(F.regexp_extract(r["line"], FIELD, 1)), F.lit(None).cast("string")
+        for word, name in reversed(labels):
+            route = F.when(label.contains(word), F.lit(name)).otherwise(route)
+        return F.struct(route.alias("name"), strip(F.regexp_extract(r["line"], FIELD, 2)).alias("value"))
+
+    fields = F.transform(F.filter(rows, lambda r: r["line"].rlike(FIELD)), field)
+    last = lambda name: lambda found: F.try_element_at(F.filter(found, lambda f: f["name"] == name), F.lit(-1))["value"]
+    return {name: let(fields, last(name)) for _, name in labels}
+
+
+def extract_contact(rows: Column) -> dict[str, Column]:
+    """link_url and link_text: of the last link or e-mail line that is no field."""
+
+    def contact(r: Column) -> Column:
+        line = r["line"]
+        link = F.struct(F.regexp_extract(line, LINK, 2).alias("url"), F.regexp_extract(line, LINK, 1).alias("text"))
+        email = let(F.regexp_extract(line, EMAIL, 1), lambda e: F.struct(F.concat(F.lit("mailto:"), e).alias("url"), e.alias("text")))
+        return F.when(line.rlike(FIELD), F.lit(None)).when(line.rlike(LINK), link).when(line.rlike(EMAIL), email)
+
+    found = F.filter(F.transform(F.filter(rows, lambda r: r["line"].startswith("-")), contact), lambda c: c.isNotNull())
+    last = F.try_element_at(found, F.lit(-1))
+    return {"link_url": last["url"], "link_text": F.coalesce(last["text"], F.lit(LINK_TEXT_DEFAULT))}
+
+
+def parse_jobs(docs: DataFrame, default_category: str = CATEGORY_DEFAULT, default_icon: str = ICON_DEFAULT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per listing, with update_date, deadline_date, days_left and urgent. Lists are cut within their row: no line
+    is shuffled."""
+    date = header_columns(F.element_at(lines_of(F.col(text)), 1), "jobs")[1]
+    found = docs.select(F.col(key).alias("doc_id"), date.alias("update_date"), F.explode_outer(_listings(F.col(text))).alias("_item"))
+    found = found.filter(F.col("_item").isNotNull()).select("doc_id", "update_date", "_item.*")
+    opening, header = F.get("rows", 0)["line"], F.col("header")
+    value = lambda group: F.regexp_extract(opening, ITEM, group)
+    columns = {
+        "line_no": F.get("rows", 0)["line_no"], "section_no": F.col("section_no"),
+        "category": F.coalesce(F.regexp_extract(header, CATEGORY, 2), F.lit(default_category)),
+        "icon": F.coalesce(F.regexp_extract(header, CATEGORY, 1), F.lit(default_icon)),
+        "number": ascii_digits(value(1)).cast("int"), "marked": value(2) != "", "institution": strip(value(3)), "position": strip(value(4)),
+        **extract_fields(F.col("rows")), **extract_contact(F.col("rows")),
     }
-    items = job_lines(docs).filter("in_item").groupBy("doc_id", "item_no").agg(*[c.alias(n) for n, c in aggregates.items()])
-    items = items.withColumns({"category": F.coalesce("category", F.lit(default_category)), "icon": F.coalesce("icon", F.lit(default_icon))})
-    dates = parse_header(docs, "jobs").select("doc_id", F.col("date").alias("update_date"))
-    return with_urgency(items.join(dates, "doc_id", "left"))
+    return with_urgency(found.select("doc_id", *[c.alias(n) for n, c in columns.items()], "update_date"))
 
 
-def job_summary_text(docs: DataFrame) -> DataFrame:
-    """(doc_id, summary): the quoted lines without their marks, joined by a space."""
-    return job_lines(docs).groupBy("doc_id").agg(joined_lines("summary", F.regexp_replace("line", r"^[> ]+", ""), " ").alias("summary"))
+def job_summary_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, summary): the quoted lines without their mark, joined by a space."""
+    quoted = F.filter(_typed_lines(F.col(text)), lambda r: r["kind"] == "summary")
+    joined = F.array_join(F.transform(quoted, lambda r: strip(F.substring(r["line"], F.lit(3), F.length(r["line"])))), " ")
+    return docs.select(F.col(key).alias("doc_id"), F.coalesce(joined, F.lit("")).alias("summary"))
 
 
 def deadline_date(deadline) -> Column:
     """The ISO date a free text begins with; null if there is none or it names no day."""
-    return F.try_to_date(F.nullif(F.regexp_extract(deadline, r"^(\d{4}-\d{1,2}-\d{1,2})", 1), F.lit("")), "y-M-d")
+    return F.try_to_date(F.nullif(F.regexp_extract(deadline, r"(?U)^(\d{4}-\d{1,2}-\d{1,2})", 1), F.lit("")), "y-M-d")
 
 
 def days_left(deadline, update) -> Column:

@@ -2,10 +2,9 @@
 
 A document arrives whole in one row, so daily reports and blocks are segmented inside that row: the array of
 its lines is cut where a header, an item or a run opens, and only what is finished is exploded. No line is
-shuffled, and the work is in proportion to the lines. Of several lines that give an attribute the last wins.
-
-Digests decide what a line belongs to by running windows over the exploded lines of a document, all over one
-specification, so that Spark shuffles and sorts once. A line is consumed by the first rule that fits.
+shuffled, and the work is in proportion to the lines. A line is consumed by the first rule that fits. Of several
+lines that give an attribute the last wins. Patterns take white space and digits of any script, and only a newline ends
+a line.
 """
 
 from __future__ import annotations
@@ -23,11 +22,6 @@ from broadsheet.functions.text import cells_of, is_separator, iso_date, lines_of
 _RESET = "~"
 
 
-def running():
-    """The lines of a document up to the current one: the one window specification of this module."""
-    return Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 @dataclass(frozen=True)
 class DailyFormat:
     """Markers of daily reports (fixed values of the format)."""
@@ -38,12 +32,12 @@ class DailyFormat:
     resets: tuple[str, ...] = ("## ", "# ")
     item_sections: tuple[str, ...] = ("domestic", "international")
     table_sections: tuple[str, ...] = ("trends",)
-    item: str = r"^### (\d+)\.\s*(.+)"
-    tags: str = r"^🏷️\s*(.+)"
+    item: str = r"(?Ud)^### (\d+)\.\s*(.+)"
+    tags: str = r"(?Ud)^🏷️\s*(.+)"
     tag_breaks: str = "[·,，、]"
-    link: str = r"📎\s*\[(.+?)\]\((.+?)\)"
-    image: str = r"^!\[.*?\]\((.+?)\)"
-    note_label: str = r"\*\*点评[：:]\*\*\s*"
+    link: str = r"(?Ud)📎\s*\[(.+?)\]\((.+?)\)"
+    image: str = r"(?Ud)^!\[.*?\]\((.+?)\)"
+    note_label: str = r"(?U)\*\*点评[：:]\*\*\s*"
     footer: str = "*本日报由"
 
 
@@ -58,9 +52,12 @@ class DigestFormat:
         ("## ", ("目录",), "", _RESET), ("## ", (), "", "rich"), ("# ", (), "", _RESET),
     )
     icon: str = "📄"
-    item: str = r"^### (\d+)\.\s*(.+)"
-    link: str = r"📎\s*\[(.+?)\]\((.+?)\)"
-    note_label: str = r"\*\*本[周月]新进展[：:]\*\*\s*"
+    #: Of a section of trends that is a free section.
+    trends_icon: str = "📊"
+    icon_mark: str = r"(?Ud)^##\s+(\S)\s"
+    item: str = r"(?Ud)^### (\d+)\.\s*(.+)"
+    link: str = r"(?Ud)📎\s*\[(.+?)\]\((.+?)\)"
+    note_label: str = r"(?U)\*\*本[周月]新进展[：:]\*\*\s*"
     footer: tuple[str, ...] = ("*本周报由", "*本月报由")
 
 
@@ -96,29 +93,34 @@ def parse_header(docs: DataFrame, kind: str, key: str = "doc_id", text: str = "t
     A weekly range whose second year is missing takes the first year; ``carry_year`` moves it to the next year
     where it would otherwise end before it begins. A month's ref_date is its day 28.
     """
-    first = F.element_at(lines_of(F.col(text)), 1)
+    return docs.select(F.col(key).alias("doc_id"), *header_columns(F.element_at(lines_of(F.col(text)), 1), kind, carry_year))
+
+
+def header_columns(first: Column, kind: str, carry_year: bool = False) -> list[Column]:
+    """The title and dates that :func:`parse_header` gives, from the first line."""
     part = lambda pattern, *groups: [F.regexp_extract(first, pattern, g) for g in groups]
     title = strip_marks(first).alias("title")
     if kind == "daily":
-        pattern = r"^# .+?\|\s*(\d{4})年(\d{1,2})月(\d{1,2})日（(.+?)）"
+        pattern = r"(?Ud)^# .+?\|\s*(\d{4})年(\d{1,2})月(\d{1,2})日（(.+?)）"
         *ymd, weekday = part(pattern, 1, 2, 3, 4)
         columns = [iso_date(*ymd).alias("date"), F.nullif(weekday, F.lit("")).alias("weekday")]
     elif kind == "jobs":
-        columns = [iso_date(*part(r"^# .+?\|\s*(\d{4})[年-](\d{1,2})[月-](\d{1,2})", 1, 2, 3)).alias("date")]
+        columns = [iso_date(*part(r"(?Ud)^# .+?\|\s*(\d{4})[年-](\d{1,2})[月-](\d{1,2})", 1, 2, 3)).alias("date")]
     elif kind == "weekly":
-        pattern = r"^# .+?\|\s*(\d{4})年(\d{1,2})月(\d{1,2})日\s*[—\-]\s*(?:(\d{4})年)?(\d{1,2})月(\d{1,2})日"
+        pattern = r"(?Ud)^# .+?\|\s*(\d{4})年(\d{1,2})月(\d{1,2})日\s*[—\-]\s*(?:(\d{4})年)?(\d{1,2})月(\d{1,2})日"
         y1, m1, d1, y2, m2, d2 = part(pattern, 1, 2, 3, 4, 5, 6)
         start, end = iso_date(y1, m1, d1), iso_date(F.coalesce(F.nullif(y2, F.lit("")), y1), m2, d2)
         if carry_year:
             end = F.when((y2 == "") & (end < start), F.add_months(end, 12)).otherwise(end)
         columns = [start.alias("start_date"), end.alias("ref_date"), F.concat(start.cast("string"), F.lit(" — "), end.cast("string")).alias("date_range")]
     elif kind == "monthly":
-        y, m = part(r"^# .+?\|\s*(\d{4})年(\d{1,2})月", 1, 2)
+        y, m = part(r"(?Ud)^# .+?\|\s*(\d{4})年(\d{1,2})月", 1, 2)
         start = iso_date(y, m, F.lit("1"))
-        columns = [start.alias("start_date"), F.date_add(start, 27).alias("ref_date"), F.when(y != "", F.concat(y, F.lit("年"), m.cast("int"), F.lit("月"))).alias("date_range")]
+        named = F.when(y != "", F.concat(y, F.lit("年"), m.cast("int"), F.lit("月")))
+        columns = [start.alias("start_date"), F.date_add(start, 27).alias("ref_date"), named.alias("date_range")]
     else:
         raise ValueError(kind)
-    return docs.select(F.col(key).alias("doc_id"), title, *columns)
+    return [title, *columns]
 
 
 # Sections, items and line types of daily reports ----------------------------------------------------
@@ -143,13 +145,19 @@ def _sectioned(lines: Column, sections: tuple[tuple[str, str], ...], resets: tup
             opened = F.when(line.startswith(prefix), F.lit(name)).otherwise(opened)
         return F.when(line.startswith(common), opened)  # most lines need one comparison
 
+    return F.flatten(_parts(lines, header))
+
+
+def _parts(lines: Column, header: Callable[[Column], Column]) -> Column:
+    """array<array<struct<line, header, section>>>: ``lines`` before the first that is a ``header``, and from each on."""
+
     def placed(part: Column) -> Column:
         section = F.nullif(F.get(part, 0)["header"], F.lit(_RESET))
         row = lambda r, of: F.struct(r["line"].alias("line"), r["header"].alias("header"), of.alias("section"))
         return let(section, lambda of: F.transform(part, lambda r: row(r, of)))
 
     headed = F.transform(lines, lambda line: F.struct(line.alias("line"), header(line).alias("header")))
-    return F.flatten(F.transform(cut(headed, lambda r, _: r["header"].isNotNull()), placed))
+    return F.transform(cut(headed, lambda r, _: r["header"].isNotNull()), placed)
 
 
 def assign_sections(
@@ -219,17 +227,6 @@ def extract_note(line: Column, label: str = DailyFormat.note_label) -> Column:
     return strip(F.regexp_replace(strip_marks(line, "> "), label, ""))
 
 
-def _last(kind: str, value: Column) -> Column:
-    """The value on an item's last line of this kind."""
-    return F.max_by(value, F.when(F.col("line_type") == kind, F.col("line_no")))
-
-
-def joined_lines(kind: str, line: Column, by: str = "\n") -> Column:
-    """The lines of one kind in order, joined; empty if there are none."""
-    rows = F.array_sort(F.collect_list(F.when(F.col("line_type") == kind, F.struct("line_no", line.alias("line")))))
-    return F.array_join(F.transform(rows, lambda r: r["line"]), by)
-
-
 def daily_items(docs: DataFrame, fmt: DailyFormat = DailyFormat(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per item of daily reports: item_no in order of the text, the section it opens in, and its attributes."""
     groups = _numbered(docs, key, _daily_groups(F.col(text), fmt), "item_no", "_rows").filter("item_no > 0")
@@ -267,13 +264,8 @@ def report_counts(items: DataFrame) -> DataFrame:
 # Digests --------------------------------------------------------------------------------------------
 
 
-def digest_lines(docs: DataFrame, kind: str, fmt: DigestFormat = DigestFormat(), strict: bool = False) -> DataFrame:
-    """The lines of weekly or monthly digests after their title, with section, item and line type.
-
-    Every header closes the open item. A line that names the headlines and holds ``##`` opens the items section
-    at any level; ``strict`` asks for a level-two header.
-    """
-    line = F.col("line")
+def _digest_header(line: Column, fmt: DigestFormat, strict: bool) -> Column:
+    """The section that a header line opens, ``~`` for none; null for other lines."""
     header = F.lit(None).cast("string")
     for prefix, holds, lacks, section in reversed(fmt.headers):
         test = line.startswith("## " if strict and not prefix else prefix)
@@ -281,35 +273,80 @@ def digest_lines(docs: DataFrame, kind: str, fmt: DigestFormat = DigestFormat(),
             test = test & line.contains(word)
         if lacks:
             test = test & ~line.contains(lacks)
-        header = F.when(test, section if section != "trends" or kind == "weekly" else "rich").otherwise(header)
-    lines = explode_lines(docs).filter("line_no > 0").withColumn("header", header)
-    lines = lines.withColumn("section", F.nullif(F.last("header", ignorenulls=True).over(running()), F.lit(_RESET)))
-    in_rich = F.coalesce(F.col("section") == "rich", F.lit(False))
-    cells = cells_of("line")
-    ranked = (F.lit(kind) == "monthly") & line.startswith("|") & (F.size(cells) >= 3) & F.get(cells, 0).rlike(r"^\d+$")
-    is_ranked = F.coalesce(F.col("header").isNull() & (F.col("section") == "items") & ranked, F.lit(False))
-    is_item = F.coalesce(F.col("header").isNull() & (F.col("section") == "items") & line.rlike(fmt.item), F.lit(False))
-    lines = lines.withColumns({"is_item": is_item, "is_ranked": is_ranked})
-    event = F.when(F.col("header").isNotNull(), F.lit(0)).when(F.col("is_item") | F.col("is_ranked"), F.lit(1))
-    opened = (F.col("is_item") | F.col("is_ranked")).cast("int")
-    lines = lines.withColumns({
-        "item_no": F.sum(opened).over(running()).cast("int"),
-        "rich_no": F.sum((F.col("header") == "rich").cast("int")).over(running()).cast("int"),
-        "in_item": F.coalesce(F.last(event, ignorenulls=True).over(running()) == 1, F.lit(False)),
-    })
-    kind_of = (
-        F.when(F.col("header") == _RESET, "reset").when(F.col("header").isNotNull(), "section")
-        .when(in_rich, "rich")
-        .when(F.col("is_item"), "item")
-        .when(F.col("in_item") & line.rlike(fmt.link), "links")
-        .when(F.col("in_item") & line.startswith("> "), "note")
+        header = F.when(test, F.lit(section)).otherwise(header)
+    return F.when(line.contains("#"), header)  # most lines need one test
+
+
+def _digest_parts(text: Column, kind: str, fmt: DigestFormat, strict: bool) -> Column:
+    """The lines after the title as :func:`_parts`; trends are a free section except in weekly digests."""
+
+    def header(line: Column) -> Column:
+        found = lambda h: h if kind == "weekly" else F.when(h == "trends", F.lit("rich")).otherwise(h)
+        return let(_digest_header(line, fmt, strict), found)
+
+    return _parts(let(lines_of(text), lambda x: F.slice(x, F.lit(2), F.size(x))), header)
+
+
+def _digest_groups(text: Column, kind: str, fmt: DigestFormat, strict: bool) -> Column:
+    """array<array<struct<line, header, section, is_item, is_ranked>>>: cut at every header, item and ranked row, all
+    of which close the open item."""
+
+    def ranked(line: Column) -> Column:
+        if kind != "monthly":
+            return F.lit(False)
+        cells = lambda c: (F.size(c) >= 3) & F.get(c, 0).rlike(r"(?U)^\d+$")
+        return line.startswith("|") & let(cells_of(line), cells)
+
+    def marked(r: Column) -> Column:
+        inside = r["header"].isNull() & (r["section"] == "items")
+        is_item = F.coalesce(inside & r["line"].rlike(fmt.item), F.lit(False))
+        is_ranked = F.coalesce(inside & ranked(r["line"]), F.lit(False))
+        return F.struct(*[r[n].alias(n) for n in ("line", "header", "section")], is_item.alias("is_item"), is_ranked.alias("is_ranked"))
+
+    rows = F.transform(F.flatten(_digest_parts(text, kind, fmt, strict)), marked)
+    return cut(rows, lambda r, _: r["header"].isNotNull() | r["is_item"] | r["is_ranked"])
+
+
+def _digest_kind(r: Column, in_item: Column, fmt: DigestFormat) -> Column:
+    """The rule that consumes a line."""
+    line = r["line"]
+    footer = lambda bare: bare.startswith(fmt.footer[0]) | bare.startswith(fmt.footer[1])
+    return (
+        F.when(r["header"] == _RESET, "reset").when(r["header"].isNotNull(), "section")
+        .when(F.coalesce(r["section"] == "rich", F.lit(False)), "rich")
+        .when(r["is_item"], "item")
+        .when(in_item & line.rlike(fmt.link), "links")
+        .when(in_item & line.startswith("> "), "note")
         .when(line.startswith("|"), "table")
-        .when(strip(line).startswith(fmt.footer[0]) | strip(line).startswith(fmt.footer[1]), "footer")
-        .when((F.col("section") == "overview") & (strip(line) != "") & ~line.startswith("---"), "overview")
-        .when(F.col("in_item") & (strip(line) != "") & ~line.startswith("---") & ~line.startswith(">"), "body")
+        .when(footer(strip(line)), "footer")
+        .when((r["section"] == "overview") & (strip(line) != "") & ~line.startswith("---"), "overview")
+        .when(in_item & (strip(line) != "") & ~line.startswith("---") & ~line.startswith(">"), "body")
         .otherwise("other")
     )
-    return lines.withColumn("line_type", kind_of)
+
+
+def _digest_rows(text: Column, kind: str, fmt: DigestFormat, strict: bool) -> Column:
+    """array<array<struct<line, header, section, is_item, is_ranked, in_item, line_type>>> of :func:`_digest_groups`."""
+    fields = ("line", "header", "section", "is_item", "is_ranked")
+
+    def typed(group: Column) -> Column:
+        row = lambda r, inside: F.struct(
+            *[r[n].alias(n) for n in fields], inside.alias("in_item"), _digest_kind(r, inside, fmt).alias("line_type"))
+        opened = lambda first: first["is_item"] | first["is_ranked"]
+        return let(F.coalesce(opened(F.get(group, 0)), F.lit(False)), lambda inside: F.transform(group, lambda r: row(r, inside)))
+
+    return F.transform(_digest_groups(text, kind, fmt, strict), typed)
+
+
+def digest_lines(docs: DataFrame, kind: str, fmt: DigestFormat = DigestFormat(), strict: bool = False, key: str = "doc_id",
+                 text: str = "text") -> DataFrame:
+    """The lines of weekly or monthly digests after their title (line_no from 1), with section, item and line type.
+
+    Every header closes the open item. A line that names the headlines and holds ``##`` opens the items section
+    at any level; ``strict`` asks for a level-two header. Sections and items are cut within the row; no line is shuffled.
+    """
+    found = _numbered(docs, key, F.flatten(_digest_rows(F.col(text), kind, fmt, strict)), "_at", "_row")
+    return found.select("doc_id", (F.col("_at") + 1).alias("line_no"), "_row.*")
 
 
 def ranking_rows_to_items(typed: DataFrame) -> DataFrame:
@@ -321,38 +358,48 @@ def ranking_rows_to_items(typed: DataFrame) -> DataFrame:
     return ranked.select("doc_id", F.concat(F.lit("item"), F.get("cells", 0)).alias("item_id"), F.get("cells", 1).alias("title"), body.alias("body"))
 
 
-def digest_items(typed: DataFrame, fmt: DigestFormat = DigestFormat()) -> DataFrame:
+def digest_items(docs: DataFrame, kind: str, fmt: DigestFormat = DigestFormat(), strict: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id by declared number, title, sources, body, progress) of the ``### N.`` items."""
-    line = F.col("line")
-    item = typed.filter(F.col("in_item") & ~F.col("is_ranked")).groupBy("doc_id", "item_no").agg(
-        F.max(F.when(F.col("is_item"), F.regexp_extract(line, fmt.item, 1))).alias("declared"),
-        F.max(F.when(F.col("is_item"), strip_anchor(strip(F.regexp_extract(line, fmt.item, 2))))).alias("title"),
-        _last("links", extract_links(line, fmt.link)).alias("sources"),
-        joined_lines("body", strip(line)).alias("body"),
-        _last("note", extract_note(line, fmt.note_label)).alias("progress"),
-    )
-    return item.filter("declared IS NOT NULL").select("doc_id", F.concat(F.lit("item"), "declared").alias("item_id"), "title", "sources", "body", "progress")
+    groups = F.filter(_digest_rows(F.col(text), kind, fmt, strict), lambda g: F.coalesce(F.get(g, 0)["is_item"], F.lit(False)))
+    items = _numbered(docs, key, groups, "_at", "_rows")
+    of_kind = lambda name: F.transform(F.filter("_rows", lambda r: r["line_type"] == name), lambda r: r["line"])
+    last = lambda name: F.try_element_at(of_kind(name), F.lit(-1))
+    opening = F.get("_rows", 0)["line"]
+    return items.select(
+        "doc_id", F.concat(F.lit("item"), F.regexp_extract(opening, fmt.item, 1)).alias("item_id"),
+        strip_anchor(strip(F.regexp_extract(opening, fmt.item, 2))).alias("title"), extract_links(last("links"), fmt.link).alias("sources"),
+        F.array_join(F.transform(of_kind("body"), strip), "\n").alias("body"), extract_note(last("note"), fmt.note_label).alias("progress"),
+    )
 
 
-def rich_sections(typed: DataFrame, fmt: DigestFormat = DigestFormat()) -> DataFrame:
-    """(doc_id, section_no from 1, icon, heading, lines) of the free sections; an icon is one code point before white space."""
-    heading = strip_anchor(strip(strip_marks(F.col("line"))))
-    opens = F.col("header") == "rich"
-    rows = F.array_sort(F.collect_list(F.when(F.col("line_type") == "rich", F.struct("line_no", "line"))))
-    found = typed.filter("section = 'rich'").groupBy("doc_id", F.col("rich_no").alias("section_no")).agg(
-        F.max(F.when(opens, heading)).alias("heading"), F.transform(rows, lambda r: r["line"]).alias("lines")
-    )
-    icon = F.coalesce(F.nullif(F.regexp_extract("heading", r"^(\S)\s", 1), F.lit("")), F.lit(fmt.icon))
-    return found.select("doc_id", "section_no", icon.alias("icon"), "heading", "lines")
+def rich_sections(docs: DataFrame, kind: str, fmt: DigestFormat = DigestFormat(), strict: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, section_no from 1, icon, heading, lines) of the free sections; an icon is one code point before white
+    space, and fixed where trends are a free section."""
+    rich = F.filter(_digest_parts(F.col(text), kind, fmt, strict), lambda part: F.coalesce(F.get(part, 0)["header"] == "rich", F.lit(False)))
+    found = _numbered(docs, key, rich, "_at", "_part")
+    opening = F.get("_part", 0)["line"]
+    own = F.coalesce(F.nullif(F.regexp_extract(opening, fmt.icon_mark, 1), F.lit("")), F.lit(fmt.icon))
+    icon = F.when(_digest_header(opening, fmt, strict) == "trends", F.lit(fmt.trends_icon)).otherwise(own)
+    lines = F.transform(F.slice("_part", F.lit(2), F.size("_part")), lambda r: r["line"])
+    heading = strip_anchor(strip(strip_marks(opening)))
+    return found.select("doc_id", (F.col("_at") + 1).alias("section_no"), icon.alias("icon"), heading.alias("heading"), lines.alias("lines"))
 
 
-def overview_and_footer(typed: DataFrame) -> DataFrame:
+def overview_and_footer(docs: DataFrame, kind: str, fmt: DigestFormat = DigestFormat(), strict: bool = False, key: str = "doc_id",
+                        text: str = "text") -> DataFrame:
     """(doc_id, overview: its lines joined by a space, footer: the last footer line without its stars)."""
-    line = F.col("line")
-    return typed.groupBy("doc_id").agg(
-        joined_lines("overview", strip(line), " ").alias("overview"),
-        _last("footer", F.regexp_replace(strip(line), r"^\*+|\*+$", "")).alias("footer"),
-    )
+    typed = docs.select(F.col(key).alias("doc_id"), F.flatten(_digest_rows(F.col(text), kind, fmt, strict)).alias("_rows"))
+    of_kind = lambda name: F.transform(F.filter("_rows", lambda r: r["line_type"] == name), lambda r: strip(r["line"]))
+    footer = F.regexp_replace(F.try_element_at(of_kind("footer"), F.lit(-1)), r"^\*+|\*+$", "")
+    return typed.select("doc_id", F.coalesce(F.array_join(of_kind("overview"), " "), F.lit("")).alias("overview"), footer.alias("footer"))
+
+
+def digest_counts(docs: DataFrame, kind: str, fmt: DigestFormat = DigestFormat(), strict: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, items, rich): the items and ranked rows, and the free sections, of each digest."""
+    groups, parts = _digest_groups(F.col(text), kind, fmt, strict), _digest_parts(F.col(text), kind, fmt, strict)
+    count = lambda rows, test: F.coalesce(F.size(F.filter(rows, lambda g: F.coalesce(test(F.get(g, 0)), F.lit(False)))), F.lit(0))
+    items, rich = count(groups, lambda r: r["is_item"] | r["is_ranked"]), count(parts, lambda r: r["header"] == "rich")
+    return docs.select(F.col(key).alias("doc_id"), items.cast("long").alias("items"), rich.cast("long").alias("rich"))
 
 
 def segment_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -362,8 +409,8 @@ def segment_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def kind(line: Column) -> Column:
         return (
             F.when(strip(line).isin("", "---"), "blank")
-            .when(line.rlike(r"^###\s+.+"), "heading").when(line.startswith("|"), "table").when(line.startswith("> "), "quote")
-            .when(line.rlike(r"^-\s+"), "bullets").when(line.rlike(r"^\d+\.\s+"), "numbered")
+            .when(line.rlike(r"(?Ud)^###\s+.+"), "heading").when(line.startswith("|"), "table").when(line.startswith("> "), "quote")
+            .when(line.rlike(r"(?U)^-\s+"), "bullets").when(line.rlike(r"(?U)^\d+\.\s+"), "numbered")
             .when(line.rlike(r"^[#>-]"), "skip").otherwise("paragraph")
         )
 
@@ -375,8 +422,8 @@ def segment_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = _numbered(docs, key, let(typed, runs), "_at", "_run")
     block = F.get("_run", 0)["kind"]
     bare = {
-        "heading": lambda line: strip_anchor(strip(F.regexp_replace(line, r"^###\s+", ""))), "quote": extract_note,
-        "bullets": lambda line: F.regexp_replace(line, r"^-\s+", ""), "numbered": lambda line: F.regexp_replace(line, r"^\d+\.\s+", ""),
+        "heading": lambda line: strip_anchor(strip(F.regexp_replace(line, r"(?U)^###\s+", ""))), "quote": extract_note,
+        "bullets": lambda line: F.regexp_replace(line, r"(?U)^-\s+", ""), "numbered": lambda line: F.regexp_replace(line, r"(?U)^\d+\.\s+", ""),
     }
     lines = F.transform("_run", lambda r: r["line"])
     items = F.when(block == "paragraph", F.array(F.array_join(F.transform(lines, strip), " ")))

@@ -163,13 +163,12 @@ def _rich_docs(spark, sf_dir):
 
 
 def x12_rich(spark, sf_dir):
-    found = segment.rich_sections(segment.digest_lines(_rich_docs(spark, sf_dir), "weekly"))
+    found = segment.rich_sections(_rich_docs(spark, sf_dir), "weekly")
     return found.select("doc_id", F.col("section_no").cast("long").alias("section_no"), "icon", F.regexp_replace("heading", r"^\S+\s+", "").alias("title"), flat("lines").alias("lines"))
 
 
 def a13_label(spark, sf_dir):
-    typed = segment.digest_lines(_rich_docs(spark, sf_dir), "weekly")
-    counts = typed.groupBy("doc_id").agg(F.count_if("is_item").alias("items"), F.max("rich_no").alias("rich"))
+    counts = segment.digest_counts(_rich_docs(spark, sf_dir), "weekly")
     return counts.select("doc_id", listing.digest_label(F.col("items"), F.col("rich")).alias("label"))
 
 
@@ -183,7 +182,7 @@ def x14_overview(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(ordered_join("o_orderkey", F.concat(F.lit(" order "), F.col("o_orderkey").cast("string"))).alias("lines"))
     footer = F.concat(F.lit("*本周报由 customer "), F.col("o_custkey").cast("string"), F.lit("*"))
     docs = orders.select(F.col("o_custkey").alias("doc_id"), text_block("# 📰 周报 | x", "## 📊 本周概览", F.col("lines"), "---", footer).alias("text"))
-    return segment.overview_and_footer(segment.digest_lines(docs, "weekly"))
+    return segment.overview_and_footer(docs, "weekly")
 
 
 def digest_items(spark, sf_dir):
@@ -195,7 +194,7 @@ def digest_items(spark, sf_dir):
     )
     docs = orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(ordered_join("o_orderkey", item).alias("items"))
     docs = docs.select("doc_id", text_block("# 📰 周报 | x", "## 🔟 要闻", F.col("items"), "## 🗓️ 预告", "not an item's").alias("text"))
-    found = segment.digest_items(segment.digest_lines(docs, "weekly"))
+    found = segment.digest_items(docs, "weekly")
     return found.select("doc_id", "item_id", "title", "body", "progress", F.get("sources", 0)["url"].alias("url"))
 
 

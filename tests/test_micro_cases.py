@@ -148,13 +148,12 @@ not text
 def test_monthly_digest(spark):
     docs = spark.createDataFrame([(1, DIGEST)], "doc_id int, text string")
     typed = segment.digest_lines(docs, "monthly")
-    assert segment.overview_and_footer(typed).first().overview == "first second"
-    assert segment.overview_and_footer(typed).first().footer is None  # the free section holds it
+    assert segment.overview_and_footer(docs, "monthly").first().overview == "first second"
+    assert segment.overview_and_footer(docs, "monthly").first().footer is None  # the free section holds it
     assert [(r.item_id, r.body) for r in segment.ranking_rows_to_items(typed).collect()] == [("item1", "📅 7月 ｜ big")]
-    assert segment.rich_sections(typed).first().lines == ["rich line", "*本月报由 y*"]
-    assert [(r.item_id, r.body) for r in segment.digest_items(typed).collect()] == [("item3", "text")]
-    strict = segment.digest_lines(docs, "monthly", strict=True)
-    assert segment.rich_sections(strict).first().lines[2:] == ["### 要闻 ## again", "### 3. Item", "text"]
+    assert segment.rich_sections(docs, "monthly").first().lines == ["rich line", "*本月报由 y*"]
+    assert [(r.item_id, r.body) for r in segment.digest_items(docs, "monthly").collect()] == [("item3", "text")]
+    assert segment.rich_sections(docs, "monthly", strict=True).first().lines[2:] == ["### 要闻 ## again", "### 3. Item", "text"]
 
 
 JOBS = """# 招聘 | 2026-8-22
@@ -223,8 +222,8 @@ def test_a_category_closes_the_open_listing(spark):
 
 def test_contents_headers_and_icons_of_free_sections(spark):
     text = "# 📰 周报 | x\n## 🧭 目录\n- a\n## 🌍 World\nb\n## 🏛️ Two\nc\n## None\nd"
-    typed = segment.digest_lines(spark.createDataFrame([(1, text)], "doc_id long, text string"), "weekly")
-    found = sorted((r.section_no, r.icon, r.heading, r.lines) for r in segment.rich_sections(typed).collect())
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = sorted((r.section_no, r.icon, r.heading, r.lines) for r in segment.rich_sections(docs, "weekly").collect())
     assert found == [(1, "🌍", "🌍 World", ["b"]), (2, "📄", "🏛️ Two", ["c"]), (3, "📄", "None", ["d"])]
 
 
