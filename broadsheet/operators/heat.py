@@ -107,4 +107,6 @@ def place_items(entries: DataFrame, *ties: str, place: str = "place") -> DataFra
 def heat_document(heat: DataFrame, entries: DataFrame, *item: str, place: str = "place") -> DataFrame:
     """A row per item of a place: the place's heat and n, the item's position (newest first, ties by the ``item``
     columns), date and ``item`` columns. A place holds too many items for one row."""
-    return place_items(entries, *item, place=place).select(place, "position", "date", *item).join(heat, place)
+    shown = heat.withColumnRenamed(place, "_place")
+    items = place_items(entries, *item, place=place).select(place, "position", "date", *item)
+    return items.join(shown, F.col(place).eqNullSafe(F.col("_place"))).drop("_place")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from broadsheet.sources.shared import written
+
 
 def prev_next(reports: DataFrame, *shown: str, date: str = "date") -> DataFrame:
     """``reports`` (one per date) with prev_* and next_* of ``shown``; null at the ends."""
@@ -36,17 +38,29 @@ def digest_label(items: Column, rich: Column) -> Column:
     return F.when(items > 0, F.concat(items.cast("string"), F.lit(" 条"))).when(rich > 0, "综合").otherwise("0 条")
 
 
+#: monotonically_increasing_id() keeps the partition above this bit and the row within it below.
+_ROW_BITS = 33
+
+
 def numbered(rows: DataFrame, group: str, coarse: str, *order, name: str = "position") -> DataFrame:
-    """``rows`` with their place (from 1) in ``group``: by ``coarse``, greatest first, then ``order``.
+    """``rows`` with their place (from 1) in ``group``: by ``coarse``, greatest first and null last, then ``order``.
 
-    A group may be as large as the table: rows are numbered within (group, coarse), and the counts of the greater
-    coarse values, one row each, are added.
+    A group may be as large as the table, and all its rows may share a coarse value: rows are range-sorted by group and
+    all order columns, which splits such a group, and written; each is numbered within its range partition and group, and
+    the rows of the group in earlier partitions are added. Only a group that begins a partition can have such rows, so
+    what is broadcast are at most two rows a partition. A null group is a group; rows equal in all these columns stay
+    in one partition.
     """
-    counts = rows.groupBy(group, coarse).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy(F.col(coarse).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(group, coarse, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(group, coarse).orderBy(*order))
-    return rows.withColumn("_within", within).join(offsets, [group, coarse]).withColumn(name, F.col("_before") + F.col("_within")).drop("_before", "_within")
+    placed = rows.orderBy(group, F.col(coarse).desc(), *order).withColumn("_at", F.monotonically_increasing_id())
+    kept = written(placed, "ordered").withColumn("_part", F.shiftright("_at", _ROW_BITS))
+    openings = kept.groupBy("_part").agg(F.min_by(F.struct(group), "_at").alias("_open")).select(F.col(f"_open.{group}").alias("_open")).distinct()
+    begun = kept.join(F.broadcast(openings), F.col(group).eqNullSafe(F.col("_open")), "left_semi")
+    counts = begun.groupBy(F.col("_part").alias("_of"), F.col(group).alias("_open")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_open").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(counts.withColumn("_before", F.sum("_n").over(earlier)).drop("_n"))
+    within = kept.withColumn("_within", F.row_number().over(Window.partitionBy("_part", group).orderBy("_at")))
+    joined = within.join(offsets, (F.col("_part") == F.col("_of")) & F.col(group).eqNullSafe(F.col("_open")), "left")
+    return joined.withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_within")).drop("_at", "_part", "_of", "_open", "_before", "_within")
 
 
 def union_sections(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broadsheet.sources.shared import shared_path  # noqa: F401  (the plans take it from here)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@lru_cache(maxsize=1)
-def _test_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="broadsheet-")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share; a temporary one only where they are one process."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = _test_folder()
-    return f"{root.rstrip('/')}/broadsheet-{uuid.uuid4().hex}/{name}"
-
-
 def text_block(*lines) -> Column:
     """Lines (columns or strings) joined by newlines; null lines are left out."""
     return F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines])

@@ -100,23 +100,23 @@ def _ymd(date="d", *units):
 
 
 def x02_daily_header(spark, sf_dir):
-    docs = _header_docs(spark, sf_dir, "# 🏛️ 资讯 | ", *_ymd("d", "年", "月", "日"), "（周", F.dayofweek("d").cast("string"), "）\nbody")
+    docs = _header_docs(spark, sf_dir, "# 🏛️ 资讯 |　", *_ymd("d", "年", "月", "日"), "（周", F.dayofweek("d").cast("string"), "）\nbody")
     return segment.parse_header(docs, "daily").select("doc_id", F.col("date").cast("string").alias("date"), "weekday")
 
 
 def x02_weekly_header(spark, sf_dir):
     end = F.date_add("d", 6)
-    docs = _header_docs(spark, sf_dir, "# 📰 周报 | ", *_ymd("d", "年", "月", "日"), " — ", *_ymd(end, "年", "月", "日"))
+    docs = _header_docs(spark, sf_dir, "# 📰 周报 |　", *_ymd("d", "年", "月", "日"), "　— ", *_ymd(end, "年", "月", "日"))
     return segment.parse_header(docs, "weekly").select("doc_id", F.col("start_date").cast("string").alias("start_date"), F.col("ref_date").cast("string").alias("ref_date"), "date_range")
 
 
 def x02_monthly_header(spark, sf_dir):
-    docs = _header_docs(spark, sf_dir, "# 📚 月报 | ", *_ymd("d", "年", "月"))
+    docs = _header_docs(spark, sf_dir, "# 📚 月报 |　", *_ymd("d", "年", "月"))
     return segment.parse_header(docs, "monthly").select("doc_id", F.col("ref_date").cast("string").alias("ref_date"), "date_range")
 
 
 def x02_jobs_header(spark, sf_dir):
-    docs = _header_docs(spark, sf_dir, "# 招聘 | ", *_ymd("d", "-", "-", ""))
+    docs = _header_docs(spark, sf_dir, "# 招聘 |　", *_ymd("d", "-", "-", ""))
     return segment.parse_header(docs, "jobs").select("doc_id", F.col("date").cast("string").alias("date"))
 
 
@@ -155,7 +155,7 @@ def _rich_docs(spark, sf_dir):
     parts = table(spark, sf_dir, "part").withColumn("doc_id", F.floor(F.col("p_partkey") / 100))
     lines = ordered_join("p_partkey", F.concat(F.col("p_name"), F.lit(" "), F.col("p_partkey").cast("string")))
     section = parts.groupBy("doc_id", "p_type").agg(lines.alias("lines"))
-    icon = F.when(F.col("p_type").startswith("S"), "🌍 ").otherwise("🏛️ ")
+    icon = F.when(F.col("p_type").startswith("S"), "🌍　").otherwise("🏛️ ")
     section = section.withColumn("section", text_block(F.concat(F.lit("## "), icon, "p_type"), F.col("lines")))
     docs = section.groupBy("doc_id").agg(ordered_join("p_type", F.col("section")).alias("sections"))
     head = ("# 📰 周报 | 2026年7月6日 — 7月12日", "## 📑 目录", "- one", "## 🧭 本周目录", "- two")
@@ -164,11 +164,17 @@ def _rich_docs(spark, sf_dir):
 
 def x12_rich(spark, sf_dir):
     found = segment.rich_sections(_rich_docs(spark, sf_dir), "weekly")
-    return found.select("doc_id", F.col("section_no").cast("long").alias("section_no"), "icon", F.regexp_replace("heading", r"^\S+\s+", "").alias("title"), flat("lines").alias("lines"))
+    return found.select("doc_id", F.col("section_no").cast("long").alias("section_no"), "icon", F.regexp_replace("heading", r"(?U)^\S+\s+", "").alias("title"), flat("lines").alias("lines"))
 
 
 def a13_label(spark, sf_dir):
-    counts = segment.digest_counts(_rich_docs(spark, sf_dir), "weekly")
+    """One weekly digest per customer: with its orders as items, with free sections alone, or with neither."""
+    key = F.col("o_orderkey").cast("string")
+    lines = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("### "), key, F.lit(". order"))).otherwise(F.concat(F.lit("order "), key))
+    docs = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(ordered_join("o_orderkey", lines).alias("lines"))
+    opening = F.when(F.col("doc_id") % 3 == 0, "## 🔟 要闻").when(F.col("doc_id") % 3 == 1, "## 🌍 世界").otherwise("## 📊 概览")
+    docs = docs.select("doc_id", text_block("# 📰 周报 | x", opening, F.col("lines")).alias("text"))
+    counts = segment.digest_counts(docs, "weekly")
     return counts.select("doc_id", listing.digest_label(F.col("items"), F.col("rich")).alias("label"))
 
 
@@ -210,12 +216,13 @@ def job_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 7 == 0, "长期招募").when(key % 7 == 1, "2026-13-40")
         .otherwise(F.concat(F.date_format("o_orderdate", "yyyy-M-d"), F.lit("（note）")))
     )
-    contact = F.when(key % 11 == 0, F.lit(None).cast("string")).when(key % 2 == 0, F.concat(F.lit("- 🔗 [notice "), text, F.lit("](http://j.example/"), text, F.lit(")"))).otherwise(
-        F.concat(F.lit("- 📧 投递：o"), text, F.lit("@jobs.example"))
+    # Ideographic spaces stand wherever the format has white space.
+    contact = F.when(key % 11 == 0, F.lit(None).cast("string")).when(key % 2 == 0, F.concat(F.lit("-　🔗　[notice "), text, F.lit("](http://j.example/"), text, F.lit(")"))).otherwise(
+        F.concat(F.lit("- 📧　投递：　o"), text, F.lit("@jobs.example"))
     )
     item = text_block(
-        F.concat(F.lit("### "), text, F.lit(". "), F.when(key % 5 == 0, "⏰ ").otherwise(""), F.lit("inst "), text, F.lit(" — "), "o_orderpriority"),
-        F.concat(F.lit("- 🎓 **学历要求**：level "), (key % 3).cast("string")),
+        F.concat(F.lit("###　"), text, F.lit(".　"), F.when(key % 5 == 0, "⏰　").otherwise(""), F.lit("inst "), text, F.lit("　—　"), "o_orderpriority"),
+        F.concat(F.lit("-　🎓 **学历要求**　：　level "), (key % 3).cast("string")),
         F.concat(F.lit("- 📍 **工作地点**：city "), F.col("o_custkey").cast("string")),
         F.concat(F.lit("- 📅 **截止日期**："), deadline),
         F.when(key % 4 > 0, F.concat(F.lit("- 💰 **待遇**: pay "), (key % 4).cast("string"))),
@@ -224,7 +231,7 @@ def job_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = orders.groupBy("o_custkey", "o_orderstatus").agg(ordered_join("o_orderkey", item).alias("items"))
     # What follows a category header belongs to no listing; those of status F stand before any category.
     stray = ("- 📅 **截止日期**：2030-09-30", "- 🔗 [stray](http://stray.example/)")
-    header = F.when(F.col("o_orderstatus") != "F", text_block(F.concat(F.lit("## 🏛️ status "), "o_orderstatus"), *stray))
+    header = F.when(F.col("o_orderstatus") != "F", text_block(F.concat(F.lit("##　🏛️　status "), "o_orderstatus"), *stray))
     sections = sections.withColumn("section", text_block(header, F.col("items")))
     docs = sections.groupBy(F.col("o_custkey").alias("doc_id")).agg(ordered_join("o_orderstatus", F.col("section")).alias("sections"))
     head = F.concat(F.lit("> jobs of "), F.col("doc_id").cast("string"))
@@ -367,7 +374,8 @@ SELECT o_custkey AS doc_id, 'item' || k AS item_id, 'order ' || o_orderkey AS ti
     "x12_rich_sections": (x12_rich, """WITH s AS (
   SELECT CAST(floor(p_partkey / 100) AS BIGINT) AS doc_id, p_type, string_agg(p_name || ' ' || p_partkey, '|' ORDER BY p_partkey) AS lines FROM part GROUP BY ALL
 ) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p_type) AS section_no, CASE WHEN starts_with(p_type, 'S') THEN '🌍' ELSE '📄' END AS icon, p_type AS title, lines FROM s"""),
-    "a13_digest_label": (a13_label, "SELECT DISTINCT CAST(floor(p_partkey / 100) AS BIGINT) AS doc_id, '综合' AS label FROM part"),
+    "a13_digest_label": (a13_label, """SELECT o_custkey AS doc_id,
+  CASE o_custkey % 3 WHEN 0 THEN count(*) || ' 条' WHEN 1 THEN '综合' ELSE '0 条' END AS label FROM orders GROUP BY o_custkey"""),
     "x13_blocks": (x13_blocks, _BLOCKS_SQL),
     "x14_overview_footer": (x14_overview, """SELECT o_custkey AS doc_id, string_agg('order ' || o_orderkey, ' ' ORDER BY o_orderkey) AS overview, '本周报由 customer ' || o_custkey AS footer
 FROM orders GROUP BY o_custkey"""),
