@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from broadsheet.operators import classify, heat
+from broadsheet.operators import classify, heat, stored
 from broadsheet.plans.base import THEMES, shared_path, sql_text, table
 from broadsheet.sources import documents
 
@@ -56,6 +56,20 @@ def a07_windows(spark, sf_dir):
     return heat.windowed_heat(entries(spark, sf_dir), (7, 14, 30)).select("days", "place", "heat", "n")
 
 
+def a07_stored(spark, sf_dir):
+    """Stores sums of three batches of entries, the second one twice, and reads every window from the sums."""
+    rows, path = entries(spark, sf_dir), shared_path(spark, "sums")
+    for batch in (0, 1, 2, 1):
+        stored.store_sums(rows.filter(F.col("event_id") % 3 == batch), path, batch)
+    return stored.windowed_heat_of(stored.stored_sums(spark, path), (7, 14, 30)).select("days", "place", "heat", "n")
+
+
+def a06_distinct(spark, sf_dir):
+    """Distinct users of every window, merged from a bitmap of each day's users."""
+    events = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("date"))
+    return stored.windowed_keys(stored.key_bitmaps(events, "user_id", "date"), (7, 14, 30))
+
+
 def themed_parts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", "p_brand", classify.themes_of(F.array("p_type", F.upper("p_name")), THEMES).alias("themes"))
 
@@ -130,6 +144,10 @@ QUERIES = {
 SELECT (SELECT count(*) FROM events WHERE event_type IS NOT NULL) AS total, (SELECT count(DISTINCT (date, event_id)) FROM sc) AS attributed,
        (SELECT count(*) FROM events WHERE event_type IS NOT NULL) - (SELECT count(DISTINCT (date, event_id)) FROM sc) AS excluded, (SELECT max(heat) FROM h) AS max_heat"""),
     "a07_windowed_heat": (a07_windows, _E + """ SELECT CAST(days AS INTEGER) AS days, place, round(sum(share), 4) AS heat, count(*) AS n
+FROM s JOIN (VALUES (7), (14), (30)) AS w(days) ON age < days GROUP BY ALL"""),
+    "a07_stored_heat": (a07_stored, _E + """ SELECT CAST(days AS INTEGER) AS days, place, round(sum(share), 4) AS heat, count(*) AS n
+FROM s JOIN (VALUES (7), (14), (30)) AS w(days) ON age < days GROUP BY ALL"""),
+    "a06_distinct_users": (a06_distinct, _E + """ SELECT CAST(days AS INTEGER) AS days, count(DISTINCT user_id) AS keys
 FROM s JOIN (VALUES (7), (14), (30)) AS w(days) ON age < days GROUP BY ALL"""),
     "a08_theme_facets": (a08_facets, _PARTS + " SELECT p_brand, theme, count(*) AS n FROM th GROUP BY ALL"),
     "a09_facet_hits": (a09_facet_hits, _PARTS + """ SELECT p_brand, count(th.p_partkey) AS hits, count(*) AS total

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import percent_encode
-from broadsheet.operators import dedup, listing, search
+from broadsheet.operators import dedup, listing, search, stored
 from broadsheet.plans.base import ITEMS_SQL, documents_as_items, flat, shared_path, table
 from broadsheet.sources import documents
 
@@ -138,6 +138,14 @@ def j04_known(spark, sf_dir):
     return _known(spark, sf_dir, dedup.semi_join_known)
 
 
+def j04_filter(spark, sf_dir):
+    """Known or not, by a bitmap of each day's titles, merged, and a join of those that may be known."""
+    items = titled(spark, sf_dir)
+    index = dedup.title_index(items.select("date").distinct(), items, n=5)
+    daily = [stored.title_filter(index.filter(F.pmod(F.dayofmonth("date"), F.lit(2)) == k), dedup.normal_title(F.col("title"))) for k in (0, 1)]
+    return dedup.split_known(items, index, stored.merged_filter(daily[0].union(daily[1]))).select("doc_id", "known")
+
+
 def s03_search_index(spark, sf_dir):
     found = documents.build_search_index(table(spark, sf_dir, "conversations"), "conv_id", order="turn", body="text", body_chars=200, fields=("role",))
     texts = F.transform("items", lambda r: F.concat_ws(":", r["turn"].cast("string"), r["role"], r["text"]))
@@ -221,6 +229,7 @@ SELECT doc_id, CASE WHEN p >= 0 THEN CASE WHEN lo > 0 THEN '…' ELSE '' END ||
 SELECT o_orderkey, 'reports/' || CAST(c.date AS VARCHAR) || '.html' AS href, CAST(c.date AS VARCHAR) AS date, items FROM c LEFT JOIN r USING (date)"""),
     "j04_unknown_titles": (j04_unknown, _INDEX + f" SELECT doc_id FROM docs WHERE {_CANDIDATE} NOT IN (SELECT t FROM idx)"),
     "j04_known_titles": (j04_known, _INDEX + f" SELECT doc_id FROM docs WHERE {_CANDIDATE} IN (SELECT t FROM idx)"),
+    "j04_filtered_titles": (j04_filter, _INDEX + f" SELECT doc_id, {_CANDIDATE} IN (SELECT t FROM idx) AS known FROM docs"),
     "s03_search_index": (s03_search_index, """SELECT conv_id, string_agg(concat_ws(':', CAST(turn AS VARCHAR), role, substr(text, 1, 200)), '|' ORDER BY turn) AS items FROM conversations GROUP BY conv_id"""),
     "s05_title_index": (s05_title_index, _TITLED + """ SELECT CAST(date AS VARCHAR) AS date, 'item' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS item_id, title
 FROM docs WHERE date IN (SELECT date FROM newest)"""),
