@@ -8,7 +8,7 @@ that shares all the page's, is a copy and decides nothing; the next one does.
 Differencing alone cannot give the right text: menus, adverts and footers that vary from page to page are shared with no
 neighbour, and a paragraph that two articles of a host carry is. So the markup decides what differencing leaves: lines
 in elements that name themselves furniture (menus, headers, footers, sidebars, forms, scripts, and those whose class
-or id says advert, cookie notice, comments and the like) are deleted too; lines in an article or main element stay
+or id says advert, cookie notice, comments and the like; inside an article only those that say nothing else) are deleted too; lines in an article or main element stay
 even where they are shared, and are the whole text where there are any; and a page whose other lines would all be
 deleted as shared keeps them.
 
@@ -28,6 +28,7 @@ import re
 from functools import lru_cache
 from os.path import commonprefix
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -60,11 +61,19 @@ OUTER_MARKS = frozenset("header topbar toolbar copyright logo brand login byline
 DROPPED, OPEN, KEPT = 0, 1, 2
 
 
+#: Words that say nothing of what an element is.
+NEUTRAL = frozenset(
+    "area articles bar block bottom box button buttons container content form inner item items left links list posts right section slot stories top "
+    "unit widget wrapper".split()
+)
+
+
 @lru_cache(maxsize=20_000)
 def _marked(attributes: str, inside: bool) -> bool:
+    """Outside an article any word that marks furniture decides; inside, all words must, so that ``search-result`` stays."""
     names = (a or b or c for a, b, c in _NAME.findall(attributes))
-    marks = MARKS if inside else MARKS | OUTER_MARKS
-    return any(word in marks for name in names for word in re.split(r"[^a-z]+", name.lower()))
+    words = {word for name in names for word in re.split(r"[^a-z]+", name.lower()) if word}
+    return bool(words & MARKS) and words <= MARKS | NEUTRAL if inside else not words.isdisjoint(MARKS | OUTER_MARKS)
 
 
 def page_blocks(page: str) -> list[tuple[int, str]]:
@@ -140,8 +149,44 @@ def main_lines(blocks: list[tuple[int, str]], shared: set[int]) -> list[str]:
     return left or [text for state, text in blocks if state == OPEN]
 
 
+#: Lines times lines that are aligned by one table.
+_TABLE = 4_096
+
+
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The lengths of the longest common subsequences of ``a`` with each prefix of ``b``, in one row."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)), out=row[1:])
+    return row
+
+
+def _aligned(a: list[int], b: list[int]) -> list[int]:
+    """Places in ``a`` on a longest common subsequence with ``b``, by one table."""
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        row, below, x = table[i], table[i + 1], a[i]
+        for j in range(len(b) - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if x == b[j] else max(below[j], row[j + 1])
+    i = j = 0
+    found = []
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            found.append(i)
+            i, j = i + 1, j + 1
+        elif table[i + 1][j] >= table[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return found
+
+
 def shared_lines(own: list[int], other: list[int]) -> list[int]:
-    """Places in ``own`` on a longest common subsequence with ``other``."""
+    """Places in ``own`` on a longest common subsequence with ``other``, in memory linear in the two.
+
+    Common ends and lines that one side lacks are set aside; what is left is halved where the lengths of both halves'
+    subsequences add up to the most, until a small table will do.
+    """
     low = 0
     while low < min(len(own), len(other)) and own[low] == other[low]:
         low += 1
@@ -151,23 +196,18 @@ def shared_lines(own: list[int], other: list[int]) -> list[int]:
     a, b = own[low : len(own) - high], other[low : len(other) - high]
     common = set(a) & set(b)
     places = [i for i, x in enumerate(a) if x in common]
-    b = [x for x in b if x in common]
-    table = [[0] * (len(b) + 1) for _ in range(len(places) + 1)]
-    for i in range(len(places) - 1, -1, -1):
-        row, below, x = table[i], table[i + 1], a[places[i]]
-        for j in range(len(b) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x == b[j] else max(below[j], row[j + 1])
-    i = j = 0
-    found = []
-    while i < len(places) and j < len(b):
-        if a[places[i]] == b[j]:
-            found.append(low + places[i])
-            i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return [*range(low), *found, *range(len(own) - high, len(own))]
+    number = {x: n for n, x in enumerate(sorted(common))}
+    a, b = (np.array([number[x] for x in side if x in common], np.int32) for side in (a, b))
+    found, waiting = [], [(0, len(a), 0, len(b))]
+    while waiting:
+        a0, a1, b0, b1 = waiting.pop()
+        if (a1 - a0) * (b1 - b0) <= _TABLE or a1 - a0 == 1:
+            found += [low + places[a0 + i] for i in _aligned(a[a0:a1].tolist(), b[b0:b1].tolist())]
+            continue
+        middle = (a0 + a1) // 2
+        cut = b0 + int(np.argmax(_lengths(a[a0:middle], b[b0:b1]) + _lengths(a[middle:a1][::-1], b[b0:b1][::-1])[::-1]))
+        waiting += [(a0, middle, b0, cut), (middle, a1, cut, b1)]
+    return [*range(low), *sorted(found), *range(len(own) - high, len(own))]
 
 
 def _page_lines(batches):

@@ -120,3 +120,37 @@ def test_whole_table_equals_a_plain_version(spark, bare):
     found = {r.page_id: r._text for r in pagetext.extract_text(pages).collect()}
     assert sum(found[i] == plain[i] for i in plain) >= len(plain) - 2  # pages of equal path have no order
     assert sum(map(bool, shared.values())) > 20
+
+
+def test_long_pages_align_in_linear_space():
+    import tracemalloc
+
+    dice = random.Random(3)
+    own = [dice.randrange(3_000) for _ in range(20_000)]
+    other = [x for x in own if dice.random() < 0.7]
+    tracemalloc.start()
+    found = pagetext.shared_lines(own, other)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(other) and [own[i] for i in found] == other
+    assert peak < 200e6
+
+
+def test_halving_finds_a_longest_subsequence(monkeypatch):
+
+    dice = random.Random(4)
+    for _ in range(200):
+        a, b = ([dice.randrange(6) for _ in range(dice.randrange(40))] for _ in range(2))
+        monkeypatch.setattr(pagetext, "_TABLE", 1_000_000)
+        whole = pagetext.shared_lines(a, b)
+        monkeypatch.setattr(pagetext, "_TABLE", 8)
+        halved = pagetext.shared_lines(a, b)
+        assert len(halved) == len(whole) and halved == sorted(set(halved))
+        left = iter(b)
+        assert all(any(x == y for y in left) for x in (a[i] for i in halved))
+
+
+@pytest.mark.parametrize("name", ["search-result", "related work", "comment-theory", "share capital", "header"])
+def test_parts_of_an_article_stay_whatever_else_their_names_say(name):
+    blocks = pagetext.page_blocks(f'<article><p>one</p><section class="{name}"><p>two</p></section><div class="share-buttons">x</div></article>')
+    assert pagetext.main_lines(blocks, set()) == ["one", "two"]
