@@ -3,7 +3,8 @@
 At every level a document draws one exponential variate per child, ``-ln(u) / weight`` with ``u``
 hashed from its key and the child's name, and descends into the smallest. A child's weight is the sum
 of the shard weights below it, so a change of weight moves documents only into (or out of) the subtree
-whose weight changed; a new shard joins as a region and rack of its own and takes rows into itself only.
+whose weight changed. A shard that joins by :func:`grown`, as a region and rack of its own, takes rows into itself only;
+so does each of :func:`layout` beyond its grid. Grids of different numbers are different trees, between which rows move.
 
 Defined results: a null key is hashed like any other value; null or empty text has size 16; repeated
 rows land in one shard under different slots; an empty table gives an empty result; extra columns pass
@@ -40,6 +41,12 @@ def layout(shards: int, regions: int = 4, racks: int = 2, per_rack: int = 5) ->
     return grid
 
 
+def grown(shards: list[Shard], weight: float = 1.0) -> list[Shard]:
+    """``shards`` and one more, numbered next, which joins as a region of its own."""
+    number = max((s.number for s in shards), default=-1) + 1
+    return [*shards, Shard(f"added{number}", f"added{number}/rack0", number, weight)]
+
+
 def _least(key: Column, names: Column, weights: Column) -> Column:
     """The position (from 0) of the child with the smallest weighted draw; ties to the first."""
     def draw(name, at):

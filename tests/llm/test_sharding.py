@@ -14,10 +14,12 @@ def docs(spark, n=8000):
 
 
 def test_one_more_shard_takes_rows_only_into_itself(spark):
-    for n in (1, 3, 40, 41, 45):
-        both = sharding.assign_shards(sharding.assign_shards(docs(spark), sharding.layout(n)), sharding.layout(n + 1), shard="grown")
+    for n in (1, 3, 7, 35, 39, 40, 41, 45):
+        shards = sharding.layout(n)
+        both = sharding.assign_shards(sharding.assign_shards(docs(spark), shards), sharding.grown(shards), shard="grown")
         moved = both.filter("shard <> grown").select("grown").distinct().collect()
-        assert {r.grown for r in moved} <= {n}
+        assert {r.grown for r in moved} == {n}
+    assert sharding.grown(sharding.layout(40)) == sharding.layout(41) and sharding.layout(42) == sharding.grown(sharding.layout(41))
 
 
 def test_shares_follow_the_weights(spark):
