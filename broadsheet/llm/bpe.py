@@ -23,8 +23,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Distinct pre-tokens of a generation of the worker's cache; it keeps two.
-CACHE_ENTRIES = 64_000
+#: Distinct pre-tokens of a generation of the worker's cache; it keeps two. A pre-token enters when it comes a second time.
+CACHE_ENTRIES = 250_000
+#: Marks of pre-tokens seen once, by hash.
+SEEN = 1 << 22
 #: Longer pre-tokens are not kept.
 CACHE_CHARS = 64
 
@@ -157,19 +159,25 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class _Known(dict):
     """Packed int32 ids by pre-token: a generation of entries, and the one before it as a fallback."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
+    def __init__(self, ranks: dict[bytes, int], entries: int) -> None:
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.entries = ranks, entries
         self.earlier: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN)
 
     def __missing__(self, token: str) -> bytes:
         ids = self.earlier.get(token)
         if ids is None:
             ids = array("i", merge_bytes(token.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
+            at = hash(token) & (SEEN - 1)
+            if not self.seen[at]:
+                self.seen[at] = 1
+                return ids
         if len(token) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.earlier = dict(self)
                 self.clear()
+                self.seen = bytearray(SEEN)
             self[token] = ids
         return ids
 
@@ -177,24 +185,24 @@ class _Known(dict):
 class Encoder:
     """Splits by ``pattern`` and merges each match on its own; gives the ids as packed int32."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, entries: int = CACHE_ENTRIES) -> None:
         self.split = regex.compile(pattern).findall
-        self.known = _Known(load_ranks(path))
+        self.known = _Known(load_ranks(path), entries)
 
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, self.split(text)))
 
 
 @lru_cache(maxsize=4)
-def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+def _encoder(path: str, pattern: str, entries: int) -> Encoder:
+    return Encoder(path, pattern, entries)
 
 
 _IDS = T.ArrayType(T.IntegerType(), False)
 
 
-def _encoded(texts: pa.Array, path: str, pattern: str) -> pa.Array:
-    encoder = _encoder(path, pattern)
+def _encoded(texts: pa.Array, path: str, pattern: str, entries: int) -> pa.Array:
+    encoder = _encoder(path, pattern, entries)
     rows = [encoder(value.as_py() or "") for value in texts]
     ends = np.cumsum([0, *map(len, rows)]) // 4
     values = pa.array(np.frombuffer(b"".join(rows), dtype=np.int32))
@@ -210,12 +218,12 @@ def _decoded(lists: pa.Array, path: str) -> pa.Array:
     return pa.array([b"".join(map(token, flat[a:b].tolist())) for a, b in spans], pa.binary())
 
 
-def encode(text: Column, path: str, pattern: str) -> Column:
-    """array<int> of the ids of ``text``, without special tokens."""
+def encode(text: Column, path: str, pattern: str, entries: int = CACHE_ENTRIES) -> Column:
+    """array<int> of the ids of ``text``, without special tokens; a worker caches two generations of ``entries`` pre-tokens."""
 
     @F.arrow_udf(_IDS)
     def ids_of(texts: pa.Array) -> pa.Array:
-        return _encoded(texts, path, pattern)
+        return _encoded(texts, path, pattern, entries)
 
     return ids_of(text)
 
@@ -230,12 +238,12 @@ def decode(ids: Column, path: str) -> Column:
     return bytes_of(ids)
 
 
-def encode_and_decode(text: Column, path: str, pattern: str) -> Column:
+def encode_and_decode(text: Column, path: str, pattern: str, entries: int = CACHE_ENTRIES) -> Column:
     """struct<ids, decoded>: what :func:`encode` gives and what :func:`decode` makes of it, in one worker."""
 
     @F.arrow_udf(T.StructType().add("ids", _IDS).add("decoded", T.BinaryType()))
     def both(texts: pa.Array) -> pa.Array:
-        ids = _encoded(texts, path, pattern)
+        ids = _encoded(texts, path, pattern, entries)
         return pa.StructArray.from_arrays([ids, _decoded(ids, path)], ["ids", "decoded"])
 
     return both(text)
