@@ -2,16 +2,17 @@
 
 The content view sees what the text is made of: transitions between classes of bytes (letters, digits,
 punctuation, separators) and how often words and lines repeat. The metadata view sees only what is known of a
-page without reading it: language, source and the recorded length. Each view is a logistic regression. In every
-round each view scores all unlabelled documents and hands its most confident ones, labelled by itself, to the
-other's training set, where they stay. After every round both views are calibrated on held-out labels and
-combined: a document's log-odds are the prior's plus what each view adds to it, weighed by the view's skill (the
-share of the prior's log loss that it saves on the held-out labels). A view without skill is so left out, and of
-the rounds (the one before any exchange included) that with the least held-out log loss of the combination counts.
+page without reading it: its recorded length (in fine steps, and in coarse ones by language), language and source. Each
+view is a logistic regression. In every round each view scores all unlabelled documents and hands those it is surest of,
+labelled by itself with its probability, to the other's training set, where they stay: of each class the first by rank, if the view is at
+least a quarter of the way from the prior to certainty (a view that knows little is never near it). After every round both views are calibrated on held-out labels and combined:
+a document's log-odds are the prior's plus what each view adds to it, times a weight. Of the rounds (the one before any
+exchange included) that with the least log loss on other held-out labels counts; the weights are those of the better view
+alone, unless a mixture saves clearly more there, so that the combination is no worse than its better view.
 
 Only the labelled sample (at most ``max_labelled`` rows, by hash of the key) and the pseudo-labels (at most
-``grow`` per view, class and round, sought among ``rounds`` times as many) reach the driver, as short vectors. Features, candidate search and scores
-cover all documents.
+``grow`` per view, class and round, sought among ``rounds`` times as many) reach the driver, as short vectors. Features,
+candidate search and scores cover all documents.
 
 Defined results: null and empty texts, null language, source or length are feature values like others; labels that
 are null or whose key has no document are ignored, repeated labels of a key count as their minimum; with labels
@@ -35,13 +36,15 @@ from broadsheet.llm.scratch import all_columns, materialize, unused
 
 #: Bounds of what training takes: labelled rows, pseudo-labels (good, bad) a round and view, rounds.
 MAX_LABELLED, GROW, ROUNDS = 6_000, (600, 150), 2
-#: A view hands over documents it is at least this sure of.
-CONFIDENT = 0.95
+#: A view hands over documents whose label it puts at least so far from the prior to certainty.
+CONFIDENT = 0.25
+#: Weights of content and metadata that are tried.
+WEIGHTS = ((1.0, 0.0), (1.0, 0.25), (1.0, 0.5), (1.0, 0.75), (1.0, 1.0), (0.0, 1.0))
 #: Documents scoring below are rejected.
 THRESHOLD = 0.5
 #: Rows whose vectors a task unpacks at once.
 SLICE = 500
-_LENGTHS, _LANGS, _SOURCES = 16, 16, 64
+_LENGTHS, _STEPS, _LANGS, _SOURCES, _NORMS = 16, 4, 16, 64, 64
 
 #: Byte classes: lower, upper, digit, space, newline, each frequent mark by itself, other marks, beyond ASCII.
 _MARKS = b".,!?|#$%&*-:;'\"/<>"
@@ -72,13 +75,18 @@ def content_features(text: str) -> np.ndarray:
 
 
 def metadata_features(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """The length, and one-hot buckets of it, of language and of source."""
-    out = np.zeros(2 + _LENGTHS + _LANGS + _SOURCES, np.float16)
+    """The length, and one-hot buckets of it (_STEPS to each of _LENGTHS), of language, of source, and of length by language."""
+    out = np.zeros(2 + _LENGTHS * _STEPS + _LANGS + _SOURCES + _NORMS, np.float16)
     size = np.log1p(max(n_chars or 0, 0))
     out[:2] = [size / 10, n_chars is None]
-    out[2 + min(int(size), _LENGTHS - 1)] = 1
-    out[2 + _LENGTHS + xxhash.xxh32_intdigest(repr(lang)) % _LANGS] = 1
-    out[2 + _LENGTHS + _LANGS + xxhash.xxh32_intdigest(repr(source)) % _SOURCES] = 1
+    buckets = (
+        (_LENGTHS * _STEPS, min(int(size * _STEPS), _LENGTHS * _STEPS - 1)), (_LANGS, xxhash.xxh32_intdigest(repr(lang))),
+        (_SOURCES, xxhash.xxh32_intdigest(repr(source))), (_NORMS, xxhash.xxh32_intdigest(repr((lang, int(size * 2))))),
+    )
+    at = 2
+    for number, bucket in buckets:
+        out[at + bucket % number] = 1
+        at += number
     return out
 
 
@@ -124,6 +132,9 @@ class Model:
     prior: float
     #: What a view's log-odds beyond the prior's count in the combination.
     skills: tuple[float, float] = (1.0, 1.0)
+    #: The rounds of exchange before this fit, and the documents that each view handed over in them.
+    rounds: int = 0
+    handed: dict[str, int] | None = None
 
     def log_odds(self, content: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated log-odds of both views and of their combination."""
@@ -135,8 +146,18 @@ class Model:
         return a, b, prior + self.skills[0] * (a - prior) + self.skills[1] * (b - prior)
 
 
-def log_loss(log_odds: np.ndarray, y: np.ndarray) -> float:
-    return float(np.logaddexp(0, np.where(y > 0, -log_odds, log_odds)).mean())
+def row_losses(log_odds: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, np.where(y > 0, -log_odds, log_odds))
+
+
+def chosen_weights(losses: dict[tuple[float, float], np.ndarray]) -> tuple[float, float]:
+    """The better view alone, unless a mixture saves more than a standard error of what it saves."""
+    best = alone = min(((1.0, 0.0), (0.0, 1.0)), key=lambda w: losses[w].mean())
+    for weights, found in losses.items():
+        saved = losses[alone] - found
+        if saved.mean() > saved.std() / np.sqrt(len(saved)) and found.mean() < losses[best].mean():
+            best = weights
+    return best
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -168,6 +189,8 @@ def calibrate(view: View, x: np.ndarray, y: np.ndarray) -> None:
     good, bad = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
     view.slope, view.shift = map(float, _newton(np.column_stack([view.raw(x), np.ones(len(x))]), target, 1e-3))
+    if view.slope < 0:  # it has learnt nothing: the prior of these rows, whatever the document
+        view.slope, view.shift = 0.0, float(np.log((good + 1) / (bad + 1)))
 
 
 def _vectors(column) -> np.ndarray:
@@ -206,14 +229,13 @@ def _document_scores(model: Model, text: Column, lang: Column, source: Column, n
     return scores(text, lang, source, n_chars.cast("long"))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, grow: tuple[int, int] = GROW, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, grow: tuple[int, int] = GROW,
+          rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model, and the feature table (_key, _content, _metadata, _label) of all rows of ``docs``."""
     found = docs.select(F.col("doc_id").alias("_key"), features(*[F.col(c) for c in ("text", "lang", "source", "n_chars")]).alias("_f"))
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("_label"))
-    table = materialize(
-        found.join(known, found["_key"] == known["doc_id"], "left").select("_key", F.col("_f.content").alias("_content"), F.col("_f.metadata").alias("_metadata"), "_label"),
-        "features",
-    )
+    joined = found.join(known, found["_key"] == known["doc_id"], "left")
+    table = materialize(joined.select("_key", F.col("_f.content").alias("_content"), F.col("_f.metadata").alias("_metadata"), "_label"), "features")
     labelled = table.filter("_label IS NOT NULL")
     n, good = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("_label"), F.lit(0))).first()
     prior = min(max(good / n, 1e-6), 1 - 1e-6) if n else 0.5
@@ -221,28 +243,34 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         return Model(None, None, prior), table
     in_sample = F.pmod(F.xxhash64(F.lit("sample"), "_key"), F.lit(1 << 32)) < int(min(1.0, max_labelled / n) * (1 << 32))
     rows = labelled.filter(in_sample).orderBy("_key").limit(max_labelled).collect()
-    held = np.array([xxhash.xxh32_intdigest(str(r["_key"])) % 4 == 0 for r in rows])
+    part = np.array([xxhash.xxh32_intdigest(str(r["_key"])) % 8 for r in rows])
     y = np.array([float(r["_label"]) for r in rows])
     if not len(rows) or min(y.sum(), (1 - y).sum()) < 1:
         return Model(None, None, prior), table
-    if min(y[held].sum(), (1 - y[held]).sum(), y[~held].sum(), (1 - y[~held]).sum()) < 1:
-        held = np.zeros(len(rows), bool)  # too few labels to hold any out
+    groups = [part > 1, part == 0, part == 1]  # taught, for calibration, for choices
+    if any(len(set(y[g])) < 2 for g in groups):
+        groups = [np.ones(len(rows), bool)] * 3  # too few labels to hold any out
+    learn, adjust, choose = groups
     x = {"content": _vectors(r["_content"] for r in rows), "metadata": _vectors(r["_metadata"] for r in rows)}
-    check = held if held.any() else ~held
-    taught = {name: (x[name][~held], y[~held]) for name in x}
+    taught = {name: (x[name][learn], y[learn]) for name in x}
+    handed = dict.fromkeys(x, 0)
 
-    def fit() -> tuple[float, Model]:
-        """A model of what is taught so far, and its log loss on the held-out labels."""
+    def fit(turn: int) -> tuple[float, Model]:
+        """A model of what is taught so far, and its log loss on the labels for choices."""
         views = {name: fit_view(*taught[name]) for name in x}
         for name, view in views.items():
-            calibrate(view, x[name][check], y[check])
-        model = Model(views["content"], views["metadata"], prior)
-        base = log_loss(np.full(int(check.sum()), np.log(prior / (1 - prior))), y[check])
-        alone = model.log_odds(x["content"][check], x["metadata"][check])[:2]
-        model.skills = tuple(max(0.0, 1 - log_loss(z, y[check]) / base) for z in alone)
-        return log_loss(model.log_odds(x["content"][check], x["metadata"][check])[2], y[check]), model
-
-    fitted = [fit()]
+            calibrate(view, x[name][adjust], y[adjust])
+        model = Model(views["content"], views["metadata"], prior, rounds=turn, handed=dict(handed))
+
+        def losses(weights: tuple[float, float]) -> np.ndarray:
+            model.skills = weights
+            return row_losses(model.log_odds(x["content"][choose], x["metadata"][choose])[2], y[choose])
+
+        model.skills = chosen_weights({w: losses(w) for w in WEIGHTS})
+        return float(losses(model.skills).mean()), model
+
+    fitted = [fit(0)]
+    sure_good, sure_bad = prior + CONFIDENT * (1 - prior), prior - CONFIDENT * prior
     pool = table.filter("_label IS NULL")
     given: set = set()
     for turn in range(rounds):
@@ -250,8 +278,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         picks = None
         for teacher in x:
             p = F.col(f"_p.{teacher}")
-            for label, count, sure, order in ((1.0, grow[0], p >= CONFIDENT, p.desc()), (0.0, grow[1], p <= 1 - CONFIDENT, p.asc())):
-                some = scored.filter(sure).orderBy(order, "_key").limit(count * (turn + 1)).select("_key", "_content", "_metadata", F.lit(teacher).alias("_by"), F.lit(label).alias("_y"))
+            for label, count, sure, order in ((1.0, grow[0], p >= sure_good, p.desc()), (0.0, grow[1], p <= sure_bad, p.asc())):
+                some = scored.filter(sure).orderBy(order, "_key").limit(count * (turn + 1))
+                some = some.select("_key", "_content", "_metadata", F.lit(teacher).alias("_by"), F.lit(label).alias("_y"), p.alias("_sure"))
                 picks = some if picks is None else picks.union(some)
         chosen, taken = [], dict.fromkeys([(teacher, label) for teacher in x for label in (1.0, 0.0)], 0)
         for r in picks.collect():
@@ -262,10 +291,11 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
                 chosen.append(r)
         for teacher, pupil in (("content", "metadata"), ("metadata", "content")):
             own = [r for r in chosen if r["_by"] == teacher]
+            handed[teacher] += len(own)
             if own:
-                more = _vectors(r[f"_{pupil}"] for r in own), np.array([r["_y"] for r in own])
+                more = _vectors(r[f"_{pupil}"] for r in own), np.array([r["_sure"] for r in own])
                 taught[pupil] = tuple(np.concatenate(pair) for pair in zip(taught[pupil], more, strict=True))
-        fitted.append(fit())
+        fitted.append(fit(turn + 1))
     return min(fitted, key=lambda f: f[0])[1], table
 
 

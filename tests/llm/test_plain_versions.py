@@ -82,32 +82,36 @@ def plain_training(rows, known, rounds, grow):
     for i, text, lang, source, n, _ in rows:
         vectors[i] = {"content": quality.content_features(text or "").astype(float), "metadata": quality.metadata_features(lang, source, n).astype(float)}
     ids = sorted(known)
-    held = [i for i in ids if xxhash.xxh32_intdigest(str(i)) % 4 == 0]
+    part = {i: xxhash.xxh32_intdigest(str(i)) % 8 for i in ids}
+    adjust, choose = [i for i in ids if part[i] == 0], [i for i in ids if part[i] == 1]
     prior = sum(known.values()) / len(known)
     odds = math.log(prior / (1 - prior))
     x = lambda view, some: np.array([vectors[i][view] for i in some])
-    y = np.array([float(known[i]) for i in held])
-    taught = {v: [(i, float(known[i])) for i in ids if i not in held] for v in ("content", "metadata")}
+    y = lambda some: np.array([float(known[i]) for i in some])
+    taught = {v: [(i, float(known[i])) for i in ids if part[i] > 1] for v in ("content", "metadata")}
 
     def fit():
-        views, skills = {}, {}
+        views, tried = {}, []
         for v, pairs in taught.items():
             views[v] = quality.fit_view(x(v, [i for i, _ in pairs]), np.array([label for _, label in pairs]))
-            quality.calibrate(views[v], x(v, held), y)
-            alone = quality.log_loss(views[v].log_odds(x(v, held)), y)
-            skills[v] = max(0.0, 1 - alone / quality.log_loss(np.full(len(held), odds), y))
-        both = lambda some: odds + sum(skills[v] * (views[v].log_odds(x(v, some)) - odds) for v in views)
-        return quality.log_loss(both(held), y), views, both
+            quality.calibrate(views[v], x(v, adjust), y(adjust))
+        for weights in quality.WEIGHTS:
+            both = lambda some, w=weights: odds + sum(k * (views[v].log_odds(x(v, some)) - odds) for k, v in zip(w, views, strict=True))
+            tried.append((quality.row_losses(both(choose), y(choose)), both))
+        weights = quality.chosen_weights(dict(zip(quality.WEIGHTS, (t[0] for t in tried), strict=True)))
+        loss, both = tried[quality.WEIGHTS.index(weights)]
+        return loss.mean(), views, both
 
     fitted, given = [fit()], set()
     for _ in range(rounds):
         lessons = {"content": [], "metadata": []}
         for teacher, pupil in (("content", "metadata"), ("metadata", "content")):
             chance = {i: 1 / (1 + math.exp(-float(fitted[-1][1][teacher].log_odds(x(teacher, [i]))[0]))) for i in vectors if i not in known}
-            for label, count, sure in ((1.0, grow[0], lambda p: p >= quality.CONFIDENT), (0.0, grow[1], lambda p: p <= 1 - quality.CONFIDENT)):
+            low, high = prior - quality.CONFIDENT * prior, prior + quality.CONFIDENT * (1 - prior)
+            for label, count, sure in ((1.0, grow[0], lambda p, high=high: p >= high), (0.0, grow[1], lambda p, low=low: p <= low)):
                 ranked = sorted((i for i, p in chance.items() if sure(p) and (i, teacher) not in given), key=lambda i: (-chance[i] if label else chance[i], i))
                 given |= {(i, teacher) for i in ranked[:count]}
-                lessons[pupil] += [(i, label) for i in ranked[:count]]
+                lessons[pupil] += [(i, chance[i]) for i in ranked[:count]]
         for v, more in lessons.items():
             taught[v] += more
         fitted.append(fit())

@@ -61,5 +61,23 @@ def test_rounds_do_not_hurt_and_a_view_without_skill_counts_little(spark):
         model, _ = quality.train(docs, labels, rounds=rounds, grow=(40, 10))
         seen = [(r.doc_id % 5 > 0, r._scores.quality) for r in quality.score(docs, model).collect() if r.doc_id % 3]
         losses.append(np.mean([-np.log(max(p if good else 1 - p, 1e-6)) for good, p in seen]))
-        assert 0 <= model.skills[1] < model.skills[0] <= 1
+        assert model.skills[0] == 1 and model.rounds <= rounds
     assert losses[1] <= losses[0] + 0.02
+
+
+def test_both_views_hand_over_documents(spark):
+    """Length tells of quality here, so that either view can teach the other."""
+    dice, rows = random.Random(3), []
+    for i, text, lang, source, size, clash in corpus(800):
+        good = i % 5 > 0
+        rows.append((i, text, lang, source, dice.randrange(2_000, 4_000) if good == (dice.random() < 0.95) else dice.randrange(50, 300), clash))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i, *_ in rows if i % 3 == 0], "doc_id long, quality int")
+    fitted = [quality.train(docs, labels, rounds=n, grow=(40, 10))[0] for n in (0, 1, 2)]
+    assert fitted[0].rounds == 0 and fitted[0].handed == {"content": 0, "metadata": 0}
+    for model in fitted[1:]:
+        if model.rounds:
+            assert min(model.handed.values()) > 0
+    seen = {r.doc_id: r._scores for r in quality.score(docs, fitted[2]).collect()}
+    loss = lambda view: np.mean([-np.log(max(s[view] if i % 5 > 0 else 1 - s[view], 1e-6)) for i, s in seen.items() if i % 3])
+    assert loss("quality") <= min(loss("content"), loss("metadata")) + 0.02
