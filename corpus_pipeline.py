@@ -16,6 +16,8 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Near copies: a Jaccard similarity of 0.8 or more of the distinct five-word shingles, computed on the texts. Pairs
 #: meet through word-set SimHash fingerprints within 3 bits or through one of the operator's 24 min-hash keys.
 NEAR = {"segments": 2, "jaccard": 0.8}
+#: Pre-tokens of a generation of the coder's cache: fewer than by default, as workers hold what earlier stages left.
+CACHE_ENTRIES = 64_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
-    coded = docs.select("doc_id", "source", "text", bpe.encode_and_decode(F.col("text"), RANKS, public_tokenizers.PATTERN).alias("coded"))
+    coded = docs.select("doc_id", "source", "text", bpe.encode_and_decode(F.col("text"), RANKS, public_tokenizers.PATTERN, CACHE_ENTRIES).alias("coded"))
     exact = F.col("coded.decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return coded.select("doc_id", "source", F.col("coded.ids").alias("ids"), F.size("coded.ids").cast("long").alias("n_tokens"), exact.alias("round_trip"))
 
