@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from broadsheet.functions.text import rewrite_inline
 from broadsheet.operators import jobs, listing, segment
 from broadsheet.plans.base import flat, ordered_join, shared_path, table, text_block
-from broadsheet.sources import documents
+from broadsheet.sources import documents, incremental
 
 #: Line numbers repeat within an order.
 _ITEM_ORDER = ("l_linestatus", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
@@ -311,6 +311,27 @@ def s01_read(spark, sf_dir):
     return found.select(F.substring_index("text", "\n", 1).cast("long").alias("doc_id"), F.length(whole).cast("long").alias("n_chars"), F.md5(whole).alias("digest"))
 
 
+def s01_refresh(spark, sf_dir):
+    """Writes most documents as files, brings a table by date up to date with them, adds the rest and does it again:
+    only the new files, and those of the dates that they touch, are read the second time."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL")
+    source, target = shared_path(spark, "reports"), shared_path(spark, "by_date")
+    texts = docs.select("doc_id", text_block(F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).alias("value"))
+
+    def rows_of(found):
+        key = F.substring_index("text", "\n", 1).cast("long")
+        date = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(key, F.lit(30)).cast("int"))
+        return found.select("file", key.alias("doc_id"), date.alias("date"), F.md5("text").alias("digest"))
+
+    for late in (False, True):
+        some = texts.filter((F.pmod("doc_id", F.lit(50)) == 0) == late)
+        some.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(source)
+        incremental.refresh_by_date(spark, source, target, rows_of, "*.txt")
+    return spark.read.parquet(f"{target}/data").groupBy(F.col("date").cast("string").alias("date")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"), F.count_distinct("digest").alias("texts")
+    )
+
+
 def s02_route(spark, sf_dir):
     rules = (("The", "weekly"), ("la", "monthly"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -348,6 +369,8 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) AS block_no,
 
 QUERIES = {
     "s01_read_documents": (s01_read, "SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM (SELECT doc_id, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents WHERE doc_id IS NOT NULL)"),
+    "s01_refresh_by_date": (s01_refresh, """SELECT CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS VARCHAR) AS date, count(*) AS n,
+  CAST(sum(doc_id) AS BIGINT) AS ids, count(DISTINCT doc_id || chr(10) || coalesce(text, '')) AS texts FROM documents WHERE doc_id IS NOT NULL GROUP BY 1"""),
     "s02_route_documents": (s02_route, """SELECT doc_id, CASE WHEN strpos(split_part(text, chr(10), 1), 'The') > 0 THEN 'weekly'
   WHEN strpos(split_part(text, chr(10), 1), 'la') > 0 THEN 'monthly' ELSE 'daily' END AS kind, doc_id % 10 = 0 AS skipped FROM documents"""),
     "x01_lines": (x01_lines, "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents"),

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from broadsheet.functions.text import lines_of, normalize_newlines
 
 
-def read_documents(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
-    """(doc_id, path, text) of the files under ``path``; doc_id is the file name without its ending."""
+def read_documents(spark: SparkSession, path: str | list[str], pattern: str = "*.md") -> DataFrame:
+    """(doc_id, path, text) of the files under ``path`` or of a list of files; doc_id is the file name without its ending."""
     files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
     return files.select(name.alias("doc_id"), "path", normalize_newlines("value").alias("text"))
