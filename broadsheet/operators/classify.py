@@ -17,6 +17,30 @@ from broadsheet.operators.rules import MAX_TERMS, strings
 ALL_LAYERS = ("place", "city", "site")
 
 
+def place_hits(text, dictionary: Sequence[tuple[str, str, str]]) -> Column:
+    """array<struct<pos, place, layer>>: the keywords of ``dictionary`` (keyword, place, layer; in order) that stand in
+    ``text``, bare place names first. The text is scanned once for all layers."""
+    ranked = [d for own in (True, False) for d in dictionary if (d[2] == "place") == own]
+    if not ranked:
+        return F.array().cast("array<struct<pos:int,place:string,layer:string>>")
+    words = F.array(*[F.struct(F.lit(k).alias("kw"), F.lit(p).alias("place"), F.lit(la).alias("layer")) for k, p, la in ranked])
+    found = F.transform(words, lambda w: F.struct(F.instr(text, w["kw"]).alias("pos"), w["place"].alias("place"), w["layer"].alias("layer")))
+    return F.filter(found, lambda h: h["pos"] > 0)
+
+
+def places_of(hits, layers: Sequence[str] = ALL_LAYERS) -> Column:
+    """array<string>: the distinct places of ``hits`` (see :func:`place_hits`) in ``layers``, by position, ties by name.
+
+    A fold over the hits, which are computed once; naming them again inside a lambda would scan anew for every place.
+    """
+    own = F.filter(hits, lambda h: h["layer"].isin(*layers)) if set(layers) != set(ALL_LAYERS) else hits
+    none = F.array().cast("array<struct<pos:int,place:string>>")
+    bare = lambda h: F.struct(h["pos"].alias("pos"), h["place"].alias("place"))
+    seen = lambda kept, h: F.exists(kept, lambda k: k["place"] == h["place"])
+    first = F.aggregate(own, none, lambda kept, h: F.when(seen(kept, h), kept).otherwise(F.concat(kept, F.array(bare(h)))))
+    return F.transform(F.array_sort(first), lambda h: h["place"])
+
+
 def scan_places(text, dictionary: Sequence[tuple[str, str, str]], layers: Sequence[str] = ALL_LAYERS) -> Column:
     """array<string>: the distinct places whose keywords stand in ``text``, by position, ties by name.
 
@@ -24,17 +48,7 @@ def scan_places(text, dictionary: Sequence[tuple[str, str, str]], layers: Sequen
     dictionary order, that occurs; bare place names come before the keywords of the other layers. Overlapping
     keywords all count.
     """
-    ranked = [d for layer in ("place", None) for d in dictionary if (d[2] == "place") == (layer == "place") and d[2] in layers]
-    if not ranked:
-        return F.array().cast("array<string>")
-    words = F.array(*[F.struct(F.lit(k).alias("kw"), F.lit(p).alias("place")) for k, p, _ in ranked])
-    hits = F.filter(
-        F.transform(words, lambda w: F.struct(F.instr(text, w["kw"]).alias("pos"), w["place"].alias("place"))), lambda h: h["pos"] > 0
-    )
-    # A fold over the hits, which are computed once; naming them again inside a lambda would scan anew for every place.
-    none = F.array().cast("array<struct<pos:int,place:string>>")
-    first = F.aggregate(hits, none, lambda kept, h: F.when(F.exists(kept, lambda k: k["place"] == h["place"]), kept).otherwise(F.concat(kept, F.array(h))))
-    return F.transform(F.array_sort(first), lambda h: h["place"])
+    return places_of(place_hits(text, [d for d in dictionary if d[2] in layers]), layers)
 
 
 #: Lengths of anchors: a keyword is sought by its first characters, as many as the greatest of these that it has.
@@ -123,11 +137,9 @@ def attribute_places(items: DataFrame, dictionary, rules: dict[str, Sequence[str
     unassigned. ``rules`` has outreach_tag, outreach_title, strong_policy and weak_national.
     """
     title, joined, body = _scanned_texts()
-    scanned = items.withColumns({
-        "_title": scan_places(title, dictionary), "_tags": scan_places(joined, dictionary),
-        "_site": scan_places(body, dictionary, ("place", "site")), "_body": scan_places(body, dictionary),
-    })
-    return _by_tiers(scanned, rules, max_body)
+    hits = items.withColumns({"_title": scan_places(title, dictionary), "_tags": scan_places(joined, dictionary), "_hits": place_hits(body, dictionary)})
+    scanned = hits.withColumns({"_site": places_of(F.col("_hits"), ("place", "site")), "_body": places_of(F.col("_hits"))})
+    return _by_tiers(scanned.drop("_hits"), rules, max_body)
 
 
 def attribute_places_joined(items: DataFrame, key: str, places: DataFrame, rules: dict[str, Sequence[str]] | DataFrame, max_body: int = 2) -> DataFrame:
