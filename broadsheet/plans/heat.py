@@ -10,13 +10,18 @@ from broadsheet.plans.base import THEMES, shared_path, sql_text, table
 from broadsheet.sources import documents
 
 
+def _entries_of(events: DataFrame) -> DataFrame:
+    """event_id, user_id, place (event_type), date, weight and pcount of each event."""
+    weight, pcount = 1 + F.floor(F.col("value") / 20), 1 + F.pmod("event_id", F.lit(3))
+    return events.select(
+        "event_id", "user_id", F.col("event_type").alias("place"), F.to_date("ts").alias("date"), weight.cast("long").alias("weight"),
+        pcount.cast("long").alias("pcount"),
+    )
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as scored entries: event_id, place (event_type), date, as_of, weight, pcount, share."""
-    events = table(spark, sf_dir, "events").select(
-        "event_id", "user_id", F.col("event_type").alias("place"), F.to_date("ts").alias("date"), (1 + F.floor(F.col("value") / 20)).cast("long").alias("weight"),
-        (1 + F.pmod("event_id", F.lit(3))).cast("long").alias("pcount"),
-    )
-    dated = heat.with_as_of(events)
+    dated = heat.with_as_of(_entries_of(table(spark, sf_dir, "events")))
     return dated.withColumn("share", heat.decayed_weight(F.col("weight"), F.col("date"), F.col("as_of")) / F.col("pcount"))
 
 
@@ -64,6 +69,16 @@ def a07_stored(spark, sf_dir):
     return stored.windowed_heat_of(stored.stored_sums(spark, path), (7, 14, 30)).select("days", "place", "heat", "n")
 
 
+def a07_streamed(spark, sf_dir):
+    """Events as a stream of files whose micro-batches are stored as sums; every window is read from the sums."""
+    events, arrived = table(spark, sf_dir, "events"), shared_path(spark, "arrived")
+    events.repartition(3, "event_id").write.parquet(arrived)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+    sums, state = shared_path(spark, "sums"), shared_path(spark, "state")
+    stored.store_stream(_entries_of(stream), sums, state).trigger(availableNow=True).start().awaitTermination()
+    return stored.windowed_heat_of(stored.stored_sums(spark, sums), (7, 14, 30)).select("days", "place", "heat", "n")
+
+
 def a06_distinct(spark, sf_dir):
     """Distinct users of every window, merged from a bitmap of each day's users."""
     events = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("date"))
@@ -135,6 +150,9 @@ _PARTS = f"""WITH tags AS (
   SELECT p_partkey, p_brand, k, arg_min(theme, ord) AS theme FROM tags JOIN (VALUES {_THEME_VALUES}) AS d(theme, word, ord) ON strpos(tag, word) > 0 GROUP BY ALL
 ), th AS (SELECT DISTINCT p_partkey, p_brand, theme FROM hits)"""
 
+_WINDOWS = _E + """ SELECT CAST(days AS INTEGER) AS days, place, round(sum(share), 4) AS heat, count(*) AS n
+FROM s JOIN (VALUES (7), (14), (30)) AS w(days) ON age < days GROUP BY ALL"""
+
 QUERIES = {
     "a01_date_bounds": (a01_bounds, "SELECT CAST(min(CAST(ts AS DATE)) AS VARCHAR) AS start, CAST(max(CAST(ts AS DATE)) AS VARCHAR) AS as_of FROM events"),
     "a02_decayed_weight": (a02_decay, _E + " SELECT event_id, round(weight * pow(0.93, age), 6) AS decayed FROM s"),
@@ -143,10 +161,9 @@ QUERIES = {
     "a06_heat_stats": (a06_stats, _E + """, sc AS (SELECT * FROM s WHERE weight > 1), h AS (SELECT round(sum(share), 4) AS heat FROM sc GROUP BY place)
 SELECT (SELECT count(*) FROM events WHERE event_type IS NOT NULL) AS total, (SELECT count(DISTINCT (date, event_id)) FROM sc) AS attributed,
        (SELECT count(*) FROM events WHERE event_type IS NOT NULL) - (SELECT count(DISTINCT (date, event_id)) FROM sc) AS excluded, (SELECT max(heat) FROM h) AS max_heat"""),
-    "a07_windowed_heat": (a07_windows, _E + """ SELECT CAST(days AS INTEGER) AS days, place, round(sum(share), 4) AS heat, count(*) AS n
-FROM s JOIN (VALUES (7), (14), (30)) AS w(days) ON age < days GROUP BY ALL"""),
-    "a07_stored_heat": (a07_stored, _E + """ SELECT CAST(days AS INTEGER) AS days, place, round(sum(share), 4) AS heat, count(*) AS n
-FROM s JOIN (VALUES (7), (14), (30)) AS w(days) ON age < days GROUP BY ALL"""),
+    "a07_windowed_heat": (a07_windows, _WINDOWS),
+    "a07_stored_heat": (a07_stored, _WINDOWS),
+    "a07_streamed_heat": (a07_streamed, _WINDOWS),
     "a06_distinct_users": (a06_distinct, _E + """ SELECT CAST(days AS INTEGER) AS days, count(DISTINCT user_id) AS keys
 FROM s JOIN (VALUES (7), (14), (30)) AS w(days) ON age < days GROUP BY ALL"""),
     "a08_theme_facets": (a08_facets, _PARTS + " SELECT p_brand, theme, count(*) AS n FROM th GROUP BY ALL"),

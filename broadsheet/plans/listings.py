@@ -152,6 +152,16 @@ def s03_search_index(spark, sf_dir):
     return found.select("conv_id", flat(texts).alias("items"))
 
 
+def s03_search_json(spark, sf_dir):
+    """Writes the search index, a row per report with its items, as JSON lines to the shared folder and reads it back."""
+    found = documents.build_search_index(table(spark, sf_dir, "conversations"), "conv_id", order="turn", body="text", body_chars=200, fields=("role",))
+    path = shared_path(spark, "search")
+    documents.write_json(found, path)
+    read = spark.read.schema("conv_id long, items array<struct<turn long, role string, text string>>").json(path)
+    texts = F.transform("items", lambda r: F.concat_ws(":", r["turn"].cast("string"), r["role"], r["text"]))
+    return read.select("conv_id", flat(texts).alias("items"))
+
+
 def s05_title_index(spark, sf_dir):
     """Writes the index, a row per item, as JSON lines to the shared folder and reads them back."""
     items = titled(spark, sf_dir)
@@ -198,6 +208,9 @@ SELECT item_id, CAST(date AS VARCHAR) AS date, doc_id, term,
   CASE WHEN p >= 0 THEN CASE WHEN lo > 0 THEN '…' ELSE '' END || substr(body, lo + 1, hi - lo) || CASE WHEN hi < length(body) THEN '…' ELSE '' END END AS snippet
 FROM c"""
 
+_SEARCH = """SELECT conv_id, string_agg(concat_ws(':', CAST(turn AS VARCHAR), role, substr(text, 1, 200)), '|' ORDER BY turn) AS items
+FROM conversations GROUP BY conv_id"""
+
 QUERIES = {
     "w01_prev_next": (w01_prev_next, _DAYS + """ SELECT CAST(date AS VARCHAR) AS date, CAST(lag(date) OVER w AS VARCHAR) AS prev_date, CAST(lead(date) OVER w AS VARCHAR) AS next_date,
   CAST(lag(weekday) OVER w AS VARCHAR) AS prev_weekday, CAST(lead(weekday) OVER w AS VARCHAR) AS next_weekday FROM d WINDOW w AS (ORDER BY date)"""),
@@ -230,7 +243,8 @@ SELECT o_orderkey, 'reports/' || CAST(c.date AS VARCHAR) || '.html' AS href, CAS
     "j04_unknown_titles": (j04_unknown, _INDEX + f" SELECT doc_id FROM docs WHERE {_CANDIDATE} NOT IN (SELECT t FROM idx)"),
     "j04_known_titles": (j04_known, _INDEX + f" SELECT doc_id FROM docs WHERE {_CANDIDATE} IN (SELECT t FROM idx)"),
     "j04_filtered_titles": (j04_filter, _INDEX + f" SELECT doc_id, {_CANDIDATE} IN (SELECT t FROM idx) AS known FROM docs"),
-    "s03_search_index": (s03_search_index, """SELECT conv_id, string_agg(concat_ws(':', CAST(turn AS VARCHAR), role, substr(text, 1, 200)), '|' ORDER BY turn) AS items FROM conversations GROUP BY conv_id"""),
+    "s03_search_index": (s03_search_index, _SEARCH),
+    "s03_search_json": (s03_search_json, _SEARCH),
     "s05_title_index": (s05_title_index, _TITLED + """ SELECT CAST(date AS VARCHAR) AS date, 'item' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS item_id, title
 FROM docs WHERE date IN (SELECT date FROM newest)"""),
     "a15_index_size": (a15_index_size, _TITLED + " SELECT count(DISTINCT date) AS reports, count(*) AS titles FROM docs WHERE date IN (SELECT date FROM newest)"),
