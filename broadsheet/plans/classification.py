@@ -145,7 +145,8 @@ _ENTRIES = (
 )
 
 QUERIES = {
-    "c01_scan_places": (c01_scan_places, f"WITH {DICTIONARY_SQL}, {_SCAN_DOCS}, {scan_sql('x', 'text')} SELECT doc_id, coalesce(places, '') AS places FROM docs LEFT JOIN x USING (doc_id)"),
+    "c01_scan_places": (c01_scan_places, f"""WITH {DICTIONARY_SQL}, {_SCAN_DOCS}, {scan_sql('x', 'text')} SELECT doc_id, coalesce(places, '') AS
+  places FROM docs LEFT JOIN x USING (doc_id)"""),
     "c02_outreach": (c02_outreach, _rule_sql("outreach", "outreach_title", "outreach_tag")),
     "c03_weak_national": (c03_weak_national, _rule_sql("weak_national", "weak_national", "weak_national")),
     "c04_strong_policy": (c04_strong_policy, _rule_sql("strong_policy", "strong_policy", "strong_policy")),
@@ -165,17 +166,21 @@ SELECT doc_id, kind, tier, substr(title, 1, 36) AS title FROM audit WHERE tier I
     "c11_window": (c11_window, """WITH e AS (SELECT event_id, CAST(ts AS DATE) AS date FROM events)
 SELECT event_id, CAST(date AS VARCHAR) AS date FROM e WHERE date_diff('day', date, (SELECT max(date) FROM e)) < 7"""),
     "c12_theme_filter": (c12_theme_filter, f"""
-WITH hits AS (SELECT p_partkey, p_type, arg_min(theme, ord) AS theme FROM part JOIN (VALUES {_THEME_VALUES}) AS d(theme, word, ord) ON strpos(p_type, word) > 0 GROUP BY ALL)
+WITH hits AS (SELECT p_partkey, p_type, arg_min(theme, ord) AS theme FROM part JOIN (VALUES {_THEME_VALUES}) AS d(theme, word, ord) ON strpos(p_type,
+  word) > 0 GROUP BY ALL)
 SELECT p_partkey, p_type FROM hits WHERE theme = 'size'"""),
-    "j01_keyword_join": (j01_keyword_join, f"SELECT doc_id, kw, place, strpos(text, kw) AS pos FROM documents JOIN (VALUES {_DICT_VALUES}) AS d(kw, place) ON strpos(text, kw) > 0"),
-    "j01_keyword_dictionary": (j01_keyword_dictionary, f"WITH {_LARGE} SELECT doc_id, kw, strpos(text, kw) AS pos FROM documents JOIN words ON strpos(text, kw) > 0"),
+    "j01_keyword_join": (j01_keyword_join, f"""SELECT doc_id, kw, place, strpos(text, kw) AS pos FROM documents JOIN (VALUES {_DICT_VALUES}) AS d(kw,
+  place) ON strpos(text, kw) > 0"""),
+    "j01_keyword_dictionary": (j01_keyword_dictionary, f"""WITH {_LARGE} SELECT doc_id, kw, strpos(text, kw) AS pos FROM documents JOIN words ON
+  strpos(text, kw) > 0"""),
     "c05_attribute_dictionary": (c05_attribute_dictionary, attributed_sql(_LARGE + """, dictionary AS (
   SELECT kw, substr(kw, 1, 2) AS place, length(kw) AS ord, CASE length(kw) % 3 WHEN 0 THEN 'place' WHEN 1 THEN 'city' ELSE 'site' END AS layer FROM words)""")
      + " SELECT doc_id, tier, places FROM attributed"),
     "c06_themes_dictionary": (c06_themes_dictionary, """
 WITH words AS (SELECT DISTINCT unnest(string_split(upper(p_name), ' ')) AS word FROM part),
 tags AS (
-  SELECT p_partkey, 0 AS k, p_type AS tag FROM part UNION ALL SELECT p_partkey, 1, upper(p_name) FROM part UNION ALL SELECT p_partkey, 2, upper(p_brand) FROM part
+  SELECT p_partkey, 0 AS k, p_type AS tag FROM part UNION ALL SELECT p_partkey, 1, upper(p_name) FROM part UNION ALL SELECT p_partkey, 2,
+    upper(p_brand) FROM part
 ), hits AS (
   SELECT p_partkey, k, arg_min(substr(word, 1, 1), (length(word), substr(word, 1, 1))) AS theme FROM tags JOIN words ON strpos(tag, word) > 0 GROUP BY ALL
 ), firsts AS (SELECT p_partkey, theme, min(k) AS k FROM hits GROUP BY ALL)

@@ -244,12 +244,16 @@ def _jobs(spark, sf_dir):
 
 _JOBS = """WITH raw AS (
   SELECT o_custkey AS doc_id, o_orderkey AS number, CAST(o_orderdate AS DATE) AS od, o_orderpriority AS position, 'inst ' || o_orderkey AS institution,
-         CASE WHEN o_orderstatus = 'F' THEN '招聘' ELSE 'status ' || o_orderstatus END AS category, CASE WHEN o_orderstatus = 'F' THEN '💼' ELSE '🏛️' END AS icon, o_orderkey % 5 = 0 AS marked,
-         CASE WHEN o_orderkey % 7 = 0 THEN '长期招募' WHEN o_orderkey % 7 = 1 THEN '2026-13-40' ELSE strftime(o_orderdate, '%Y-%-m-%-d') || '（note）' END AS deadline,
-         dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) - CAST(bool_or(o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS INTEGER) AS section_no
+         CASE WHEN o_orderstatus = 'F' THEN '招聘' ELSE 'status ' || o_orderstatus END AS category, CASE WHEN o_orderstatus = 'F' THEN '💼' ELSE '🏛️'
+           END AS icon, o_orderkey % 5 = 0 AS marked,
+         CASE WHEN o_orderkey % 7 = 0 THEN '长期招募' WHEN o_orderkey % 7 = 1 THEN '2026-13-40' ELSE strftime(o_orderdate, '%Y-%-m-%-d') || '（note）' END
+           AS deadline,
+         dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) - CAST(bool_or(o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS
+           INTEGER) AS section_no
   FROM orders
 ), dated AS (
-  SELECT *, CASE WHEN number % 7 > 1 THEN od END AS deadline_date, date_diff('day', DATE '1998-01-01', CASE WHEN number % 7 > 1 THEN od END) AS days_left FROM raw
+  SELECT *, CASE WHEN number % 7 > 1 THEN od END AS deadline_date, date_diff('day', DATE '1998-01-01', CASE WHEN number % 7 > 1 THEN od END) AS
+    days_left FROM raw
 ), jb AS (SELECT *, marked OR coalesce(days_left BETWEEN 0 AND 3, false) AS urgent FROM dated)"""
 
 
@@ -354,11 +358,13 @@ typed AS (
     WHEN regexp_matches(line, '^\d+\.\s+') THEN 'numbered' WHEN regexp_matches(line, '^[#>-]') THEN 'skip' ELSE 'paragraph' END AS block_type
   FROM raw
 ), flagged AS (
-  SELECT *, CASE WHEN lag(block_type) OVER w = block_type AND block_type NOT IN ('heading', 'quote') THEN 0 ELSE 1 END AS fresh FROM typed WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+  SELECT *, CASE WHEN lag(block_type) OVER w = block_type AND block_type NOT IN ('heading', 'quote') THEN 0 ELSE 1 END AS fresh FROM typed WINDOW w
+    AS (PARTITION BY doc_id ORDER BY k)
 ), runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM flagged),
 worded AS (
   SELECT doc_id, run, k, block_type, CASE block_type
-      WHEN 'heading' THEN regexp_replace(line, '^###\s+', '') WHEN 'quote' THEN regexp_replace(line, '^[> ]+', '') WHEN 'bullets' THEN regexp_replace(line, '^-\s+', '')
+      WHEN 'heading' THEN regexp_replace(line, '^###\s+', '') WHEN 'quote' THEN regexp_replace(line, '^[> ]+', '') WHEN 'bullets' THEN
+        regexp_replace(line, '^-\s+', '')
       WHEN 'numbered' THEN regexp_replace(line, '^\d+\.\s+', '') WHEN 'paragraph' THEN regexp_replace(line, '^\s+|\s+$', '', 'g') ELSE line END AS item
   FROM runs WHERE block_type NOT IN ('blank', 'skip')
 ), blocks AS (
@@ -368,18 +374,24 @@ worded AS (
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) AS block_no, block_type, items FROM blocks"""
 
 QUERIES = {
-    "s01_read_documents": (s01_read, "SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM (SELECT doc_id, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents WHERE doc_id IS NOT NULL)"),
+    "s01_read_documents": (s01_read, """SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM (SELECT doc_id,
+  replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents WHERE doc_id IS NOT NULL)"""),
     "s01_refresh_by_date": (s01_refresh, """SELECT CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS VARCHAR) AS date, count(*) AS n,
   CAST(sum(doc_id) AS BIGINT) AS ids, count(DISTINCT doc_id || chr(10) || coalesce(text, '')) AS texts FROM documents WHERE doc_id IS NOT NULL GROUP BY 1"""),
     "s02_route_documents": (s02_route, """SELECT doc_id, CASE WHEN strpos(split_part(text, chr(10), 1), 'The') > 0 THEN 'weekly'
   WHEN strpos(split_part(text, chr(10), 1), 'la') > 0 THEN 'monthly' ELSE 'daily' END AS kind, doc_id % 10 = 0 AS skipped FROM documents"""),
-    "x01_lines": (x01_lines, "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents"),
-    "x02_daily_header": (x02_daily_header, "SELECT o_orderkey AS doc_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, '周' || (dayofweek(o_orderdate) + 1) AS weekday FROM orders"),
-    "x02_weekly_header": (x02_weekly_header, """WITH d AS (SELECT o_orderkey AS doc_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS s, CAST(CAST(o_orderdate AS DATE) + 6 AS VARCHAR) AS e FROM orders)
+    "x01_lines": (x01_lines, """SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text,
+  chr(10))) AS line FROM documents"""),
+    "x02_daily_header": (x02_daily_header, """SELECT o_orderkey AS doc_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, '周' ||
+  (dayofweek(o_orderdate) + 1) AS weekday FROM orders"""),
+    "x02_weekly_header": (x02_weekly_header, """WITH d AS (SELECT o_orderkey AS doc_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS s,
+  CAST(CAST(o_orderdate AS DATE) + 6 AS VARCHAR) AS e FROM orders)
 SELECT doc_id, s AS start_date, e AS ref_date, s || ' — ' || e AS date_range FROM d"""),
-    "x02_monthly_header": (x02_monthly_header, "SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y-%m-28') AS ref_date, strftime(o_orderdate, '%Y年%-m月') AS date_range FROM orders"),
+    "x02_monthly_header": (x02_monthly_header, """SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y-%m-28') AS ref_date, strftime(o_orderdate,
+  '%Y年%-m月') AS date_range FROM orders"""),
     "x02_jobs_header": (x02_jobs_header, "SELECT o_orderkey AS doc_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date FROM orders"),
-    "x03_sections": (x03_sections, "SELECT o_custkey AS doc_id, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'domestic' WHEN 'O' THEN 'international' END AS section FROM orders"),
+    "x03_sections": (x03_sections, """SELECT o_custkey AS doc_id, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'domestic' WHEN 'O' THEN
+  'international' END AS section FROM orders"""),
     "x04_items": (x04_items, _DAILY + """ SELECT doc_id, item_no, CASE l_linestatus WHEN 'F' THEN 'domestic' ELSE 'international' END AS section,
   'item' || item_no AS item_id, 'part ' || l_partkey AS title FROM it"""),
     "x05_tags": (x05_tags, _DAILY + " SELECT doc_id, 'item' || item_no AS item_id, l_returnflag || '|' || l_linestatus || '|s' || l_suppkey AS tags FROM it"),
@@ -390,23 +402,30 @@ SELECT doc_id, s AS start_date, e AS ref_date, s || ' — ' || e AS date_range F
     "x09_body": (x09_body, _DAILY + " SELECT doc_id, 'item' || item_no AS item_id, 'quantity ' || CAST(l_quantity AS INTEGER) || chr(10) || ' line ' || l_linenumber AS body FROM it"),
     "a11_report_counts": (a11_report_counts, """SELECT l_orderkey AS doc_id, count(*) FILTER (WHERE l_linestatus = 'F') AS domestic_count,
   count(*) FILTER (WHERE l_linestatus = 'O') AS international_count, count(*) AS total_count FROM lineitem GROUP BY l_orderkey"""),
-    "x10_table_rows": (x10_table_rows, """SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_no, o_orderpriority || '|' || o_orderkey AS cells
+    "x10_table_rows": (x10_table_rows, """SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_no,
+  o_orderpriority || '|' || o_orderkey AS cells
 FROM orders UNION ALL SELECT DISTINCT o_custkey, 0, 'priority|key' FROM orders"""),
-    "x11_ranking_items": (x11_ranking, """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders)
+    "x11_ranking_items": (x11_ranking, """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k
+  FROM orders)
 SELECT o_custkey AS doc_id, 'item' || k AS item_id, 'order ' || o_orderkey AS title, '📅 ' || o_orderstatus || ' ｜ customer ' || o_custkey AS body FROM r"""),
     "x12_rich_sections": (x12_rich, """WITH s AS (
-  SELECT CAST(floor(p_partkey / 100) AS BIGINT) AS doc_id, p_type, string_agg(p_name || ' ' || p_partkey, '|' ORDER BY p_partkey) AS lines FROM part GROUP BY ALL
-) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p_type) AS section_no, CASE WHEN starts_with(p_type, 'S') THEN '🌍' ELSE '📄' END AS icon, p_type AS title, lines FROM s"""),
+  SELECT CAST(floor(p_partkey / 100) AS BIGINT) AS doc_id, p_type, string_agg(p_name || ' ' || p_partkey, '|' ORDER BY p_partkey) AS lines FROM part
+    GROUP BY ALL
+) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p_type) AS section_no, CASE WHEN starts_with(p_type, 'S') THEN '🌍' ELSE '📄' END AS
+  icon, p_type AS title, lines FROM s"""),
     "a13_digest_label": (a13_label, """SELECT o_custkey AS doc_id,
   CASE o_custkey % 3 WHEN 0 THEN count(*) || ' 条' WHEN 1 THEN '综合' ELSE '0 条' END AS label FROM orders GROUP BY o_custkey"""),
     "x13_blocks": (x13_blocks, _BLOCKS_SQL),
-    "x14_overview_footer": (x14_overview, """SELECT o_custkey AS doc_id, string_agg('order ' || o_orderkey, ' ' ORDER BY o_orderkey) AS overview, '本周报由 customer ' || o_custkey AS footer
+    "x14_overview_footer": (x14_overview, """SELECT o_custkey AS doc_id, string_agg('order ' || o_orderkey, ' ' ORDER BY o_orderkey) AS overview,
+  '本周报由 customer ' || o_custkey AS footer
 FROM orders GROUP BY o_custkey"""),
-    "x04_digest_items": (digest_items, """SELECT o_custkey AS doc_id, 'item' || o_orderkey AS item_id, 'order ' || o_orderkey AS title, 'status ' || o_orderstatus AS body,
+    "x04_digest_items": (digest_items, """SELECT o_custkey AS doc_id, 'item' || o_orderkey AS item_id, 'order ' || o_orderkey AS title, 'status ' ||
+  o_orderstatus AS body,
   'priority ' || o_orderpriority AS progress, 'http://o.example/' || o_orderkey AS url FROM orders"""),
     "x15_fields": (x15_fields, _JOBS + """ SELECT number, 'level ' || number % 3 AS education, 'city ' || doc_id AS location, deadline,
   CASE WHEN number % 4 > 0 THEN 'pay ' || number % 4 END AS note FROM jb"""),
-    "x16_contact": (x16_contact, _JOBS + """ SELECT number, CASE WHEN number % 11 > 0 THEN CASE WHEN number % 2 = 0 THEN 'http://j.example/' || number ELSE 'mailto:o' || number || '@jobs.example' END END AS link_url,
+    "x16_contact": (x16_contact, _JOBS + """ SELECT number, CASE WHEN number % 11 > 0 THEN CASE WHEN number % 2 = 0 THEN 'http://j.example/' ||
+  number ELSE 'mailto:o' || number || '@jobs.example' END END AS link_url,
   CASE WHEN number % 11 = 0 THEN '招聘公告' WHEN number % 2 = 0 THEN 'notice ' || number ELSE 'o' || number || '@jobs.example' END AS link_text FROM jb"""),
     "x17_job_heading": (x17_heading, _JOBS + " SELECT number, marked, institution, position, category, icon, section_no FROM jb"),
     "x18_summary": (x18_summary, "SELECT DISTINCT o_custkey AS doc_id, 'jobs of ' || o_custkey || ' today' AS summary FROM orders"),
@@ -417,6 +436,7 @@ FROM orders GROUP BY o_custkey"""),
     "r05_default": (r05_default, _JOBS + " SELECT number, CASE WHEN number % 4 > 0 THEN 'pay ' || number % 4 ELSE '详见公告' END AS note FROM jb"),
     "a12_job_summary": (a12_job_summary, _JOBS + " SELECT category, min(section_no) AS section_no, count(*) AS jobs, count(*) FILTER (WHERE urgent) AS urgent_jobs FROM jb GROUP BY category"),
     "o05_sort_jobs": (o05_sort, _JOBS + " SELECT doc_id, number, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, days_left NULLS LAST, number) AS place FROM jb"),
-    "f01_rewrite_inline": (f01_rewrite_inline, """SELECT p_partkey, '<strong>' || p_brand || '</strong> <em>' || p_type || '</em> <code>' || p_name || '</code>' AS html,
+    "f01_rewrite_inline": (f01_rewrite_inline, """SELECT p_partkey, '<strong>' || p_brand || '</strong> <em>' || p_type || '</em> <code>' || p_name
+  || '</code>' AS html,
   p_brand || ' ' || p_type || ' ' || p_name AS plain FROM part"""),
 }

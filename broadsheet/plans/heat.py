@@ -26,7 +26,8 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _E = """WITH ev AS (
-  SELECT event_id, user_id, event_type AS place, CAST(ts AS DATE) AS date, CAST(1 + floor(value / 20) AS BIGINT) AS weight, 1 + event_id % 3 AS pcount FROM events
+  SELECT event_id, user_id, event_type AS place, CAST(ts AS DATE) AS date, CAST(1 + floor(value / 20) AS BIGINT) AS weight, 1 + event_id % 3 AS
+    pcount FROM events
 ), e AS (
   SELECT *, date_diff('day', date, (SELECT max(date) FROM ev)) AS age FROM ev
 ), s AS (SELECT *, weight * pow(0.93, age) / pcount AS share FROM e)"""
@@ -147,7 +148,8 @@ _THEME_VALUES = ", ".join(f"({sql_text(t)}, {sql_text(w)}, {i})" for i, (t, w) i
 _PARTS = f"""WITH tags AS (
   SELECT p_partkey, p_brand, 0 AS k, p_type AS tag FROM part UNION ALL SELECT p_partkey, p_brand, 1, upper(p_name) FROM part
 ), hits AS (
-  SELECT p_partkey, p_brand, k, arg_min(theme, ord) AS theme FROM tags JOIN (VALUES {_THEME_VALUES}) AS d(theme, word, ord) ON strpos(tag, word) > 0 GROUP BY ALL
+  SELECT p_partkey, p_brand, k, arg_min(theme, ord) AS theme FROM tags JOIN (VALUES {_THEME_VALUES}) AS d(theme, word, ord) ON strpos(tag, word) > 0
+    GROUP BY ALL
 ), th AS (SELECT DISTINCT p_partkey, p_brand, theme FROM hits)"""
 
 _WINDOWS = _E + """ SELECT CAST(days AS INTEGER) AS days, place, round(sum(share), 4) AS heat, count(*) AS n
@@ -160,7 +162,8 @@ QUERIES = {
     "a05_place_lists": (a05_lists, _E + " SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, event_id) AS position, event_id, CAST(date AS VARCHAR) AS date FROM s"),
     "a06_heat_stats": (a06_stats, _E + """, sc AS (SELECT * FROM s WHERE weight > 1), h AS (SELECT round(sum(share), 4) AS heat FROM sc GROUP BY place)
 SELECT (SELECT count(*) FROM events WHERE event_type IS NOT NULL) AS total, (SELECT count(DISTINCT (date, event_id)) FROM sc) AS attributed,
-       (SELECT count(*) FROM events WHERE event_type IS NOT NULL) - (SELECT count(DISTINCT (date, event_id)) FROM sc) AS excluded, (SELECT max(heat) FROM h) AS max_heat"""),
+       (SELECT count(*) FROM events WHERE event_type IS NOT NULL) - (SELECT count(DISTINCT (date, event_id)) FROM sc) AS excluded, (SELECT max(heat)
+  FROM h) AS max_heat"""),
     "a07_windowed_heat": (a07_windows, _WINDOWS),
     "a07_stored_heat": (a07_stored, _WINDOWS),
     "a07_streamed_heat": (a07_streamed, _WINDOWS),
@@ -170,7 +173,8 @@ FROM s JOIN (VALUES (7), (14), (30)) AS w(days) ON age < days GROUP BY ALL"""),
     "a09_facet_hits": (a09_facet_hits, _PARTS + """ SELECT p_brand, count(th.p_partkey) AS hits, count(*) AS total
 FROM part LEFT JOIN (SELECT p_partkey FROM th WHERE theme = 'plan') th USING (p_partkey) GROUP BY p_brand"""),
     "a14_scale_layer": (a14_scale, _BAL + """, m AS (SELECT max(heat) AS top, greatest(1, ceil(max(heat) * 1.05)) AS vm FROM h)
-SELECT place, heat, CAST(vm AS BIGINT) AS vm_max, round(5 + heat / vm * 33, 4) AS size, heat >= top * 0.15 AS labelled, 5 + heat / vm * 33 >= 26 AS inside FROM h, m"""),
+SELECT place, heat, CAST(vm AS BIGINT) AS vm_max, round(5 + heat / vm * 33, 4) AS size, heat >= top * 0.15 AS labelled, 5 + heat / vm * 33 >= 26 AS
+  inside FROM h, m"""),
     "j02_geo": (j02_geo, _BAL + " SELECT place, r_name AS region, heat FROM h JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 4"),
     "o01_place_order": (o01_order, _E + """, h AS (SELECT place, round(sum(share), 4) AS heat, count(*) AS n FROM s GROUP BY place)
 SELECT *, row_number() OVER (ORDER BY heat DESC, place) AS position FROM h"""),
@@ -178,5 +182,6 @@ SELECT *, row_number() OVER (ORDER BY heat DESC, place) AS position FROM h"""),
     "o03_drilldown": (o03_drilldown, _E + """ SELECT place, row_number() OVER (PARTITION BY place ORDER BY weight DESC, date DESC, event_id) AS position, event_id, weight, CAST(date AS VARCHAR) AS date FROM s"""),
     "o04_place_items": (o04_place_items, _E + " SELECT place, row_number() OVER (PARTITION BY place ORDER BY date DESC, event_id) AS position, event_id, CAST(date AS VARCHAR) AS date FROM s"),
     "s04_heat_document": (s04_heat_document, _E + """, h AS (SELECT place, round(sum(share), 4) AS heat, count(*) AS n FROM s GROUP BY place)
-SELECT place, row_number() OVER (PARTITION BY place ORDER BY date DESC, event_id) AS position, CAST(date AS VARCHAR) AS date, event_id, weight, heat, n FROM s JOIN h USING (place)"""),
+SELECT place, row_number() OVER (PARTITION BY place ORDER BY date DESC, event_id) AS position, CAST(date AS VARCHAR) AS date, event_id, weight, heat,
+  n FROM s JOIN h USING (place)"""),
 }

@@ -205,17 +205,20 @@ hits AS (
          least(strpos(lower(body), term) - 1 + length(term) + 40, length(body)) AS hi FROM hits WHERE k = 1
 )
 SELECT item_id, CAST(date AS VARCHAR) AS date, doc_id, term,
-  CASE WHEN p >= 0 THEN CASE WHEN lo > 0 THEN '…' ELSE '' END || substr(body, lo + 1, hi - lo) || CASE WHEN hi < length(body) THEN '…' ELSE '' END END AS snippet
+  CASE WHEN p >= 0 THEN CASE WHEN lo > 0 THEN '…' ELSE '' END || substr(body, lo + 1, hi - lo) || CASE WHEN hi < length(body) THEN '…' ELSE '' END
+    END AS snippet
 FROM c"""
 
 _SEARCH = """SELECT conv_id, string_agg(concat_ws(':', CAST(turn AS VARCHAR), role, substr(text, 1, 200)), '|' ORDER BY turn) AS items
 FROM conversations GROUP BY conv_id"""
 
 QUERIES = {
-    "w01_prev_next": (w01_prev_next, _DAYS + """ SELECT CAST(date AS VARCHAR) AS date, CAST(lag(date) OVER w AS VARCHAR) AS prev_date, CAST(lead(date) OVER w AS VARCHAR) AS next_date,
+    "w01_prev_next": (w01_prev_next, _DAYS + """ SELECT CAST(date AS VARCHAR) AS date, CAST(lag(date) OVER w AS VARCHAR) AS prev_date,
+  CAST(lead(date) OVER w AS VARCHAR) AS next_date,
   CAST(lag(weekday) OVER w AS VARCHAR) AS prev_weekday, CAST(lead(weekday) OVER w AS VARCHAR) AS next_weekday FROM d WINDOW w AS (ORDER BY date)"""),
     "w02_latest_k": (w02_latest_k, _DAYS + """, r AS (SELECT date, row_number() OVER (ORDER BY date DESC) AS place, count(*) OVER () AS c FROM d)
-SELECT CAST(date AS VARCHAR) AS date, place, CASE WHEN place <= 2 THEN 'latest' ELSE 'older' END AS "group", place = 1 AS newest, greatest(c - 2, 0) AS older_count FROM r"""),
+SELECT CAST(date AS VARCHAR) AS date, place, CASE WHEN place <= 2 THEN 'latest' ELSE 'older' END AS "group", place = 1 AS newest, greatest(c - 2, 0)
+  AS older_count FROM r"""),
     "w03_first_match": (w03_first_match, """SELECT conv_id, min(turn) AS turn FROM conversations
 WHERE strpos(lower(role || ' ' || text), 'the') > 0 OR strpos(lower(role || ' ' || text), 'les') > 0 GROUP BY conv_id"""),
     "o06_reports_by_date": (o06_by_date, _DAYS + " SELECT CAST(date AS VARCHAR) AS date, n, row_number() OVER (ORDER BY date DESC) AS position FROM d"),
@@ -223,22 +226,28 @@ WHERE strpos(lower(role || ' ' || text), 'the') > 0 OR strpos(lower(role || ' '
     "u01_url_rows": (u01_urls, _DAYS + """, m AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-28') AS date FROM orders),
 w AS (SELECT DISTINCT CAST(CAST(date_trunc('week', o_orderdate) AS DATE) + 6 AS VARCHAR) AS date FROM orders)
 SELECT 'https://digest.example/' || name AS loc, NULL AS lastmod, freq AS changefreq, CAST(priority AS DOUBLE) AS priority
-FROM (VALUES ('', 'daily', 1.0), ('jobs.html', 'weekly', 0.6), ('about.html', 'yearly', 0.3), ('intern.html', 'weekly', 0.6), ('heatmap.html', 'daily', 0.8)) AS p(name, freq, priority)
+FROM (VALUES ('', 'daily', 1.0), ('jobs.html', 'weekly', 0.6), ('about.html', 'yearly', 0.3), ('intern.html', 'weekly', 0.6), ('heatmap.html',
+  'daily', 0.8)) AS p(name, freq, priority)
 UNION ALL SELECT 'https://digest.example/reports/weekly-' || date || '.html', NULL, 'monthly', 0.7 FROM w
 UNION ALL SELECT 'https://digest.example/reports/' || CAST(date AS VARCHAR) || '.html', CAST(date AS VARCHAR), 'monthly', 0.8 FROM d
 UNION ALL SELECT 'https://digest.example/reports/monthly-' || date || '.html', NULL, 'monthly', 0.7 FROM m"""),
     "u02_union_sections": (u02_sections, "SELECT event_id, event_type, CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS section_ord FROM events"),
     "u03_distinct_keys": (u03_distinct, "SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, user_id FROM events"),
-    "q01_query_terms": (q01_terms, "SELECT item_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> ''), '|') AS terms FROM benchmark"),
-    "q02_search": (q02_search, "SELECT doc_id FROM documents WHERE strpos(lower(text || ' ' || source), 'idiot') > 0 OR strpos(lower(text || ' ' || source), 'worthless') > 0"),
+    "q01_query_terms": (q01_terms, """SELECT item_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> ''),
+  '|') AS terms FROM benchmark"""),
+    "q02_search": (q02_search, """SELECT doc_id FROM documents WHERE strpos(lower(text || ' ' || source), 'idiot') > 0 OR strpos(lower(text || ' '
+  || source), 'worthless') > 0"""),
     "q03_snippet": (q03_snippet, """WITH m AS (SELECT doc_id, text, strpos(lower(text), 'idiot') - 1 AS p FROM documents),
 c AS (SELECT doc_id, text, p, greatest(p - 30, 0) AS lo, least(p + 5 + 40, length(text)) AS hi FROM m)
-SELECT doc_id, CASE WHEN p >= 0 THEN CASE WHEN lo > 0 THEN '…' ELSE '' END || substr(text, lo + 1, hi - lo) || CASE WHEN hi < length(text) THEN '…' ELSE '' END END AS snippet FROM c"""),
+SELECT doc_id, CASE WHEN p >= 0 THEN CASE WHEN lo > 0 THEN '…' ELSE '' END || substr(text, lo + 1, hi - lo) || CASE WHEN hi < length(text) THEN '…'
+  ELSE '' END END AS snippet FROM c"""),
     "q04_highlight": (q04_highlight, "SELECT doc_id, regexp_replace(text, '(the)', '[\\1]', 'gi') AS marked FROM documents"),
-    "q05_search_hits": (q05_hits, "SELECT count(DISTINCT conv_id) AS hits FROM conversations WHERE strpos(lower(text), 'and') > 0 OR strpos(lower(text), 'der') > 0"),
+    "q05_search_hits": (q05_hits, """SELECT count(DISTINCT conv_id) AS hits FROM conversations WHERE strpos(lower(text), 'and') > 0 OR
+  strpos(lower(text), 'der') > 0"""),
     "q06_search_batch": (q06_batch, _BATCH),
     "q06_search_index": (q06_index, _BATCH),
-    "j03_cards_reports": (j03_cards, """WITH r AS (SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS items FROM lineitem GROUP BY 1), c AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders)
+    "j03_cards_reports": (j03_cards, """WITH r AS (SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS items FROM lineitem GROUP BY 1), c AS (SELECT
+  o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders)
 SELECT o_orderkey, 'reports/' || CAST(c.date AS VARCHAR) || '.html' AS href, CAST(c.date AS VARCHAR) AS date, items FROM c LEFT JOIN r USING (date)"""),
     "j04_unknown_titles": (j04_unknown, _INDEX + f" SELECT doc_id FROM docs WHERE {_CANDIDATE} NOT IN (SELECT t FROM idx)"),
     "j04_known_titles": (j04_known, _INDEX + f" SELECT doc_id FROM docs WHERE {_CANDIDATE} IN (SELECT t FROM idx)"),
@@ -249,6 +258,7 @@ SELECT o_orderkey, 'reports/' || CAST(c.date AS VARCHAR) || '.html' AS href, CAS
 FROM docs WHERE date IN (SELECT date FROM newest)"""),
     "a15_index_size": (a15_index_size, _TITLED + " SELECT count(DISTINCT date) AS reports, count(*) AS titles FROM docs WHERE date IN (SELECT date FROM newest)"),
     "s06_write_by_date": (s06_by_date, "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1"),
-    "f02_links": (f02_links, """SELECT page_id, 'reports/' || CAST(DATE '2024-01-01' + CAST(page_id % 30 AS INTEGER) AS VARCHAR) || '.html#item' || page_id AS link,
+    "f02_links": (f02_links, """SELECT page_id, 'reports/' || CAST(DATE '2024-01-01' + CAST(page_id % 30 AS INTEGER) AS VARCHAR) || '.html#item' ||
+  page_id AS link,
   url_encode('a b/' || url) AS encoded FROM pages"""),
 }
