@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions.text import occurrences
 from broadsheet.operators.rules import MAX_TERMS, strings
+from broadsheet.operators.segment import let
 
 ALL_LAYERS = ("place", "city", "site")
 
@@ -54,7 +55,9 @@ def scan_places(text, dictionary: Sequence[tuple[str, str, str]], layers: Sequen
 #: Lengths of anchors: a keyword is sought by its first characters, as many as the greatest of these that it has.
 ANCHORS = (1, 2, 4, 8, 16)
 #: Characters of a text cut into one block, or as many as the longest keyword has.
-BLOCK = 256
+BLOCK = 64
+#: Most bits of the bitmap of anchors, which has 64 or more a keyword up to there.
+FILTER_BITS = 1 << 28
 
 
 def keyword_hits(items: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
@@ -69,37 +72,60 @@ def keyword_hits(items: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
     return items.join(known, F.contains(F.col(text), F.col("kw"))).withColumn("pos", F.instr(F.col(text), F.col("kw")))
 
 
+def _bitmap(words: DataFrame, name: str, bits: int) -> DataFrame:
+    """(_bucket, _bits array<long>): which of ``bits`` slots the hashes ``name`` of ``words`` take; 4 KB a row."""
+    slots = words.select(F.pmod(name, F.lit(bits)).alias("_slot"))
+    taken = slots.groupBy(F.shiftright("_slot", 15).cast("int").alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_slot") % 32768).alias("_bytes"))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda k: F.conv(F.hex(F.substring(F.col("_bytes"), k * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    return taken.select("_bucket", whole.alias("_bits"))
+
+
+def _possibly(rows: DataFrame, name: str, bitmap: DataFrame, bits: int) -> DataFrame:
+    """``rows`` without those whose hash ``name`` is surely not in ``bitmap``, which is broadcast."""
+    slot = F.pmod(name, F.lit(bits))
+    joined = rows.join(F.broadcast(bitmap), F.shiftright(slot, 15).cast("int") == F.col("_bucket"))
+    at = (slot % 32768).cast("int")
+    # A long holds eight bytes, the first of them highest; a byte's bits count from its lowest.
+    word, shift = F.get("_bits", F.shiftright(at, 6)), (7 - F.shiftright(at, 3) % 8) * 8 + at % 8
+    return joined.filter(F.call_function("shiftright", word, shift).bitwiseAND(F.lit(1).cast("long")) == 1).drop("_bucket", "_bits")
+
+
 def keyword_hits_joined(items: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
     """:func:`keyword_hits` for any number of keywords, in time linear in the texts' lengths.
 
-    Each text is cut once into blocks that reach as far into the next as the longest keyword; at each character of a
-    block the hashes of the pieces that begin there, one for each anchor length in use, are met with those of the
-    keywords by an equality join. What meets is verified in its block, and the least position of a keyword in a text
-    is kept. Texts travel as blocks, once, and by a digest; equal texts are searched once.
+    Texts travel once, equal ones as one, and are cut into blocks that reach as far into the next as the longest keyword.
+    At each character of a block the hash of the piece that begins there, one for each anchor length in use, is looked up in a
+    broadcast bitmap of the keywords' anchors; only what may be one is shuffled, with as many characters as a keyword of
+    that anchor can have, and met with the keywords by an equality join and verified. So the shuffle grows with the hits,
+    not with the characters. The least position of a keyword in a text is kept, by the text's digest.
     """
     keywords = keywords.filter("kw <> ''")
     size = F.length("kw")
     anchor = F.greatest(*[F.when(size >= n, F.lit(n)) for n in ANCHORS])
-    shape = keywords.agg(F.max(size), F.array_sort(F.collect_set(anchor))).first()  # one row, as many values as ANCHORS
-    longest, lengths = shape[0] or 1, shape[1] or [1]
+    shape = keywords.agg(F.max(size), F.array_sort(F.collect_set(anchor)), F.count(F.lit(1))).first()  # one row, as many values as ANCHORS
+    longest, lengths, bits = shape[0] or 1, shape[1] or [1], min(max(1 << (64 * shape[2]).bit_length(), 1 << 15), FILTER_BITS)
     digest = F.unhex(F.md5(text))
     block = max(BLOCK, longest - 1)
-    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
-    texts = items.select(digest.alias("_of"), F.col(text)).dropDuplicates(["_of"]).select("_of", cut.alias("_cut"))
-    ahead = F.substring(F.coalesce(F.get("_cut", F.col("_no") + 1), F.lit("")), 1, longest - 1)
-    own = F.get("_cut", F.col("_no"))
-    numbered = texts.select("_of", "_cut", F.explode(F.sequence(F.lit(0), F.size("_cut") - 1)).alias("_no")).filter(F.size("_cut") > 0)
-    blocks = numbered.select("_of", "_no", F.concat(own, ahead).alias("_block"), F.length(own).alias("_own"))
-
-    pieces = F.array(*[F.xxhash64(F.lit(n), F.substring(F.col("_block"), F.col("_at"), F.lit(n))) for n in lengths])
+    pieces_of = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+
+    def reaching(cut: Column) -> Column:
+        ahead = lambda i: F.substring(F.coalesce(F.get(cut, i + 1), F.lit("")), 1, longest - 1)
+        return F.transform(cut, lambda own, i: F.struct(i.alias("_no"), F.concat(own, ahead(i)).alias("_block"), F.length(own).alias("_own")))
+
+    # The outer form keeps the optimizer from testing the array's size first, which would cut the text again.
+    texts = items.select(digest.alias("_of"), F.col(text)).dropDuplicates(["_of"])
+    blocks = texts.select("_of", F.explode_outer(let(pieces_of, reaching)).alias("_b")).filter("_b IS NOT NULL").select("_of", "_b.*")
     starts = blocks.select("_of", "_no", "_block", F.explode(F.sequence(F.lit(1), F.col("_own"))).alias("_at"))
-    anchored = starts.select("_of", "_no", "_at", F.explode(pieces).alias("_anchor"))
-    sought = keywords.select("kw").distinct().select("kw", F.xxhash64(anchor, F.substring(F.col("kw"), F.lit(1), anchor)).alias("_anchor"))
-    met = anchored.join(sought, "_anchor").select("_of", "_no", "_at", "kw")
-    here = F.substring(F.col("_block"), F.col("_at"), F.length("kw")) == F.col("kw")
-    verified = met.join(blocks.select("_of", "_no", "_block"), ["_of", "_no"]).filter(here)
-    hits = verified.groupBy("_of", "kw").agg(F.min(F.col("_no").cast("long") * block + F.col("_at")).cast("int").alias("pos"))
-    found = keywords.join(hits, "kw").select("_of", *[F.col(c) for c in keywords.columns], "pos")
+    hashes = F.array(*[F.xxhash64(F.lit(n), F.substring(F.col("_block"), F.col("_at"), F.lit(n))) for n in lengths])
+    sought = keywords.groupBy(*keywords.columns).agg(F.count(F.lit(1)).cast("int").alias("_rows"))  # equal rows each count
+    sought = sought.withColumn("_anchor", F.xxhash64(anchor, F.substring(F.col("kw"), F.lit(1), anchor)))
+    anchored = _possibly(starts.select("*", F.posexplode(hashes).alias("_n", "_anchor")), "_anchor", _bitmap(sought, "_anchor", bits), bits)
+    most = F.get(F.array(*[F.lit(min(2 * n - 1, longest) if n < ANCHORS[-1] else longest) for n in lengths]), "_n")  # of a keyword with that anchor
+    place = (F.col("_no").cast("long") * block + F.col("_at")).cast("int")
+    few = anchored.select("_of", "_anchor", place.alias("pos"), F.coalesce(F.substring(F.col("_block"), F.col("_at"), most), F.lit("")).alias("_piece"))
+    met = few.join(sought, "_anchor").filter(F.startswith("_piece", "kw"))
+    hits = met.groupBy("_of", *keywords.columns, "_rows").agg(F.min("pos").alias("pos"))
+    found = hits.select("_of", *keywords.columns, "pos", F.explode(F.array_repeat(F.lit(1), F.col("_rows")))).drop("col")
     return items.withColumn("_of", digest).join(found, "_of").drop("_of")
 
 

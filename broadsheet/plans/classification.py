@@ -9,6 +9,7 @@ from broadsheet.operators import classify, heat
 from broadsheet.plans.base import (
     DICTIONARY, DICTIONARY_SQL, ITEMS_SQL, RULES, THEMES, attributed_sql, documents_as_items, flat, scan_sql, sql_text, table,
 )
+from broadsheet.sources.shared import written
 
 
 def attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +81,7 @@ def j01_keyword_join(spark, sf_dir):
 def dictionary(spark, sf_dir):
     """A dictionary made from the documents: their distinct runs of 10 to 16 small letters, several thousand words."""
     words = F.explode(F.regexp_extract_all("text", F.lit("[a-zà-ÿ]{10,16}"), F.lit(0))).alias("kw")
-    return table(spark, sf_dir, "documents").select(words).distinct()
+    return written(table(spark, sf_dir, "documents").select(words).distinct(), "dictionary")  # made once, read several times
 
 
 def j01_keyword_dictionary(spark, sf_dir):

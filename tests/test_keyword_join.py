@@ -74,3 +74,16 @@ def test_tables_of_themes_give_the_same_lists(spark):
     found = {r.id: r.themes for r in classify.themes_joined(items, "id", "tags", table).collect()}
     plain = items.withColumn("themes", F.coalesce(classify.themes_of(F.col("tags"), themes), F.array().cast("array<string>")))
     assert found == {r.id: r.themes for r in plain.collect()}
+
+
+def test_only_what_may_be_a_keyword_is_shuffled(spark):
+    dice = random.Random(3)
+    words = sorted({"".join(dice.choice("abcdefgh") for _ in range(10)) for _ in range(50)})
+    text = "".join(dice.choice("ijklmnop ") for _ in range(20_000)) + words[7]
+    items = spark.createDataFrame([(1, text)], "id int, text string")
+    found = classify.keyword_hits_joined(items, "text", spark.createDataFrame([(w,) for w in words], "kw string"))
+    assert [(r.kw, r.pos) for r in found.select("kw", "pos").collect()] == [(words[7], 20_001)]
+    hashes = spark.range(5_000).select(F.xxhash64("id").alias("h"), "id")
+    bits = 1 << 18
+    kept = {r.id for r in classify._possibly(hashes, "h", classify._bitmap(hashes.filter("id < 1000"), "h", bits), bits).collect()}
+    assert set(range(1000)) <= kept and len(kept) < 1000 + 4000 * 0.02  # none is lost, and few others are kept
