@@ -20,6 +20,11 @@ def lines_of(text) -> Column:
     return F.split(normalize_newlines(text), "\n", -1)
 
 
+def first_line(text) -> Column:
+    """The first of :func:`lines_of`, without cutting the others."""
+    return F.substring_index(F.substring_index(text, "\n", 1), "\r", 1)
+
+
 def strip_anchor(text) -> Column:
     """Without a trailing ``{#anchor}``."""
     return F.regexp_replace(text, r"(?U)\s*\{#[^}]*\}\s*$", "")

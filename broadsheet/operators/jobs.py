@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from broadsheet.functions.text import ascii_digits, lines_of, strip
+from broadsheet.functions.text import ascii_digits, first_line, lines_of, strip
 from broadsheet.operators.segment import cut, header_columns, let
 
 #: Patterns of job lists (fixed values of the format).
@@ -75,8 +75,9 @@ def extract_contact(rows: Column) -> dict[str, Column]:
 def parse_jobs(docs: DataFrame, default_category: str = CATEGORY_DEFAULT, default_icon: str = ICON_DEFAULT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per listing, with update_date, deadline_date, days_left and urgent. Lists are cut within their row: no line
     is shuffled."""
-    date = header_columns(F.element_at(lines_of(F.col(text)), 1), "jobs")[1]
-    found = docs.select(F.col(key).alias("doc_id"), date.alias("update_date"), F.explode_outer(_listings(F.col(text))).alias("_item"))
+    # The date is taken once a list, before its listings part: behind the explode each listing would cut the list again.
+    dated = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"), let(first_line(F.col(text)), lambda f: header_columns(f, "jobs")[1]).alias("update_date"))
+    found = dated.select("doc_id", "update_date", F.explode_outer(_listings(F.col("_text"))).alias("_item"))
     found = found.filter(F.col("_item").isNotNull()).select("doc_id", "update_date", "_item.*")
     opening, header = F.get("rows", 0)["line"], F.col("header")
     value = lambda group: F.regexp_extract(opening, ITEM, group)

@@ -98,3 +98,11 @@ def test_long_lists(spark):
     text = "# t | 2026年1月1日\n" + "\n".join(f"## 🏛️ c{i % 7}\n### {i}. a{i} — b\n- 🎓 **学历**：e{i}" for i in range(10_000))
     found = jobs.parse_jobs(_docs(spark, text))
     assert found.filter("education = concat('e', number) and institution = concat('a', number) and section_no = number + 1").count() == 10_000
+
+
+def test_a_list_is_dated_before_its_listings_part(spark):
+    plan = jobs.parse_jobs(_docs(spark, JOBS)).select("number", "days_left")._jdf.queryExecution().optimizedPlan().toString()
+    behind = plan[: plan.index("Generate explode")]
+    assert "update_date" in behind and "substring_index" not in behind and "split" not in behind  # lines above the explode run once a listing
+    rows = jobs.parse_jobs(_docs(spark, JOBS, JOBS.replace("\n", "\r"), JOBS.replace("\n", "\r\n"))).collect()
+    assert len(rows) == 9 and {str(r.update_date) for r in rows} == {"2026-08-22"}
