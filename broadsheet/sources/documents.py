@@ -8,11 +8,34 @@ from pyspark.sql import functions as F
 from broadsheet.functions.text import lines_of, normalize_newlines
 
 
-def read_documents(spark: SparkSession, path: str | list[str], pattern: str = "*.md") -> DataFrame:
-    """(doc_id, path, text) of the files under ``path`` or of a list of files; doc_id is the file name without its ending."""
-    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return files.select(name.alias("doc_id"), "path", normalize_newlines("value").alias("text"))
+#: Ends a document of a bundle, and what stands for it, and for itself, inside a text.
+_END, _ESCAPE = "\x1e", "\x10"
+
+
+def read_documents(spark: SparkSession, path: str | list[str], pattern: str = "*.md", bundled: bool = False) -> DataFrame:
+    """(doc_id, path, text) of the files under ``path`` or of a list of files; doc_id is the file name without its ending.
+
+    ``bundled`` files hold many documents each, as :func:`write_bundles` has written them, with a doc_id of their own.
+    """
+    reader = spark.read.option("pathGlobFilter", pattern)
+    files = reader.option("lineSep", _END).text(path) if bundled else reader.text(path, wholetext=True)
+    files = files.select("value", F.col("_metadata.file_path").alias("path"))
+    if bundled:
+        name, value = F.substring_index("value", "\n", 1), F.substring(F.col("value"), F.instr("value", "\n") + 1, F.length("value"))
+        text = F.replace(F.replace(value, F.lit(f"{_ESCAPE}1"), F.lit(_END)), F.lit(f"{_ESCAPE}0"), F.lit(_ESCAPE))
+    else:
+        name, text = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1), F.col("value")
+    return files.select(name.alias("doc_id"), "path", normalize_newlines(text).alias("text"))
+
+
+def write_bundles(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", most: int = 10_000) -> None:
+    """Adds ``docs`` to the folder ``path`` in .txt files of at most ``most`` documents, the id in the first line of each.
+
+    A file of its own for every short document costs more than its text. Ids hold no newline; a null text is empty.
+    """
+    escaped = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(_ESCAPE), F.lit(f"{_ESCAPE}0")), F.lit(_END), F.lit(f"{_ESCAPE}1"))
+    rows = docs.select(F.concat_ws("\n", F.col(key).cast("string"), escaped).alias("value"))
+    rows.write.mode("append").option("lineSep", _END).option("maxRecordsPerFile", most).text(path)
 
 
 def document_kind(text, rules: tuple[tuple[str, str], ...] = (("周报", "weekly"), ("月报", "monthly")), default: str = "daily") -> Column:

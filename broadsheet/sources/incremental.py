@@ -38,11 +38,11 @@ def last_manifest(spark: SparkSession, target: str) -> tuple[int, DataFrame]:
     return last, spark.read.schema(_MANIFEST).parquet(f"{target}/manifest/run={last}") if last else spark.createDataFrame([], _MANIFEST)
 
 
-def refresh_by_date(spark: SparkSession, source: str, target: str, rows_of: Callable[[DataFrame], DataFrame], pattern: str = "*.md") -> dict[str, int]:
+def refresh_by_date(spark: SparkSession, source: str, target: str, rows_of: Callable[[DataFrame], DataFrame], pattern: str = "*.md", bundled: bool = False) -> dict[str, int]:
     """Brings ``target``/data, a folder per date, up to date with the files under ``source``.
 
     ``rows_of`` makes rows with ``file`` and ``date`` of documents (doc_id, file, text), each row of one document; rows
-    without a date are not written. Read are the new and changed files, and the unchanged ones that have rows of a date
+    without a date are not written. ``bundled`` files hold many documents, of any dates. Read are the new and changed files, and the unchanged ones that have rows of a date
     that those, or removed files, touch. Returns the numbers of files read, of dates replaced and of dates emptied. Only
     file names, which the scan itself lists on the driver, and dates are collected.
     """
@@ -54,7 +54,7 @@ def refresh_by_date(spark: SparkSession, source: str, target: str, rows_of: Call
     stale = compared.filter("_size IS NOT NULL AND (size IS NULL OR _size <> size OR _modified <> modified)").select("file")
 
     def rows_in(paths: list[str]) -> DataFrame | None:
-        docs = read_documents(spark, paths, pattern).withColumnRenamed("path", "file") if paths else None
+        docs = read_documents(spark, paths, pattern, bundled).withColumnRenamed("path", "file") if paths else None
         return None if docs is None else rows_of(docs)
 
     to_read = [r["path"] for r in changed.select("path").collect()]

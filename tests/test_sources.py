@@ -43,3 +43,13 @@ def test_known_titles(spark):
     candidates = spark.createDataFrame([("title 5",), ("TITLE 1",), (None,)], "title string")
     assert [r.title for r in dedup.semi_join_known(candidates, index).collect()] == ["title 5"]
     assert {r.title for r in dedup.anti_join_known(candidates, index).collect()} == {"TITLE 1", None}
+
+
+def test_many_documents_share_a_file_and_none_is_changed(spark, tmp_path):
+    texts = ["", "a\n", "\n\nb", "\x1e", "x\x10y\x1e\x100\x101\x10", "日\x1f\n# c"] * 40 + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(2)
+    path = f"file://{tmp_path}/bundles"
+    documents.write_bundles(docs, path, most=50)
+    assert len(list((tmp_path / "bundles").glob("part-*.txt"))) <= 6  # not a file for each
+    found = {int(r.doc_id): r.text for r in documents.read_documents(spark, path, "*.txt", bundled=True).collect()}
+    assert found == {n: t or "" for n, t in enumerate(texts)}
