@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from broadsheet.functions.text import cells_of, is_separator, iso_date, lines_of, strip, strip_anchor, strip_marks
+from broadsheet.functions.text import cells_of, is_separator, iso_date, lines_of, normalize_newlines, strip, strip_anchor, strip_marks
 
 #: Stands for "no section" in running windows, which skip nulls.
 _RESET = "~"
@@ -227,17 +227,77 @@ def extract_note(line: Column, label: str = DailyFormat.note_label) -> Column:
     return strip(F.regexp_replace(strip_marks(line, "> "), label, ""))
 
 
+#: What stands in every line that one of the format's own patterns finds; a test of it is much cheaper than the pattern.
+_LITERALS = {DailyFormat.item: "### ", DailyFormat.tags: "🏷️", DailyFormat.link: "📎", DailyFormat.image: "!["}
+
+
+def _finds(line: Column, pattern: str) -> Column:
+    return line.contains(_LITERALS[pattern]) & line.rlike(pattern) if pattern in _LITERALS else line.rlike(pattern)
+
+
+def _daily_pieces(text: Column, fmt: DailyFormat) -> Column:
+    """array<array<struct<section, piece, bare, is_item>>>: the text from the first section header on in pieces of whole
+    lines, before the first item and of each item.
+
+    The text is split at headers, and what may hold items at lines that may open one, so single lines are not made
+    here. ``bare`` pieces begin with a line that is neither a header nor an item.
+    """
+    heads = sorted({*fmt.resets, *(prefix for prefix, _ in fmt.sections)})
+    literal = lambda s: "\\Q" + s + "\\E"
+    at_header = "\n(?=" + "|".join(map(literal, heads)) + ")"
+    at_item = "\n(?=" + literal(_LITERALS[fmt.item]) + ")" if fmt.item in _LITERALS else "\n"  # else each line may be one
+
+    def section_of(part: Column) -> Column:
+        opened = F.lit(None).cast("string")
+        for prefix in reversed(fmt.resets):
+            opened = F.when(part.startswith(prefix), F.lit(None).cast("string")).otherwise(opened)
+        for prefix, name in reversed(fmt.sections):
+            opened = F.when(part.startswith(prefix), F.lit(name)).otherwise(opened)
+        return opened
+
+    def of_part(part: Column, section: Column) -> Column:
+        def row(piece: Column, i: Column) -> Column:
+            is_item = (i > 0) & _finds(F.substring_index(piece, "\n", 1), fmt.item)
+            return F.struct(section.alias("section"), piece.alias("piece"), ((i > 0) & ~is_item).alias("bare"), is_item.alias("is_item"))
+
+        pieces = F.when(section.isin(*fmt.item_sections), F.split(part, at_item, -1)).otherwise(F.array(part))
+        return F.transform(pieces, row)
+
+    plain = F.when(F.contains(text, F.lit("\r")), normalize_newlines(text)).otherwise(text)
+    after_title = let(plain, lambda t: F.when(F.instr(t, "\n") > 0, F.substring(t, F.instr(t, "\n"), F.length(t))))
+    parts = let(F.split(after_title, at_header, -1), lambda p: F.slice(p, F.lit(2), F.size(p)))
+    return cut(F.flatten(F.transform(parts, lambda part: let(section_of(part), lambda of: of_part(part, of)))), lambda r, _: r["is_item"])
+
+
+def _item_kind(line: Column, section: Column, fmt: DailyFormat) -> Column:
+    """:func:`_daily_kind` of a line of an item that is neither a header nor opens an item."""
+    filled = line.rlike(r"(?U)\S")
+    return (
+        F.when(_finds(line, fmt.tags), "tags").when(_finds(line, fmt.link), "links").when(_finds(line, fmt.image), "image")
+        .when(line.startswith("> "), "note")
+        .when(section.isin(*fmt.table_sections) & line.startswith("|"), "table")
+        .when(line.contains(fmt.footer) & strip(line).startswith(fmt.footer), "footer")
+        .when(filled & ~line.startswith("---") & ~line.startswith(">"), "body")
+        .otherwise("other")
+    )
+
+
 def daily_items(docs: DataFrame, fmt: DailyFormat = DailyFormat(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per item of daily reports: item_no in order of the text, the section it opens in, and its attributes."""
-    groups = _numbered(docs, key, _daily_groups(F.col(text), fmt), "item_no", "_rows").filter("item_no > 0")
-    kind = lambda r: _daily_kind(r["line"], r["header"], r["section"], r["is_item"], F.lit(True), fmt)
-    groups = groups.withColumn("_typed", F.transform("_rows", lambda r: F.struct(r["line"].alias("line"), kind(r).alias("kind"))))
+    groups = _numbered(docs, key, _daily_pieces(F.col(text), fmt), "item_no", "_pieces").filter("item_no > 0")
+
+    def typed(piece: Column) -> Column:
+        lines = let(F.split(piece["piece"], "\n", -1), lambda x: F.when(piece["bare"], x).otherwise(F.slice(x, F.lit(2), F.size(x))))
+        return F.transform(lines, lambda line: F.struct(line.alias("line"), _item_kind(line, piece["section"], fmt).alias("kind")))
+
+    opening = F.get("_pieces", 0)
+    first = F.substring_index(opening["piece"], "\n", 1)
+    groups = groups.select("doc_id", "item_no", opening["section"].alias("section"), first.alias("_first"), F.flatten(F.transform("_pieces", typed)).alias("_typed"))
     of_kind = lambda kind: F.transform(F.filter("_typed", lambda r: r["kind"] == kind), lambda r: r["line"])
     last = lambda kind: F.try_element_at(of_kind(kind), F.lit(-1))
-    opening = F.get("_rows", 0)
     return groups.select(
-        "doc_id", "item_no", opening["section"].alias("section"), F.concat(F.lit("item"), F.col("item_no")).alias("item_id"),
-        strip_anchor(strip(F.regexp_extract(opening["line"], fmt.item, 2))).alias("title"),
+        "doc_id", "item_no", "section", F.concat(F.lit("item"), F.col("item_no")).alias("item_id"),
+        strip_anchor(strip(F.regexp_extract("_first", fmt.item, 2))).alias("title"),
         extract_tags(last("tags"), fmt).alias("tags"), extract_links(last("links"), fmt.link).alias("sources"),
         extract_image(last("image"), fmt.image).alias("image"), F.array_join(of_kind("body"), "\n").alias("body"),
         extract_note(last("note"), fmt.note_label).alias("commentary"),
