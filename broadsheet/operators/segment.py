@@ -263,7 +263,7 @@ def _daily_pieces(text: Column, fmt: DailyFormat) -> Column:
         pieces = F.when(section.isin(*fmt.item_sections), F.split(part, at_item, -1)).otherwise(F.array(part))
         return F.transform(pieces, row)
 
-    plain = F.when(F.contains(text, F.lit("\r")), normalize_newlines(text)).otherwise(text)
+    plain = let(text, lambda t: F.when(t.contains("\r"), normalize_newlines(t)).otherwise(t))  # the text may be an expression
     after_title = let(plain, lambda t: F.when(F.instr(t, "\n") > 0, F.substring(t, F.instr(t, "\n"), F.length(t))))
     parts = let(F.split(after_title, at_header, -1), lambda p: F.slice(p, F.lit(2), F.size(p)))
     return cut(F.flatten(F.transform(parts, lambda part: let(section_of(part), lambda of: of_part(part, of)))), lambda r, _: r["is_item"])
