@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import contextlib
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.sources.documents import write_by_date
+from broadsheet.sources.shared import written
 
 
 def query_terms(query) -> Column:
@@ -91,9 +93,12 @@ def search_batch(items: DataFrame, queries: DataFrame, query_id: str, report: Se
 
 
 def _first_hits(first_term: DataFrame, asked: DataFrame, items: DataFrame, query_id: str, report: Sequence[str], order: str, text: str) -> DataFrame:
-    """The first item of each report for each query, with a snippet, from the first item of each (report, term)."""
+    """The first item of each report for each query, with a snippet, from the first item of each (report, term).
+
+    The results are written before they meet the texts: Spark then knows their size, and shuffles texts only if it is large.
+    """
     best = first_term.join(asked, "term").groupBy(query_id, *report).agg(F.min(F.struct(order, "term_no", "term")).alias("_best"))
-    first = best.select(query_id, *report, f"_best.{order}", "_best.term")
+    first = written(best.select(query_id, *report, f"_best.{order}", "_best.term"), "first_hits")
     found = first.join(items.select(*report, order, text), [*report, order])
     return found.select(query_id, *report, order, "term", snippet(F.col(text), F.col("term")).alias("snippet"))
 
@@ -106,17 +111,49 @@ LIST = 1024
 _PAD = "\0"
 
 
-def _lists(rows: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """``by`` and ``name``, the sorted values of each group in arrays of at most LIST; a group is collected per input split."""
-    grouped = rows.groupBy(*by, "_split").agg(F.array_sort(F.collect_list(value)).alias("_all"))
+#: Input splits whose values may meet in one group before it is cut into lists.
+SPLITS = 32
+#: Files of a date's postings, for each SPLITS input splits.
+BUCKETS = 8
+#: A longer word is cut into grams by arrays, not by places.
+SHORT = 64
+
+
+@contextlib.contextmanager
+def _sorted_groups(spark: SparkSession) -> Iterator[None]:
+    """Groups of rows that are sorted already are collected in one pass, not sorted again by a partial and a final aggregate."""
+    name = "spark.sql.execution.replaceHashWithSortAgg"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _lists(rows: DataFrame, by: Sequence[str], key: str, value: str, name: str, near: Sequence[str]) -> DataFrame:
+    """``by``, ``first`` and ``name``: the sorted values of each group in arrays of at most LIST, and the first of the array.
+
+    Rows are dealt once, by ``near`` (some of ``by``) and the bucket of ``key`` (one of ``by``). A group is collected from
+    SPLITS input splits at a time.
+    """
+    part = F.expr(f"spark_partition_id() div {SPLITS} * {BUCKETS}") + F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+    dealt = rows.withColumn("_part", part).repartition(*near, "_part").sortWithinPartitions(*by, "_part", value)
+    grouped = dealt.groupBy(*by, "_part").agg(F.sort_array(F.collect_list(value)).alias("_all"))
     parts = F.transform(F.sequence(F.lit(0), F.expr(f"(size(_all) - 1) div {LIST}")), lambda k: F.slice("_all", k * LIST + 1, F.lit(LIST)))
-    return grouped.select(*by, F.explode(parts).alias(name))
+    lists = F.when(F.size("_all") <= LIST, F.array("_all")).otherwise(parts)
+    return grouped.select(*by, F.explode(lists).alias(name)).withColumn("first", F.get(name, F.lit(0)))
+
 
+def postings(items: DataFrame, report: Sequence[str], order: str, *columns: str, date: str = "date") -> DataFrame:
+    """(report, word, first, items): the items of each report that hold each word of ``columns``, in lists of at most LIST.
 
-def postings(items: DataFrame, report: Sequence[str], order: str, *columns: str) -> DataFrame:
-    """(report, word, items): the items of each report that hold each word of ``columns``, in lists of at most LIST."""
-    words = F.explode(F.array_distinct(query_terms(search_text(*columns)))).alias("word")
-    return _lists(items.select(*report, order, words).withColumn("_split", F.spark_partition_id()), [*report, "word"], order, "items")
+    The rows of a ``date`` (one of ``report``) lie in BUCKETS partitions for each SPLITS input splits.
+    """
+    words = F.explode(F.array_distinct(F.split(search_text(*columns), r"(?U)\s+"))).alias("word")
+    rows = items.select(*report, order, words).filter("word <> ''")
+    by = [date, *[c for c in report if c != date], "word"]  # sorted as they are written, date by date
+    return _lists(rows, by, "word", order, "items", [date]).select(*report, "word", "first", "items")
 
 
 def grams(word) -> Column:
@@ -128,10 +165,21 @@ def grams(word) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array(F.split(word, "")), from_each)))  # the letters are bound once
 
 
+def _with_grams(words: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and ``gram``, a row for each of the :func:`grams` of ``word``; words of up to SHORT characters need no arrays."""
+    short = F.length("word") <= SHORT
+    pieces = F.when(short, F.array(F.concat("word", F.lit(_PAD * (GRAM - 1))))).otherwise(grams(F.col("word")))
+    places = F.when(short, F.greatest(F.length("word"), F.lit(1))).otherwise(1)
+    cut = words.select(*columns, places.alias("_places"), F.explode(pieces).alias("_piece"))
+    placed = cut.select(*columns, "_piece", F.explode(F.sequence(F.lit(1), "_places")).alias("_at"))
+    found = placed.withColumn("gram", F.substring(F.col("_piece"), F.col("_at"), F.lit(GRAM)))
+    return found.filter(F.instr("_piece", F.col("gram")) == F.col("_at")).select(*columns, "gram")  # the first of equal ones
+
+
 def lexicon(words: DataFrame) -> DataFrame:
-    """(gram, words): which distinct words of ``words`` (word) hold each gram, in lists of at most LIST."""
-    known = words.select("word").distinct().withColumn("_split", F.spark_partition_id())
-    return _lists(known.select("_split", "word", F.explode(grams(F.col("word"))).alias("gram")), ["gram"], "word", "words")
+    """(gram, n, words): which distinct words of ``words`` (word) hold each whole gram, in lists of ``n``, at most LIST."""
+    rows = _with_grams(words.select("word").distinct(), "word").filter(~F.endswith("gram", F.lit(_PAD)))
+    return _lists(rows, ["gram"], "gram", "word", "words", ["gram"]).select("gram", F.size("words").alias("n"), "words")
 
 
 def write_index(items: DataFrame, path: str, report: Sequence[str], order: str, *columns: str, date: str = "date") -> None:
@@ -141,26 +189,26 @@ def write_index(items: DataFrame, path: str, report: Sequence[str], order: str,
     A rerun replaces the dates that ``items`` holds, and no others; only the postings are made from texts, the first
     items and the lexicon from postings.
     """
-    found = postings(items, report, order, *columns)
-    dealt = found.repartition(F.col(date), F.pmod(F.xxhash64("word"), F.lit(8))).sortWithinPartitions(date, "word")
-    write_by_date(dealt, f"{path}/postings", date)
-    kept = items.sparkSession.read.parquet(f"{path}/postings")
-    renewed = kept.join(items.select(date).distinct(), date, "left_semi")
-    gram = renewed.select(*report, F.array_min("items").alias("item"), F.explode(grams(F.col("word"))).alias("gram"))
-    write_by_date(gram.groupBy(*report, "gram").agg(F.min("item").alias("item")).repartition(date), f"{path}/grams", date)
-    lexicon(kept).write.mode("overwrite").parquet(f"{path}/lexicon")
+    with _sorted_groups(items.sparkSession):
+        write_by_date(postings(items, report, order, *columns, date=date), f"{path}/postings", date)
+    kept = items.sparkSession.read.parquet(f"{path}/postings").select(*report, "word", "first")
+    renewed = kept.join(written(items.select(date).distinct(), "dates"), date, "left_semi")
+    gram = _with_grams(renewed, *report, "first").groupBy(*report, "gram").agg(F.min("first").alias("item"))
+    write_by_date(gram.repartition(date), f"{path}/grams", date)
+    with _sorted_groups(items.sparkSession):
+        lexicon(kept).write.mode("overwrite").parquet(f"{path}/lexicon")
 
 
 def words_by_lexicon(entries: DataFrame, terms: DataFrame) -> DataFrame:
-    """(word, term) for every word of the lexicon ``entries`` (gram, words) that holds a term of at least GRAM characters.
+    """(word, term) for every word of the lexicon ``entries`` (gram, n, words) that holds a term of at least GRAM characters.
 
     A term is sought under the rarest of its grams; the words listed there are verified.
     """
     asked = terms.select("term").distinct().filter(F.length("term") >= GRAM)
     own = asked.select("term", F.explode(F.filter(grams(F.col("term")), lambda g: ~g.endswith(_PAD))).alias("gram"))
-    number = entries.groupBy("gram").agg(F.sum(F.size("words")).alias("_n"))
+    number = entries.groupBy("gram").agg(F.sum("n").alias("_n"))
     rarest = own.join(number, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"))
-    listed = rarest.join(entries, "gram").select("term", F.explode("words").alias("word"))
+    listed = entries.join(written(rarest, "rarest"), "gram").select("term", F.explode("words").alias("word"))
     return listed.filter(F.contains("word", "term")).select("word", "term")
 
 
@@ -172,9 +220,10 @@ def search_index(path: str, items: DataFrame, queries: DataFrame, query_id: str,
     """
     spark = items.sparkSession
     asked = queries.select(query_id, F.posexplode("terms").alias("term_no", "term")).filter("term <> ''")
-    terms = asked.select("term").distinct()
-    words = words_by_lexicon(spark.read.parquet(f"{path}/lexicon"), terms.filter(F.length("term") > GRAM))
-    long = spark.read.parquet(f"{path}/postings").join(words, "word").select(*report, "term", F.array_min("items").alias(order))
+    terms = written(asked.select("term").distinct(), "terms")
+    words = written(words_by_lexicon(spark.read.parquet(f"{path}/lexicon"), terms.filter(F.length("term") > GRAM)), "words")
+    listed = spark.read.parquet(f"{path}/postings").select(*report, "word", F.col("first").alias(order))  # a column of each list, not the list
+    long = listed.join(words, "word").select(*report, "term", order)
     begun = spark.read.parquet(f"{path}/grams").withColumn("term", F.explode(F.array(*[F.substring("gram", 1, n) for n in range(1, GRAM + 1)])))
     short = begun.join(terms.filter(F.length("term") <= GRAM), "term").select(*report, "term", F.col("item").alias(order))
     found = long.union(short).groupBy(*report, "term").agg(F.min(order).alias(order))

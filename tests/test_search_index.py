@@ -54,3 +54,28 @@ def test_grams_are_linear_and_padded(spark):
     found = [r[0] for r in rows.select(search.grams(F.col("word"))).collect()]
     assert found[0] == ["the", "he\0", "e\0\0"] and found[1] == ["é日🔥", "日🔥x", "🔥x\0", "x\0\0"]
     assert found[2] in ([], ["\0\0"]) and found[3] == ["yyy", "yy\0", "y\0\0"]
+
+
+def test_lists_are_merged_over_input_splits_and_know_their_first_item(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    long = "x" * 70 + "mapof" + "é" * 70
+    rows = [(datetime.date(2024, 1, 1 + i % 2), i, f"the heat {long if i % 5 == 4 else ''} " + "the " * (i % 3)) for i in range(3000)]
+    items = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    search.write_index(items, path, ["date"], "item", "body")
+    lists = spark.read.parquet(f"{path}/postings")
+    found = {(r.date.day, r.word): r for r in lists.groupBy("date", "word").agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("items"), F.min("first").alias("first")).collect()}
+    assert {k: (r.n, r["items"], r["first"]) for k, r in found.items() if k[1] == "the"} == {(1, "the"): (2, 1500, 0), (2, "the"): (2, 1500, 1)}
+    assert found[1, long].n == 1 and found[2, long]["first"] == 9 and found[1, long]["first"] == 4
+    assert lists.filter("first <> array_min(items)").isEmpty()
+    by_index, plain = _both(spark, path, items)
+    assert by_index == plain and len(plain) > 5
+
+
+def test_rows_of_grams_are_the_grams(spark):
+    words = [("the",), ("a",), ("aaaa",), ("hahaha",), ("é日🔥x",), ("y" * 64,), ("ab" * 40,), ("z" * 300 + "é",)]
+    rows = spark.createDataFrame(words, "word string")
+    plain = {(r.word, g) for r in rows.select("word", search.grams(F.col("word")).alias("grams")).collect() for g in r.grams}
+    found = [tuple(r) for r in search._with_grams(rows, "word").collect()]
+    assert len(found) == len(plain) and set(found) == plain
+    listed = [(w, r.gram) for r in search.lexicon(rows).collect() for w in r.words]
+    assert sorted(listed) == sorted((w, g) for w, g in plain if not g.endswith("\0"))
